@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtab.llm import chat, decontam, mixing, sharding
+from symtab.llm import chat, decontam, jaccard, mixing, quality, sharding, toxicity
 from symtab.llm.common import table
 
 N_SHARDS = 24
@@ -32,7 +32,19 @@ def op7_fair_queueing_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies").cast("long").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op4_snapshot_collapse, op5_containment_search, op7_fair_queueing_mix)}
+def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity)}
 
 #: Words of a text column, lower-cased (A-Z only), in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
