@@ -29,8 +29,8 @@ from symtab.llm.common import fresh, materialize
 
 SHINGLE = 5
 HASHES = 64
-#: Rows of an item-side table (24 bytes each) that may be broadcast.
-BROADCAST_ITEMS = 2_000_000
+#: Rows of an item-side table (24 bytes each), and of text hashes (32 characters each), that may be broadcast.
+BROADCAST_ITEMS, BROADCAST_TEXTS = 2_000_000, 200_000
 
 
 def words(text: Column) -> Column:
@@ -61,9 +61,9 @@ def least_hash(h: Column, seed: int) -> Column:
     return F.min(F.xxhash64(F.lit(seed), h))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_ITEMS) -> DataFrame:
     """Broadcast only what has been counted and is small; else Spark's shuffle joins take it."""
-    return F.broadcast(df) if rows <= BROADCAST_ITEMS else df
+    return F.broadcast(df) if rows <= limit else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -76,7 +76,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     signature = materialize(signature, "signatures")
     n_bands = n_rows * HASHES  # at least the rows of the signature table
 
-    lengths = [r[0] for r in shingles.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE values
+    # at most SHINGLE lengths and, in each, as many classes as a size has bits
+    classes = {r["k"]: sorted(r["cs"]) for r in shingles.groupBy("k").agg(F.collect_set("class").alias("cs")).collect()}
+    lengths = sorted(classes)
     if not lengths:
         return shingles.select(F.lit("").alias("text_key"), "item_id", F.lit(0).alias("n_shared"), F.col("n").alias("n_item")).limit(0)
 
@@ -98,9 +100,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     hit = hit.select("text_key", "k", "class", F.explode(F.array(number, number - 1)).alias("window")).filter("window >= 0 or window = -1").distinct()
     hit = materialize(hit, "windows")
 
-    touched = materialize(_distinct_texts(docs, hit.select("text_key").distinct(), read), "touched")
+    keys = materialize(hit.select("text_key").distinct(), "touched-keys")
+    # raw texts meet the keys (not their word arrays, which are far larger), each text once
+    texts = docs.select(F.col(text_col).alias(text_col), text_key(F.col(text_col)).alias("key")).join(small(keys, keys.count(), BROADCAST_TEXTS), F.col("key") == F.col("text_key"), "left_semi")
+    touched = materialize(read(texts.groupBy("key").agg(F.first(text_col).alias(text_col))), "touched")
     cls = F.col("class")
-    inside = positions(touched).join(small(shingles.select("k", "class").distinct(), n_rows), "k")
+    of_length = F.create_map(*[x for k in lengths for x in (F.lit(k), F.array(*map(F.lit, classes[k])))])
+    inside = positions(touched).withColumn("class", F.explode(of_length[F.col("k")]))
     base = F.floor(F.col("p") / F.pow(F.lit(2.0), cls)).cast("long")
     inside = inside.select("text_key", "k", "class", "h", F.explode(F.array(base, base - 1)).alias("window")).join(hit, ["text_key", "k", "class", "window"], "left_semi")
     least = inside.groupBy("text_key", "k", "class", "window").agg(*[least_hash(F.col("h"), s).alias(f"m{s}") for s in range(HASHES)])
@@ -119,12 +125,6 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _distinct_texts(docs: DataFrame, keys: DataFrame, read) -> DataFrame:
-    """Words of each text whose key is in ``keys``, once."""
-    some = read(docs).join(keys, "text_key", "left_semi")
-    return some.groupBy("text_key").agg(F.first("w").alias("w"))
-
-
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): one row for each document row and item that it holds."""
     found = materialize(contaminated(docs, items, threshold, id_col, text_col, item_id, item_text), "leaks")
