@@ -28,7 +28,7 @@ from symtab.llm.training import FOLDS, HELD_OUT, labelled_sample
 SAMPLE = 6000
 STEPS, RATE, L2 = 150, 0.15, 1e-3
 
-#: Thermometer thresholds by quantity (all but the last two are shares of the line's characters).
+#: Thermometer thresholds by quantity (shares of the line's characters; words and characters; share of its words that it has had before).
 THRESHOLDS = {
     "symbol": (0.02, 0.05, 0.08, 0.12, 0.2, 0.3),
     "bar": (0.005, 0.02, 0.05, 0.1),
@@ -38,6 +38,7 @@ THRESHOLDS = {
     "space": (0.05, 0.1, 0.15, 0.25),
     "word_length": (3, 4, 5, 6, 8, 12),
     "length": (1, 10, 20, 40, 80, 160, 400, 1000),
+    "repeats": (0.1, 0.25, 0.4, 0.6, 0.8),
 }
 N_LINE = sum(map(len, THRESHOLDS.values())) + 1
 
@@ -74,6 +75,9 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     space = count(32)
     quantity = {"symbol": count(1) / n, "bar": count(2) / n, "upper": count(4) / n, "digit": count(8) / n, "bang": count(16) / n, "space": space / n, "word_length": length / (space + 1), "length": length}
     raw = joined.tobytes()
+    said = [raw[a:b].split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    n_words = np.maximum(np.fromiter(map(len, said), np.float64, len(said)), 1)
+    quantity["repeats"] = 1 - np.maximum(np.fromiter((len(set(ws)) for ws in said), np.float64, len(said)), 1) / n_words
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     order = np.lexsort((hashes, doc))
     same = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])

@@ -7,7 +7,8 @@ computed in linear time. The pairs let two terms mean together what neither mean
 
 Fitting uses at most SAMPLE labelled documents outside the held-out fold. Slots that occur with the label no more often
 than chance explains (Z_LEAST standard deviations, at least DF_LEAST documents) get no weight, so that the many words which
-occur a few times can't add up in long texts; weights and factors of the others are fitted by Adam with an L2 penalty.
+occur a few times can't add up in long texts; weights and factors of the others are fitted by Adam with an
+L2 penalty around a share of each slot's own log odds.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined results: a null or empty text has
 no terms and scores by the bias alone; repeated rows score alike; without labelled rows everything scores 0.5; no rows
@@ -32,13 +33,15 @@ BITS = 21
 #: Lengths of beginnings in bytes; numbers of distinct words that share one, and shares of the distinct words, that are marked.
 BEGINNINGS = (4, 5, 6, 7, 8)
 SEVERAL, RATES = (2, 3, 4), (0.01, 0.02, 0.04)
-#: Marks are slots of their own, at this odd distance.
-_MARK = 0x9E3779B1
+#: Marks are slots of their own, at this even distance: odd slots are beginnings and marks.
+_MARK = 0x9E3779B2
 FACTORS = 4
 #: At most this many labelled documents are fitted on.
 SAMPLE = 8000
 Z_LEAST, DF_LEAST = 6.0, 8
 STEPS, RATE, L2 = 400, 0.05, 2e-4
+#: Prior weights as shares of the log odds: of beginnings and marks (of which a word has several), of words.
+PRIOR = (0.35, 0.9)
 
 _SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -51,9 +54,9 @@ class TermSlots(dict):
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= self.LIMIT:
             self.clear()
-        own = xxhash.xxh3_64_intdigest(word) >> (64 - BITS) << 1
+        own = xxhash.xxh3_64_intdigest(word) >> (65 - BITS) << 1
         # the last bit tells beginnings from words
-        out = self[word] = [own, *(xxhash.xxh3_64_intdigest(word[:k], 1) >> (64 - BITS) << 1 | 1 for k in BEGINNINGS if len(word) > k)]
+        out = self[word] = [own, *(xxhash.xxh3_64_intdigest(word[:k], 1) >> (65 - BITS) << 1 | 1 for k in BEGINNINGS if len(word) > k)]
         return out
 
 
@@ -64,7 +67,7 @@ def term_slots(text: str | None, cache: TermSlots) -> np.ndarray:
     found = np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.int64)
     slots, n = np.unique(found, return_counts=True)
     begun = (slots & 1 == 1) & (n > 1)
-    slots, many, n = slots >> 1, slots[begun] >> 1, n[begun]
+    many, n = slots[begun], n[begun]
     marks = [many[n >= c] + c * _MARK for c in SEVERAL] + [many[n >= r * len(words)] + i * _MARK for i, r in enumerate(RATES, 11)]
     return np.unique(np.concatenate([slots, *(mark % (1 << BITS) for mark in marks)]))
 
@@ -109,7 +112,11 @@ def fit_machine(examples: list[tuple[int, np.ndarray]]) -> FactorMachine:
         return none
     found = [np.flatnonzero(np.isin(chosen, slots, assume_unique=True)) for _, slots in examples]
     rows, at = np.repeat(np.arange(len(y)), [len(x) for x in found]), np.concatenate(found)
-    m = FactorMachine(chosen, np.concatenate([none.w, np.zeros(len(chosen))]), np.random.default_rng(5).normal(0, 0.05, (len(chosen), FACTORS)))
+    # prior means: a share of each slot's own log odds, so that words that usually come with others keep weight when alone
+    clean = df[chosen] - toxic[chosen]
+    odds = np.log((toxic[chosen] + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / (len(y) - y.sum() + 1))
+    prior = np.concatenate([[0.0], np.where(chosen & 1, *PRIOR) * np.clip(odds, -6, 6)])
+    m = FactorMachine(chosen, prior + np.concatenate([none.w, np.zeros(len(chosen))]), np.random.default_rng(5).normal(0, 0.05, (len(chosen), FACTORS)))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (m.w, m.v)]
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(m.logits(rows, at, len(y)), -30, 30)))
@@ -119,7 +126,7 @@ def fit_machine(examples: list[tuple[int, np.ndarray]]) -> FactorMachine:
         for f in range(FACTORS):
             x = m.v[at, f]
             gv[:, f] = np.bincount(at, r[rows] * (np.bincount(rows, x, len(y))[rows] - x), len(chosen))
-        grads = (gw + L2 * np.concatenate([[0], m.w[1:]]), gv + L2 * m.v)
+        grads = (gw + L2 * (m.w - prior) * (np.arange(len(m.w)) > 0), gv + L2 * m.v)
         new = []
         for p_, g, mo in zip((m.w, m.v), grads, moments, strict=True):
             mo[0], mo[1] = 0.9 * mo[0] + 0.1 * g, 0.99 * mo[1] + 0.01 * g * g
