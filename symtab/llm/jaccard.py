@@ -47,6 +47,8 @@ GROUP_SHARE = {5: 0.5, 6: 0.4, 7: 0.35, 8: 0.3, 9: 0.28}
 LATER_SHARE = 0.27
 #: Postings that a task gathers before it hands them on, and those that one shard should have.
 FLUSH, SHARD_POSTINGS = 1_500_000, 1_000_000
+#: Hashes of texts (8 bytes each) that may be broadcast.
+BROADCAST_TEXTS = 500_000
 #: Points of a key that one R-tree holds; larger keys are dealt out in blocks.
 BLOCK = 2048
 FANOUT = 16
@@ -185,7 +187,8 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch, texts in _batches(it, "text"):
         starts, tokens = shingle_sets(texts, cache)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(starts)), pa.array(_signed(set_ids(starts, tokens)))], names=["doc_id", "tkey", "n", "sid"])
+        points = [p.tobytes() for p in count_points(starts, tokens)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(starts)), pa.array(_signed(set_ids(starts, tokens))), pa.array(points, pa.binary())], names=["doc_id", "tkey", "n", "sid", "point"])
 
 
 def _post(n_shards: int):
@@ -239,36 +242,38 @@ def _meet(pdf):
     return pd.DataFrame({"key": _signed(keys[several]), "hub": hub[several], "sid": sids[several], "members": np.repeat(length, length)[several]})
 
 
-def _points(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
+def _tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache, seen = WordHashes(), set()
     for _, texts in _batches(it, "text"):
         starts, tokens = shingle_sets(texts, cache)
-        points = count_points(starts, tokens)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_signed(set_ids(starts, tokens))), pa.array([tokens[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()), pa.array([p.tobytes() for p in points], pa.binary())],
-            names=["sid", "tokens", "point"],
-        )
+        ids = set_ids(starts, tokens).tolist()
+        new = [i for i, sid in enumerate(ids) if sid not in seen and not seen.add(sid)]  # copies in this task go on once
+        if len(seen) > FLUSH:
+            seen = set()
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array([ids[i] for i in new], np.uint64))), pa.array([tokens[starts[i] : starts[i + 1]].tobytes() for i in new], pa.binary())], names=["sid", "tokens"])
+
+
+def _bound(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs (a, b) whose points leave room for a link."""
+    for batch in it:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, DIMENSIONS) for k in (2, 3))
+        total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+        left = np.minimum(x, y).sum(1, dtype=np.int64) * (100 + PERCENT) >= PERCENT * total
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(left)) for k in (0, 1)], names=["a", "b"])
 
 
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b) whose sets link: first the bound of the points, then the exact overlap."""
-    for whole in it:
-        for i in range(0, whole.num_rows, 1000):
-            batch = whole.slice(i, 1000)
-            a, b, ta, tb, pa_, pb_ = (batch.column(k) for k in range(6))
-            x, y = (np.frombuffer(b"".join(p.to_pylist()), np.uint32).reshape(-1, DIMENSIONS) for p in (pa_, pb_))
-            total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
-            left = np.flatnonzero(np.minimum(x, y).sum(1, dtype=np.int64) * (100 + PERCENT) >= PERCENT * total)
-            good = []
-            for r in left.tolist():
-                s, t = np.frombuffer(ta[r].as_py(), np.uint64), np.frombuffer(tb[r].as_py(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * overlap >= PERCENT * (len(both) - overlap):
-                    good.append(r)
-            good = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(good), b.take(good)], names=["a", "b"])
+    """Keeps the pairs (a, b) whose sets link, by their exact overlap."""
+    for batch in it:
+        good = []
+        for r, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            both = np.concatenate([np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)])
+            both.sort()
+            overlap = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * overlap >= PERCENT * (len(both) - overlap):
+                good.append(r)
+        good = pa.array(good, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(good) for k in (0, 1)], names=["a", "b"])
 
 
 def _search_block(cell):
@@ -318,10 +323,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, n, sid) of every row: hash of the text, size and identity of its shingle set."""
+    """(doc_id, tkey, n, sid, point) of every row: hash of the text; size, identity and point of its shingle set."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
-    return materialize(rows.mapInArrow(_describe, f"doc_id {kind}, tkey long, n long, sid long"), "sets")
+    return materialize(rows.mapInArrow(_describe, f"doc_id {kind}, tkey long, n long, sid long, point binary"), "sets")
 
 
 def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
@@ -333,17 +338,26 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     posted = texts.mapInArrow(_post(n_shards), "shard int, keys binary, sids binary")
     meeting = materialize(posted.groupBy("shard").applyInPandas(_meet, "key long, hub long, sid long, members long"), "keys")
 
-    # sets that met others, each read from one of its texts
+    # points of the sets that met others, and a text of each
     active = meeting.select("sid").distinct()
-    chosen = sets.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey")).select("tkey")
-    some = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey")).join(chosen, "tkey", "left_semi")
-    points = materialize(some.groupBy("tkey").agg(F.first("text").alias("text")).select("text").mapInArrow(_points, "sid long, tokens binary, point binary"), "points")
+    points = materialize(sets.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("point").alias("point")), "points")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (points.select(F.col("sid").alias(s), F.col("tokens").alias(f"t{s}"), F.col("point").alias(f"p{s}")) for s in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(_verify, "a long, b long")
+    def bounded(pairs: DataFrame) -> DataFrame:
+        a, b = (points.select(F.col("sid").alias(s), F.col("point").alias(f"p{s}")) for s in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(_bound, "a long, b long")
 
-    stars = materialize(verified(meeting.filter("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()), "stars")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; their sets are read again from one text each, so that only they are ever shuffled."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        keys = materialize(points.join(needed, "sid", "left_semi").select("tkey"), "keys-of-texts")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
+        some = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey")).join(keys, "tkey", "left_semi")
+        tokens = some.select("text").mapInArrow(_tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+        a, b = (tokens.select(F.col("sid").alias(s), F.col("tokens").alias(f"t{s}")) for s in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+
+    stars = bounded(meeting.filter("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
+    stars = materialize(verified(materialize(stars, "star-pairs")), "stars")
     roots = materialize(components(stars), "star-roots")
 
     # keys that join different components beyond what the star has tried
