@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtab.llm import chat, decontam, jaccard, mixing, quality, sharding, toxicity
+from symtab.llm import ann, chat, decontam, html_text, jaccard, mixing, quality, sharding, toxicity
 from symtab.llm.common import table
 
 N_SHARDS = 24
@@ -18,6 +18,14 @@ def op1_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.collapse_and_render(table(spark, sf_dir, "conversations"))
     return out.select("conv_id", F.col("n_turns").cast("long"), F.col("same").cast("long"), "text")
@@ -44,7 +52,7 @@ def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_index, op3_site_style_tree, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity)}
 
 #: Words of a text column, lower-cased (A-Z only), in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
