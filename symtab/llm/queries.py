@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtab.llm import ann, chat, decontam, html_text, jaccard, mixing, quality, sharding, toxicity
+from symtab.llm import ann, chat, decontam, html_text, jaccard, mixing, ngram_lm, quality, sharding, toxicity
 from symtab.llm.common import table
 
 N_SHARDS = 24
@@ -52,7 +52,11 @@ def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_index, op3_site_style_tree, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity)}
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_index, op3_site_style_tree, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity, op10_backoff_automaton)}
 
 #: Words of a text column, lower-cased (A-Z only), in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
