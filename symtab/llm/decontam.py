@@ -136,4 +136,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id
     """The rows of ``docs`` whose text holds no item."""
     found = materialize(contaminated(docs, items, threshold, id_col, text_col, item_id, item_text).select("text_key").distinct(), "leaks")
     (key,) = fresh(docs, "dc_key")
-    return docs.withColumn(key, text_key(F.col(text_col))).join(found.withColumnRenamed("text_key", key), key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, text_key(F.col(text_col))).join(small(found.withColumnRenamed("text_key", key), found.count(), BROADCAST_TEXTS), key, "left_anti").select(*docs.columns)
