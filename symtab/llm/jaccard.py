@@ -188,7 +188,7 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in _batches(it, "text"):
         starts, tokens = shingle_sets(texts, cache)
         points = [p.tobytes() for p in count_points(starts, tokens)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(starts)), pa.array(_signed(set_ids(starts, tokens))), pa.array(points, pa.binary())], names=["doc_id", "tkey", "n", "sid", "point"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(starts)), pa.array(_signed(set_ids(starts, tokens))), pa.array(points, pa.binary())], names=["doc_id", "tkey", "rkey", "n", "sid", "point"])
 
 
 def _post(n_shards: int):
@@ -323,10 +323,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, n, sid, point) of every row: hash of the text; size, identity and point of its shingle set."""
+    """(doc_id, tkey, rkey, n, sid, point) of every row: hashes of the text and the row; size, identity and point of its shingle set."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
-    return materialize(rows.mapInArrow(_describe, f"doc_id {kind}, tkey long, n long, sid long, point binary"), "sets")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"), row_key(id_col, text_col).alias("rkey"))
+    return materialize(rows.mapInArrow(_describe, f"doc_id {kind}, tkey long, rkey long, n long, sid long, point binary"), "sets")
+
+
+def row_key(id_col: str, text_col: str):
+    """Hash of the id and the text of a row."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
 
 
 def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
@@ -391,12 +396,9 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = set_roots(docs, sets, text_col)
     roots = roots.unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
     rooted = sets.filter("n > 0").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    # one text (and id) for each component: that of the smallest id, then the smallest hash
-    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("k"))
-    keep = materialize(keep.select(F.col("k.doc_id").alias("jc_id"), F.col("k.tkey").alias("jc_tkey")), "kept")
-    tkey, kid, ktkey, blank = fresh(docs, "jc_text", "jc_id", "jc_tkey", "jc_blank")
-    keyed = docs.withColumn(tkey, F.xxhash64(text_col)).withColumn(blank, F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    keep = keep.withColumnRenamed("jc_id", kid).withColumnRenamed("jc_tkey", ktkey)
-    first = keyed.filter(~F.col(blank)).join(keep, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(tkey) == F.col(ktkey)), "left_semi")
-    first = first.dropDuplicates([id_col, tkey])
+    # one row for each component: that of the smallest id, then the smallest hash; equal rows have one key
+    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rkey")).alias("k")).select("k.rkey")
+    key, blank = fresh(docs, "jc_key", "jc_blank")
+    keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(blank, F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    first = keyed.filter(~F.col(blank)).join(materialize(keep, "kept").withColumnRenamed("rkey", key), key, "left_semi").dropDuplicates([key])
     return first.unionByName(keyed.filter(F.col(blank))).select(*docs.columns)
