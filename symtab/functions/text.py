@@ -26,10 +26,14 @@ def line_col_to_offset(text: Column, line: Column, col: Column) -> Column:
 
 
 def version_key(v: Column) -> Column:
-    """Sortable key: the leading numbers (parts split by ``.``, ``-``, ``_``; fewer first in a tie), then the rest as text."""
+    """Sortable key: the leading numbers (parts split by ``.``, ``-``, ``_``; fewer first in a tie), then the rest as text.
+
+    A version that starts with no digit compares with one that does by its first character.
+    """
     digits = F.regexp_extract(v, r"^(\d+(?:[_.-]\d+)*)", 1)
     numbers = F.when(digits == "", F.array().cast("array<bigint>")).otherwise(F.split(digits, "[._-]").cast("array<bigint>"))
-    return F.struct(numbers.alias("numbers"), F.substr(v, F.length(digits) + 1).alias("rest"))
+    lead = F.when(v == "", 0).when(v < "0", 1).when(digits != "", 2).otherwise(3)
+    return F.struct(lead.alias("lead"), numbers.alias("numbers"), F.substr(v, F.length(digits) + 1).alias("rest"))
 
 
 def version_gt(v: Column, least: Column) -> Column:

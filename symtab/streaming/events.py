@@ -103,12 +103,14 @@ class Debounce(StatefulProcessor):
         t, event = events[-1]
         self.last.update(((t - _EPOCH) // pd.Timedelta(microseconds=1), event))
         self.handle.registerTimer(_ms(t + self.delay))
-        yield pd.DataFrame({"uri": [key[0]] * len(fired), "event_id": [e for _, e in fired]})
+        if fired:
+            yield pd.DataFrame({"uri": [key[0]] * len(fired), "event_id": [e for _, e in fired]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        event = self.last.get()[1] if self.last.exists() else None
-        self.last.clear()
-        yield pd.DataFrame({"uri": [key[0]] if event is not None else [], "event_id": [event] if event is not None else []})
+        if self.last.exists():
+            event = self.last.get()[1]
+            self.last.clear()
+            yield pd.DataFrame({"uri": [key[0]], "event_id": [event]})
 
     def close(self) -> None:
         pass
@@ -138,8 +140,9 @@ class Conflate(StatefulProcessor):
         if pending is not None:
             self.handle.registerTimer(_ms(until))
 
-    def _out(self, key, runs) -> pd.DataFrame:
-        return pd.DataFrame({"uri": [key[0]] * len(runs), "event_id": [e for e, _ in runs], "start": pd.to_datetime([t for _, t in runs])})
+    def _out(self, key, runs) -> Iterator[pd.DataFrame]:
+        if runs:
+            yield pd.DataFrame({"uri": [key[0]] * len(runs), "event_id": [e for e, _ in runs], "start": pd.to_datetime([t for _, t in runs])})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         until, pending = self._load()
@@ -157,7 +160,7 @@ class Conflate(StatefulProcessor):
             else:
                 pending = int(e.event_id)
         self._store(until, pending)
-        yield self._out(key, runs)
+        yield from self._out(key, runs)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until, pending = self._load()
@@ -165,7 +168,7 @@ class Conflate(StatefulProcessor):
         if pending is not None:
             runs.append((pending, until))
             self._store(until + self.service, None)
-        yield self._out(key, runs)
+        yield from self._out(key, runs)
 
     def close(self) -> None:
         pass
