@@ -4,16 +4,17 @@ Two documents link when the Jaccard similarity of their sets of distinct word sh
 component is what links connect. The steps:
 
 1. Every text becomes a set of 64-bit shingle hashes. Equal sets are one vertex, known by the hash of the set.
-2. Tokens (shingles) are hashed into groups. If x is the smaller of a linked pair, the sets differ in at most
-   (1 - t) / t * |x| = |x| / 4 tokens, so with more non-empty groups than that, at least one group of x is the same
-   set in both. The hash of (size class, group, tokens of the group) is therefore a key on which linked sets meet. The
-   number of groups depends on the size class of the smaller set; the larger one also posts under the class below if its
-   partner can be there. GROUP_SHARE leaves a margin of over 7 standard deviations in the number of non-empty groups.
-   Keys of several tokens are far more selective than single tokens: a passage that many documents share gives keys only
-   where a whole group happens to lie inside it.
-3. Sets that share a key with others are points: token counts in DIMENSIONS groups. The overlap of two sets is at most
-   the sum of the coordinate minima of their points. First every set is tried against the smallest of its key
-   (a star, so a group of copies costs a row each and not a pair each); what the bound leaves is verified exactly.
+2. Tokens (shingles) are hashed into groups. If x is the smaller of a linked pair, the sets differ in D <= (1 - t) / t * |x|
+   = |x| / 4 tokens at most, so among the first |x| / 4 + 1 non-empty groups of either set is the first one that both
+   have alike. The hash of (size class, group, tokens of the group) of these groups is therefore a key on which linked
+   sets meet. The number of groups depends on the size class of the smaller set; the larger one also posts under the
+   class below if its partner can be there. GROUP_SHARE leaves a margin of over 7 standard deviations in the number
+   of non-empty groups. Keys of several tokens are far more selective than single tokens: a passage that many documents
+   share gives keys only where a whole group happens to lie inside it.
+3. Sets that share a key with others are points: token counts in groups, about as many groups as tokens, so that sums
+   are sharp at every size. The overlap of two sets is at most the sum of the coordinate minima of their points.
+   First every set is tried against the smallest of its key (a star, so a group of copies costs a row each and not a
+   pair each); what the bound leaves is verified exactly.
 4. Where a key still joins sets of different components, a packed R-tree over the points of a block of the key finds, by the
    same bound on its boxes' upper corners, the remaining pairs; these are verified exactly too.
 5. Components of all verified links, by alternating large-star and small-star steps.
@@ -40,13 +41,12 @@ from symtab.llm.common import WordHashes, fresh, materialize, mix, text_blocks,
 
 SHINGLE = 5
 PERCENT = 80
-DIMENSIONS = 64
 #: Groups by size class, as a share of the class's upper end (a power of two); below the first class each token is a group.
 FIRST_CLASS = 5
 GROUP_SHARE = {5: 0.5, 6: 0.4, 7: 0.35, 8: 0.3, 9: 0.28}
 LATER_SHARE = 0.27
 #: Postings that a task gathers before it hands them on, and those that one shard should have.
-FLUSH, SHARD_POSTINGS = 1_500_000, 1_000_000
+FLUSH, SHARD_POSTINGS = 1_000_000, 1_000_000
 #: Hashes of texts (8 bytes each) that may be broadcast.
 BROADCAST_TEXTS = 500_000
 #: Points of a key that one R-tree holds; larger keys are dealt out in blocks.
@@ -98,7 +98,7 @@ def groups_of_class(c: np.ndarray) -> np.ndarray:
 
 
 def agreement_keys(starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, key): a key for each non-empty group of each set, under the class of its size and of its smallest partner's."""
+    """(set index, key): a key for each of a set's first non-empty groups, under the class of its size and of its smallest partner's."""
     n = np.diff(starts)
     own = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
     least = -(-n * PERCENT // 100)
@@ -118,18 +118,35 @@ def agreement_keys(starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray,
         order = np.lexsort((tag, s))
         t, s, tag = t[order], s[order], tag[order]
         head = np.flatnonzero(np.concatenate([[True], (tag[1:] != tag[:-1]) | (s[1:] != s[:-1])]))
-        out_set.append(s[head])
-        out_key.append(mix(np.add.reduceat(mix(t * _P[3] + _P[4]), head) ^ tag[head]))
+        key, s = mix(np.add.reduceat(mix(t * _P[3] + _P[4]), head) ^ tag[head]), s[head]
+        place = np.arange(len(s)) - np.searchsorted(s, s)
+        first = place <= n[s] * (100 - PERCENT) // PERCENT  # tags order groups alike in all sets
+        out_set.append(s[first])
+        out_key.append(key[first])
     if not out_set:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_set), np.concatenate(out_key)
 
 
-def count_points(starts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Token counts of each set in DIMENSIONS groups."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    cell = owner * DIMENSIONS + (tokens % np.uint64(DIMENSIONS)).astype(np.int64)
-    return np.bincount(cell, minlength=(len(starts) - 1) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.uint32)
+def count_points(starts: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """Token counts of each set in 2 ** k groups (32 at least), 2 ** k the next power of two above its size, a byte each."""
+    n = np.diff(starts)
+    dims = np.maximum(32, 2 ** np.ceil(np.log2(np.maximum(n, 1) + 1)).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(dims)])
+    owner = np.repeat(np.arange(len(n)), n)
+    cell = begin[owner] + (tokens.astype(np.uint64) % dims[owner].astype(np.uint64)).astype(np.int64)
+    flat = np.minimum(np.bincount(cell, minlength=begin[-1]), 255).astype(np.uint8).tobytes()
+    return [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def same_groups(points: list[bytes]) -> np.ndarray:
+    """Points as rows of one array: finer ones are folded to the number of groups of the coarsest (a power of two divides the others)."""
+    d = min(map(len, points))
+    out = np.empty((len(points), d), np.uint8)
+    for i, p in enumerate(points):
+        x = np.frombuffer(p, np.uint8)
+        out[i] = x if len(x) == d else np.minimum(x.reshape(-1, d).sum(0, dtype=np.int64), 255)
+    return out
 
 
 class CountRTree:
@@ -139,26 +156,28 @@ class CountRTree:
     a link needs an overlap of at least PERCENT / (100 + PERCENT) of both totals together.
     """
 
-    def __init__(self, points: np.ndarray):
-        self.points, total = points, points.sum(1, dtype=np.int64)
-        spread = np.argsort(-points.var(axis=0))[:2] if len(points) else [0, 1]
-        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], total))
-        corner, least = points[self.order], total[self.order]
+    def __init__(self, points: np.ndarray, totals: np.ndarray):
+        spread = np.argsort(-points.var(axis=0))[:2] if len(points) > FANOUT else [0, 1]
+        self.order = np.lexsort((points[:, spread[1]], points[:, spread[0]], totals))
+        corner, least = points[self.order], totals[self.order]
         self.levels = [(corner, least)]
         while len(corner) > 1:
             cut = np.arange(0, len(corner), FANOUT)
             corner, least = np.maximum.reduceat(corner, cut), np.minimum.reduceat(least, cut)
             self.levels.append((corner, least))
 
-    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) index pairs that the bound leaves."""
-        totals = queries.sum(1, dtype=np.int64)
+    def search(self, queries: np.ndarray, totals: np.ndarray, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) index pairs that the bound leaves; ``wanted``, of such index arrays, tells which pairs are asked for."""
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        chunk = max(1, 8_000_000 // max(1, queries.shape[1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, least = self.levels[depth]
+            if depth == 0 and wanted is not None:
+                asked = wanted(q, self.order[node])
+                q, node = q[asked], node[asked]
             keep = [np.zeros(0, bool)]
-            for i in range(0, len(q), 20_000):
-                a, b = q[i : i + 20_000], node[i : i + 20_000]
+            for i in range(0, len(q), chunk):
+                a, b = q[i : i + chunk], node[i : i + chunk]
                 overlap = np.minimum(queries[a], corner[b]).sum(1, dtype=np.int64)
                 keep.append(overlap * (100 + PERCENT) >= PERCENT * (totals[a] + least[b]))
             keep = np.concatenate(keep)
@@ -187,7 +206,7 @@ def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch, texts in _batches(it, "text"):
         starts, tokens = shingle_sets(texts, cache)
-        points = [p.tobytes() for p in count_points(starts, tokens)]
+        points = count_points(starts, tokens)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(starts)), pa.array(_signed(set_ids(starts, tokens))), pa.array(points, pa.binary())], names=["doc_id", "tkey", "rkey", "n", "sid", "point"])
 
 
@@ -254,11 +273,13 @@ def _tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bound(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b) whose points leave room for a link."""
+    """Keeps the pairs (a, b) of (a, b, na, nb, pa, pb) whose points leave room for a link."""
     for batch in it:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, DIMENSIONS) for k in (2, 3))
-        total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
-        left = np.minimum(x, y).sum(1, dtype=np.int64) * (100 + PERCENT) >= PERCENT * total
+        total = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
+        left = np.zeros(len(total), bool)
+        for i, (p, q) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            x, y = same_groups([p, q])
+            left[i] = int(np.minimum(x, y).sum(dtype=np.int64)) * (100 + PERCENT) >= PERCENT * total[i]
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(left)) for k in (0, 1)], names=["a", "b"])
 
 
@@ -276,23 +297,32 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).take(good) for k in (0, 1)], names=["a", "b"])
 
 
-def _search_block(cell):
-    """R-tree over the points of one block of a key; the probes that came to it search it. Pairs of one component are left out."""
+def _search_blocks(pdf):
+    """R-trees over the points of the blocks of keys in a shard; the probes that came to a block search it. Pairs of one component are left out.
+
+    Rows of ``role`` 0 are in the tree, of 1 ask, of 2 do both.
+    """
     import pandas as pd
 
-    left, right = cell[~cell["asks"]], cell[cell["asks"]]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    box, ask = (np.frombuffer(b"".join(d["point"]), np.uint32).reshape(-1, DIMENSIONS) for d in (left, right))
-    found_a, found_b = [], []
-    tree = CountRTree(box)
-    for i in range(0, len(ask), 512):
-        q, p = tree.search(ask[i : i + 512])
-        a, b = right["sid"].to_numpy()[i + q], left["sid"].to_numpy()[p]
-        keep = (a < b) & (right["root"].to_numpy()[i + q] != left["root"].to_numpy()[p])
-        found_a.append(a[keep])
-        found_b.append(b[keep])
-    return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates()
+    found = [np.zeros((0, 2), np.int64)]
+    pdf = pdf.sort_values(["key", "block", "part"], kind="stable")
+    cell, sid, root, total, role, point = (pdf[c].to_numpy() for c in ("key", "sid", "root", "n", "role", "point"))
+    cut = np.flatnonzero(np.any(pdf[["key", "block", "part"]].to_numpy()[1:] != pdf[["key", "block", "part"]].to_numpy()[:-1], axis=1)) + 1
+    for a, b in zip([0, *cut], [*cut, len(cell)], strict=True):
+        if root[a:b].min() == root[a:b].max():
+            continue
+        points = same_groups(list(point[a:b]))
+        box, ask = np.flatnonzero(role[a:b] != 1), np.flatnonzero(role[a:b] != 0)
+        if not len(box) or not len(ask):
+            continue
+        tree = CountRTree(points[box], total[a:b][box])
+        for i in range(0, len(ask), 256):
+            some = ask[i : i + 256]
+            ids, roots = sid[a:b], root[a:b]
+            q, p = tree.search(points[some], total[a:b][some], lambda q, p: (ids[some[q]] < ids[box[p]]) & (roots[some[q]] != roots[box[p]]))
+            found.append(np.stack([ids[some[q]], ids[box[p]]], 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -345,11 +375,13 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
 
     # points of the sets that met others, and a text of each
     active = meeting.select("sid").distinct()
-    points = materialize(sets.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("point").alias("point")), "points")
+    points = materialize(sets.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        a, b = (points.select(F.col("sid").alias(s), F.col("point").alias(f"p{s}")) for s in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(_bound, "a long, b long")
+        a, b = (points.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")) for s in "ab")
+        # sizes alone rule out many pairs before any point is moved again
+        sized = pairs.join(a, "a").join(b, "b").filter(f"least(na, nb) * 100 >= greatest(na, nb) * {PERCENT}")
+        return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bound, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link; their sets are read again from one text each, so that only they are ever shuffled."""
@@ -370,11 +402,14 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     named = materialize(named.join(mixed, "key", "left_semi"), "mixed")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK).cast("int"))
-    cells = named.join(points.select("sid", "point"), "sid")
-    held = cells.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    asks = cells.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), blocks).cast("int"))
-    both = held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).select("key", "block", "part", "asks", "sid", "root", "point")
-    pairs = both.groupBy("key", "block", "part").applyInPandas(_search_block, "a long, b long").distinct()
+    cells = named.withColumn("blocks", blocks).join(points.select("sid", "n", "point"), "sid").drop("members")
+    mine, other = (F.pmod(F.xxhash64("sid", F.lit(i)), F.col("blocks")).cast("int") for i in (0, 1))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    alone = cells.filter("blocks = 1").select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("role"))
+    held = cells.filter("blocks > 1").withColumn("block", mine).withColumn("part", every).withColumn("role", F.lit(0))
+    asks = cells.filter("blocks > 1").withColumn("part", other).withColumn("block", every).withColumn("role", F.lit(1))
+    both = alone.unionByName(held).unionByName(asks).withColumn("shard", F.pmod(F.xxhash64("key", "block", "part"), F.lit(n_shards)))
+    pairs = both.groupBy("shard").applyInPandas(_search_blocks, "a long, b long").distinct()
     more = verified(materialize(pairs, "pairs"))
     return components(materialize(stars.unionByName(more), "links")).select(F.col("v").alias("sid"), "root")
 
