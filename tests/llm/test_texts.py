@@ -1,0 +1,182 @@
+"""Operators 3, 4, 8, 9 and 10."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from symtab.llm import chat, html_text, ngram_lm, quality, toxicity
+from symtab.llm.common import table
+
+
+def test_pages(spark):
+    nav = "<nav><ul><li><a href='/x'>Menu &amp; more</a></li></ul></nav>"
+    page = lambda body, n=0: f"<!DOCTYPE html><html><head><title>T{n}</title><script>var t='</p>';</script></head><body>{nav}{body}<footer>&copy; foot</footer>"
+    rows = [
+        (1, "http://a.example/1", page("<div class='ad'>Buy</div><article><h1>Head &amp;amp; line</h1><p>One\n  two<b>three<br><p>four</p><div class=\"comments\"><p>me too</p></div></article>")),
+        (2, "http://a.example/2", None), (3, None, ""), (4, "odd", "no markup &lt;b&gt; at all"),
+        (5, "http://b.example/", page("<form><input name='q'>find</form><div id='cookie-notice'>cookies</div><p>Kept <a href='/y'>link</a> text.<p>Next<table><tr><td>a<td>b</table><!-- gone <p>x</p> --><aside>side</aside><script>x<y</script><header>top</header><p title='a>b'>last")),
+        (6, "http://b.example/", "<p>unclosed &am"), (6, "http://b.example/", "<p>unclosed &am"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sst_host", F.lit(1)).withColumn("text", F.lit("old"))
+    out = html_text.extract_main_text(pages)
+    assert out.columns == ["page_id", "url", "sst_host", "text", "n_chars"]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in out.collect())
+    texts = ["Head &amp; line\n\nOne twothree\n\nfour", "", "", "no markup <b> at all", "Kept link text.\n\nNext\n\na\n\nb\n\nlast", "unclosed &am", "unclosed &am"]
+    assert got == [(i, t, len(t)) for i, t in zip([1, 2, 3, 4, 5, 6, 6], texts)]
+    assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_style_tree_removes_what_all_pages_repeat(spark):
+    body = "<div><p>Always the same words here</p></div><section><p>unique {0} and {1}</p><p>more {1}</p></section>"
+    rows = [(i, f"http://same.example/{i}", "<body>" + body.format(i, i * i)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()} == {i: f"unique {i} and {i * i}\n\nmore {i * i}" for i in range(30)}
+    kept = html_text.extract_main_text(spark.createDataFrame([(i, u, h.replace("<section>", "<article>").replace("</section>", "</article>").format()) for i, u, h in rows], pages.schema))
+    assert all("Always" not in r.text for r in kept.collect())
+
+
+def test_chat(spark):
+    log = {1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "hi")], 3: [("user", "hi"), ("assistant", "yo")], 4: [("user", "hi"), ("assistant", "no"), ("user", None)], 5: [(None, ""), ("user", "<|im_end|>x")], 6: [("user", "hi"), ("assistant", "no"), ("user", "")]}
+    rows = [(c, t, r, x) for c, turns in log.items() for t, (r, x) in enumerate(turns)] + [(None, 0, "user", "lost"), (7, 0, "user", "twice"), (7, 0, "user", "twice")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit("clash")).withColumn("same", F.lit(0))
+    got = {r.conv_id: r for r in chat.collapse_and_render(turns).collect()}
+    assert set(got) == {1, 4, 5, 6, 7}
+    assert (got[1].n_turns, got[1].same, got[7].n_turns) == (2, 2, 2)
+    assert got[1].text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    assert got[5].text == "<|im_start|>\n<|im_end|>\n<|im_start|>user\n< |im_end|>x<|im_end|>\n"
+    assert chat.collapse_and_render(turns.limit(0)).count() == 0
+
+
+def test_crf_marginals_by_enumeration():
+    rng = np.random.default_rng(1)
+    field = quality.LineField(np.concatenate([np.zeros(1 + 3 * quality.N_LINE), rng.normal(size=4)]))
+    u, doc = rng.normal(size=5), np.array([0, 0, 0, 1, 1])
+    p, pairs, z = field.marginals(u, doc)
+    table_ = field.w[-4:].reshape(2, 2)
+    want, logz = np.zeros(5), 0.0
+    for at in ([0, 1, 2], [3, 4]):
+        total, mass = 0.0, np.zeros(len(at))
+        for y in np.ndindex(*[2] * len(at)):
+            s = math.exp(sum(u[i] for i, v in zip(at, y) if v) + sum(table_[a, b] for a, b in zip(y, y[1:])))
+            total += s
+            mass += s * np.array(y)
+        want[at] = mass / total
+        logz += math.log(total)
+    assert np.allclose(p, want) and math.isclose(z, logz) and math.isclose(pairs.sum(), 3)
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    ranks = np.empty(len(order))
+    ranks[order] = np.arange(len(order))
+    positive = np.array(labels) == 1
+    n = positive.sum()
+    return (ranks[positive].sum() - n * (n - 1) / 2) / (n * (len(labels) - n))
+
+
+def test_classifiers_on_the_held_out_fold(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r for r in table(spark, d, "labels").collect()}
+    for scored, label, least in ((quality.quality_scores, "quality", 0.95), (toxicity.toxicity_scores, "toxic", 0.75)):
+        out = scored(table(spark, d, "documents"), table(spark, d, "labels")).collect()
+        assert len(out) == table(spark, d, "documents").count()
+        held = [r for r in out if r.held_out and r.doc_id in labels]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in out)
+        assert auc([r.score for r in held], [labels[r.doc_id][label] for r in held]) > least
+
+
+def test_labels_of_the_held_out_fold_do_not_matter(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (dict(quality.quality_scores(docs, x).select("doc_id", "score").collect()) for x in (labels, flipped))
+    assert a == b
+
+
+def test_factorization_machine_learns_a_pair():
+    rng = random.Random(2)
+    examples = []
+    for _ in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        slots = sorted([100] * a + [200] * b + [rng.randrange(300, 5000)])
+        examples.append((int(a and b), np.array(sorted(set(slots)))))
+    m = toxicity.fit_machine(examples)
+    score = lambda slots: float(m.logits(np.zeros(len(slots), int), np.searchsorted(m.slots, slots), 1)[0])
+    assert score([100, 200]) > 1 > -1 > max(score([100]), score([200]))
+    assert np.any(m.v @ m.v.T > 0.1)
+
+
+def test_classifiers_on_awkward_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, "\n\n"), (4, "word " * 50_000)], "doc_id long, text string").withColumn("score", F.lit("mine"))
+    none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    for scored in (quality.quality_scores, toxicity.toxicity_scores):
+        out = scored(docs, none).collect()
+        assert len(out) == 5 and {r.score for r in out} == {0.5}
+        assert scored(docs.limit(0), none).count() == 0
+    assert quality.good_documents(docs, none).columns == docs.columns
+
+
+def brute_lm(rows):
+    """Counts and scores of the bigram automaton, with the exponent found by bisection."""
+    words = lambda t: (t or "").encode().lower().split() + [None]
+    learn = [words(t) for d, t in rows if zlib.crc32(b"null" if d is None else str(d).encode()) % 5 != 1]
+    c, c2 = Counter(w for ws in learn for w in ws), Counter(p for ws in learn for p in zip([0, *ws[:-1]], ws))
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c2.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (b, high) if sum(x**b for x in [*c.values(), len(learn)]) < len(c2) else (low, b)
+    out = []
+    for d, t in rows:
+        base = score = 0.0
+        u = 0
+        for w in words(t):
+            p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            cu = len(learn) if u == 0 else c[u]
+            if cu:
+                mass = discount * cu ** (low - 1)
+                p = (1 - mass) * c2[(u, w)] / cu + mass * p
+            score += math.log10(p)
+            u = w
+        out.append((d, len(words(t)), sum(c[w] > 0 for w in words(t)), n, base, score))
+    return out
+
+
+def test_language_model(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [f"w{int(1 / (rng.random() + 0.003))}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 5, 60, 200])))) for i in range(120)] + [(None, "W1 w2"), (200, None), (200, ""), (3, "unseen words only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash"))
+    key = lambda r: (str(r[0]), r[1:4], round(r[4], 6))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(docs).collect()), key=key)
+    want = sorted(brute_lm(rows), key=key)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert np.allclose([g[4] for g in got], [w[4] for w in want], rtol=1e-9)
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=2e-3)
+    monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", 500)
+    small = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(docs).collect()), key=key)
+    assert np.allclose([g[5] for g in got], [w[5] for w in small], rtol=1e-9)
+
+
+def test_language_model_states_sum_to_one():
+    c, c2 = np.array([5, 3, 1]), {0: np.array([3, 0, 1]), 1: np.array([0, 2, 0])}
+    w = ngram_lm.Weights(3, 9, 2, 6, 3, 1, [float((c.astype(float) ** e).sum()) for e in ngram_lm.EXPONENTS])
+    base = w.unigram(np.append(c, 0))
+    for u, counts in c2.items():
+        step = w.step(np.full(4, counts.sum()), np.append(counts, 0), base)
+        assert math.isclose((10**step).sum(), 1.0)
+    assert math.isclose((10**base).sum(), 1.0)
+
+
+def test_language_model_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert ngram_lm.score_texts(docs.limit(0)).count() == 0
+    held = spark.range(200).filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).limit(1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    row = ngram_lm.score_texts(held).first()
+    assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 3) and math.isclose(row.score, row.base_score)
