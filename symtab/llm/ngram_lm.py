@@ -41,7 +41,7 @@ from symtab.llm.common import WordHashes, id_remainder_col, materialize, mix, te
 
 FOLDS, HELD_OUT = 5, 1
 #: Characters of the texts of a block, and requests that one shard should have (10 bytes each), about.
-BLOCK_CHARS, SHARD_REQUESTS = 16_000_000, 2_000_000
+BLOCK_CHARS, SHARD_REQUESTS = 5_000_000, 2_000_000
 #: Exponents at which the sums of c ** b are taken.
 EXPONENTS = [i / 32 for i in range(33)]
 
