@@ -149,13 +149,15 @@ def page_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
             has_main = has_main or stack.tag in MAIN and not stack.drop
             continue
         top = stack[-1]
-        # statistics remove branches, but not a main branch itself or what holds one
-        if top.drop or (low and any(n.path in low for n in stack if not n.main or n.tag not in MAIN)):
+        # statistics remove nothing inside a main branch
+        if top.drop or (low and any(n.path in low for n in stack if not n.main)):
             continue
         kept.append(said)
         if top.main:
             inside.append(said)
-    return "\n\n".join(inside if has_main else kept)
+    text = "\n\n".join(inside if has_main else kept)
+    # where all pages are alike, statistics find nothing important: then only the page's own marks count
+    return text if text or not low else page_text(html)
 
 
 def _signed(x: int) -> int:
