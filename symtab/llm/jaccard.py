@@ -11,8 +11,8 @@ component is what links connect. The steps:
    class below if its partner can be there. GROUP_SHARE leaves a margin of over 7 standard deviations in the number
    of non-empty groups. Keys of several tokens are far more selective than single tokens: a passage that many documents
    share gives keys only where a whole group happens to lie inside it.
-3. Sets that share a key with others are points: token counts in groups, about as many groups as tokens, so that sums
-   are sharp at every size. The overlap of two sets is at most the sum of the coordinate minima of their points.
+3. Sets that share a key with others are points: token counts in groups, 2 to 4 groups a token, so that sums are sharp
+   at every size. The overlap of two sets is at most the sum of the coordinate minima of their points.
    First every set is tried against the smallest of its key (a star, so a group of copies costs a row each and not a
    pair each); what the bound leaves is verified exactly.
 4. Where a key still joins sets of different components, a packed R-tree over the points of a block of the key finds, by the
@@ -129,9 +129,9 @@ def agreement_keys(starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray,
 
 
 def count_points(starts: np.ndarray, tokens: np.ndarray) -> list[bytes]:
-    """Token counts of each set in 2 ** k groups (32 at least), 2 ** k the next power of two above its size, a byte each."""
+    """Token counts of each set in 2 to 4 groups a token (a power of two, 64 at least), a byte each."""
     n = np.diff(starts)
-    dims = np.maximum(32, 2 ** np.ceil(np.log2(np.maximum(n, 1) + 1)).astype(np.int64))
+    dims = np.maximum(64, 2 ** (np.ceil(np.log2(np.maximum(n, 1) + 1)).astype(np.int64) + 1))
     begin = np.concatenate([[0], np.cumsum(dims)])
     owner = np.repeat(np.arange(len(n)), n)
     cell = begin[owner] + (tokens.astype(np.uint64) % dims[owner].astype(np.uint64)).astype(np.int64)

@@ -104,7 +104,7 @@ def test_points_of_different_sizes_bound_the_overlap():
     x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     y = np.concatenate([x[:250], rng.integers(0, 1 << 63, 900, dtype=np.uint64)])
     points = jaccard.count_points(np.array([0, 300, 1450]), np.concatenate([np.sort(x), np.sort(y)]))
-    assert [len(p) for p in points] == [512, 2048]
+    assert [len(p) for p in points] == [1024, 4096]
     a, b = jaccard.same_groups(points)
     assert 250 <= np.minimum(a, b).sum() < 300
 
