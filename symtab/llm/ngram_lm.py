@@ -34,7 +34,6 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.pandas.types import to_arrow_type
 
 from symtab.llm.common import WordHashes, id_remainder_col, materialize, mix, text_blocks, words_of
