@@ -300,13 +300,14 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _search_blocks(pdf):
     """R-trees over the points of the blocks of keys in a shard; the probes that came to a block search it. Pairs of one component are left out.
 
-    Rows of ``role`` 0 are in the tree, of 1 ask, of 2 do both.
+    Rows of ``role`` 0 are in the tree, of 1 ask, of 2 do both. A pair that several keys (``keys``, sorted) join is given by
+    the least of them only.
     """
     import pandas as pd
 
     found = [np.zeros((0, 2), np.int64)]
     pdf = pdf.sort_values(["key", "block", "part"], kind="stable")
-    cell, sid, root, total, role, point = (pdf[c].to_numpy() for c in ("key", "sid", "root", "n", "role", "point"))
+    cell, sid, root, total, role, point, keys = (pdf[c].to_numpy() for c in ("key", "sid", "root", "n", "role", "point", "keys"))
     cut = np.flatnonzero(np.any(pdf[["key", "block", "part"]].to_numpy()[1:] != pdf[["key", "block", "part"]].to_numpy()[:-1], axis=1)) + 1
     for a, b in zip([0, *cut], [*cut, len(cell)], strict=True):
         if root[a:b].min() == root[a:b].max():
@@ -316,11 +317,13 @@ def _search_blocks(pdf):
         if not len(box) or not len(ask):
             continue
         tree = CountRTree(points[box], total[a:b][box])
-        for i in range(0, len(ask), 256):
-            some = ask[i : i + 256]
-            ids, roots = sid[a:b], root[a:b]
+        ids, roots = sid[a:b], root[a:b]
+        for at in range(0, len(ask), 256):
+            some = ask[at : at + 256]
             q, p = tree.search(points[some], total[a:b][some], lambda q, p: (ids[some[q]] < ids[box[p]]) & (roots[some[q]] != roots[box[p]]))
-            found.append(np.stack([ids[some[q]], ids[box[p]]], 1))
+            q, p = some[q], box[p]
+            here = [np.intersect1d(keys[a + i], keys[a + j], assume_unique=True)[0] == cell[a] for i, j in zip(q, p, strict=True)]
+            found.append(np.stack([ids[q], ids[p]], 1)[np.array(here, bool)])
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -402,7 +405,8 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     named = materialize(named.join(mixed, "key", "left_semi"), "mixed")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK).cast("int"))
-    cells = named.withColumn("blocks", blocks).join(points.select("sid", "n", "point"), "sid").drop("members")
+    keys = named.groupBy("sid").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # as many as a quarter of a set's tokens at most
+    cells = named.withColumn("blocks", blocks).join(points.select("sid", "n", "point").join(keys, "sid"), "sid").drop("members")
     mine, other = (F.pmod(F.xxhash64("sid", F.lit(i)), F.col("blocks")).cast("int") for i in (0, 1))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     alone = cells.filter("blocks = 1").select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("role"))
