@@ -7,14 +7,15 @@ arcs bear unigram probabilities. A text is read left to right once: the state is
 Weights: with c(u, w) > 0, P(w | u) = (1 - B(u)) * c(u, w) / c(u) + B(u) * P(w), and the failure weight is B(u). Unigrams are
 those of the base score, (c + 0.5) / (N + 0.5 * (V + 1)), so each state sums to 1 over the V known tokens and the unknown one.
 The backoff mass is that of absolute discounting, B(u) = D * N(u) / c(u), where D = n1 / (n1 + 2 * n2) from the numbers of
-bigrams that occur once and twice, and the number N(u) of distinct words after u is modelled as c(u) ** b, with the b for
-which these numbers sum to the exact number of distinct bigrams. A text starts in the state of a start mark; its end
-is a token.
+bigrams that occur once and twice, and N(u) is the number of distinct words after u in the training texts. A text starts in
+the state of a start mark; its end is a token.
 
 The automaton of a corpus fits no machine, so it is never in one place. Texts are packed into blocks, written once. A block
 asks for the words and bigrams that it has, once each. Requests go to shards by the hash of what is asked, packed as arrays;
-a shard adds up the training counts of all blocks and answers each block in the order of its request. With the answers, a
-block builds the part of the automaton that its texts can reach and scores them. All counts are over all training texts and
+a shard adds up the training counts of all blocks and answers each block in the order of its request. Bigrams go first: their
+shard also names, for each bigram seen in training, one block that has it as its owner. A block then asks for its words with
+their counts and the numbers of bigrams it owns after each, which add up to N(u). With the answers, a block builds the part
+of the automaton that its texts can reach and scores them. All counts are over all training texts and
 exact; nothing is pruned or sampled. A word that a third of all tokens are costs a block one request. Blocks and shards have
 bounded sizes (a longer text is a block of its own); their numbers grow with the corpus.
 
@@ -41,7 +42,7 @@ from symtab.llm.common import WordHashes, id_remainder_col, materialize, mix, te
 FOLDS, HELD_OUT = 5, 1
 #: Characters of the texts of a block, and requests that one shard should have (10 bytes each), about.
 BLOCK_CHARS, SHARD_REQUESTS = 5_000_000, 2_000_000
-#: Exponents at which the sums of c ** b are taken.
+#: Exponents at which the sums of c ** b may be given to Weights.
 EXPONENTS = [i / 32 for i in range(33)]
 
 # words hold no spaces, so these are no word's hashes
@@ -72,6 +73,15 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(u * _PAIR) + w * _PAIR2)
 
 
+def to_planes(x: np.ndarray) -> bytes:
+    """Integers with their first bytes together, then the second ones, and so on, so that small ones compress well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class Block:
     """Tokens of some texts, and their distinct words and bigrams in the order in which they are asked for: by shard, then hash."""
 
@@ -86,6 +96,15 @@ class Block:
         """(distinct keys in order, index of each hash among them); the key is the shard and, above it, 48 bits of the rest."""
         return np.unique((h % self.shards) << np.uint64(48) | (h // self.shards) & np.uint64((1 << 48) - 1), return_inverse=True)
 
+    def histories(self) -> np.ndarray:
+        """For each of ``pairs`` the index of its history in ``words``; their number for the start mark."""
+        before = np.empty_like(self.word_at)
+        before[1:] = self.word_at[:-1]
+        before[np.cumsum(self.n) - self.n] = len(self.words)
+        out = np.empty(len(self.pairs), np.int64)
+        out[self.pair_at] = before
+        return out
+
     def cuts(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(keys, np.arange(int(self.shards) + 1, dtype=np.uint64) << np.uint64(48))
 
@@ -124,7 +143,16 @@ def _unpack(lengths: bytes, texts: bytes) -> list[str]:
     return [texts[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _ask(shards: int):
+def _requests(own: Block, number: int, keys: np.ndarray, **counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard that is asked: the keys, and the block's own counts of each."""
+    cut = own.cuts(keys)
+    full = np.flatnonzero(np.diff(cut))
+    low = keys.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits, little-endian
+    sent = [pa.array([to_planes(c[cut[s] : cut[s + 1]].astype(np.uint32)) for s in full], pa.binary()) for c in counts.values()]
+    return pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array(full.astype(np.int32)), pa.array([low[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), *sent], names=["block", "shard", "keys", *counts])
+
+
+def _ask_pairs(shards: int):
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in it:
@@ -132,55 +160,95 @@ def _ask(shards: int):
                 number, folds, lengths, texts = (batch.column(c)[r].as_py() for c in (0, 2, 3, 4))
                 own = Block(_unpack(lengths, texts), cache, shards)
                 learn = np.repeat(~np.frombuffer(folds, bool), own.n)
-                for kind, keys, at in ((1, own.words, own.word_at), (2, own.pairs, own.pair_at)):
-                    counts = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
-                    cut = own.cuts(keys)
-                    full = np.flatnonzero(np.diff(cut))
-                    low = keys.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits, little-endian
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(full), pa.int64()), pa.array([kind] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([low[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), pa.array([counts[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary())],
-                        names=["block", "kind", "shard", "keys", "counts"],
-                    )
+                yield _requests(own, number, own.pairs, counts=np.bincount(own.pair_at[learn], minlength=len(own.pairs)))
+
+    return ask
+
+
+def _ask_words(shards: int):
+    """Asks for a block's words, with its share of N(u); ``start`` is its share for the start mark, on the first row."""
+
+    def ask(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        text_row = t.filter(pa.compute.equal(t["kind"], 0))
+        own = Block(_unpack(text_row["lengths"][0].as_py(), text_row["texts"][0].as_py()), WordHashes(), shards)
+        learn = np.repeat(~np.frombuffer(text_row["folds"][0].as_py(), bool), own.n)
+        owned = np.zeros(len(own.pairs), bool)
+        cut = own.cuts(own.pairs)
+        rows = t.filter(pa.compute.equal(t["kind"], 2))
+        for s, bits in zip(rows["shard"].to_pylist(), rows["owned"].to_pylist(), strict=True):
+            owned[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cut[s + 1] - cut[s]))
+        after = np.bincount(own.histories()[owned], minlength=len(own.words) + 1)
+        out = _requests(own, text_row["block"][0].as_py(), own.words, counts=np.bincount(own.word_at[learn], minlength=len(own.words)), after=after[:-1])
+        start = np.zeros(out.num_rows, np.int64)
+        start[:1] = after[-1]
+        return pa.Table.from_batches([out]).append_column("start", pa.array(start))
 
     return ask
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds up a shard's requests; each block gets the totals in the order of its request. The first row bears the shard's own sums."""
+def _sums(pdf: pd.DataFrame, *counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(ends of the requests, number of distinct keys, index of each request among them, and for each of ``counts`` what was sent and the totals) of a shard."""
     keys = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in pdf["keys"]]
     cut = np.cumsum([0, *map(len, keys)])
     whole = np.zeros((cut[-1], 8), np.uint8)
     whole[:, :6] = np.concatenate(keys)
     distinct, at = np.unique(whole.view(np.uint64).ravel(), return_inverse=True)
-    total = np.bincount(at, np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["counts"]]), len(distinct)).astype(np.int64)
+    sent = [np.concatenate([from_planes(b, np.uint32) for b in pdf[c]]) for c in counts]
+    return cut, len(distinct), at, sent, [np.bincount(at, x, len(distinct)).astype(np.int64) for x in sent]
+
+
+def _answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Adds up a shard's requests; each block gets the totals in the order of its request, and which bigrams it owns. The first row bears the shard's own sums."""
+    cut, n, at, (sent,), (total,) = _sums(pdf, "counts")
+    mine = np.flatnonzero(sent)
+    owner = np.full(n, -1)
+    owner[at[mine]] = mine
+    owned = np.zeros(len(at), bool)
+    owned[owner[owner >= 0]] = True
     answer, seen = total[at], total[total > 0]
     first = np.arange(len(pdf)) == 0
-    powers = [float((seen.astype(float) ** e).sum()) for e in EXPONENTS] if pdf["kind"].iloc[0] == 1 else []
+    parts = list(zip(cut[:-1], cut[1:], strict=True))
+    return pd.DataFrame({
+        "block": pdf["block"].to_numpy(), "shard": pdf["shard"].to_numpy(), "totals": [to_planes(answer[a:b]) for a, b in parts], "owned": [np.packbits(owned[a:b]).tobytes() for a, b in parts],
+        "once": np.where(first, (seen == 1).sum(), 0), "twice": np.where(first, (seen == 2).sum(), 0),
+    })
+
+
+def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same for words, with N(u)."""
+    cut, _, at, _, (total, after) = _sums(pdf, "counts", "after")
+    answer, followers, seen = total[at], after[at], total[total > 0]
+    first = np.arange(len(pdf)) == 0
+    parts = list(zip(cut[:-1], cut[1:], strict=True))
     return pd.DataFrame({
-        "block": pdf["block"].to_numpy(), "kind": pdf["kind"].to_numpy(), "shard": pdf["shard"].to_numpy(), "totals": [answer[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
-        "types": np.where(first, len(seen), 0), "tokens": np.where(first, seen.sum(), 0), "once": np.where(first, (seen == 1).sum(), 0), "twice": np.where(first, (seen == 2).sum(), 0),
-        "powers": [powers if f else [] for f in first],
+        "block": pdf["block"].to_numpy(), "shard": pdf["shard"].to_numpy(), "totals": [to_planes(answer[a:b]) for a, b in parts], "followers": [to_planes(followers[a:b]) for a, b in parts],
+        "start": pdf["start"].to_numpy(), "types": np.where(first, len(seen), 0), "tokens": np.where(first, seen.sum(), 0),
     })
 
 
 class Weights:
-    """Arc and failure weights from counts; ``v``, ``n``: distinct and all training tokens, ``texts``: training texts."""
+    """Arc and failure weights from counts; ``v``, ``n``: distinct and all training tokens, ``texts``: training texts, ``starts``: distinct first tokens.
+
+    With ``powers``, the sums of c ** b at EXPONENTS, a step without N(u) models it as the power whose sum is ``pairs``.
+    """
 
-    def __init__(self, v: int, n: int, texts: int, pairs: int, once: int, twice: int, powers: list[float]):
-        self.v, self.n, self.texts = v, n, texts
+    def __init__(self, v: int, n: int, texts: int, pairs: int, once: int, twice: int, powers: list[float] | None = None, starts: int = 0):
+        self.v, self.n, self.texts, self.starts = v, n, texts, starts
         self.discount = once / (once + 2 * twice) if once else 0.5
-        sums = np.log([p + texts**e for p, e in zip(powers, EXPONENTS, strict=True)]) if n else np.zeros(len(EXPONENTS))
-        self.exponent = float(np.interp(np.log(pairs), sums, EXPONENTS)) if n else 0.0
+        sums = np.log([p + texts**e for p, e in zip(powers, EXPONENTS, strict=True)]) if n and powers else np.zeros(len(EXPONENTS))
+        self.exponent = float(np.interp(np.log(pairs), sums, EXPONENTS)) if n and powers else 0.0
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def backoff(self, cu: np.ndarray) -> np.ndarray:
-        return self.discount * np.maximum(cu, 1).astype(float) ** (self.exponent - 1)
+    def backoff(self, cu: np.ndarray, nu: np.ndarray | None = None) -> np.ndarray:
+        cu = np.maximum(cu, 1).astype(float)
+        return self.discount * (cu ** (self.exponent - 1) if nu is None else nu / cu)
 
-    def step(self, cu: np.ndarray, cuw: np.ndarray, base: np.ndarray) -> np.ndarray:
+    def step(self, cu: np.ndarray, cuw: np.ndarray, base: np.ndarray, nu: np.ndarray | None = None) -> np.ndarray:
         """Weight of reading w (unigram weight ``base``) in state u: its arc, or failure and the empty state's arc; an unknown u is the empty state."""
-        mass = self.backoff(cu)
+        mass = np.where(cu == 0, 1.0, self.backoff(cu, nu))
         arc = np.log10((1 - mass) * cuw / np.maximum(cu, 1) + mass * 10.0**base)
         return np.where(cu == 0, base, np.where(cuw > 0, arc, np.log10(mass) + base))
 
@@ -193,17 +261,17 @@ def _score(weights: Weights, shards: int, kind: pa.DataType):
         if text_row.num_rows:
             own = Block(_unpack(text_row["lengths"][0].as_py(), text_row["texts"][0].as_py()), WordHashes(), shards)
             counts = {}
-            for k in (1, 2):
+            for k, column in ((1, "totals"), (2, "totals"), (1, "followers")):
                 rows = t.filter(pa.compute.equal(t["kind"], k)).sort_by("shard")
-                counts[k] = np.concatenate([np.frombuffer(b, np.int64) for b in rows["totals"].to_pylist()])
-            c = counts[1][own.word_at]
-            cuw = counts[2][own.pair_at]
+                counts[k, column] = np.concatenate([from_planes(b, np.int64) for b in rows[column].to_pylist()])
+            c = counts[1, "totals"][own.word_at]
+            cuw = counts[2, "totals"][own.pair_at]
             start = np.cumsum(own.n) - own.n
-            cu = np.empty_like(c)
-            cu[1:] = c[:-1]
-            cu[start] = weights.texts
+            cu, nu = np.empty_like(c), np.empty_like(c)
+            cu[1:], nu[1:] = c[:-1], counts[1, "followers"][own.word_at[:-1]]
+            cu[start], nu[start] = weights.texts, weights.starts
             base = weights.unigram(c)
-            step = weights.step(cu, cuw, base)
+            step = weights.step(cu, cuw, base, nu)
             out = {
                 "doc_id": text_row["ids"].chunk(0).flatten(), "held_out": np.frombuffer(text_row["folds"][0].as_py(), bool), "n_tokens": own.n,
                 "n_known": np.add.reduceat((c > 0).astype(np.int64), start), "base_score": np.add.reduceat(base, start), "score": np.add.reduceat(step, start),
@@ -222,13 +290,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chars, texts = rows.agg(F.sum(F.length("text")), F.count_if(~F.col("held_out"))).first()
     shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (chars or 0) // (6 * SHARD_REQUESTS))
     packed = materialize(rows.mapInArrow(_pack, f"block long, ids array<{name}>, folds binary, lengths binary, texts binary"), "lm-blocks")
-    asked = packed.mapInArrow(_ask(shards), "block long, kind int, shard int, keys binary, counts binary")
-    answers = asked.groupBy("kind", "shard").applyInPandas(_answer, "block long, kind int, shard int, totals binary, types long, tokens long, once long, twice long, powers array<double>")
-    answers = materialize(answers, "lm-answers")
-    sums = [F.sum(c).alias(c) for c in ("types", "tokens", "once", "twice")] + [F.sum(F.get("powers", F.lit(i))).alias(f"p{i}") for i in range(len(EXPONENTS))]
-    found = {r["kind"]: r for r in answers.groupBy("kind").agg(*sums).collect()}  # two rows
-    words, pairs = found.get(1), found.get(2)
-    weights = Weights(words["types"], words["tokens"], texts, pairs["types"], pairs["once"], pairs["twice"], [words[f"p{i}"] or 0.0 for i in range(len(EXPONENTS))]) if words else Weights(0, 0, 0, 0, 0, 0, [])
-    both = answers.select("block", "kind", "shard", "totals").unionByName(packed.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    asked = packed.mapInArrow(_ask_pairs(shards), "block long, shard int, keys binary, counts binary")
+    pairs = materialize(asked.groupBy("shard").applyInPandas(_answer_pairs, "block long, shard int, totals binary, owned binary, once long, twice long"), "lm-pairs")
+    blocks = packed.withColumn("kind", F.lit(0))
+    shares = blocks.drop("ids").unionByName(pairs.select("block", F.lit(2).alias("kind"), "shard", "owned"), allowMissingColumns=True)
+    asked = shares.groupBy("block").applyInArrow(_ask_words(shards), "block long, shard int, keys binary, counts binary, after binary, start long")
+    words = materialize(asked.groupBy("shard").applyInPandas(_answer_words, "block long, shard int, totals binary, followers binary, start long, types long, tokens long"), "lm-words")
+    once, twice = pairs.agg(F.sum("once"), F.sum("twice")).first()
+    types, tokens, starts = words.agg(F.sum("types"), F.sum("tokens"), F.sum("start")).first()
+    weights = Weights(types or 0, tokens or 0, texts, 0, once or 0, twice or 0, starts=starts or 0)
+    both = blocks.unionByName(words.select("block", F.lit(1).alias("kind"), "shard", "totals", "followers"), allowMissingColumns=True)
+    both = both.unionByName(pairs.select("block", F.lit(2).alias("kind"), "shard", "totals"), allowMissingColumns=True)
     scored = both.groupBy("block").applyInArrow(_score(weights, shards, to_arrow_type(kind)), f"doc_id {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(weights.n).cast("long").alias("train_tokens"), "base_score", "score")

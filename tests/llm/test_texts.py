@@ -180,3 +180,37 @@ def test_language_model_of_nothing(spark):
     held = spark.range(200).filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).limit(1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     row = ngram_lm.score_texts(held).first()
     assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 3) and math.isclose(row.score, row.base_score)
+
+
+def exact_lm(rows):
+    """Scores of the bigram automaton with N(u) counted."""
+    words = lambda t: (t or "").encode().lower().split() + [None]
+    learn = [words(t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    c, c2 = Counter(w for ws in learn for w in ws), Counter(p for ws in learn for p in zip([0, *ws[:-1]], ws))
+    after, n, v = Counter(u for u, _ in c2), sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c2.values()) for k in (1, 2))
+    out = {}
+    for d, t in rows:
+        score, u = 0.0, 0
+        for w in words(t):
+            p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            if cu := len(learn) if u == 0 else c[u]:
+                mass = once / (once + 2 * twice) * after[u] / cu
+                p = (1 - mass) * c2[(u, w)] / cu + mass * p
+            score += math.log10(p)
+            u = w
+        out[d] = score
+    return out
+
+
+def test_backoff_mass_is_that_of_the_words_counted_after_a_state(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{int(1 / (rng.random() + 0.003))}"
+    # "fixed" has one successor always, "free" a new one each time, and both are frequent
+    rows = [(i, " ".join(rng.choice([f"fixed next {word()}", f"free x{rng.randrange(10**6)}", word()]) for _ in range(80))) for i in range(100)]
+    rows += [(1000 + i, f"fixed {word()} free {word()}") for i in range(40)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), exact_lm(rows)
+    for size in (ngram_lm.BLOCK_CHARS, 700):
+        monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", size)
+        got = {r.doc_id: r.score for r in ngram_lm.score_texts(docs).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
