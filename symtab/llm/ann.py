@@ -19,6 +19,8 @@ once; no rows give no rows; only the id and vector columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ from symtab.llm.common import materialize
 
 PIVOTS, PREFIX, POSTED, OPENED = 512, 128, 32, 24
 BLOCK, QUERY_BLOCK = 8192, 1024
-#: Share of a block that is reranked for a query, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.06, 600
+#: Share of a block that is reranked for a query, at every size of a block; small blocks rerank this number at least.
+RERANK_SHARE, RERANK_LEAST = 0.12, 600
 
 
 def usable(vector: str) -> Column:
@@ -47,6 +49,11 @@ def ranks_of(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, rank
 
 
+def reranked(block: int, k: int) -> int:
+    """How many vectors of a block are reranked for a query."""
+    return max(RERANK_LEAST, k, math.ceil(block * RERANK_SHARE))
+
+
 def search_block(points: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (row indexes of points, scores) of the k best that the block's index finds."""
     order, rank = ranks_of(points, pivots)
@@ -57,7 +64,7 @@ def search_block(points: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k:
     by_row = np.ascontiguousarray(rank.T)
     weight = np.uint8(PREFIX) - by_row
     asked, _ = ranks_of(queries, pivots)
-    best = max(RERANK_LEAST, k, int(len(points) * RERANK_SHARE))
+    best = reranked(len(points), k)
     out = []
     for q, prefix in zip(queries, asked, strict=True):
         found = np.zeros(len(points), bool)

@@ -58,3 +58,22 @@ def test_blocks_find_what_one_block_finds(spark, monkeypatch):
     for r in ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len({v for v, _ in want[q]} & got[q]) / 20 for q in want]) >= 0.9
+
+
+def test_share_reranked_does_not_fall_with_the_block():
+    for n in (5_000, 8_192, 9_000, 20_000):
+        assert ann.reranked(n, 21) >= 0.12 * n
+    assert ann.reranked(100, 21) == 600 and ann.reranked(100, 700) == 700
+
+
+def test_recall_over_full_blocks():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3 * ann.BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries, pivots = x[rng.choice(len(x), 30, replace=False)], x[rng.choice(len(x), ann.PIVOTS, replace=False)]
+    want = [set(np.argsort(-(x @ q))[1:21]) for q in queries]
+    got = [[] for _ in queries]
+    for b in range(3):
+        for i, (rows, scores) in enumerate(ann.search_block(x[b * ann.BLOCK : (b + 1) * ann.BLOCK], queries, pivots, 21)):
+            got[i] += zip(-scores, rows + b * ann.BLOCK)
+    assert np.mean([len({r for _, r in sorted(g)[1:21]} & w) / 20 for g, w in zip(got, want)]) >= 0.9
