@@ -11,7 +11,8 @@ and id from the body down); for each node the tree counts, over the m pages that
 
 Branches of importance below LEAST are removed from every page of the host, given at least MIN_PAGES pages. What a page
 declares about itself is the prior: branches that are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments by element, role, class or id weigh 0, <article> and <main> are never removed by statistics, and a page that has
+comments by element, role, class or id weigh 0 (for <html> and <body> class and id do not count, and around a main branch only
+whole class names do, as in "comments" but not in "with-comments"), <article> and <main> are never removed by statistics, and a page that has
 either keeps nothing outside. That prior also serves hosts with few pages.
 
 Counts are aggregated by (host, node, feature) before each shuffle, so a host with a third of all pages is no one task's work.
@@ -61,19 +62,34 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    """One open element. ``path`` is the hash of the path from the root; ``drop``: furniture; ``main``: inside article or main."""
+    """One element. ``path`` is the hash of the path from the root; ``main``: inside article or main; ``article``: inside article.
 
-    __slots__ = ("children", "drop", "main", "path", "tag")
+    ``drop``: furniture. ``own``: 2 if the element itself is, 1 if only a word within one of its class names or its id says so;
+    an element that holds a main branch (``holds``) is not furniture by such a word.
+    """
 
-    def __init__(self, tag: str, path: int, drop: bool, main: bool):
-        self.tag, self.path, self.drop, self.main, self.children = tag, path, drop, main, []
+    __slots__ = ("article", "children", "drop", "holds", "main", "own", "parent", "path", "tag")
 
+    def __init__(self, tag: str, path: int, parent: Node | None = None, own: int = 0, main: bool = False, article: bool = False):
+        self.tag, self.path, self.parent, self.own, self.main, self.article = tag, path, parent, own, main, article
+        self.children, self.holds, self.drop = [], False, False
 
-def blocks_of(html: str | None):
-    """(text, open elements from the root) of each block of text in page order, then (None, element) for each element as it ends."""
+
+def blocks_of(html: str | None) -> list:
+    """(text, open elements from the root) of each block of text in page order, and (None, element) for each element as it ends."""
+    found, nodes = [], []
+    for said, where in _parse(html, nodes):
+        found.append((said, where if said is None else list(where)))
+    for n in nodes:  # parents come before their children
+        n.drop = n.parent.drop or n.own == 2 or (n.own == 1 and not n.holds)
+    return found
+
+
+def _parse(html: str | None, nodes: list[Node]):
+    """What blocks_of gives, with ``stack`` still in use; elements are added to ``nodes``, and ``drop`` is not known yet."""
     if not html:
         return
-    stack, text, at = [Node("", 0, False, False)], [], 0
+    stack, text, at = [Node("", 0)], [], 0
     pos, end = 0, len(html)
 
     def block():
@@ -131,10 +147,21 @@ def blocks_of(html: str | None):
         names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(m[3])} if m[3] else {}
         words = {w for k in ("class", "id") if k in names for w in _SPLIT.split(names[k].lower())}
         main = top.main or tag in MAIN
-        drop = top.drop or tag in FURNITURE or (tag == "header" and not main) or bool(words & WORDS) or names.get("role", "").lower() in ROLES
+        furniture = tag in FURNITURE or (tag == "header" and not main) or names.get("role", "").lower() in ROLES
+        if tag in ("html", "body"):
+            own = 2 if furniture else 0
+        else:
+            whole = {w for k in ("class", "id") if k in names for w in names[k].lower().split()}
+            own = 2 if furniture or whole & WORDS else 1 if words & WORDS else 0
         label = f"{tag}.{' '.join(sorted(words))}"
         top.children.append(label)
-        stack.append(Node(tag, xxhash.xxh3_64_intdigest(label.encode(), top.path), drop, main))
+        node = Node(tag, xxhash.xxh3_64_intdigest(label.encode(), top.path), top, own, main, top.article or tag == "article")
+        # articles in an article are its comments or teasers
+        if tag in MAIN and not top.article:
+            for n in (*stack, node):
+                n.holds = True
+        stack.append(node)
+        nodes.append(node)
     if said := block():
         yield said, stack
     while len(stack) > 1:

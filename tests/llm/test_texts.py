@@ -214,3 +214,14 @@ def test_backoff_mass_is_that_of_the_words_counted_after_a_state(spark, monkeypa
         monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", size)
         got = {r.doc_id: r.score for r in ngram_lm.score_texts(docs).collect()}
         assert set(got) == set(want) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
+def test_class_words_around_a_main_branch_do_not_drop_it():
+    text = "<p>Body text</p>"
+    for page in (
+        f"<html class='nav-open'><body>{text}", f"<body class='has-sidebar'><main>{text}</main>", f"<body class='has-sidebar'>{text}",
+        f"<body><div class='article-comments-open'><article>{text}</article></div>", f"<div id='with-menu'><p>before</p><main><div class='banner-top'><article>{text}</article></div></main></div>",
+        f"<article class='with-share'>{text}<div class='comments-area'><article class='comment-1'>me too</article></div></article>",
+        f"<article>{text}</article><div class='related'><article>teaser</article></div><div class='cookie-notice'>x</div>",
+    ):
+        assert html_text.page_text(page) == "Body text"
