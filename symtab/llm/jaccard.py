@@ -1,26 +1,27 @@
-"""N-gram Jaccard join with count vectors and an R-tree (operator 6).
+"""N-gram Jaccard join with count vectors and R-trees (operator 6).
 
-Two documents link when the Jaccard similarity of their sets of distinct word shingles is at least ``percent``/100; a
+Two documents link when the Jaccard similarity of their sets of distinct word shingles is at least PERCENT / 100; a
 component is what links connect. The steps:
 
-1. Every text becomes a set of 64-bit shingle hashes. Equal sets are one vertex, known by the hash of the set.
-2. Tokens (shingles) are hashed into groups. If x is the smaller of a linked pair, the sets differ in D <= (1 - t) / t * |x|
-   = |x| / 4 tokens at most, so among the first |x| / 4 + 1 non-empty groups of either set is the first one that both
-   have alike. The hash of (size class, group, tokens of the group) of these groups is therefore a key on which linked
-   sets meet. The number of groups depends on the size class of the smaller set; the larger one also posts under the
-   class below if its partner can be there. GROUP_SHARE leaves a margin of over 7 standard deviations in the number
-   of non-empty groups. Keys of several tokens are far more selective than single tokens: a passage that many documents
-   share gives keys only where a whole group happens to lie inside it.
-3. Sets that share a key with others are points: token counts in groups, about as many groups as tokens, so that sums
-   are sharp at every size. The overlap of two sets is at most the sum of the coordinate minima of their points.
-   First every set is tried against the smallest of its key (a star, so a group of copies costs a row each and not a
-   pair each); what the bound leaves is verified exactly.
-4. Where a key still joins sets of different components, a packed R-tree over the points of a block of the key finds, by the
-   same bound on its boxes' upper corners, the remaining pairs; these are verified exactly too.
-5. Components of all verified links, by alternating large-star and small-star steps.
-
-An R-tree alone gives no key to deal work out by, and its boxes stop pruning when sets are long and sizes equal; the
-agreement keys of step 2 do the dealing, the tree works inside a key. Nothing but scalars passes through the driver.
+1. Every text becomes a set of 64-bit shingle hashes, its tokens. Equal sets are one vertex, known by 128 bits.
+2. Tokens are hashed into groups. The sets of a linked pair differ in D <= (1 - t) / t * |x| = |x| / 4 tokens at most, x the
+   smaller one, so among the first D + 1 groups that are not empty in both is one that they have alike. The hash of (size
+   class, group, tokens of the group) of each of these groups is therefore a key on which linked sets meet. The number of
+   groups depends on the size class of the smaller set; the larger one also posts under the class below if its partner can
+   be there. Keys of several tokens are far more selective than single tokens: a passage that many documents share gives
+   keys only where a whole group happens to lie inside it. A set with D groups or fewer (GROUP_SHARE leaves over 7 standard
+   deviations) has no such guarantee; for these every token is a group of its own in a second round.
+3. The sets of a key are a cell; of cells with the same sets one is kept. Sets are points: token counts in groups, about as
+   many groups as tokens. The overlap of two sets is at most the sum of the coordinate minima of their points. In a cell a
+   packed R-tree finds the pairs that this bound leaves (a cell of one leaf is compared directly); it hands on which sets
+   they connect, a row for each set and never one for each pair.
+4. What is connected comes together once more, with its tokens: pairs that an R-tree leaves are verified by their exact
+   overlap until all are verified or already connected, and the edges of a spanning forest of the links are handed on.
+5. Components of the forests, by alternating large-star and small-star steps.
+
+An R-tree gives no key to deal work out by; the agreement keys do the dealing, the trees work inside a cell. Cells beyond
+BLOCK sets or BLOCK_TOKENS tokens are dealt out as pairs of blocks, each a task's share. Nothing but scalars passes
+through the driver. Rows that leave a step grow with the rows that enter it, however alike the sets of a cell are.
 
 Words are as in WORD with A-Z lower-cased, whole texts. Defined results: fewer than SHINGLE words make one shingle of the
 whole sequence; no words (or a null text) make the empty set, linked with nothing; component_id is the smallest non-null
@@ -45,13 +46,15 @@ PERCENT = 80
 FIRST_CLASS = 5
 GROUP_SHARE = {5: 0.5, 6: 0.4, 7: 0.35, 8: 0.3, 9: 0.28}
 LATER_SHARE = 0.27
-#: Postings that a task gathers before it hands them on, and those that one shard should have.
-FLUSH, SHARD_POSTINGS = 1_000_000, 1_000_000
+#: Distinct sets that a task remembers, so that copies go on once, and tokens that one shard of cells should have.
+REMEMBERED, SHARD_TOKENS = 1_000_000, 4_000_000
 #: Hashes of texts (8 bytes each) that may be broadcast.
 BROADCAST_TEXTS = 500_000
-#: Points of a key that one R-tree holds; larger keys are dealt out in blocks.
-BLOCK = 2048
+#: Sets and tokens of a cell that one task holds; larger cells are dealt out in pairs of blocks.
+BLOCK, BLOCK_TOKENS = 2048, 2_000_000
 FANOUT = 16
+#: Queries that go down a tree together.
+CHUNK = 64
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -87,8 +90,15 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def set_ids(starts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """64-bit identity of each set."""
-    return mix(_sums(mix(tokens * _P[1] + _P[3]), starts) ^ mix(_sums(mix(tokens + _P[2]), starts) * _P[0]))
+    """128-bit identity of each set, as two columns."""
+    one, two, three = (_sums(mix(tokens * _P[i] + _P[j]), starts) for i, j in ((1, 3), (4, 0), (2, 1)))
+    return np.stack([mix(one ^ mix(two * _P[0])), mix(three ^ mix((two + _P[3]) * _P[2]))], 1)
+
+
+def _slices(x: np.ndarray) -> list[bytes]:
+    """Each row of ``x`` as bytes."""
+    raw, width = np.ascontiguousarray(x).tobytes(), x.itemsize * int(np.prod(x.shape[1:]))
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
 
 
 def groups_of_class(c: np.ndarray) -> np.ndarray:
@@ -97,16 +107,21 @@ def groups_of_class(c: np.ndarray) -> np.ndarray:
     return np.where(c < FIRST_CLASS, 0, np.floor(share * 2.0 ** (c + 1))).astype(np.uint64)
 
 
-def agreement_keys(starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, key): a key for each of a set's first non-empty groups, under the class of its size and of its smallest partner's."""
+def agreement_keys(starts: np.ndarray, tokens: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key starts of each set, keys, whether a set has too few groups): a key for each of a set's first groups, under the class of its size and of its smallest partner's.
+
+    ``single``: every token is a group, whatever the size.
+    """
     n = np.diff(starts)
     own = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
     least = -(-n * PERCENT // 100)
     partner = np.floor(np.log2(np.maximum(least, 1))).astype(np.int64)
     # all classes of single tokens are one scheme
-    own, partner = np.where(own < FIRST_CLASS, 0, own), np.where(partner < FIRST_CLASS, 0, partner)
+    own, partner = (np.where(single | (c < FIRST_CLASS), 0, c) for c in (own, partner))
     owner = np.repeat(np.arange(len(n)), n)
-    out_set, out_key = [], []
+    differ = n * (100 - PERCENT) // PERCENT
+    groups = np.zeros(len(n), np.int64)
+    out_set, out_key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for scheme, use in ((own, n > 0), (partner, (n > 0) & (partner != own))):
         chosen = use[owner]
         t, s = tokens[chosen], owner[chosen]
@@ -119,13 +134,15 @@ def agreement_keys(starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray,
         t, s, tag = t[order], s[order], tag[order]
         head = np.flatnonzero(np.concatenate([[True], (tag[1:] != tag[:-1]) | (s[1:] != s[:-1])]))
         key, s = mix(np.add.reduceat(mix(t * _P[3] + _P[4]), head) ^ tag[head]), s[head]
+        if scheme is own:
+            groups = np.bincount(s, minlength=len(n))
         place = np.arange(len(s)) - np.searchsorted(s, s)
-        first = place <= n[s] * (100 - PERCENT) // PERCENT  # tags order groups alike in all sets
+        first = place <= differ[s]  # tags order groups alike in all sets
         out_set.append(s[first])
         out_key.append(key[first])
-    if not out_set:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_set), np.concatenate(out_key)
+    at, keys = np.concatenate(out_set), np.concatenate(out_key)
+    order = np.argsort(at, kind="stable")
+    return np.searchsorted(at[order], np.arange(len(n) + 1)), keys[order], (n > 0) & (groups <= differ)
 
 
 def count_points(starts: np.ndarray, tokens: np.ndarray) -> list[bytes]:
@@ -202,127 +219,178 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for batch, texts in _batches(it, "text"):
-        starts, tokens = shingle_sets(texts, cache)
-        points = count_points(starts, tokens)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(starts)), pa.array(_signed(set_ids(starts, tokens))), pa.array(points, pa.binary())], names=["doc_id", "tkey", "rkey", "n", "sid", "point"])
-
-
-def _post(n_shards: int):
-    def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, held, size = WordHashes(), set(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, sids = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
-            shard = (keys % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            keys, sids = keys[order], sids[order]
-            cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
-            full = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([keys[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), pa.array([sids[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary())], names=["shard", "keys", "sids"])
+def _describe(single: bool):
+    """Size, identity, point and keys of each text's set; with ``single`` only identity and keys, of single tokens."""
 
-        for _, texts in _batches(it, "text"):
+    def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch, texts in _batches(it, "text"):
             starts, tokens = shingle_sets(texts, cache)
             ids = set_ids(starts, tokens)
-            own, keys = agreement_keys(starts, tokens)
-            new = np.zeros(len(texts), bool)  # copies in this task post once
-            for i, sid in enumerate(ids.tolist()):
-                if sid not in seen:
-                    seen.add(sid)
-                    new[i] = True
-            chosen = new[own]
-            held.append((keys[chosen], ids[own[chosen]]))
-            size += int(chosen.sum())
-            if size >= FLUSH:
-                yield flush()
-                held, size, seen = [], 0, set()
-        if size:
-            yield flush()
-
-    return post
-
-
-def _meet(pdf):
-    """Rows of the keys of one shard that several sets have: the key, the smallest set of it, the set."""
-    import pandas as pd
+            cut, keys, short = agreement_keys(starts, tokens, single)
+            columns = {
+                "sid": pa.array(_slices(ids), pa.binary()), "v": pa.array(_signed(ids[:, 0].copy())), "n": pa.array(np.diff(starts)),
+                "point": pa.array([None] * len(texts) if single else count_points(starts, tokens), pa.binary()),
+                "keys": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(_signed(keys))), "short": pa.array(short),
+            }
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *columns.values()], names=[*kept, *columns])
 
-    keys = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["keys"]])
-    sids = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["sids"]])
-    order = np.lexsort((sids, keys))
-    keys, sids = keys[order], sids[order]
-    keep = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])])
-    keys, sids = keys[keep], sids[keep]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    length = np.diff(np.concatenate([head, [len(keys)]]))
-    several = np.repeat(length > 1, length)
-    hub = np.repeat(sids[head], length)
-    return pd.DataFrame({"key": _signed(keys[several]), "hub": hub[several], "sid": sids[several], "members": np.repeat(length, length)[several]})
+    return describe
 
 
 def _tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache, seen = WordHashes(), set()
     for _, texts in _batches(it, "text"):
         starts, tokens = shingle_sets(texts, cache)
-        ids = set_ids(starts, tokens).tolist()
+        ids = _slices(set_ids(starts, tokens))
         new = [i for i, sid in enumerate(ids) if sid not in seen and not seen.add(sid)]  # copies in this task go on once
-        if len(seen) > FLUSH:
+        if len(seen) > REMEMBERED:
             seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array([ids[i] for i in new], np.uint64))), pa.array([tokens[starts[i] : starts[i + 1]].tobytes() for i in new], pa.binary())], names=["sid", "tokens"])
-
-
-def _bound(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b) of (a, b, na, nb, pa, pb) whose points leave room for a link."""
-    for batch in it:
-        total = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).astype(np.int64)
-        left = np.zeros(len(total), bool)
-        for i, (p, q) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            x, y = same_groups([p, q])
-            left[i] = int(np.minimum(x, y).sum(dtype=np.int64)) * (100 + PERCENT) >= PERCENT * total[i]
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(left)) for k in (0, 1)], names=["a", "b"])
-
-
-def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b) whose sets link, by their exact overlap."""
-    for batch in it:
-        good = []
-        for r, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            both = np.concatenate([np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)])
-            both.sort()
-            overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-            if 100 * overlap >= PERCENT * (len(both) - overlap):
-                good.append(r)
-        good = pa.array(good, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(k).take(good) for k in (0, 1)], names=["a", "b"])
-
-
-def _search_blocks(pdf):
-    """R-trees over the points of the blocks of keys in a shard; the probes that came to a block search it. Pairs of one component are left out.
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in new], pa.binary()), pa.array([tokens[starts[i] : starts[i + 1]].tobytes() for i in new], pa.binary())], names=["sid", "tokens"])
+
+
+class Forest:
+    """Union-find over 0 .. n - 1; ``edges`` are the pairs that united two parts."""
+
+    def __init__(self, n: int):
+        self.up, self.edges = list(range(n)), []
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def roots(self, some: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.root, some.tolist()), np.int64, len(some))
+
+    def unite(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.edges.append((a, b))
+
+
+def close_pairs(points: list[bytes], totals: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) of points the bound leaves, with points of any number of groups."""
+    dims = np.array([len(p) for p in points])
+    flat, begin = np.frombuffer(b"".join(points), np.uint8), np.cumsum(dims) - dims
+    swap = dims[a] > dims[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    left = np.zeros(len(a), bool)
+    shape = dims[a] << 32 | dims[b]
+    for s in np.unique(shape):
+        d, e = int(s >> 32), int(s & 0xFFFFFFFF)
+        pairs = np.flatnonzero(shape == s)
+        for i in range(0, len(pairs), max(1, 4_000_000 // e)):
+            p = pairs[i : i + max(1, 4_000_000 // e)]
+            x, y = flat[begin[a[p]][:, None] + np.arange(d)], flat[begin[b[p]][:, None] + np.arange(e)]
+            if e > d:
+                y = np.minimum(y.reshape(len(p), -1, d).sum(1, dtype=np.int64), 255).astype(np.uint8)
+            overlap = np.minimum(x, y).sum(1, dtype=np.int64)
+            left[p] = overlap * (100 + PERCENT) >= PERCENT * (totals[a[p]] + totals[b[p]])
+    return left
+
+
+def _cells(pdf):
+    """(row numbers of each cell of a shard, node of each row: equal sets of a cell are one)."""
+    order = pdf.groupby(["cell", "block", "part"], sort=False).ngroup().to_numpy()
+    rows = np.argsort(order, kind="stable")
+    return np.split(rows, np.flatnonzero(np.diff(order[rows])) + 1)
+
+
+def _in_trees(rows: np.ndarray, node: np.ndarray, role: np.ndarray, totals: np.ndarray, points: list[bytes], forest: Forest, meet) -> None:
+    """Sends the pairs of a cell that an R-tree leaves, and that the forest does not connect yet, to ``meet(row, rows)``, query by query."""
+    box, ask = rows[role[rows] != 1], rows[role[rows] != 0]
+    if not len(box) or not len(ask):
+        return
+    place = {r: i for i, r in enumerate(rows.tolist())}
+    matrix = same_groups([points[r] for r in rows])
+    inside = np.array([place[r] for r in box.tolist()])
+    tree = CountRTree(matrix[inside], totals[box])
+    for i in range(0, len(ask), CHUNK):
+        some = ask[i : i + CHUNK]
+        mine, theirs = forest.roots(node[some]), forest.roots(node[box])
+        q, p = tree.search(matrix[[place[r] for r in some.tolist()]], totals[some], lambda q, p: mine[q] != theirs[p])
+        by_query = np.argsort(q, kind="stable")
+        q, p = q[by_query], p[by_query]
+        for j, found in zip(q[np.flatnonzero(np.diff(q, prepend=-1))].tolist(), np.split(p, np.flatnonzero(np.diff(q)) + 1), strict=False):
+            meet(some[j], box[found])
+
+
+def _candidates(pdf):
+    """For each cell of a shard, the sets that the bound connects with another: (least set of what is connected, set).
 
     Rows of ``role`` 0 are in the tree, of 1 ask, of 2 do both.
     """
     import pandas as pd
 
-    found = [np.zeros((0, 2), np.int64)]
-    pdf = pdf.sort_values(["key", "block", "part"], kind="stable")
-    cell, sid, root, total, role, point = (pdf[c].to_numpy() for c in ("key", "sid", "root", "n", "role", "point"))
-    cut = np.flatnonzero(np.any(pdf[["key", "block", "part"]].to_numpy()[1:] != pdf[["key", "block", "part"]].to_numpy()[:-1], axis=1)) + 1
-    for a, b in zip([0, *cut], [*cut, len(cell)], strict=True):
-        if root[a:b].min() == root[a:b].max():
-            continue
-        points = same_groups(list(point[a:b]))
-        box, ask = np.flatnonzero(role[a:b] != 1), np.flatnonzero(role[a:b] != 0)
-        if not len(box) or not len(ask):
-            continue
-        tree = CountRTree(points[box], total[a:b][box])
-        for i in range(0, len(ask), 256):
-            some = ask[i : i + 256]
-            ids, roots = sid[a:b], root[a:b]
-            q, p = tree.search(points[some], total[a:b][some], lambda q, p: (ids[some[q]] < ids[box[p]]) & (roots[some[q]] != roots[box[p]]))
-            found.append(np.stack([ids[some[q]], ids[box[p]]], 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    sids, points, totals, role = pdf["sid"].tolist(), pdf["point"].tolist(), pdf["n"].to_numpy(), pdf["role"].to_numpy()
+    node = np.arange(len(pdf))
+    small_a, small_b, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for rows in _cells(pdf):
+        if len(rows) <= FANOUT and (role[rows] == 2).all():  # one leaf
+            i, j = np.triu_indices(len(rows), 1)
+            small_a.append(rows[i])
+            small_b.append(rows[j])
+        else:
+            first = {}
+            node[rows] = [first.setdefault(sids[r], r) for r in rows.tolist()]
+            large.append(rows)
+    a, b = np.concatenate(small_a), np.concatenate(small_b)
+    left = close_pairs(points, totals, a, b)
+    forest = Forest(len(pdf))
+    for x, y in zip(a[left].tolist(), b[left].tolist(), strict=True):
+        forest.unite(x, y)
+
+    def meet(row: int, found: np.ndarray) -> None:
+        for x in found.tolist():
+            forest.unite(int(node[row]), int(node[x]))
+
+    for rows in large:
+        _in_trees(rows, node, role, totals, points, forest, meet)
+    root = forest.roots(node)
+    out = pd.DataFrame({"root": root, "sid": sids}).drop_duplicates()
+    sizes = out["root"].map(out["root"].value_counts())
+    out = out[sizes > 1]
+    out["head"] = out.groupby("root")["sid"].transform("min")
+    return out[["head", "sid"]].drop_duplicates()
+
+
+def _links(pdf):
+    """Edges (a, b) of a spanning forest of the links in each cell of a shard, by exact overlaps of the pairs that the bound leaves."""
+    import pandas as pd
+
+    sids, totals, role = pdf["sid"].tolist(), pdf["n"].to_numpy(), pdf["role"].to_numpy()
+    packed = [np.frombuffer(b, np.uint64) for b in pdf["tokens"]]
+    found = []
+    for rows in _cells(pdf):
+        first: dict[bytes, int] = {}
+        node = np.array([first.setdefault(sids[r], i) for i, r in enumerate(rows.tolist())])
+        sets = [packed[r] for r in rows.tolist()]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        flat = np.concatenate(sets)
+        distinct, number = np.unique(flat, return_inverse=True)
+        mark = np.zeros(len(distinct), bool)
+        forest, n = Forest(len(rows)), totals[rows]
+
+        def meet(i: int, others: np.ndarray) -> None:
+            mark[number[starts[i] : starts[i + 1]]] = True
+            for j in others.tolist():
+                if forest.root(node[i]) != forest.root(node[j]):
+                    overlap = int(np.count_nonzero(mark[number[starts[j] : starts[j + 1]]]))
+                    if overlap * (100 + PERCENT) >= PERCENT * (n[i] + n[j]):
+                        forest.unite(int(node[i]), int(node[j]))
+            mark[number[starts[i] : starts[i + 1]]] = False
+
+        here = np.arange(len(rows))
+        if len(rows) == 2:
+            meet(0, here[1:])
+        else:
+            _in_trees(here, node, role[rows], n, count_points(starts, flat), forest, meet)
+        found += [(sids[rows[x]], sids[rows[y]]) for x, y in forest.edges]
+    return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,73 +421,94 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, rkey, n, sid, point) of every row: hashes of the text and the row; size, identity and point of its shingle set."""
+    """(doc_id, tkey, r1, r2, sid, v, n, point, keys, short) of every row: hashes of the text and the row; identity (and its first half), size, point and keys of its shingle set."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"), row_key(id_col, text_col).alias("rkey"))
-    return materialize(rows.mapInArrow(_describe, f"doc_id {kind}, tkey long, rkey long, n long, sid long, point binary"), "sets")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"), *(row_key(id_col, text_col, i).alias(f"r{i}") for i in (1, 2)))
+    return materialize(rows.mapInArrow(_describe(False), f"doc_id {kind}, tkey long, r1 long, r2 long, {_SET}"), "sets")
+
+
+_SET = "sid binary, v long, n long, point binary, keys array<bigint>, short boolean"
+
 
+def row_key(id_col: str, text_col: str, half: int):
+    """One half of a 128-bit hash of the id and the text of a row."""
+    return F.xxhash64(F.lit(half), F.col(id_col).isNull(), id_col, F.length(text_col), text_col)
 
-def row_key(id_col: str, text_col: str):
-    """Hash of the id and the text of a row."""
-    return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
+
+def _shards(docs: DataFrame, tokens: int) -> int:
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // SHARD_TOKENS)
+
+
+def dealt(cells: DataFrame) -> DataFrame:
+    """(cell, sid, n, members, tokens) with the block, part and role of each row: cells that fit a task as they are, larger ones as pairs of blocks, in one of which any two sets meet."""
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    cells = cells.withColumn("blocks", blocks)
+    mine, other = (F.pmod(F.xxhash64("sid", F.lit(i)), F.col("blocks")).cast("int") for i in (0, 1))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    ways = F.when(F.col("blocks") <= 1, F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("role")))).otherwise(
+        F.concat(F.transform(every, lambda i: F.struct(mine.alias("block"), i.alias("part"), F.lit(0).alias("role"))), F.transform(every, lambda i: F.struct(i.alias("block"), other.alias("part"), F.lit(1).alias("role"))))
+    )
+    return cells.withColumn("way", F.explode(ways)).select("cell", "sid", "n", "way.*")
+
+
+def meetings(sets: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """(key, sid, n) of the keys that several sets have; with ``again``, sets described anew, of those that a set short of groups has."""
+    posts = (sets if again is None else again).filter("n > 0")
+    if again is not None:
+        short = sets.filter("short").select("sid").distinct()
+        asked = again.join(short, "sid", "left_semi").select(F.explode("keys").alias("key")).distinct()
+        posts = posts.select("sid", "v", "n", F.explode("keys").alias("key")).join(asked, "key", "left_semi")
+    else:
+        posts = posts.select("sid", "v", "n", F.explode("keys").alias("key"))
+    several = posts.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
+    return posts.join(materialize(several, "several"), "key", "left_semi").select("key", "sid", "v", "n").distinct()
 
 
 def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     """(sid, root) of the sets that are linked with another set."""
-    spark = docs.sparkSession
-    total, rows = sets.agg(F.sum("n"), F.count("*")).first()
-    n_shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // (2 * SHARD_POSTINGS))
-    texts = docs.select(F.col(text_col).alias("text"))
-    posted = texts.mapInArrow(_post(n_shards), "shard int, keys binary, sids binary")
-    meeting = materialize(posted.groupBy("shard").applyInPandas(_meet, "key long, hub long, sid long, members long"), "keys")
+    met = meetings(sets)
+    if sets.agg(F.max("short")).first()[0]:
+        texts = docs.select(F.col(text_col).alias("text"))
+        met = met.unionByName(meetings(sets, materialize(texts.mapInArrow(_describe(True), _SET), "sets-again")))
+    met = materialize(met, "meetings")
+    # one key for all that have the same sets
+    low, high = F.col("v").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("v", 33)
+    keys = met.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(low).alias("s1"), F.sum(high).alias("s2"))
+    keys = keys.groupBy("members", "tokens", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key")).select("key", "members", "tokens")
+    cells = materialize(dealt(met.join(keys, "key").withColumnRenamed("key", "cell")), "cells")
 
     # points of the sets that met others, and a text of each
-    active = meeting.select("sid").distinct()
-    points = materialize(sets.join(active, "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        a, b = (points.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")) for s in "ab")
-        # sizes alone rule out many pairs before any point is moved again
-        sized = pairs.join(a, "a").join(b, "b").filter(f"least(na, nb) * 100 >= greatest(na, nb) * {PERCENT}")
-        return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bound, "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; their sets are read again from one text each, so that only they are ever shuffled."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        keys = materialize(points.join(needed, "sid", "left_semi").select("tkey"), "keys-of-texts")
-        keys = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
-        some = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey")).join(keys, "tkey", "left_semi")
-        tokens = some.select("text").mapInArrow(_tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-        a, b = (tokens.select(F.col("sid").alias(s), F.col("tokens").alias(f"t{s}")) for s in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
-
-    stars = bounded(meeting.filter("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
-    stars = materialize(verified(materialize(stars, "star-pairs")), "stars")
-    roots = materialize(components(stars), "star-roots")
-
-    # keys that join different components beyond what the star has tried
-    named = meeting.filter("members > 2 and sid <> hub").join(roots, meeting["sid"] == roots["v"], "left").select("key", "sid", "members", F.coalesce("root", "sid").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    named = materialize(named.join(mixed, "key", "left_semi"), "mixed")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK).cast("int"))
-    cells = named.withColumn("blocks", blocks).join(points.select("sid", "n", "point"), "sid").drop("members")
-    mine, other = (F.pmod(F.xxhash64("sid", F.lit(i)), F.col("blocks")).cast("int") for i in (0, 1))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    alone = cells.filter("blocks = 1").select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("role"))
-    held = cells.filter("blocks > 1").withColumn("block", mine).withColumn("part", every).withColumn("role", F.lit(0))
-    asks = cells.filter("blocks > 1").withColumn("part", other).withColumn("block", every).withColumn("role", F.lit(1))
-    both = alone.unionByName(held).unionByName(asks).withColumn("shard", F.pmod(F.xxhash64("key", "block", "part"), F.lit(n_shards)))
-    pairs = both.groupBy("shard").applyInPandas(_search_blocks, "a long, b long").distinct()
-    more = verified(materialize(pairs, "pairs"))
-    return components(materialize(stars.unionByName(more), "links")).select(F.col("v").alias("sid"), "root")
+    points = sets.join(cells.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("point").alias("point"))
+    points = materialize(points, "points")
+    n_shards = _shards(docs, cells.agg(F.sum("n")).first()[0] or 0)
+    shard = lambda n: F.pmod(F.xxhash64("cell", "block", "part"), F.lit(n))
+    pointed = cells.join(points.select("sid", "point"), "sid").withColumn("shard", shard(n_shards))
+    near = materialize(pointed.groupBy("shard").applyInPandas(_candidates, "head binary, sid binary").distinct(), "candidates")
+
+    # tokens of the sets that are candidates, each read again from one text
+    near = near.join(points.select("sid", "n", "tkey"), "sid")
+    keys = materialize(near.select("tkey").distinct(), "keys-of-texts")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
+    some = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey")).join(keys, "tkey", "left_semi")
+    tokens = some.select("text").mapInArrow(_tokens, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    sizes = near.groupBy("head").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    cells = materialize(dealt(near.select("head", "sid", "n").join(sizes, "head").withColumnRenamed("head", "cell")), "groups")
+    n_shards = _shards(docs, cells.agg(F.sum("n")).first()[0] or 0)
+    links = cells.join(tokens, "sid").withColumn("shard", shard(n_shards)).groupBy("shard").applyInPandas(_links, "a binary, b binary")
+    return components(materialize(links, "links")).select(F.col("v").alias("sid"), "root")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, r1, r2, n, root) of every row; ``root`` is the identity of a set of its component."""
+    sets = described(docs, id_col, text_col)
+    roots = set_roots(docs, sets, text_col)
+    roots = materialize(roots.unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct(), "roots")
+    return sets.select("doc_id", "r1", "r2", "n", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    sets = described(docs, id_col, text_col)
-    roots = set_roots(docs, sets, text_col)
-    roots = materialize(roots.unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct(), "roots")
-    rooted = sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = _rooted(docs, id_col, text_col)
     label = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = rooted.filter("n > 0").join(label, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rooted.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -427,13 +516,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row with its smallest id stays; rows without words all stay."""
-    sets = described(docs, id_col, text_col)
-    roots = set_roots(docs, sets, text_col)
-    roots = roots.unionByName(roots.select(F.col("root").alias("sid"), "root")).distinct()
-    rooted = sets.filter("n > 0").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     # one row for each component: that of the smallest id, then the smallest hash; equal rows have one key
-    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rkey")).alias("k")).select("k.rkey")
-    key, blank = fresh(docs, "jc_key", "jc_blank")
-    keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(blank, F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    first = keyed.filter(~F.col(blank)).join(materialize(keep, "kept").withColumnRenamed("rkey", key), key, "left_semi").dropDuplicates([key])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    keep = _rooted(docs, id_col, text_col).filter("n > 0").groupBy("root").agg(F.min(order).alias("k")).select("k.r1", "k.r2")
+    one, two, blank = fresh(docs, "jc_key", "jc_key2", "jc_blank")
+    keyed = docs.withColumn(one, row_key(id_col, text_col, 1)).withColumn(two, row_key(id_col, text_col, 2))
+    keyed = keyed.withColumn(blank, F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    keep = materialize(keep.withColumnsRenamed({"r1": one, "r2": two}), "kept")
+    first = keyed.filter(~F.col(blank)).join(keep, [one, two], "left_semi").dropDuplicates([one, two])
     return first.unionByName(keyed.filter(F.col(blank))).select(*docs.columns)
