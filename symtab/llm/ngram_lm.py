@@ -1,25 +1,25 @@
 """Language-model scoring with a weighted backoff automaton (operator 10).
 
-States are word histories of length 0 and 1; the arc of word w out of state u bears log10 P(w | u) of a bigram seen in
-training, and a state without such an arc has a failure arc, of weight log10 of its backoff mass, to the empty state, whose
-arcs bear unigram probabilities. A text is read left to right once: the state is carried, and arc and failure weights add up.
-
-Weights: with c(u, w) > 0, P(w | u) = (1 - B(u)) * c(u, w) / c(u) + B(u) * P(w), and the failure weight is B(u). Unigrams are
-those of the base score, (c + 0.5) / (N + 0.5 * (V + 1)), so each state sums to 1 over the V known tokens and the unknown one.
-The backoff mass is that of absolute discounting, B(u) = D * N(u) / c(u), where D = n1 / (n1 + 2 * n2) from the numbers of
-bigrams that occur once and twice, and N(u) is the number of distinct words after u in the training texts. A text starts in
-the state of a start mark; its end is a token.
+States are word histories of length 0, 1 and 2 that training texts have. The arc of word w out of state s bears
+log10 P(w | s) of an n-gram seen in training and leads to the longest state that ends what was read. A state without an arc
+for w has a failure arc to the state without its first word, which bears log10 of the mass that s leaves to words it has not
+seen; arcs of the empty state bear unigram probabilities. A text starts in the state of a start mark, is read left to right
+once, and the weights of the arcs taken add up; its end is a token.
+
+Weights: unigrams are those of the base score, P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). For a state s of length k,
+P(w | s) = (c(s, w) + K_k * P(w | s')) / (c(s) + K_k), s' being s without its first word (smoothing by a Dirichlet prior), so the
+failure weight is K_k / (c(s) + K_k), and each state sums to 1 over the V known tokens and the unknown one. K_k is such that the mass
+which all states of length k leave to the unseen is what the n-grams that occur once tell (Good and Turing): the sum
+of c(s) * K_k / (c(s) + K_k) is their number.
 
 The automaton of a corpus fits no machine, so it is never in one place. Texts are packed into blocks, written once. A block
-asks for the words and bigrams that it has, once each. Requests go to shards by the hash of what is asked, packed as arrays;
-a shard adds up the training counts of all blocks and answers each block in the order of its request. Bigrams go first: their
-shard also names, for each bigram seen in training, one block that has it as its owner. A block then asks for its words with
-their counts and the numbers of bigrams it owns after each, which add up to N(u). With the answers, a block builds the part
-of the automaton that its texts can reach and scores them. All counts are over all training texts and
-exact; nothing is pruned or sampled. A word that a third of all tokens are costs a block one request. Blocks and shards have
-bounded sizes (a longer text is a block of its own); their numbers grow with the corpus.
-
-Words are as in WORD, A-Z lower-cased, known by 64-bit hashes, in a shard by the lower 48 bits of what is left. Defined
+asks for each n-gram that it has once, with its own training count of it. Requests go to shards by the hash of the n-gram,
+packed as arrays; a shard adds up the counts of all blocks and answers each block in the order of its request. With the answers,
+a block builds the part of the automaton that its texts can reach and scores them. All counts are over all training texts
+and exact; nothing is pruned or sampled. An n-gram that a third of all tokens are costs a block one request. Blocks and
+shards have bounded sizes (a longer text is a block of its own); their numbers grow with the corpus.
+
+Words are as in WORD, A-Z lower-cased. N-grams are known by hashes, which get longer as there are more shards. Defined
 results: a null or empty text is its end token alone; a null doc_id counts as the text ``null`` for the fold; repeated rows
 are texts of their own; without training texts every token is unknown; no rows give no rows; only id and text are read.
 """
@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,10 +41,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from symtab.llm.common import WordHashes, id_remainder_col, materialize, mix, text_blocks, words_of
 
 FOLDS, HELD_OUT = 5, 1
-#: Characters of the texts of a block, and requests that one shard should have (10 bytes each), about.
-BLOCK_CHARS, SHARD_REQUESTS = 5_000_000, 2_000_000
-#: Exponents at which the sums of c ** b may be given to Weights.
-EXPONENTS = [i / 32 for i in range(33)]
+ORDER = 3
+#: Characters of the texts of a block, and requests that one shard should have, about.
+BLOCK_CHARS, SHARD_REQUESTS = 8_000_000, 2_000_000
+#: Values of K at which shards add up what their states leave to the unseen.
+STRENGTHS = [2 ** (i / 4) for i in range(-24, 65)]
+#: Bits of an n-gram's hash beyond those that name its shard.
+KEY_BITS = 48
+LEVEL = 6
 
 # words hold no spaces, so these are no word's hashes
 START, END = np.uint64(xxhash.xxh3_64_intdigest(b" start")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -61,52 +66,58 @@ def token_stream(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64), n
 
 
-def states_before(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The history of each token: the token before it, or the start mark."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(n) - n] = START
-    return before
+def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of its history and its last word."""
+    return mix(mix(history * _PAIR) + word * _PAIR2)
 
 
-def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(u * _PAIR) + w * _PAIR2)
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers with their first bytes together, then the second ones, and so on, compressed."""
+    return zstandard.ZstdCompressor(LEVEL).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
-def to_planes(x: np.ndarray) -> bytes:
-    """Integers with their first bytes together, then the second ones, and so on, so that small ones compress well."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def from_planes(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+class Grams:
+    """The distinct n-grams of one length in a block, in the order of their keys.
 
+    The first bits of a key name its shard, so a shard's keys follow each other. The last bit tells an n-gram that no text goes on after.
+    """
 
-class Block:
-    """Tokens of some texts, and their distinct words and bigrams in the order in which they are asked for: by shard, then hash."""
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray, at: np.ndarray, shards: int):
+        drop = np.uint64(max(0, 64 - KEY_BITS - int(np.log2(shards))))
+        keys = (hashes >> drop) & ~np.uint64(1) | ends.astype(np.uint64)
+        self.keys, first, self.number = np.unique(keys, return_index=True, return_inverse=True)
+        self.where, self.first = at, at[first]  # positions that end an n-gram; one of each
+        self.shard = (self.keys << drop >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
 
-    def __init__(self, texts: list[str | None], cache: WordHashes, shards: int):
-        self.shards = np.uint64(shards)
-        self.tokens, self.n = token_stream(texts, cache)
-        self.before = states_before(self.tokens, self.n)
-        self.words, self.word_at = self._asked(self.tokens)
-        self.pairs, self.pair_at = self._asked(pair_hash(self.before, self.tokens))
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the shards that are asked, where the keys of each begin and the last ones end)."""
+        asked, begin = np.unique(self.shard, return_index=True)
+        return asked.astype(np.int64), np.append(begin, len(self.keys))
 
-    def _asked(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys in order, index of each hash among them); the key is the shard and, above it, 48 bits of the rest."""
-        return np.unique((h % self.shards) << np.uint64(48) | (h // self.shards) & np.uint64((1 << 48) - 1), return_inverse=True)
 
-    def histories(self) -> np.ndarray:
-        """For each of ``pairs`` the index of its history in ``words``; their number for the start mark."""
-        before = np.empty_like(self.word_at)
-        before[1:] = self.word_at[:-1]
-        before[np.cumsum(self.n) - self.n] = len(self.words)
-        out = np.empty(len(self.pairs), np.int64)
-        out[self.pair_at] = before
-        return out
+class Block:
+    """Tokens of some texts, and their n-grams by length."""
 
-    def cuts(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(keys, np.arange(int(self.shards) + 1, dtype=np.uint64) << np.uint64(48))
+    def __init__(self, texts: list[str | None], cache: WordHashes, shards: int):
+        tokens, self.n = token_stream(texts, cache)
+        self.first = np.cumsum(self.n) - self.n
+        position = np.arange(len(tokens))
+        ends, opens = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+        ends[self.first + self.n - 1], opens[self.first] = True, True
+        self.opens = opens
+        hashes, self.grams = tokens, [Grams(tokens, ends, position, shards)]
+        before = np.roll(tokens, 1)
+        before[opens] = START
+        for k in range(2, ORDER + 1):
+            hashes = longer(before, tokens)
+            there = np.flatnonzero(~opens) if k > 2 else position  # a start mark has nothing before it
+            self.grams.append(Grams(hashes[there], ends[there], there, shards))
+            before = np.roll(hashes, 1)
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +132,9 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.concat_arrays([h[0] for h in held])
         texts = [t.encode("utf-8", "surrogatepass") for h in held for t in h[2]]
         folds = np.concatenate([np.array(h[1].to_pylist(), bool) for h in held])
+        whole = zstandard.ZstdCompressor(LEVEL).compress(b"".join(texts))
         return pa.RecordBatch.from_arrays(
-            [pa.array([task << 24 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([folds.tobytes()], pa.binary()), pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()), pa.array([b"".join(texts)], pa.binary())],
+            [pa.array([task << 24 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([folds.tobytes()], pa.binary()), pa.array([squeeze(np.array([len(t) for t in texts], np.int64))], pa.binary()), pa.array([whole], pa.binary())],
             names=["block", "ids", "folds", "lengths", "texts"],
         )
 
@@ -139,20 +151,12 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpack(lengths: bytes, texts: bytes) -> list[str]:
-    ends = np.cumsum(np.frombuffer(lengths, np.int64)).tolist()
+    ends = np.cumsum(unsqueeze(lengths, np.int64)).tolist()
+    texts = zstandard.ZstdDecompressor().decompress(texts)
     return [texts[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _requests(own: Block, number: int, keys: np.ndarray, **counts: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard that is asked: the keys, and the block's own counts of each."""
-    cut = own.cuts(keys)
-    full = np.flatnonzero(np.diff(cut))
-    low = keys.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits, little-endian
-    sent = [pa.array([to_planes(c[cut[s] : cut[s + 1]].astype(np.uint32)) for s in full], pa.binary()) for c in counts.values()]
-    return pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array(full.astype(np.int32)), pa.array([low[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), *sent], names=["block", "shard", "keys", *counts])
-
-
-def _ask_pairs(shards: int):
+def _ask(shards: int):
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in it:
@@ -160,124 +164,143 @@ def _ask_pairs(shards: int):
                 number, folds, lengths, texts = (batch.column(c)[r].as_py() for c in (0, 2, 3, 4))
                 own = Block(_unpack(lengths, texts), cache, shards)
                 learn = np.repeat(~np.frombuffer(folds, bool), own.n)
-                yield _requests(own, number, own.pairs, counts=np.bincount(own.pair_at[learn], minlength=len(own.pairs)))
+                for k, g in enumerate(own.grams, 1):
+                    counts = np.bincount(g.number[learn[g.where]], minlength=len(g.keys)).astype(np.uint32)
+                    asked, cut = g.cuts()
+                    parts = list(zip(cut[:-1], cut[1:], strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number] * len(parts), pa.int64()), pa.array([k] * len(parts), pa.int32()), pa.array(asked), pa.array([squeeze(np.diff(g.keys[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()), pa.array([squeeze(counts[a:b]) for a, b in parts], pa.binary())],
+                        names=["block", "length", "shard", "keys", "counts"],
+                    )
 
     return ask
 
 
-def _ask_words(shards: int):
-    """Asks for a block's words, with its share of N(u); ``start`` is its share for the start mark, on the first row."""
+def left_over(counts: np.ndarray) -> list[float]:
+    """What states with these counts leave to the unseen, at each of STRENGTHS."""
+    return [float((counts * (k / (counts + k))).sum()) for k in STRENGTHS]
 
-    def ask(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        text_row = t.filter(pa.compute.equal(t["kind"], 0))
-        own = Block(_unpack(text_row["lengths"][0].as_py(), text_row["texts"][0].as_py()), WordHashes(), shards)
-        learn = np.repeat(~np.frombuffer(text_row["folds"][0].as_py(), bool), own.n)
-        owned = np.zeros(len(own.pairs), bool)
-        cut = own.cuts(own.pairs)
-        rows = t.filter(pa.compute.equal(t["kind"], 2))
-        for s, bits in zip(rows["shard"].to_pylist(), rows["owned"].to_pylist(), strict=True):
-            owned[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cut[s + 1] - cut[s]))
-        after = np.bincount(own.histories()[owned], minlength=len(own.words) + 1)
-        out = _requests(own, text_row["block"][0].as_py(), own.words, counts=np.bincount(own.word_at[learn], minlength=len(own.words)), after=after[:-1])
-        start = np.zeros(out.num_rows, np.int64)
-        start[:1] = after[-1]
-        return pa.Table.from_batches([out]).append_column("start", pa.array(start))
 
-    return ask
-
-
-def _sums(pdf: pd.DataFrame, *counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(ends of the requests, number of distinct keys, index of each request among them, and for each of ``counts`` what was sent and the totals) of a shard."""
-    keys = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in pdf["keys"]]
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Adds up a shard's requests; each block gets the totals in the order of its request. The first row bears the shard's own sums."""
+    keys = [np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) for b in pdf["keys"]]
     cut = np.cumsum([0, *map(len, keys)])
-    whole = np.zeros((cut[-1], 8), np.uint8)
-    whole[:, :6] = np.concatenate(keys)
-    distinct, at = np.unique(whole.view(np.uint64).ravel(), return_inverse=True)
-    sent = [np.concatenate([from_planes(b, np.uint32) for b in pdf[c]]) for c in counts]
-    return cut, len(distinct), at, sent, [np.bincount(at, x, len(distinct)).astype(np.int64) for x in sent]
-
-
-def _answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds up a shard's requests; each block gets the totals in the order of its request, and which bigrams it owns. The first row bears the shard's own sums."""
-    cut, n, at, (sent,), (total,) = _sums(pdf, "counts")
-    mine = np.flatnonzero(sent)
-    owner = np.full(n, -1)
-    owner[at[mine]] = mine
-    owned = np.zeros(len(at), bool)
-    owned[owner[owner >= 0]] = True
-    answer, seen = total[at], total[total > 0]
-    first = np.arange(len(pdf)) == 0
-    parts = list(zip(cut[:-1], cut[1:], strict=True))
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate([unsqueeze(b, np.uint32) for b in pdf["counts"]]), len(distinct)).astype(np.int64)
+    seen, states = total[total > 0], total[(total > 0) & (distinct & np.uint64(1) == 0)]
+    none = [None] * (len(pdf) - 1)
     return pd.DataFrame({
-        "block": pdf["block"].to_numpy(), "shard": pdf["shard"].to_numpy(), "totals": [to_planes(answer[a:b]) for a, b in parts], "owned": [np.packbits(owned[a:b]).tobytes() for a, b in parts],
-        "once": np.where(first, (seen == 1).sum(), 0), "twice": np.where(first, (seen == 2).sum(), 0),
-    })
-
-
-def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The same for words, with N(u)."""
-    cut, _, at, _, (total, after) = _sums(pdf, "counts", "after")
-    answer, followers, seen = total[at], after[at], total[total > 0]
-    first = np.arange(len(pdf)) == 0
-    parts = list(zip(cut[:-1], cut[1:], strict=True))
-    return pd.DataFrame({
-        "block": pdf["block"].to_numpy(), "shard": pdf["shard"].to_numpy(), "totals": [to_planes(answer[a:b]) for a, b in parts], "followers": [to_planes(followers[a:b]) for a, b in parts],
-        "start": pdf["start"].to_numpy(), "types": np.where(first, len(seen), 0), "tokens": np.where(first, seen.sum(), 0),
+        "block": pdf["block"], "length": pdf["length"], "shard": pdf["shard"], "totals": [squeeze(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
+        "types": pd.array([len(seen), *none], "Int64"), "tokens": pd.array([int(seen.sum()), *none], "Int64"), "once": pd.array([int((seen == 1).sum()), *none], "Int64"), "left": [left_over(states), *none],
     })
 
 
 class Weights:
-    """Arc and failure weights from counts; ``v``, ``n``: distinct and all training tokens, ``texts``: training texts, ``starts``: distinct first tokens.
+    """Arc and failure weights from counts. ``n``, ``v``: all and distinct training tokens; ``texts``: training texts; ``strength``: K of the states of each length from 1 on."""
 
-    With ``powers``, the sums of c ** b at EXPONENTS, a step without N(u) models it as the power whose sum is ``pairs``.
-    """
-
-    def __init__(self, v: int, n: int, texts: int, pairs: int, once: int, twice: int, powers: list[float] | None = None, starts: int = 0):
-        self.v, self.n, self.texts, self.starts = v, n, texts, starts
-        self.discount = once / (once + 2 * twice) if once else 0.5
-        sums = np.log([p + texts**e for p, e in zip(powers, EXPONENTS, strict=True)]) if n and powers else np.zeros(len(EXPONENTS))
-        self.exponent = float(np.interp(np.log(pairs), sums, EXPONENTS)) if n and powers else 0.0
+    def __init__(self, n: int, v: int, texts: int, strength: list[float]):
+        self.n, self.v, self.texts, self.strength = n, v, texts, strength
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def backoff(self, cu: np.ndarray, nu: np.ndarray | None = None) -> np.ndarray:
-        cu = np.maximum(cu, 1).astype(float)
-        return self.discount * (cu ** (self.exponent - 1) if nu is None else nu / cu)
+    def failure(self, length: int, c: np.ndarray) -> np.ndarray:
+        k = self.strength[length - 1]
+        return np.log10(k / (c + k))
+
+    def arc(self, length: int, c: np.ndarray, cw: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Weight of an arc of a state with count ``c``, for an n-gram with count ``cw`` whose last word weighs ``shorter`` in the state that failure leads to."""
+        k = self.strength[length - 1]
+        return np.log10((cw + k * 10.0**shorter) / (c + k))
+
 
-    def step(self, cu: np.ndarray, cuw: np.ndarray, base: np.ndarray, nu: np.ndarray | None = None) -> np.ndarray:
-        """Weight of reading w (unigram weight ``base``) in state u: its arc, or failure and the empty state's arc; an unknown u is the empty state."""
-        mass = np.where(cu == 0, 1.0, self.backoff(cu, nu))
-        arc = np.log10((1 - mass) * cuw / np.maximum(cu, 1) + mass * 10.0**base)
-        return np.where(cu == 0, base, np.where(cuw > 0, arc, np.log10(mass) + base))
+def strength_of(left: np.ndarray, once: int) -> float:
+    """The K at which states leave ``once`` to the unseen, between the next of STRENGTHS."""
+    if not once or not left[-1]:
+        return 1.0
+    return float(np.exp(np.interp(np.log(once), np.log(left), np.log(STRENGTHS))))
+
+
+class Automaton:
+    """States, arcs and failure arcs that the texts of a block can reach.
+
+    State 0 is empty, 1 the start mark's; the block's shorter n-grams follow by length, as far as they are seen. The arcs for the n-grams of a length are
+    numbered as these; ``to`` is the longest state that ends the n-gram, ``fail`` that without the first word.
+    """
+
+    def __init__(self, block: Block, weights: Weights, counts: list[np.ndarray]):
+        self.gram = []  # number of the n-gram of each length that ends in a position, or -1
+        for g in block.grams:
+            self.gram.append(np.full(len(block.opens), -1))
+            self.gram[-1][g.where] = g.number
+        begin = np.cumsum([2, *(len(c) for c in counts[:-1])])
+        self.count = np.concatenate([[0, weights.texts], *counts[:-1]])
+        self.length = np.concatenate([[0, 1], *(np.full(len(c), k) for k, c in enumerate(counts[:-1], 1))])
+        self.fail = np.zeros(len(self.count), np.int64)
+        # the longest state that ends in a position
+        self.reached = np.zeros(len(block.opens), np.int64)
+        for k, (g, c) in enumerate(zip(block.grams[:-1], counts, strict=False), 1):
+            self.fail[begin[k - 1] : begin[k]] = self.reached[g.first]
+            seen = c[g.number] > 0
+            self.reached[g.where[seen]] = begin[k - 1] + g.number[seen]
+        self.fail_weight = np.zeros(len(self.count))
+        for k in range(1, ORDER):
+            some = self.length == k
+            self.fail_weight[some] = weights.failure(k, self.count[some])
+        self.seen = [c > 0 for c in counts]
+        self.arcs = [weights.unigram(counts[0])]
+        before = np.roll(self.reached, 1)
+        before[block.opens] = 1 if weights.texts else 0
+        self.before = before
+        for k in range(2, ORDER + 1):
+            g = block.grams[k - 1]
+            last = g.first
+            state = before[last]
+            while (longer_ones := self.length[state] >= k).any():
+                state = np.where(longer_ones, self.fail[state], state)
+            shorter = self._read(np.where(self.length[state] == k - 1, self.fail[state], state), last)
+            self.arcs.append(weights.arc(k - 1, self.count[state], counts[k - 1], shorter))
+
+    def _read(self, state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Weights of reading the tokens of the positions ``at`` in ``state``: of an arc, or of failure arcs up to a state that has it."""
+        total, going, state = np.zeros(len(at)), np.arange(len(at)), state.copy()
+        for k in range(len(self.arcs), 0, -1):
+            mine = going[self.length[state[going]] == k - 1]
+            found = self.gram[k - 1][at[mine]]
+            has = (found >= 0) & (self.seen[k - 1][found] | (k == 1))
+            total[mine[has]] += self.arcs[k - 1][found[has]]
+            failed = mine[~has]
+            total[failed] += self.fail_weight[state[failed]]
+            state[failed] = self.fail[state[failed]]
+            done = np.zeros(len(at), bool)
+            done[mine[has]] = True
+            going = going[~done[going]]
+        return total
+
+    def walk(self) -> np.ndarray:
+        """Weight of each token, read in the state that the tokens before it lead to.
+
+        That state is the longest one which ends there, whatever came before, so all positions can be read at once.
+        """
+        return self._read(self.before, np.arange(len(self.before)))
 
 
 def _score(weights: Weights, shards: int, kind: pa.DataType):
+    schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
     def score(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        text_row = t.filter(pa.compute.equal(t["kind"], 0))
-        out = {"doc_id": pa.array([], kind), "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        if text_row.num_rows:
-            own = Block(_unpack(text_row["lengths"][0].as_py(), text_row["texts"][0].as_py()), WordHashes(), shards)
-            counts = {}
-            for k, column in ((1, "totals"), (2, "totals"), (1, "followers")):
-                rows = t.filter(pa.compute.equal(t["kind"], k)).sort_by("shard")
-                counts[k, column] = np.concatenate([from_planes(b, np.int64) for b in rows[column].to_pylist()])
-            c = counts[1, "totals"][own.word_at]
-            cuw = counts[2, "totals"][own.pair_at]
-            start = np.cumsum(own.n) - own.n
-            cu, nu = np.empty_like(c), np.empty_like(c)
-            cu[1:], nu[1:] = c[:-1], counts[1, "followers"][own.word_at[:-1]]
-            cu[start], nu[start] = weights.texts, weights.starts
-            base = weights.unigram(c)
-            step = weights.step(cu, cuw, base, nu)
-            out = {
-                "doc_id": text_row["ids"].chunk(0).flatten(), "held_out": np.frombuffer(text_row["folds"][0].as_py(), bool), "n_tokens": own.n,
-                "n_known": np.add.reduceat((c > 0).astype(np.int64), start), "base_score": np.add.reduceat(base, start), "score": np.add.reduceat(step, start),
-            }
-        schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.table({k: pa.array(v, schema.field(k).type) if not isinstance(v, pa.Array) else v for k, v in out.items()}, schema=schema)
+        text_row = t.filter(pa.compute.is_valid(t["texts"]))
+        own = Block(_unpack(text_row["lengths"][0].as_py(), text_row["texts"][0].as_py()), WordHashes(), shards)
+        counts = []
+        for k in range(1, ORDER + 1):
+            rows = t.filter(pa.compute.equal(t["length"], k)).sort_by("shard")
+            counts.append(np.concatenate([unsqueeze(b, np.int64) for b in rows["totals"].to_pylist()] or [np.zeros(0, np.int64)]))
+        automaton = Automaton(own, weights, counts)
+        words = own.grams[0].number
+        add = lambda x: np.add.reduceat(x, own.first)
+        out = [np.frombuffer(text_row["folds"][0].as_py(), bool), own.n, add((counts[0][words] > 0).astype(np.int64)), add(automaton.arcs[0][words]), add(automaton.walk())]
+        return pa.table([text_row["ids"].chunk(0).flatten(), *map(pa.array, out)], schema=schema)
 
     return score
 
@@ -288,18 +311,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     name = kind.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), (id_remainder_col(id_col, FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars, texts = rows.agg(F.sum(F.length("text")), F.count_if(~F.col("held_out"))).first()
-    shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (chars or 0) // (6 * SHARD_REQUESTS))
+    # words have about six characters, and a block asks for nearly two n-grams a word
+    shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (chars or 0) // (3 * SHARD_REQUESTS))
     packed = materialize(rows.mapInArrow(_pack, f"block long, ids array<{name}>, folds binary, lengths binary, texts binary"), "lm-blocks")
-    asked = packed.mapInArrow(_ask_pairs(shards), "block long, shard int, keys binary, counts binary")
-    pairs = materialize(asked.groupBy("shard").applyInPandas(_answer_pairs, "block long, shard int, totals binary, owned binary, once long, twice long"), "lm-pairs")
-    blocks = packed.withColumn("kind", F.lit(0))
-    shares = blocks.drop("ids").unionByName(pairs.select("block", F.lit(2).alias("kind"), "shard", "owned"), allowMissingColumns=True)
-    asked = shares.groupBy("block").applyInArrow(_ask_words(shards), "block long, shard int, keys binary, counts binary, after binary, start long")
-    words = materialize(asked.groupBy("shard").applyInPandas(_answer_words, "block long, shard int, totals binary, followers binary, start long, types long, tokens long"), "lm-words")
-    once, twice = pairs.agg(F.sum("once"), F.sum("twice")).first()
-    types, tokens, starts = words.agg(F.sum("types"), F.sum("tokens"), F.sum("start")).first()
-    weights = Weights(types or 0, tokens or 0, texts, 0, once or 0, twice or 0, starts=starts or 0)
-    both = blocks.unionByName(words.select("block", F.lit(1).alias("kind"), "shard", "totals", "followers"), allowMissingColumns=True)
-    both = both.unionByName(pairs.select("block", F.lit(2).alias("kind"), "shard", "totals"), allowMissingColumns=True)
+    asked = packed.mapInArrow(_ask(shards), "block long, length int, shard long, keys binary, counts binary")
+    answered = asked.groupBy("length", "shard").applyInPandas(_answer, "block long, length int, shard long, totals binary, types long, tokens long, once long, left array<double>")
+    answers = materialize(answered, "lm-answers")
+    sums = answers.filter("types is not null").groupBy("length").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once"), *(F.sum(F.col("left")[i]).alias(f"left{i}") for i in range(len(STRENGTHS))))
+    sums = {r.length: r for r in sums.collect()}
+    n, v = (sums[1].tokens, sums[1].types) if sums else (0, 0)
+    left = [np.array([sums[k][f"left{i}"] for i in range(len(STRENGTHS))]) if k in sums else np.zeros(1) for k in range(1, ORDER)]
+    if sums:  # of texts, as many end as start: the start mark's state stands for the end's
+        left[0] = left[0] + left_over(np.array([texts]))
+    weights = Weights(n, v, texts, [strength_of(x, sums[k].once if k in sums else 0) for k, x in enumerate(left, 2)])
+    both = packed.unionByName(answers.select("block", "length", "shard", "totals"), allowMissingColumns=True)
     scored = both.groupBy("block").applyInArrow(_score(weights, shards, to_arrow_type(kind)), f"doc_id {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(weights.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -119,59 +119,102 @@ def test_classifiers_on_awkward_rows(spark):
     assert quality.good_documents(docs, none).columns == docs.columns
 
 
-def brute_lm(rows):
-    """Counts and scores of the bigram automaton, with the exponent found by bisection."""
-    words = lambda t: (t or "").encode().lower().split() + [None]
+def words(text):
+    return (text or "").encode().lower().split() + [None]
+
+
+def literal_automaton(rows):
+    """(arcs, failure arcs, start, unknown, counts) as dictionaries; states are tuples of words, the start mark is 0."""
     learn = [words(t) for d, t in rows if zlib.crc32(b"null" if d is None else str(d).encode()) % 5 != 1]
-    c, c2 = Counter(w for ws in learn for w in ws), Counter(p for ws in learn for p in zip([0, *ws[:-1]], ws))
+    c = Counter((w,) for ws in learn for w in ws)
+    c2 = Counter(p for ws in learn for p in zip([0, *ws[:-1]], ws))
+    c3 = Counter(p for ws in learn for p in zip([0, *ws[:-2]], ws[:-1], ws[1:]))
     n, v = sum(c.values()), len(c)
-    once, twice = (sum(x == k for x in c2.values()) for k in (1, 2))
-    discount = once / (once + 2 * twice)
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        b = (low + high) / 2
-        low, high = (b, high) if sum(x**b for x in [*c.values(), len(learn)]) < len(c2) else (low, b)
+    unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
+    states = {(): 0} | ({(0,): len(learn)} if learn else {}) | {s: k for s, k in [*c.items(), *c2.items()] if s[-1] is not None}
+
+    def strength(length, once):
+        left = [sum(x * k / (x + k) for s, x in states.items() if len(s) == length) for k in ngram_lm.STRENGTHS]
+        return float(np.exp(np.interp(np.log(once), np.log(left), np.log(ngram_lm.STRENGTHS)))) if once and left[-1] else 1.0
+
+    k = [strength(i, sum(x == 1 for x in counts.values())) for i, counts in ((1, c2), (2, c3))]
+    fail = {s: (s[1:], math.log10(k[len(s) - 1] / (x + k[len(s) - 1]))) for s, x in states.items() if s}
+    fail = {s: (f if f in states else (), w) for s, (f, w) in fail.items()}
+    arcs = {}
+    for gram, x in [*c.items(), *c2.items(), *c3.items()]:
+        s, w = gram[:-1], gram[-1]
+        if not s:
+            arcs[s, w] = math.log10((x + 0.5) / (n + 0.5 * (v + 1)))
+        else:
+            shorter, at = 0.0, fail[s][0]
+            while (at, w) not in arcs:
+                at, weight = fail[at]
+                shorter, at = shorter + weight, at
+            arcs[s, w] = math.log10((x + k[len(s) - 1] * 10 ** (shorter + arcs[at, w])) / (states[s] + k[len(s) - 1]))
+    return arcs, fail, states, unknown, c
+
+
+def brute_lm(rows):
+    """Reads each text in the literal automaton, one token after the other."""
+    arcs, fail, states, unknown, c = literal_automaton(rows)
     out = []
     for d, t in rows:
         base = score = 0.0
-        u = 0
+        state, read = ((0,) if (0,) in states else ()), (0,)
         for w in words(t):
-            p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(p)
-            cu = len(learn) if u == 0 else c[u]
-            if cu:
-                mass = discount * cu ** (low - 1)
-                p = (1 - mass) * c2[(u, w)] / cu + mass * p
-            score += math.log10(p)
-            u = w
-        out.append((d, len(words(t)), sum(c[w] > 0 for w in words(t)), n, base, score))
+            base += arcs.get(((), w), unknown)
+            while (state, w) not in arcs and state:
+                state, weight = fail[state]
+                score += weight
+            score += arcs.get((state, w), unknown)
+            read = (*read, w)[-2:]
+            state = next(s for s in (read, read[1:], ()) if s in states)
+        out.append((d, len(words(t)), sum(c[(w,)] > 0 for w in words(t)), sum(c.values()), base, score))
     return out
 
 
 def test_language_model(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = [f"w{int(1 / (rng.random() + 0.003))}" for _ in range(3000)]
-    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 5, 60, 200])))) for i in range(120)] + [(None, "W1 w2"), (200, None), (200, ""), (3, "unseen words only here")]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 5, 60, 200])))) for i in range(120)] + [(None, "W1 w2"), (200, None), (200, ""), (3, "unseen words only here"), (202, "w1 w2 w3 " * 400)]
+    # "fixed" has one successor always, "free" a new one each time, and both are frequent
+    rows += [(300 + i, " ".join(rng.choice([f"fixed next {rng.choice(vocabulary)}", f"free x{rng.randrange(10**6)}"]) for _ in range(80))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash"))
     key = lambda r: (str(r[0]), r[1:4], round(r[4], 6))
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(docs).collect()), key=key)
     want = sorted(brute_lm(rows), key=key)
-    assert [g[:4] for g in got] == [w[:4] for w in want]
-    assert np.allclose([g[4] for g in got], [w[4] for w in want], rtol=1e-9)
-    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=2e-3)
-    monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", 500)
-    small = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(docs).collect()), key=key)
-    assert np.allclose([g[5] for g in got], [w[5] for w in small], rtol=1e-9)
+    for size in (ngram_lm.BLOCK_CHARS, 700):
+        monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", size)
+        got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(docs).collect()), key=key)
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
 
 
 def test_language_model_states_sum_to_one():
-    c, c2 = np.array([5, 3, 1]), {0: np.array([3, 0, 1]), 1: np.array([0, 2, 0])}
-    w = ngram_lm.Weights(3, 9, 2, 6, 3, 1, [float((c.astype(float) ** e).sum()) for e in ngram_lm.EXPONENTS])
-    base = w.unigram(np.append(c, 0))
-    for u, counts in c2.items():
-        step = w.step(np.full(4, counts.sum()), np.append(counts, 0), base)
-        assert math.isclose((10**step).sum(), 1.0)
-    assert math.isclose((10**base).sum(), 1.0)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(9))) for i in range(30)]
+    arcs, fail, states, unknown, c = literal_automaton(rows)
+    for start in states:
+        mass = 0.0
+        for (w,) in [*c, ("unknown",)]:
+            state, weight = start, 0.0
+            while (state, w) not in arcs and state:
+                state, more = fail[state]
+                weight += more
+            mass += 10 ** (weight + arcs.get((state, w), unknown))
+        assert math.isclose(mass, 1.0)
+
+
+def test_shards_keep_their_order_however_many_they_are():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 5001, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 5001, dtype=np.uint64)
+    for shards in (16, 1000, 65_536, 70_000, 1 << 24):
+        g = ngram_lm.Grams(np.append(h, h[:50]), np.zeros(5051, bool), np.arange(5051), shards)
+        asked, cut = g.cuts()
+        assert len(g.keys) == 5001 and (np.diff(g.shard.astype(np.int64)) >= 0).all() and g.shard.max() < shards
+        assert (np.diff(cut) > 0).all() and cut[-1] == 5001 and (np.repeat(asked, np.diff(cut)) == g.shard).all()
+        assert (g.number[:50] == g.number[5001:]).all()
+        spread = np.bincount((g.shard * np.uint64(16) // np.uint64(shards)).astype(np.int64), minlength=16)
+        assert spread.min() > 200
 
 
 def test_language_model_of_nothing(spark):
@@ -182,40 +225,6 @@ def test_language_model_of_nothing(spark):
     assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 3) and math.isclose(row.score, row.base_score)
 
 
-def exact_lm(rows):
-    """Scores of the bigram automaton with N(u) counted."""
-    words = lambda t: (t or "").encode().lower().split() + [None]
-    learn = [words(t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
-    c, c2 = Counter(w for ws in learn for w in ws), Counter(p for ws in learn for p in zip([0, *ws[:-1]], ws))
-    after, n, v = Counter(u for u, _ in c2), sum(c.values()), len(c)
-    once, twice = (sum(x == k for x in c2.values()) for k in (1, 2))
-    out = {}
-    for d, t in rows:
-        score, u = 0.0, 0
-        for w in words(t):
-            p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
-            if cu := len(learn) if u == 0 else c[u]:
-                mass = once / (once + 2 * twice) * after[u] / cu
-                p = (1 - mass) * c2[(u, w)] / cu + mass * p
-            score += math.log10(p)
-            u = w
-        out[d] = score
-    return out
-
-
-def test_backoff_mass_is_that_of_the_words_counted_after_a_state(spark, monkeypatch):
-    rng = random.Random(6)
-    word = lambda: f"w{int(1 / (rng.random() + 0.003))}"
-    # "fixed" has one successor always, "free" a new one each time, and both are frequent
-    rows = [(i, " ".join(rng.choice([f"fixed next {word()}", f"free x{rng.randrange(10**6)}", word()]) for _ in range(80))) for i in range(100)]
-    rows += [(1000 + i, f"fixed {word()} free {word()}") for i in range(40)]
-    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), exact_lm(rows)
-    for size in (ngram_lm.BLOCK_CHARS, 700):
-        monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", size)
-        got = {r.doc_id: r.score for r in ngram_lm.score_texts(docs).collect()}
-        assert set(got) == set(want) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
-
-
 def test_class_words_around_a_main_branch_do_not_drop_it():
     text = "<p>Body text</p>"
     for page in (
