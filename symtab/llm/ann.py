@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by a permutation index (operator 2).
 
 PIVOTS vectors, a bounded sample, are the reference points. A vector is represented by its PREFIX nearest pivots in order
-and posted in the inverted files of its POSTED nearest. A query opens the files of its OPENED nearest pivots; what it
-finds there is ranked by footrule distance, the sum over pivots of how far their ranks differ (PREFIX where one is not in
-the prefix); the best share of it is reranked by the exact inner product in double precision.
+and posted, with its ranks, in their inverted files. A query opens the files of its own PREFIX nearest pivots and adds up
+what the postings tell of the footrule distance (how far the ranks of a pivot differ, PREFIX where a vector does not have it):
+the distance is 2 * sum of all (PREFIX - rank) less twice the sum, over pivots that both have, of the lesser of
+(PREFIX - rank), so postings alone give it. No other vector is looked at. The best SHARE of a block is reranked by
+the exact inner product in double precision.
 
 The index is dealt out by vectors: each block of about BLOCK vectors has inverted files of its own, the stated queries come
-to every block in blocks, and each pair of blocks is one task that returns the few best of each query. Only pivots (at
-most PIVOTS vectors) pass through the driver.
+to every block in blocks, and each pair of blocks is one task that returns the few best of each query. The queries asked for
+are a share of all vectors, and of vectors without clusters no index can leave out more than a share, so the
+work grows with queries times vectors. Only pivots (at most PIVOTS vectors) pass through the driver. With ``share`` 1 and a
+``prefix`` of PIVOTS every vector is reranked: the exact way.
 
 Equal vectors are indexed once. A group of copies is known by the smallest of its ids, as many as a result can hold, which
 Spark cuts down before the shuffle; a query that has copies is searched once.
@@ -27,10 +31,11 @@ from pyspark.sql import functions as F
 
 from symtab.llm.common import materialize
 
-PIVOTS, PREFIX, POSTED, OPENED = 512, 128, 32, 24
-BLOCK, QUERY_BLOCK = 8192, 1024
-#: Share of a block that is reranked for a query, at every size of a block; small blocks rerank this number at least.
-RERANK_SHARE, RERANK_LEAST = 0.12, 600
+PIVOTS, PREFIX = 512, 32
+#: Vectors, and queries, that a task holds.
+BLOCK, QUERY_BLOCK = 8192, 4096
+#: Share of a block that is reranked for a query, at every size; SPARE times as many as are asked for at least.
+SHARE, SPARE = 0.25, 4
 
 
 def usable(vector: str) -> Column:
@@ -40,43 +45,50 @@ def usable(vector: str) -> Column:
     return x.isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0)
 
 
-def ranks_of(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the PREFIX nearest pivots in order, rank of each pivot or PREFIX) of each vector."""
-    prefix = min(PREFIX, len(pivots))
-    order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :prefix]
-    rank = np.full((len(vectors), len(pivots)), PREFIX, np.uint8)
-    np.put_along_axis(rank, order, np.arange(prefix, dtype=np.uint8)[None, :], 1)
-    return order, rank
+def prefixes(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The ``prefix`` nearest pivots of each vector, in order."""
+    prefix = min(prefix, len(pivots))
+    near = vectors @ pivots.T
+    some = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix]
+    return np.take_along_axis(some, np.lexsort((some, -np.take_along_axis(near, some, 1)), axis=1), 1)
 
 
-def reranked(block: int, k: int) -> int:
+class InvertedFiles:
+    """Postings of the vectors of a block: ``rows`` and the weights PREFIX - rank by pivot; file p is begin[p]:begin[p + 1]."""
+
+    def __init__(self, points: np.ndarray, pivots: np.ndarray, prefix: int):
+        self.pivots, self.prefix, self.size = pivots, prefix, len(points)
+        order = prefixes(points, pivots, prefix)
+        by_pivot = np.argsort(order, axis=None, kind="stable")
+        self.rows = (by_pivot // order.shape[1]).astype(np.int32)
+        self.weights = (prefix - by_pivot % order.shape[1]).astype(np.int32)
+        self.begin = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
+
+    def near(self, asked: np.ndarray) -> np.ndarray:
+        """What each vector has in common with the query that has the pivots ``asked``: more is a smaller footrule distance; 0 is not found."""
+        files = [slice(self.begin[p], self.begin[p + 1]) for p in asked]
+        rows = np.concatenate([self.rows[f] for f in files])
+        common = np.concatenate([np.minimum(self.weights[f], self.prefix - i) for i, f in enumerate(files)])
+        return np.bincount(rows, common, self.size)
+
+
+def reranked(block: int, k: int, share: float = SHARE) -> int:
     """How many vectors of a block are reranked for a query."""
-    return max(RERANK_LEAST, k, math.ceil(block * RERANK_SHARE))
+    return min(block, max(SPARE * k, math.ceil(block * share)))
 
 
-def search_block(points: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def search_block(points: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, prefix: int = PREFIX, share: float = SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (row indexes of points, scores) of the k best that the block's index finds."""
-    order, rank = ranks_of(points, pivots)
-    posted = order[:, :POSTED]
-    by_pivot = np.argsort(posted.ravel(), kind="stable")
-    files = by_pivot // posted.shape[1]
-    begin = np.searchsorted(posted.ravel()[by_pivot], np.arange(len(pivots) + 1))
-    by_row = np.ascontiguousarray(rank.T)
-    weight = np.uint8(PREFIX) - by_row
-    asked, _ = ranks_of(queries, pivots)
-    best = reranked(len(points), k)
+    index = InvertedFiles(points, pivots, prefix)
+    best = reranked(len(points), k, share)
     out = []
-    for q, prefix in zip(queries, asked, strict=True):
-        found = np.zeros(len(points), bool)
-        for p in prefix[:OPENED]:
-            found[files[begin[p] : begin[p + 1]]] = True
-        theirs, mine = by_row[prefix], np.arange(len(prefix), dtype=np.uint8)[:, None]
-        apart = np.maximum(theirs, mine) - np.minimum(theirs, mine)
-        # pivots of the point's prefix that are not in the query's add PREFIX minus their rank; all of a prefix adds a constant
-        footrule = apart.sum(0, dtype=np.int32) - weight[prefix].sum(0, dtype=np.int32)
-        rows = np.flatnonzero(found)
-        if len(rows) > best:
-            rows = rows[np.argpartition(footrule[rows], best)[:best]]
+    for q, asked in zip(queries, prefixes(queries, pivots, prefix), strict=True):
+        near = index.near(asked)
+        rows = np.argpartition(near, len(near) - best)[len(near) - best :] if best < len(near) else np.arange(len(near))
+        if best > k:  # of those that share nothing with the query only as many as make up k
+            found = near[rows] > 0
+            rows = rows[found] if found.sum() >= k else rows
+        rows.sort()
         scores = points[rows] @ q
         if len(rows) > 4 * k:  # more than k, so that no tie is cut off
             rows = rows[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
@@ -84,9 +96,9 @@ def search_block(points: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k:
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each query row, itself excepted."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable("v"))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if lengths is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
@@ -98,7 +110,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     members = materialize(members.groupBy("g").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-members")
     distinct = materialize(rows.groupBy("g").agg(F.first("v").alias("v"), F.max("q").alias("q")), "ann-vectors")
     n, n_q = distinct.agg(F.count("*"), F.count_if("q")).first()
-    pivots = np.array([r["v"] for r in distinct.orderBy(F.xxhash64(F.lit(17), "g"), "g").limit(PIVOTS).select("v").collect()])
+    pivots = np.array([list(map(float, r["v"])) for r in distinct.orderBy(F.xxhash64(F.lit(17), "g"), "g").limit(PIVOTS).select("v").collect()])
 
     blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_q // QUERY_BLOCK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -111,7 +123,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         mine, theirs = cell[~cell["asks"]], cell[cell["asks"]]
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"qg": np.zeros(0, np.int64), "g": np.zeros(0, np.int64), "score": np.zeros(0)})
-        found = search_block(np.stack(mine["v"].to_numpy()), np.stack(theirs["v"].to_numpy()), pivots, k + 1)
+        points, queries = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (mine, theirs))
+        found = search_block(points, queries, pivots, k + 1, prefix, share)
         return pd.DataFrame({"qg": np.repeat(theirs["g"].to_numpy(), [len(r) for r, _ in found]), "g": mine["g"].to_numpy()[np.concatenate([r for r, _ in found])], "score": np.concatenate([s for _, s in found])})
 
     found = held.unionByName(asks).groupBy("block", "part").applyInPandas(search, "qg long, g long, score double")

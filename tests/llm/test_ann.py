@@ -61,9 +61,23 @@ def test_blocks_find_what_one_block_finds(spark, monkeypatch):
 
 
 def test_share_reranked_does_not_fall_with_the_block():
-    for n in (5_000, 8_192, 9_000, 20_000):
-        assert ann.reranked(n, 21) >= 0.12 * n
-    assert ann.reranked(100, 21) == 600 and ann.reranked(100, 700) == 700
+    for n in (500, 5_000, 8_192, 20_000):
+        assert ann.reranked(n, 21) >= ann.SHARE * n
+    assert ann.reranked(100, 21) == 84 and ann.reranked(50, 21) == 50
+
+
+def test_postings_give_the_footrule_distance():
+    rng = np.random.default_rng(4)
+    points, queries, pivots = rng.normal(size=(300, 16)), rng.normal(size=(5, 16)), rng.normal(size=(60, 16))
+    index, asked = ann.InvertedFiles(points, pivots, 12), ann.prefixes(queries, pivots, 12)
+    for q, pre in zip(queries, asked):
+        assert pre.tolist() == np.argsort(-(pivots @ q))[:12].tolist()
+        near = index.near(pre)
+        for i, p in enumerate(points):
+            rank = {v: r for r, v in enumerate(np.argsort(-(pivots @ p))[:12].tolist())}
+            mine = {v: r for r, v in enumerate(pre.tolist())}
+            footrule = sum(abs(rank.get(v, 12) - mine.get(v, 12)) for v in rank.keys() | mine.keys())
+            assert footrule == 2 * sum(range(1, 13)) - 2 * near[i]
 
 
 def test_recall_over_full_blocks():
@@ -77,3 +91,21 @@ def test_recall_over_full_blocks():
         for i, (rows, scores) in enumerate(ann.search_block(x[b * ann.BLOCK : (b + 1) * ann.BLOCK], queries, pivots, 21)):
             got[i] += zip(-scores, rows + b * ann.BLOCK)
     assert np.mean([len({r for _, r in sorted(g)[1:21]} & w) / 20 for g, w in zip(got, want)]) >= 0.9
+
+
+def test_recall_where_only_a_share_is_reranked(spark):
+    vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
+    want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 20)
+    got = {}
+    for r in ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len({v for v, _ in want[q]} & got[q]) / 20 for q in want]) >= 0.9
+
+
+def test_exact_way(spark):
+    vectors = table(spark, "/root/testdata/sf0.001", "embeddings")
+    want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 20)
+    got = {}
+    for r in sorted(ann.nearest(vectors, F.col("vec_id") % 20 == 0, prefix=ann.PIVOTS, share=1.0).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12) for q in want)
