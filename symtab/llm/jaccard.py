@@ -53,8 +53,8 @@ BROADCAST_TEXTS = 500_000
 #: Sets and tokens of a cell that one task holds; larger cells are dealt out in pairs of blocks.
 BLOCK, BLOCK_TOKENS = 2048, 2_000_000
 FANOUT = 16
-#: Queries that go down a tree together.
-CHUNK = 64
+#: Queries that go down a tree together, and characters of the texts that are shingled together.
+CHUNK, TEXT_CHARS = 64, 1_000_000
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -211,7 +211,7 @@ def _batches(it: Iterator[pa.RecordBatch], column: str):
     """(batch slice, texts) with a bounded number of characters each."""
     for batch in it:
         texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        for a, b in text_blocks(texts):
+        for a, b in text_blocks(texts, TEXT_CHARS):
             yield batch.slice(a, b - a), texts[a:b]
 
 
@@ -220,16 +220,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _describe(single: bool):
-    """Size, identity, point and keys of each text's set; with ``single`` only identity and keys, of single tokens."""
+    """Size, identity, point and keys of each text's set; with ``single`` only identity and keys, of single tokens. Copies in a task bear no keys."""
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, seen = WordHashes(), set()
         for batch, texts in _batches(it, "text"):
             starts, tokens = shingle_sets(texts, cache)
             ids = set_ids(starts, tokens)
+            sids = _slices(ids)
+            new = np.array([sid not in seen and not seen.add(sid) for sid in sids], bool)
+            if len(seen) > REMEMBERED:
+                seen = set()
             cut, keys, short = agreement_keys(starts, tokens, single)
+            length = np.diff(cut)
+            keys, cut = keys[np.repeat(new, length)], np.concatenate([[0], np.cumsum(length * new)])
             columns = {
-                "sid": pa.array(_slices(ids), pa.binary()), "v": pa.array(_signed(ids[:, 0].copy())), "n": pa.array(np.diff(starts)),
+                "sid": pa.array(sids, pa.binary()), "v": pa.array(_signed(ids[:, 0].copy())), "n": pa.array(np.diff(starts)),
                 "point": pa.array([None] * len(texts) if single else count_points(starts, tokens), pa.binary()),
                 "keys": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(_signed(keys))), "short": pa.array(short),
             }
@@ -440,9 +446,9 @@ def _shards(docs: DataFrame, tokens: int) -> int:
 
 
 def dealt(cells: DataFrame) -> DataFrame:
-    """(cell, sid, n, members, tokens) with the block, part and role of each row: cells that fit a task as they are, larger ones as pairs of blocks, in one of which any two sets meet."""
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    cells = cells.withColumn("blocks", blocks)
+    """(cell, sid, n) with the block, part and role of each row: cells that fit a task as they are, larger ones as pairs of blocks, in one of which any two sets meet."""
+    large = cells.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")).filter("blocks > 1")
+    cells = cells.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine, other = (F.pmod(F.xxhash64("sid", F.lit(i)), F.col("blocks")).cast("int") for i in (0, 1))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     ways = F.when(F.col("blocks") <= 1, F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("role")))).otherwise(
@@ -452,16 +458,17 @@ def dealt(cells: DataFrame) -> DataFrame:
 
 
 def meetings(sets: DataFrame, again: DataFrame | None = None) -> DataFrame:
-    """(key, sid, n) of the keys that several sets have; with ``again``, sets described anew, of those that a set short of groups has."""
-    posts = (sets if again is None else again).filter("n > 0")
+    """(key, v) of the keys that several sets have; with ``again``, sets described anew, of those that a set short of groups has.
+
+    Sets go by the first half of their identity here; two that have it alike meet whom either meets.
+    """
+    posts = (sets if again is None else again).select("v", F.explode("keys").alias("key"))
     if again is not None:
         short = sets.filter("short").select("sid").distinct()
         asked = again.join(short, "sid", "left_semi").select(F.explode("keys").alias("key")).distinct()
-        posts = posts.select("sid", "v", "n", F.explode("keys").alias("key")).join(asked, "key", "left_semi")
-    else:
-        posts = posts.select("sid", "v", "n", F.explode("keys").alias("key"))
+        posts = posts.join(asked, "key", "left_semi")
     several = posts.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
-    return posts.join(materialize(several, "several"), "key", "left_semi").select("key", "sid", "v", "n").distinct()
+    return posts.join(materialize(several, "several"), "key", "left_semi").distinct()
 
 
 def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
@@ -473,13 +480,14 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     met = materialize(met, "meetings")
     # one key for all that have the same sets
     low, high = F.col("v").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("v", 33)
-    keys = met.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(low).alias("s1"), F.sum(high).alias("s2"))
-    keys = keys.groupBy("members", "tokens", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key")).select("key", "members", "tokens")
-    cells = materialize(dealt(met.join(keys, "key").withColumnRenamed("key", "cell")), "cells")
+    keys = met.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(low).alias("s1"), F.sum(high).alias("s2"))
+    keys = keys.groupBy("members", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    met = materialize(met.join(keys, "key", "left_semi"), "distinct-meetings")
 
     # points of the sets that met others, and a text of each
-    points = sets.join(cells.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("point").alias("point"))
+    points = sets.join(met.select("v").distinct(), "v", "left_semi").groupBy("sid").agg(F.first("v").alias("v"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("point").alias("point"))
     points = materialize(points, "points")
+    cells = materialize(dealt(met.join(points.select("v", "sid", "n"), "v").select(F.col("key").alias("cell"), "sid", "n")), "cells")
     n_shards = _shards(docs, cells.agg(F.sum("n")).first()[0] or 0)
     shard = lambda n: F.pmod(F.xxhash64("cell", "block", "part"), F.lit(n))
     pointed = cells.join(points.select("sid", "point"), "sid").withColumn("shard", shard(n_shards))
@@ -491,8 +499,7 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
     some = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey")).join(keys, "tkey", "left_semi")
     tokens = some.select("text").mapInArrow(_tokens, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    sizes = near.groupBy("head").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    cells = materialize(dealt(near.select("head", "sid", "n").join(sizes, "head").withColumnRenamed("head", "cell")), "groups")
+    cells = materialize(dealt(near.select(F.col("head").alias("cell"), "sid", "n")), "groups")
     n_shards = _shards(docs, cells.agg(F.sum("n")).first()[0] or 0)
     links = cells.join(tokens, "sid").withColumn("shard", shard(n_shards)).groupBy("shard").applyInPandas(_links, "a binary, b binary")
     return components(materialize(links, "links")).select(F.col("v").alias("sid"), "root")
