@@ -6,9 +6,11 @@ logit is a bias, a weight for each slot present and an inner product of the fact
 computed in linear time. The pairs let two terms mean together what neither means alone, which an additive model can't.
 
 Fitting uses at most SAMPLE labelled documents outside the held-out fold. Slots that occur with the label no more often
-than chance explains (Z_LEAST standard deviations, at least DF_LEAST documents) get no weight, so that the many words which
-occur a few times can't add up in long texts; weights and factors of the others are fitted by Adam with an
-L2 penalty around a share of each slot's own log odds.
+than chance explains (Z_LEAST standard deviations, at least DF_LEAST documents) get no weight by themselves, so that the many words
+which occur a few times can't add up in long texts. But two words that say nothing alone get weights and factors too if
+they occur together with the label that much more often than chance explains (Z_PAIR); such pairs are looked for among the words of toxic
+documents that no slot explains. Weights and factors are fitted by Adam with an L2 penalty, weights around a share of each slot's
+own log odds.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined results: a null or empty text has
 no terms and scores by the bias alone; repeated rows score alike; without labelled rows everything scores 0.5; no rows
@@ -33,12 +35,14 @@ BITS = 21
 #: Lengths of beginnings in bytes; numbers of distinct words that share one, and shares of the distinct words, that are marked.
 BEGINNINGS = (4, 5, 6, 7, 8)
 SEVERAL, RATES = (2, 3, 4), (0.01, 0.02, 0.04)
-#: Marks are slots of their own, at this even distance: odd slots are beginnings and marks.
-_MARK = 0x9E3779B2
+#: Marks are slots of their own, at these even distances: odd slots are beginnings and marks.
+_MARKS = [i * 0x9E3779B2 for i in (*SEVERAL, *range(11, 11 + len(RATES)))]
 FACTORS = 4
 #: At most this many labelled documents are fitted on.
 SAMPLE = 8000
-Z_LEAST, DF_LEAST = 6.0, 8
+Z_LEAST, Z_PAIR, DF_LEAST = 6.0, 7.0, 8
+#: Words, the most frequent ones, among which pairs are looked for.
+PAIR_WORDS = 2000
 STEPS, RATE, L2 = 400, 0.05, 2e-4
 #: Prior weights as shares of the log odds: of beginnings and marks (of which a word has several), of words.
 PRIOR = (0.35, 0.9)
@@ -47,16 +51,23 @@ _SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 class TermSlots(dict):
-    """Slots of a word (bytes): its own and those of its beginnings; remembered, and forgotten when full."""
+    """Slots of a word (bytes): its own and those of its beginnings, or of these only the ``wanted``; remembered, and forgotten when full."""
 
     LIMIT = 200_000
 
+    def __init__(self, wanted: frozenset[int] | None = None):
+        super().__init__()
+        self.wanted = wanted
+
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= self.LIMIT:
             self.clear()
         own = xxhash.xxh3_64_intdigest(word) >> (65 - BITS) << 1
         # the last bit tells beginnings from words
-        out = self[word] = [own, *(xxhash.xxh3_64_intdigest(word[:k], 1) >> (65 - BITS) << 1 | 1 for k in BEGINNINGS if len(word) > k)]
+        out = [own, *(xxhash.xxh3_64_intdigest(word[:k], 1) >> (65 - BITS) << 1 | 1 for k in BEGINNINGS if len(word) > k)]
+        if self.wanted is not None:
+            out = [slot for slot in out if slot in self.wanted]
+        self[word] = out
         return out
 
 
@@ -67,8 +78,10 @@ def term_slots(text: str | None, cache: TermSlots) -> np.ndarray:
     found = np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.int64)
     slots, n = np.unique(found, return_counts=True)
     begun = (slots & 1 == 1) & (n > 1)
+    if not begun.any():
+        return slots
     many, n = slots[begun], n[begun]
-    marks = [many[n >= c] + c * _MARK for c in SEVERAL] + [many[n >= r * len(words)] + i * _MARK for i, r in enumerate(RATES, 11)]
+    marks = [many[n >= c] + i for c, i in zip(SEVERAL, _MARKS, strict=False)] + [many[n >= r * len(words)] + i for r, i in zip(RATES, _MARKS[len(SEVERAL) :], strict=True)]
     return np.unique(np.concatenate([slots, *(mark % (1 << BITS) for mark in marks)]))
 
 
@@ -85,6 +98,10 @@ class FactorMachine:
             linear += 0.5 * (np.bincount(rows, x, n) ** 2 - np.bincount(rows, x * x, n))
         return linear
 
+    def wanted(self) -> frozenset[int]:
+        """Slots that have weights or whose marks may have."""
+        return frozenset(self.slots.tolist()) | {(slot - mark) % (1 << BITS) for slot in self.slots.tolist() for mark in _MARKS if slot & 1}
+
     def scores(self, texts: list[str | None], cache: TermSlots) -> np.ndarray:
         found = [term_slots(t, cache) for t in texts]
         rows = np.repeat(np.arange(len(texts)), [len(x) for x in found])
@@ -94,6 +111,23 @@ class FactorMachine:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows[known], at[known], len(texts)), -30, 30)))
 
 
+def telling_pairs(examples: list[tuple[int, np.ndarray]], df: np.ndarray, chosen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Slots of words that are not ``chosen`` but occur in pairs with the label more often than chance explains."""
+    strong = chosen[toxic[chosen] > 0.5 * df[chosen]]
+    unexplained = [slots for label, slots in examples if label and not np.isin(strong, slots, assume_unique=True).any()]
+    if len(unexplained) < DF_LEAST:
+        return chosen[:0]
+    slots, n = np.unique(np.concatenate(unexplained), return_counts=True)
+    some = (slots & 1 == 0) & (n >= DF_LEAST) & ~np.isin(slots, chosen)
+    slots = np.sort(slots[some][np.argsort(-n[some], kind="stable")[:PAIR_WORDS]])
+    has = np.stack([np.isin(slots, x, assume_unique=True) for _, x in examples]).astype(np.float32)
+    y = np.array([label for label, _ in examples], bool)
+    share, both, with_label = y.mean(), has.T @ has, has[y].T @ has[y]
+    z = (with_label - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
+    np.fill_diagonal(z, 0)
+    return slots[((both >= DF_LEAST) & (z >= Z_PAIR)).any(axis=1)]
+
+
 def fit_machine(examples: list[tuple[int, np.ndarray]]) -> FactorMachine:
     """Fits on (label, distinct slots) examples."""
     none = FactorMachine(np.zeros(0, np.int64), np.zeros(1), np.zeros((0, FACTORS)))
@@ -108,6 +142,7 @@ def fit_machine(examples: list[tuple[int, np.ndarray]]) -> FactorMachine:
         toxic[slots] += label
     z = (toxic - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
     chosen = np.flatnonzero((df >= DF_LEAST) & (np.abs(z) >= Z_LEAST))
+    chosen = np.union1d(chosen, telling_pairs(examples, df, chosen, toxic))
     if not len(chosen):
         return none
     found = [np.flatnonzero(np.isin(chosen, slots, assume_unique=True)) for _, slots in examples]
@@ -154,8 +189,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     machine = fit_toxicity(docs, labels, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    wanted = machine.wanted()
+
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TermSlots()
+        cache = TermSlots(wanted)
         for batch in it:
             texts = batch.column(1).to_pylist()
             scores = [machine.scores(texts[a:b], cache) for a, b in text_blocks(texts)]
