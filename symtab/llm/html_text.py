@@ -9,14 +9,16 @@ and id from the body down); for each node the tree counts, over the m pages that
   a notice that all pages carry scores 0 and a text of one page 1;
 * a node with l child sequences has the importance (1 - GAMMA ** l) * presentation + GAMMA ** l * content.
 
-Branches of importance below LEAST are removed from every page of the host, given at least MIN_PAGES pages. What a page
-declares about itself is the prior: branches that are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments by element, role, class or id weigh 0 (for <html> and <body> class and id do not count, and around a main branch only
-whole class names do, as in "comments" but not in "with-comments"), <article> and <main> are never removed by statistics, and a page that has
-either keeps nothing outside. That prior also serves hosts with few pages.
+Nodes that at least MIN_PAGES pages of a host have are judged: branches of importance below LEAST are removed from every page of
+the host, inside <article> and <main> too (there as containers, such as a box that all articles bear; running text by its
+element alone, as a paragraph, is not, nor are these two themselves). What a page declares about itself is the prior: branches that are
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments by element, role, class or id weigh 0 (for <html> and <body>
+class and id do not count, and around a main branch only whole class names do, as in "comments" but not in "with-comments"). Of a
+page with <article> or <main> what lies outside is kept only where the tree calls it important and it is a heading or
+paragraph before the main branch, as a headline or lead. The prior also serves hosts with few pages.
 
 Counts are aggregated by (host, node, feature) before each shuffle, so a host with a third of all pages is no one task's work.
-The verdicts come back to the pages by a join on the host, broadcast only if they are few.
+The verdicts come back to the pages by a join on the host, broadcast only below a size.
 
 Text: character references decoded, white space of a block turned into one space, ends trimmed, blocks joined by two
 newlines in page order, nothing capped. Defined results: null or empty html gives an empty text; a null or odd url counts
@@ -39,14 +41,16 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from symtab.llm.common import fresh, materialize, without
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.2, 8
-#: Hosts with verdicts that may be broadcast.
-BROADCAST_HOSTS = 20_000
+#: Nodes with verdicts (8 bytes each) that may be broadcast.
+BROADCAST_NODES = 2_000_000
 
 # Element names of HTML by their role here, and class or id words of page furniture.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style noscript template iframe svg math textarea object canvas noembed noframes xmp".split())
 FURNITURE = frozenset("head title nav menu footer aside form fieldset legend button select option dialog search".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+FLOW = MAIN | HEADINGS | frozenset("li dt dd blockquote pre tr td th tbody thead tfoot figcaption caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup overlay modal newsletter subscribe subscription paywall"
@@ -168,21 +172,19 @@ def _parse(html: str | None, nodes: list[Node]):
         yield None, stack.pop()
 
 
-def page_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
-    """Main text of a page; ``low``: paths of unimportant nodes of its host."""
-    kept, inside, has_main = [], [], False
-    for said, stack in blocks_of(html):
+def page_text(html: str | None, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
+    """Main text of a page; ``low``: paths of unimportant nodes of its host, ``high``: of important ones outside main branches."""
+    kept, has_main, above = [], False, True
+    for said, where in blocks_of(html):
         if said is None:
-            has_main = has_main or stack.tag in MAIN and not stack.drop
+            has_main = has_main or where.tag in MAIN and not where.drop
             continue
-        top = stack[-1]
-        # statistics remove nothing inside a main branch
-        if top.drop or (low and any(n.path in low for n in stack if not n.main)):
+        top = where[-1]
+        if top.drop or (low and any(n.path in low and not (n.main and n.tag in FLOW) for n in where)):
             continue
-        kept.append(said)
-        if top.main:
-            inside.append(said)
-    text = "\n\n".join(inside if has_main else kept)
+        above = above and not top.main
+        kept.append((said, top.main or (above and top.tag in HEADINGS and top.path in high)))
+    text = "\n\n".join(said for said, near in kept if near or not has_main)
     # where all pages are alike, statistics find nothing important: then only the page's own marks count
     return text if text or not low else page_text(html)
 
@@ -192,7 +194,7 @@ def _signed(x: int) -> int:
 
 
 def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature): of each page once, kind 0 the node itself, 1 its child sequence, 2 a text below it."""
+    """(host, path, kind, feature): of each page once, kind 0 the node itself (1 in a main branch), 1 its child sequence, 2 a text below it."""
     for batch in it:
         hosts, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: list[list] = [[], [], [], []]
@@ -201,7 +203,7 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for said, where in blocks_of(html):
                 if said is None:
                     if not where.drop:
-                        seen.add((where.path, 0, 0))
+                        seen.add((where.path, 0, int(where.main)))
                         seen.add((where.path, 1, xxhash.xxh3_64_intdigest("|".join(where.children))))
                 elif not where[-1].drop:
                     h = xxhash.xxh3_64_intdigest(said)
@@ -218,12 +220,12 @@ def host_of(url: str):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, styles, importance) of each node of each host's merged tree."""
+    """(host, path, main, pages, styles, importance) of each node of each host's merged tree."""
     features = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(_features, "host string, path long, kind int, feature long")
     k = features.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("k"))
     one = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
     node = k.groupBy("host", "path").agg(
-        one(0, F.col("k")).alias("pages"), one(1, F.lit(1)).alias("styles"), one(1, F.col("k") * F.log("k")).alias("style_sum"),
+        one(0, F.col("k")).alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("feature"))).alias("main"), one(1, F.lit(1)).alias("styles"), one(1, F.col("k") * F.log("k")).alias("style_sum"),
         one(2, F.lit(1)).alias("texts"), one(2, F.log("k")).alias("text_sum"),
     )
     # entropy of the styles: -sum(k/m log(k/m)) = log m - sum(k log k) / m
@@ -231,26 +233,28 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     presentation = (m - F.col("style_sum") / F.col("pages")) / m
     content = F.when(F.col("texts") > 0, 1 - F.col("text_sum") / (F.col("texts") * m)).otherwise(0.0)
     share = F.pow(F.lit(GAMMA), F.col("styles"))
-    return node.select("host", "path", "pages", "styles", F.when(F.col("pages") < 2, 1.0).otherwise((1 - share) * presentation + share * content).alias("importance"))
+    return node.select("host", "path", (F.col("main") == 1).alias("main"), "pages", "styles", F.when(F.col("pages") < 2, 1.0).otherwise((1 - share) * presentation + share * content).alias("importance"))
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` plus ``text`` and ``n_chars``."""
-    tree = style_tree(pages, url_col, html_col).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST))
-    low = materialize(tree.groupBy("host").agg(F.collect_list("path").alias("low")), "style-tree")
+    tree = style_tree(pages, url_col, html_col).filter(f"pages >= {MIN_PAGES} and (importance < {LEAST} or not main)").withColumn("is_low", F.col("importance") < LEAST)
+    of = lambda wanted: F.collect_list(F.when(wanted, F.col("path")))
+    judged = materialize(tree.groupBy("host").agg(of(F.col("is_low")).alias("low"), of(~F.col("is_low")).alias("high")), "style-tree")
     pages = without(pages, "text", "n_chars")
     columns = pages.columns
-    host, host2, paths = fresh(pages, "sst_host", "sst_host2", "sst_low")
-    verdicts = low.select(F.col("host").alias(host2), F.col("low").alias(paths))
-    verdicts = F.broadcast(verdicts) if low.count() <= BROADCAST_HOSTS else verdicts
-    joined = pages.withColumn(host, host_of(url_col)).join(verdicts, F.col(host) == F.col(host2), "left").select(*columns, paths)
+    host, host2, *paths = fresh(pages, "sst_host", "sst_host2", "sst_low", "sst_high")
+    verdicts = judged.select(F.col("host").alias(host2), F.col("low").alias(paths[0]), F.col("high").alias(paths[1]))
+    nodes = judged.agg(F.sum(F.size("low") + F.size("high") + 8)).first()[0] or 0
+    verdicts = F.broadcast(verdicts) if nodes <= BROADCAST_NODES else verdicts
+    joined = pages.withColumn(host, host_of(url_col)).join(verdicts, F.col(host) == F.col(host2), "left").select(*columns, *paths)
     at = columns.index(html_col)
     keep = [c for c in columns if c != html_col]
 
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            html, lows = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
-            texts = [page_text(h, frozenset(p % (1 << 64) for p in x or ())) for h, x in zip(html, lows, strict=True)]
+            html, *verdicts = (batch.column(i).to_pylist() for i in (at, len(columns), len(columns) + 1))
+            texts = [page_text(h, *(frozenset(p % (1 << 64) for p in x or ()) for x in judged)) for h, *judged in zip(html, *verdicts, strict=True)]
             kept = [batch.column(i) for i in range(len(columns)) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -39,6 +39,47 @@ def test_style_tree_removes_what_all_pages_repeat(spark):
     assert all("Always" not in r.text for r in kept.collect())
 
 
+def test_style_tree_decides_on_pages_with_a_main_branch(spark):
+    box = "<div class='boxed'><p>Read this next, and that</p></div>"
+    page = lambda i, box=box: f"<body><div class='q'><h1>Headline {i}</h1></div><p class='slogan'>One slogan</p><article><p>First {i} of {i * i}</p>{box}<p>The same closing line</p><div class='owned'><p>own {i}</p></div></article><div><p>teaser {i}</p></div>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == f"Headline {i}\n\nFirst {i} of {i * i}\n\nThe same closing line\n\nown {i}"
+    for i in range(3):  # too few pages for statistics
+        assert got[100 + i] == f"First {i} of {i * i}\n\nRead this next, and that\n\nThe same closing line\n\nown {i}"
+
+
+def test_style_tree_by_hand(spark):
+    """Importances against entropies of literal lists of what each page shows."""
+    rng = random.Random(5)
+    rows = [(i, f"http://h{i % 2}.example/{i}", "<body>" + "".join(f"<div class='{rng.choice('ab')}'><p>{rng.choice(['x', 'y', str(i)])}</p></div>" for _ in range(rng.randrange(1, 4)))) for i in range(24)]
+    tree = html_text.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    shown: dict = {}
+    for i, url, html in rows:
+        texts, styles = {}, {}
+        for said, where in html_text.blocks_of(html):
+            if said is None:
+                styles.setdefault(where.path, set()).add(tuple(where.children))
+            else:
+                for n in where[1:]:
+                    texts.setdefault(n.path, set()).add(said)
+        for path in styles:
+            shown.setdefault((url[7:17], path), []).append((styles[path], texts.get(path, set())))
+    assert len(tree) == len(shown)
+    for r in tree:
+        pages = shown[r.host, r.path % (1 << 64)]
+        m = len(pages)
+        styles, texts = Counter(s for p in pages for s in p[0]), Counter(t for p in pages for t in p[1])
+        want = 1.0
+        if m > 1:
+            presentation = 1 - sum(k * math.log(k) for k in styles.values()) / m / math.log(m)
+            content = 1 - sum(math.log(k, m) for k in texts.values()) / len(texts) if texts else 0.0
+            share = html_text.GAMMA ** len(styles)
+            want = (1 - share) * presentation + share * content
+        assert (r.pages, r.styles) == (m, len(styles)) and math.isclose(r.importance, want, abs_tol=1e-9)
+
+
 def test_chat(spark):
     log = {1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "hi")], 3: [("user", "hi"), ("assistant", "yo")], 4: [("user", "hi"), ("assistant", "no"), ("user", None)], 5: [(None, ""), ("user", "<|im_end|>x")], 6: [("user", "hi"), ("assistant", "no"), ("user", "")]}
     rows = [(c, t, r, x) for c, turns in log.items() for t, (r, x) in enumerate(turns)] + [(None, 0, "user", "lost"), (7, 0, "user", "twice"), (7, 0, "user", "twice")]
