@@ -19,9 +19,9 @@ def span_area(loc: Column) -> Column:
 
 
 def line_col_to_offset(text: Column, line: Column, col: Column) -> Column:
-    """Offset of a 0-based position, the start of its line plus the column; -1 for a line that is not there."""
+    """Offset of a 0-based position in UTF-16 units, the start of its line plus the column; -1 for a line that is not there."""
     lines = F.split(text, "\n")
-    before = F.aggregate(F.slice(lines, 1, F.greatest(line, F.lit(0)).cast("int")), F.lit(0), lambda total, x: total + F.length(x) + 1)
+    before = F.aggregate(F.slice(lines, 1, F.greatest(line, F.lit(0)).cast("int")), F.lit(0), lambda total, x: total + (F.octet_length(F.encode(x, "UTF-16LE")) / 2).cast("int") + 1)
     return F.when((line >= 0) & (line < F.size(lines)), before + col).otherwise(F.lit(-1)).cast("int")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def offset_of(text: str, line: int, col: int) -> int:
@@ -88,11 +89,18 @@ def document_lifecycle(events: DataFrame) -> DataFrame:
 
 
 def accumulate_with_reset(events: DataFrame, key: str = "uri", order: tuple[str, ...] = ("ts", "event_id"), item: str = "item", reset: str = "reset") -> DataFrame:
-    """``events`` plus ``items``: the sorted set after each event. A reset event starts the set anew with its own item."""
+    """``events`` plus ``items``: the sorted set after each event. A reset event starts the set anew with its own items.
+
+    ``item`` is one item or an array of them, which may be empty; nulls, in it or instead of it, add nothing.
+    """
     by_time = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     epoch = events.withColumn("_epoch", F.sum(F.col(reset).cast("int")).over(by_time))
     inside = Window.partitionBy(key, "_epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return epoch.withColumn("items", F.sort_array(F.collect_set(item).over(inside))).drop("_epoch")
+    if isinstance(events.schema[item].dataType, ArrayType):
+        found = F.array_distinct(F.array_compact(F.flatten(F.collect_list(item).over(inside))))
+    else:
+        found = F.collect_set(item).over(inside)
+    return epoch.withColumn("items", F.sort_array(found)).drop("_epoch")
 
 
 def debounce(events: DataFrame, keys: list[str], delay: str, ts: str = "ts", order: tuple[str, ...] = ("event_id",)) -> DataFrame:

@@ -58,12 +58,19 @@ def best_target_for_file(file_targets: DataFrame, targets: DataFrame, version: s
     return best.select("uri", "b.target_id", f"b.{version}")
 
 
-def assign_container_owner(target_paths: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(path, target_ord): each archive on a class path, except the project's own outputs, belongs to its first target."""
+def assign_container_owner(target_paths: DataFrame, outputs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(path, target_ord): each archive on a class path that is there (in ``existing``, if given), except the project's own outputs, belongs to its first target."""
     archives = target_paths.filter(F.col("path").endswith(".jar"))
+    archives = archives if existing is None else archives.join(existing.select("path").distinct(), "path", "left_semi")
     return archives.join(outputs.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.min("target_ord").alias("target_ord"))
 
 
+def with_class_path(owners: DataFrame, target_paths: DataFrame, order: str = "path") -> DataFrame:
+    """``owners`` plus ``class_path``, the whole class path of the owning target by ``order``."""
+    whole = target_paths.groupBy("target_ord").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "path"))).alias("p"))
+    return owners.join(whole, "target_ord").select(*owners.columns, F.transform("p", lambda x: x["path"]).alias("class_path"))
+
+
 def choose_source(entries: DataFrame, coordinates: DataFrame, companions: DataFrame) -> DataFrame:
     """(container, source): ``tasty`` if any entry is, else ``java_source`` if the sources' archive of its coordinates is there, else ``bytecode``."""
     has = entries.groupBy("container").agg(F.bool_or(F.col("entry").endswith(".tasty")).alias("tasty"))
@@ -102,6 +109,12 @@ def membership_filter_build(names: DataFrame, bits: int, hashes: int) -> DataFra
     return at.groupBy("container", F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
 
 
+def membership_filter_add(filters: DataFrame, added: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """Filters after names were added to containers, old or new; filters can't forget, so a name that moved still may be contained where it was."""
+    both = filters.unionByName(membership_filter_build(added, bits, hashes))
+    return both.groupBy("container", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
 def membership_filter_union(filters: DataFrame) -> DataFrame:
     """(bucket, bitmap): the union over containers."""
     return filters.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))

@@ -17,7 +17,10 @@ def update_files(state: DataFrame, batch_uris: DataFrame, batch_rows: DataFrame)
 
 
 def add_container(state: DataFrame, added: DataFrame, load_seq: str = "load_seq", ordinal: str = "ordinal", key: str = "sym") -> DataFrame:
-    """Insert by id, the last writer (load_seq, ordinal) wins; the row remembers its container."""
+    """Insert by id, the last writer (load_seq, ordinal) wins; the row remembers its container.
+
+    Membership filters are refreshed by ``ingest.membership_filter_add`` with the same rows.
+    """
     both = state.unionByName(added.select(*state.columns))
     rest = [c for c in state.columns if c != key]
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(load_seq, ordinal)).alias("r")).select(key, "r.*").select(*state.columns)

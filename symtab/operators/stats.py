@@ -29,6 +29,12 @@ def debug_search(symbols: DataFrame, queries: DataFrame, limit: int = 100) -> Da
     return search_symbols(symbols, queries).orderBy("name_key", "sym").limit(limit).select("name_key", shown.alias("shown")).select("name_key", "shown.*")
 
 
+def debug_index(counts: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: the columns of ``counts`` (one row, as of ``index_stats``) and ``matches``, at most as many as ``debug_search`` leaves, in its order; none gives an empty array."""
+    one = matches.agg(F.sort_array(F.collect_list(F.struct(*matches.columns))).alias("matches")).withColumn("_one", F.lit(1))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+
+
 def diagnostic_rollup(diags: DataFrame, keep: int = 20) -> DataFrame:
     """(container, errors, warnings, status, messages): exact counts and the first ``keep`` messages by seq.
 

@@ -105,11 +105,11 @@ def sym59_changed_sources(spark, d):
     return maintain.changed_sources(stamp("stamps_prev"), stamp("stamps_curr"))
 
 
-@query("""SELECT 'file:///d/' || o_custkey AS source, string_agg('shop/O' || o_orderkey || '.class', ',' ORDER BY 'shop/O' || o_orderkey || '.class') AS products FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey
-UNION ALL SELECT 'file:///d/' || c_custkey, '' FROM customer WHERE c_custkey % 10 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT 'file:///d/' || o_custkey AS source, string_agg('shop/O' || o_orderkey || '.class', ',' ORDER BY 'shop/O' || o_orderkey || '.class') AS products FROM orders GROUP BY o_custkey
+UNION ALL SELECT 'file:///d/' || c_custkey, '' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def sym60_explode_products(spark, d):
     key = lambda c: F.concat(F.lit("file:///d/"), c).alias("source")
-    changed = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(key("c_custkey")).unionByName(table(spark, d, "orders").filter("o_custkey % 10 = 0").select(key("o_custkey"))).distinct()
+    changed = table(spark, d, "customer").select(key("c_custkey")).unionByName(table(spark, d, "orders").select(key("o_custkey"))).distinct()
     names = table(spark, d, "orders").select(key("o_custkey"), F.concat(F.lit("shop.O"), "o_orderkey").alias("class_name"))
     return maintain.explode_products(changed, names).withColumn("products", F.array_join("products", ","))
 
@@ -141,6 +141,18 @@ def sym63_accumulate_with_reset(spark, d):
     return events.accumulate_with_reset(view(spark, d, "diagnostic_events")).select("uri", "event_id", F.array_join("items", "|").alias("items"))
 
 
+@query(ctes("diagnostic_events") + """, s AS (SELECT *, CASE event_id % 5 WHEN 0 THEN [] WHEN 1 THEN NULL WHEN 2 THEN [item, NULL] ELSE [item, 'kind:' || split_part(item, ':', 1)] END AS items FROM diagnostic_events),
+e AS (SELECT *, sum(reset::INT) OVER (PARTITION BY uri ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM s)
+SELECT uri, event_id, array_to_string(list_sort(list_distinct(flatten(list(coalesce(items, [])) OVER (PARTITION BY uri, epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))), '|') AS items FROM e""")
+def sym63_accumulate_sets(spark, d):
+    """Events that bear a set each, of which some are empty or null, as for a file without findings."""
+    e, item, n = view(spark, d, "diagnostic_events"), F.col("item"), F.col("event_id") % 5
+    kind = F.concat(F.lit("kind:"), F.split_part("item", F.lit(":"), F.lit(1)))
+    none = F.array().cast("array<string>")
+    sets = F.when(n == 0, none).when(n == 1, None).when(n == 2, F.array(item, F.lit(None).cast("string"))).otherwise(F.array(item, kind))
+    return events.accumulate_with_reset(e.withColumn("found", sets), item="found").select("uri", "event_id", F.array_join("items", "|").alias("items"))
+
+
 @query(ctes("diagnostic_events") + """, n AS (SELECT uri, event_id, ts, lead(ts) OVER (PARTITION BY uri ORDER BY ts, event_id) AS nx, lead(ts) OVER (ORDER BY ts, event_id) AS nx_all FROM diagnostic_events)
 SELECT 'each' AS scope, uri, event_id FROM n WHERE nx IS NULL OR nx > ts + INTERVAL 6 HOUR UNION ALL SELECT 'all', uri, event_id FROM n WHERE nx_all IS NULL OR nx_all > ts + INTERVAL 10 MINUTE""")
 def sym64_debounce(spark, d):

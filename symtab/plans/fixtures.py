@@ -8,8 +8,10 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 import zipfile
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -99,6 +101,16 @@ def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def write_file(folder: str, name: str, data: bytes) -> None:
+    """Writes a file below a folder of any store; a task that runs twice leaves one whole file."""
+    fs, root = FileSystem.from_uri(folder)
+    part = f"{root}/{name}.{uuid.uuid4().hex}.part"
+    fs.create_dir(part.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(part) as f:
+        f.write(data)
+    fs.move(part, f"{root}/{name}")
+
+
 def class_bytes(name: str, flags: int, parent: str | None, interfaces: list[str], fields: list[tuple], methods: list[tuple], inner: tuple[str, str | None, str | None] | None = None) -> bytes:
     """A class file without code. ``fields`` and ``methods`` are (name, descriptor, flags); ``inner`` is (class, outer, simple name)."""
     pool: list[bytes] = []

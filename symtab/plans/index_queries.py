@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from symtab.functions import ids as I
 from symtab.functions import text as T
 from symtab.operators import hierarchy, ingest, lookup, stats
-from symtab.plans.fixtures import class_bytes, ctes, table, view, zip_bytes
+from symtab.plans.fixtures import class_bytes, ctes, table, view, write_file, zip_bytes
 from symtab.scratch import scratch_path
 from symtab.sources import archives, cache
 
@@ -39,14 +39,16 @@ def _symbols(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'lib/' || source || '-' || (doc_id // 50) || '.jar' AS container, doc_id || '.txt' AS entry, octet_length(encode(text))::BIGINT AS size FROM documents")
 def sym01_scan_archives(spark, d):
+    """Archives of 50 documents each are written to the shared folder, then scanned as files."""
     docs = table(spark, d, "documents").select(F.format_string("lib/%s-%d.jar", "source", F.expr("doc_id div 50")).alias("path"), "doc_id", "text")
+    folder = scratch_path(spark, "archives")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = zip_bytes([(f"{i}.txt", t.encode()) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)])
-        return pd.DataFrame({"path": pdf["path"].iloc[:1], "content": [data]})
+        write_file(folder, pdf["path"].iloc[0], zip_bytes([(f"{i}.txt", t.encode()) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]))
+        return pdf[["path"]].iloc[:1]
 
-    files = docs.groupBy("path").applyInPandas(pack, "path string, content binary")
-    return archives.archive_entries(files).select("container", "entry", "size")
+    docs.groupBy("path").applyInPandas(pack, "path string").count()
+    return archives.scan_archives(spark, folder).select(F.regexp_extract("container", "lib/[^/]*$", 0).alias("container"), "entry", "size")
 
 
 @query(ctes("symbols") + """,
@@ -102,9 +104,9 @@ def sym05_cache_lookup(spark, d):
     return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
 
-@query("SELECT DISTINCT sha256(text) AS sha, length(text) AS n FROM documents WHERE doc_id % 3 = 0 AND lang = 'en'")
+@query("SELECT DISTINCT sha256(text) AS sha, length(text) AS n FROM documents WHERE lang = 'en'")
 def sym06_cache_store(spark, d):
-    docs = cache.content_sha256(table(spark, d, "documents").filter("doc_id % 3 = 0").select("text", "lang"), "text")
+    docs = cache.content_sha256(table(spark, d, "documents").select("text", "lang"), "text")
     results = docs.filter("lang = 'en'").select("sha", F.length("text").cast("long").alias("n")).distinct()
     folder = scratch_path(spark, "cache")
     cache.cache_store(results, docs.select("sha"), folder, "1")
@@ -221,8 +223,8 @@ def sym20_span(spark, d):
     return view(spark, d, "spans").select("sid", T.span_area(loc).alias("area"), T.span_contains(loc, F.col("start_line") + 3, F.lit(10)).alias("holds"))
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls, (doc_id % 9)::INT AS line, (doc_id % 5)::INT AS col FROM documents)
-SELECT doc_id, CASE WHEN line < len(ls) THEN (coalesce(list_sum(list_transform(ls[1:line], lambda x: length(x) + 1)), 0) + col)::INT ELSE -1 END AS off FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls, (doc_id % 9)::INT AS line, (doc_id % 5)::INT AS col FROM documents)
+SELECT doc_id, CASE WHEN line < len(ls) THEN (coalesce(list_sum(list_transform(ls[1:line], lambda x: length(x) + len(regexp_extract_all(x, '[\x{10000}-\x{10FFFF}]')) + 1)), 0) + col)::INT ELSE -1 END AS off FROM t""")
 def sym21_line_col_to_offset(spark, d):
     return table(spark, d, "documents").select("doc_id", T.line_col_to_offset(F.col("text"), (F.col("doc_id") % 9).cast("int"), (F.col("doc_id") % 5).cast("int")).alias("off"))
 
@@ -415,10 +417,14 @@ def sym44_best_target_for_file(spark, d):
     return ingest.best_target_for_file(files, ingest.latest_per_target(view(spark, d, "versions").select("target_id", "version")))
 
 
-@query(ctes("target_paths") + " SELECT path, min(target_ord) AS target_ord FROM target_paths WHERE path LIKE '%.jar' AND path NOT LIKE 'out/%' GROUP BY path")
+@query(ctes("target_paths") + """, o AS (SELECT path, min(target_ord) AS target_ord FROM target_paths WHERE path LIKE '%.jar' AND path NOT LIKE 'out/%' AND path NOT LIKE '%3.jar' GROUP BY path),
+c AS (SELECT target_ord, string_agg(path, ':' ORDER BY path) AS class_path FROM target_paths GROUP BY target_ord) SELECT path, target_ord, class_path FROM o JOIN c USING (target_ord)""")
 def sym45_assign_container_owner(spark, d):
+    """Archives whose number ends in 3 are on class paths, but not there."""
     paths = view(spark, d, "target_paths")
-    return ingest.assign_container_owner(paths, paths.filter("path like 'out/%'").select("path"))
+    existing = paths.filter("path not like '%3.jar'").select("path")
+    owners = ingest.assign_container_owner(paths, paths.filter("path like 'out/%'").select("path"), existing)
+    return ingest.with_class_path(owners, paths).withColumn("class_path", F.array_join("class_path", ":"))
 
 
 @query("""SELECT o_custkey AS container, CASE WHEN bool_or(o_orderstatus = 'F' AND o_orderkey % 5 = 0) THEN 'tasty' WHEN o_custkey % 2 = 0 AND o_custkey % 3 = 0 THEN 'java_source' ELSE 'bytecode' END AS source FROM orders GROUP BY o_custkey""")
@@ -467,6 +473,16 @@ def sym50_debug_search(spark, d):
     return stats.debug_search(_displayable(spark, d), view(spark, d, "search_queries").filter("query = 'S'"))
 
 
+@query(ctes("symbols", "refs") + f""", m AS (SELECT lower(name) AS k, 's' || sid AS sym FROM symbols WHERE starts_with(lower(name), 's') ORDER BY lower(name), 's' || sid LIMIT 100)
+SELECT count(DISTINCT sid) FILTER (in_project) AS project_symbols, count(DISTINCT sid) FILTER (in_dependency) AS dependency_symbols, (SELECT count(*) FROM (SELECT uri FROM symbols WHERE in_project UNION SELECT uri FROM refs)) AS files,
+count(DISTINCT owner1) FILTER (in_dependency) AS containers, (SELECT string_agg(sym, ',' ORDER BY k, sym) FROM m) AS matches FROM symbols""")
+def sym50_debug_index(spark, d):
+    """The counts of the index and, in the same row, what the search finds."""
+    found = stats.debug_search(_displayable(spark, d), view(spark, d, "search_queries").filter("query = 'S'"))
+    report = stats.debug_index(sym49_index_stats(spark, d).drop("references"), found)
+    return report.withColumn("matches", F.array_join(F.transform("matches", lambda m: m["sym"]), ","))
+
+
 @query(ctes("index_diagnostics") + """, r AS (SELECT *, row_number() OVER (PARTITION BY container ORDER BY seq) AS rk FROM index_diagnostics)
 SELECT container, count(*) FILTER (is_error) AS errors, count(*) FILTER (NOT is_error) AS warnings, CASE WHEN bool_or(is_error) THEN 'Error' ELSE 'Ok' END AS status,
 string_agg(message, '|' ORDER BY rk) FILTER (rk <= 20) AS messages FROM r GROUP BY container""")

@@ -1,4 +1,4 @@
-"""Tables in the shared folder that spark.checkpoint.dir names; set here only where it is unset, as in tests."""
+"""Tables in the shared folder that spark.checkpoint.dir names; set here only where it is unset and Spark runs on one machine, as in tests."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, removed when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/symtab-{label}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from symtab.operators.events import ORDER, _joined, _units, fold_document
@@ -60,7 +61,8 @@ class Accumulate(StatefulProcessor):
         items = set(self.items.get()[0]) if self.items.exists() else set()
         out = []
         for e in _rows(rows, ["ts", "event_id"]).itertuples(index=False):
-            items = {e.item} if e.reset else items | {e.item}
+            found = {e.item} if isinstance(e.item, str) else {i for i in (e.item if e.item is not None else ()) if isinstance(i, str)}
+            items = found if e.reset else items | found
             out.append((key[0], e.event_id, sorted(items)))
         self.items.update((sorted(items),))
         yield pd.DataFrame(out, columns=["uri", "event_id", "items"])
@@ -70,7 +72,7 @@ class Accumulate(StatefulProcessor):
 
 
 def stream_accumulate(events: DataFrame) -> DataFrame:
-    """(uri, event_id, items): the set after each event (uri, ts, event_id, item, reset)."""
+    """(uri, event_id, items): the set after each event (uri, ts, event_id, item, reset), ``item`` being one item or an array; nulls add nothing."""
     return events.groupBy("uri").transformWithStateInPandas(Accumulate(), "uri string, event_id long, items array<string>", "Append", "None")
 
 
@@ -83,42 +85,46 @@ def _ms(t: pd.Timestamp) -> int:
 
 
 class Debounce(StatefulProcessor):
-    """State: the last event, which fires when the watermark passes its delay."""
+    """State: the last event of the scope, which fires when the watermark passes its delay."""
 
     def __init__(self, delay: pd.Timedelta):
         self.delay = delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, event_id long")
+        self.last = handle.getValueState("last", "us long, event_id long, uri string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = [(pd.Timestamp(e.ts), int(e.event_id)) for e in _rows(rows, ["ts", "event_id"]).itertuples(index=False)]
+        events = [(pd.Timestamp(e.ts), int(e.event_id), e.uri) for e in _rows(rows, ["ts", "event_id"]).itertuples(index=False)]
         if self.last.exists():
-            us, event = self.last.get()
-            events.append((_EPOCH + pd.Timedelta(microseconds=us), event))
+            us, event, uri = self.last.get()
+            events.append((_EPOCH + pd.Timedelta(microseconds=us), event, uri))
             self.handle.deleteTimer(_ms(events[-1][0] + self.delay))
-            events.sort()
+            events.sort(key=lambda e: e[:2])
         fired = [a for a, b in zip(events[:-1], events[1:], strict=True) if b[0] > a[0] + self.delay]
-        t, event = events[-1]
-        self.last.update(((t - _EPOCH) // pd.Timedelta(microseconds=1), event))
+        t, event, uri = events[-1]
+        self.last.update(((t - _EPOCH) // pd.Timedelta(microseconds=1), event, uri))
         self.handle.registerTimer(_ms(t + self.delay))
         if fired:
-            yield pd.DataFrame({"uri": [key[0]] * len(fired), "event_id": [e for _, e in fired]})
+            yield pd.DataFrame({"uri": [u for _, _, u in fired], "event_id": [e for _, e, _ in fired]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
-            event = self.last.get()[1]
+            _, event, uri = self.last.get()
             self.last.clear()
-            yield pd.DataFrame({"uri": [key[0]], "event_id": [event]})
+            yield pd.DataFrame({"uri": [uri], "event_id": [event]})
 
     def close(self) -> None:
         pass
 
 
-def stream_debounce(events: DataFrame, delay_seconds: float) -> DataFrame:
-    """(uri, event_id) of the events that no later one of the same uri follows within the delay."""
-    return events.groupBy("uri").transformWithStateInPandas(Debounce(pd.Timedelta(seconds=delay_seconds)), "uri string, event_id long", "Append", "EventTime")
+def stream_debounce(events: DataFrame, delay_seconds: float, keyed: bool = True) -> DataFrame:
+    """(uri, event_id) of the events that no later one follows within the delay: of the same uri or, if not ``keyed``, of any.
+
+    One scope for all is one state, so one task's work: only the last event is kept in it.
+    """
+    scoped = events.withColumn("scope", F.col("uri") if keyed else F.lit("all"))
+    return scoped.groupBy("scope").transformWithStateInPandas(Debounce(pd.Timedelta(seconds=delay_seconds)), "uri string, event_id long", "Append", "EventTime")
 
 
 class Conflate(StatefulProcessor):

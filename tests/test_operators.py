@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from symtab.functions import text
 from symtab.operators import events, hierarchy, ingest, lookup, maintain, stats
 from symtab.plans.fixtures import view
 
@@ -91,9 +92,9 @@ EDIT = "uri string, version long, ordinal int, full_replace boolean, start_line
 
 
 def test_double_edit(spark):
-    docs = spark.createDataFrame([("u", "val crazyBug = 123\n  \n  \n//end"), ("still", "x")], "uri string, content string")
-    edits = spark.createDataFrame([("u", 1, 0, False, 2, 0, 2, 2, ""), ("u", 1, 1, False, 1, 2, 1, 2, "\n"), ("new", 1, 0, False, 0, 0, 0, 0, "fresh")], EDIT)
-    assert rows(events.fold_edits(docs, edits)) == [("new", "fresh"), ("still", "x"), ("u", "val crazyBug = 123\n  \n\n\n//end")]
+    docs = spark.createDataFrame([("u", "one two\nthree four\nfive six"), ("still", "x")], "uri string, content string")
+    edits = spark.createDataFrame([("u", 1, 0, False, 1, 0, 1, 6, ""), ("u", 1, 1, False, 0, 3, 1, 1, "\nsh"), ("new", 1, 0, False, 0, 0, 0, 0, "fresh")], EDIT)
+    assert rows(events.fold_edits(docs, edits)) == [("new", "fresh"), ("still", "x"), ("u", "one\nshour\nfive six")]
 
 
 def test_missing_line_prepends_and_columns_count_utf16(spark):
@@ -103,6 +104,38 @@ def test_missing_line_prepends_and_columns_count_utf16(spark):
     assert rows(events.fold_edits(docs, edits)) == [("u", "\U0001f600c")]
 
 
+def test_offsets_count_utf16_units(spark):
+    lines = spark.createDataFrame([("\U0001f600a\nb", 1, 0), ("ab\nc", 1, 1), ("ab", 2, 0), ("ab", -1, 0), ("", 0, 3)], "text string, line int, col int")
+    assert [r[0] for r in lines.select(text.line_col_to_offset(F.col("text"), F.col("line"), F.col("col"))).collect()] == [4, 4, -1, -1, 3]
+
+
+def test_filters_follow_added_containers(spark):
+    names = lambda c, ns: spark.createDataFrame([(c, n) for n in ns], "container string, name string")
+    bits, hashes = ingest.bloom_parameters(50)
+    filters = ingest.membership_filter_build(names("a", ["One", "Two"]), bits, hashes)
+    filters = ingest.membership_filter_add(filters, names("a", ["Three"]).unionByName(names("b", ["Four"])), bits, hashes)
+    asked = names("a", ["one", "two", "three", "four"]).unionByName(names("b", ["four", "one"])).unionByName(names("c", ["one"]))
+    assert {(r.container, r.name) for r in ingest.membership_filter_probe(filters, asked, bits, hashes).filter("might_contain").collect()} == {("a", "one"), ("a", "two"), ("a", "three"), ("b", "four")}
+
+
+def test_debug_index_without_matches(spark):
+    counts = spark.createDataFrame([(3, 4)], "project_symbols int, files int")
+    row = stats.debug_index(counts, spark.createDataFrame([], "name_key string, sym string")).first()
+    assert (row.project_symbols, row.files, row.matches) == (3, 4, [])
+
+
+def test_owner_must_exist(spark):
+    paths = spark.createDataFrame([(1, "a.jar"), (1, "b.jar"), (2, "a.jar"), (2, "c.jar"), (2, "out.jar"), (3, "x.txt")], "target_ord int, path string")
+    only = lambda *p: paths.filter(F.col("path").isin(*p)).select("path")
+    owners = ingest.assign_container_owner(paths, only("out.jar"), only("a.jar", "c.jar", "out.jar"))
+    assert rows(ingest.with_class_path(owners, paths), "path", "target_ord", "class_path") == [("a.jar", 1, ["a.jar", "b.jar"]), ("c.jar", 2, ["a.jar", "c.jar", "out.jar"])]
+
+
+def test_sets_may_be_empty_or_null(spark):
+    e = spark.createDataFrame([("u", 1, 1, ["b", None, "a"], False), ("u", 2, 2, None, False), ("u", 3, 3, [], True), ("u", 4, 4, ["c"], False), ("v", 1, 5, None, False)], "uri string, ts int, event_id long, item array<string>, reset boolean")
+    assert rows(events.accumulate_with_reset(e), "event_id", "items") == [(1, ["a", "b"]), (2, ["a", "b"]), (3, []), (4, ["c"]), (5, [])]
+
+
 def test_lifecycle(spark):
     schema = EDIT + ", event_type string"
     e = lambda uri, version, kind, text: (uri, version, 0, False, 0, 0, 0, 0, text, kind)

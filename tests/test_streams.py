@@ -53,6 +53,24 @@ def test_accumulate(spark, diagnostics, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_accumulate_sets(spark, diagnostics, tmp_path):
+    _, early = halves(diagnostics)
+    n = F.col("event_id") % 4
+    sets = diagnostics.withColumn("item", F.when(n == 0, F.array().cast("array<string>")).when(n == 1, None).otherwise(F.array("item", F.lit(None).cast("string"))))
+    out = run(spark, sets, streams.stream_accumulate, tmp_path, [early, ~early], "append", "accsets")
+    batch = events.accumulate_with_reset(sets).select("uri", "event_id", "items")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_debounce_of_one_scope(spark, diagnostics, tmp_path):
+    _, early = halves(diagnostics)
+    fed = with_end(spark, diagnostics)
+    make = lambda s: streams.stream_debounce(s.withWatermark("ts", "0 seconds"), 600, keyed=False)
+    out = run(spark, fed, make, tmp_path, [early & ~F.expr(END), ~early & ~F.expr(END), F.expr(END + " and event_id = -1"), F.expr(END + " and event_id = -2")], "append", "deb1").filter("uri <> 'end'")
+    batch = events.debounce(diagnostics, [], "10 MINUTES").select("uri", "event_id")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_debounce(spark, diagnostics, tmp_path):
     _, early = halves(diagnostics)
     fed = with_end(spark, diagnostics)
