@@ -10,25 +10,51 @@ from pyspark.sql import functions as F
 from symtab.operators.maintain import update_files
 
 
-def newest_snapshot(spark: SparkSession, table_path: str, below: int | None = None) -> int | None:
-    """Number of the newest complete snapshot (one whose _SUCCESS mark is there), of those below ``below``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+#: Parts of the table by hash of the uri; a batch rewrites only those that it touches.
+BUCKETS = 64
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers n of the entries name=n of a folder, in order."""
+    fs, hadoop = _fs(spark, path)
     if not fs.exists(hadoop):
-        return None
-    names = [str(s.getPath().getName()) for s in fs.listStatus(hadoop)]
-    numbers = [int(m[1]) for n in names if (m := re.fullmatch(r"batch=(\d+)", n))]
-    whole = [n for n in numbers if (below is None or n < below) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/batch={n}/_SUCCESS"))]
-    return max(whole, default=None)
+        return []
+    found = (re.fullmatch(rf"{name}=(\d+)", str(s.getPath().getName())) for s in fs.listStatus(hadoop))
+    return sorted(int(m[1]) for m in found if m)
+
+
+def snapshot(spark: SparkSession, table_path: str, below: int | None = None) -> dict[int, list[int]]:
+    """For each bucket the batches that wrote it, in order, of the complete ones (whose _SUCCESS mark is there) below ``below``."""
+    held: dict[int, list[int]] = {}
+    for n in _numbered(spark, table_path, "batch"):
+        fs, mark = _fs(spark, f"{table_path}/batch={n}/_SUCCESS")
+        if (below is None or n < below) and fs.exists(mark):
+            for bucket in _numbered(spark, f"{table_path}/batch={n}", "bucket"):
+                held.setdefault(bucket, []).append(n)
+    return held
 
 
-def read_snapshot(spark: SparkSession, table_path: str, schema=None) -> DataFrame | None:
-    """The newest complete snapshot."""
-    n = newest_snapshot(spark, table_path)
-    if n is None:
-        return None
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{table_path}/batch={n}")
+def _read(spark: SparkSession, table_path: str, held: dict[int, list[int]], schema) -> DataFrame | None:
+    paths = [f"{table_path}/batch={batches[-1]}/bucket={bucket}" for bucket, batches in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else None
+
+
+def read_snapshot(spark: SparkSession, table_path: str, schema) -> DataFrame | None:
+    """The newest complete state of every bucket."""
+    return _read(spark, table_path, snapshot(spark, table_path), schema)
+
+
+def drop_old(spark: SparkSession, table_path: str) -> None:
+    """Removes what no reader and no replay needs: of each bucket the newest two complete states stay."""
+    for bucket, batches in snapshot(spark, table_path).items():
+        for n in batches[:-2]:
+            fs, path = _fs(spark, f"{table_path}/batch={n}/bucket={bucket}")
+            fs.delete(path, True)
 
 
 def apply_versions(state: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -49,14 +75,19 @@ def live_rows(state: DataFrame) -> DataFrame:
     return state.filter(~F.col("deleted")).select("uri", "version", F.explode("rows").alias("r")).select("uri", "version", "r.*")
 
 
-def stream_file_versions(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = False):
-    """Starts the query. Snapshot n is made from the newest one below n, so a replayed batch writes the same table again."""
+def upsert(batch: DataFrame, n: int, table_path: str, buckets: int = BUCKETS) -> None:
+    """Writes batch ``n``: the buckets that it touches, made from their newest states below ``n``, so a replayed batch writes the same again."""
+    spark = batch.sparkSession
+    batch = batch.select("uri", "version", "deleted", "rows")
+    of = F.pmod(F.xxhash64("uri"), F.lit(buckets)).cast("int")
+    touched = {r[0] for r in batch.select(of.alias("bucket")).distinct().collect()}
+    held = {bucket: batches for bucket, batches in snapshot(spark, table_path, n).items() if bucket in touched}
+    after = apply_versions(_read(spark, table_path, held, batch.schema), batch)
+    after.withColumn("bucket", of).write.partitionBy("bucket").mode("overwrite").parquet(f"{table_path}/batch={n}")
+    drop_old(spark, table_path)
 
-    def upsert(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = newest_snapshot(spark, table_path, n)
-        state = None if before is None else spark.read.schema(batch.select("uri", "version", "deleted", "rows").schema).parquet(f"{table_path}/batch={before}")
-        apply_versions(state, batch).select("uri", "version", "deleted", "rows").write.mode("overwrite").parquet(f"{table_path}/batch={n}")
 
-    writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+def stream_file_versions(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = False):
+    """Starts the query; the table is read by ``read_snapshot``."""
+    writer = stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, table_path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

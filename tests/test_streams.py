@@ -111,4 +111,22 @@ def test_snapshots_are_replay_safe(spark, tmp_path):
     state = file_versions.apply_versions(None, one)
     again = file_versions.apply_versions(file_versions.apply_versions(state, two), two)
     assert sorted(map(tuple, file_versions.live_rows(again).collect())) == [("a", 2, "y")]
-    assert file_versions.newest_snapshot(spark, str(tmp_path / "none")) is None
+    assert file_versions.read_snapshot(spark, str(tmp_path / "none"), one.schema) is None
+
+
+def test_batches_rewrite_only_touched_buckets(spark, tmp_path):
+    schema = "uri string, version long, deleted boolean, rows array<struct<sym:string>>"
+    table = f"file://{tmp_path}/table"
+    batches = [[("a", 1, False, [("x",)]), ("b", 1, False, [("y",)]), ("c", 1, False, [("z",)])], [("a", 2, False, [("x2",)])], [("a", 3, True, [])], [("a", 2, False, [("late",)]), ("b", 3, False, [])]]
+    state = None
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, schema)
+        state = spark.createDataFrame(file_versions.apply_versions(state, batch).collect(), schema)
+        for _ in range(2):  # a replay changes nothing
+            file_versions.upsert(batch, n, table, buckets=16)
+            got = file_versions.read_snapshot(spark, table, batch.schema)
+            assert sorted(map(str, got.collect())) == sorted(map(str, state.collect()))
+    held = file_versions.snapshot(spark, table)
+    assert sum(map(len, held.values())) <= 2 * len(held)
+    touched = {len(b) for b in held.values()}
+    assert 1 in touched and 2 in touched  # what no later batch touched was written once
