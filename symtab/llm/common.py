@@ -1,9 +1,7 @@
-"""What the operators share: reading tables, scratch tables, fresh column names, and word hashing for Arrow batches."""
+"""What the operators share: reading tables, tables between steps, fresh column names, and word hashing for Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -11,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symtab.scratch import cut as materialize  # noqa: F401  (tables between steps)
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset, a local one (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends in files that outlive executors.
-
-    The folder is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/symtab-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` does not have yet (names differ by more than case)."""
     taken = {c.lower() for c in df.columns}

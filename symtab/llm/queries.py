@@ -104,6 +104,19 @@ e AS (SELECT DISTINCT text, k, unnest(list_transform(range(1, len(w) - k + 2), l
 m AS (SELECT text, item_id, count(*) AS n_shared FROM e JOIN s USING (k, g) GROUP BY text, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM m JOIN n USING (item_id) JOIN documents USING (text) WHERE n_shared >= 0.8::DOUBLE * n_item - 1e-9
+""",
+    "op6_count_vector_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, min(doc_id) AS first_id, text FROM documents GROUP BY text),
+w AS (SELECT id, w, least(len(w), 5) AS k FROM (SELECT id, {_WORDS} AS w FROM d)),
+e AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' ')))) AS g FROM w WHERE k > 0),
+n AS (SELECT id, count(*) AS n FROM e GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM sym UNION SELECT reach.id, sym.b FROM reach JOIN sym ON reach.other = sym.a),
+comp AS (SELECT reach.id, min(first_id) AS component_id FROM reach JOIN d ON d.id = other GROUP BY reach.id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE coalesce(component_id, first_id) END AS component_id
+FROM documents JOIN d ON d.text IS NOT DISTINCT FROM documents.text LEFT JOIN n USING (id) LEFT JOIN comp USING (id)
 """,
     "op7_fair_queueing_mix": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

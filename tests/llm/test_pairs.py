@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from symtab.llm import decontam, jaccard
@@ -77,6 +79,58 @@ def test_hot_group_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def rows_of(sets, head="c"):
+    """A shard's rows of one cell, as the steps of the join get them."""
+    tokens = [np.unique(np.array([hash(t) & ((1 << 63) - 1) for t in s], np.uint64)) for s in sets]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+    flat = np.concatenate(tokens)
+    points = jaccard.count_points(starts, flat)
+    return pd.DataFrame({"cell": head, "block": 0, "part": 0, "role": 2, "sid": [b"%06d" % i for i in range(len(sets))], "n": np.diff(starts), "point": points, "tokens": [t.tobytes() for t in tokens]})
+
+
+@pytest.mark.parametrize("changed", [9, 17, 30])
+def test_rows_grow_with_the_group_and_not_with_its_pairs(changed):
+    """Near copies whose similarities to each other lie about and just below the threshold."""
+    rng = random.Random(changed)
+    for n in (150, 300, 600):
+        sets = [{f"t{i}" for i in rng.sample(range(120), 120 - changed)} | {f"x{j}-{k}" for k in range(changed // 3)} for j in range(n)]
+        pdf = rows_of(sets)
+        assert len(jaccard._candidates(pdf)) <= n
+        edges = jaccard._links(pdf)
+        assert len(edges) < n
+        root = list(range(n))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges.itertuples(index=False):
+            assert 100 * len(sets[int(a)] & sets[int(b)]) >= 80 * len(sets[int(a)] | sets[int(b)])
+            root[find(int(a))] = find(int(b))
+        for i in range(0, n, 7):
+            for j in range(n):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    assert find(i) == find(j)
+
+
+def test_cells_beyond_a_block_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{i}-{k}" for k, w in enumerate(base))) for i in range(130)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows)
+
+
+def test_sets_short_of_groups_have_an_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_SHARE", {})
+    monkeypatch.setattr(jaccard, "LATER_SHARE", 0.03)  # far too few
+    rows = list(enumerate(corpus(4, 60)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows)
+
+
 def test_one_stays_of_each_component(spark):
     texts = corpus(2, 80)
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (0, texts[0])]
