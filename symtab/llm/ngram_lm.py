@@ -43,12 +43,13 @@ from symtab.llm.common import WordHashes, id_remainder_col, materialize, mix, te
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
 #: Characters of the texts of a block, and requests that one shard should have, about.
-BLOCK_CHARS, SHARD_REQUESTS = 8_000_000, 2_000_000
+BLOCK_CHARS, SHARD_REQUESTS = 6_000_000, 2_000_000
 #: Values of K at which shards add up what their states leave to the unseen.
 STRENGTHS = [2 ** (i / 4) for i in range(-24, 65)]
 #: Bits of an n-gram's hash beyond those that name its shard.
 KEY_BITS = 48
-LEVEL = 6
+#: Levels of compression of texts, and of keys and counts.
+TEXT_LEVEL, ARRAY_LEVEL = 6, 1
 
 # words hold no spaces, so these are no word's hashes
 START, END = np.uint64(xxhash.xxh3_64_intdigest(b" start")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -73,7 +74,7 @@ def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def squeeze(x: np.ndarray) -> bytes:
     """Integers with their first bytes together, then the second ones, and so on, compressed."""
-    return zstandard.ZstdCompressor(LEVEL).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(ARRAY_LEVEL).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unsqueeze(data: bytes, kind: type) -> np.ndarray:
@@ -132,7 +133,7 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.concat_arrays([h[0] for h in held])
         texts = [t.encode("utf-8", "surrogatepass") for h in held for t in h[2]]
         folds = np.concatenate([np.array(h[1].to_pylist(), bool) for h in held])
-        whole = zstandard.ZstdCompressor(LEVEL).compress(b"".join(texts))
+        whole = zstandard.ZstdCompressor(TEXT_LEVEL).compress(b"".join(texts))
         return pa.RecordBatch.from_arrays(
             [pa.array([task << 24 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([folds.tobytes()], pa.binary()), pa.array([squeeze(np.array([len(t) for t in texts], np.int64))], pa.binary()), pa.array([whole], pa.binary())],
             names=["block", "ids", "folds", "lengths", "texts"],
