@@ -1,6 +1,7 @@
 """Operators 1 and 7 against brute force, and on awkward rows."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def test_interleaving_empty_and_clashing_columns(spark):
 
 def brute_mix(rows, weights=(1, 2, 3)):
     """Plain weighted fair queueing; (doc_id, source, text) -> sizes, targets, copies."""
-    size = lambda t: len((t or "").split())
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
     total = {s: sum(size(r[1]) for r in rows if r[2] == s) for s in sources}
     w = {s: float(weights[i % len(weights)]) for i, s in enumerate(sources)}
