@@ -26,4 +26,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` and reads it again; lineage ends in files that outlive executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for these tables, once nothing is left to be computed from them."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_folder)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

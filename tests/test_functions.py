@@ -50,6 +50,13 @@ def test_id_drops_one_dollar(spark):
     assert (id_.pkg, id_.owners, id_.name, id_.is_term, id_.disambig) == (["p"], ["O$"], "n", False, None)
 
 
+def test_named_flags(spark):
+    flags = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    assert [value(spark, I.access_visibility(flags(*f), "flags")) for f in (("PrivateLocal",), ("Protected", "Package"), ("Package",), ())] == ["Private", "Protected", "Public", "Public"]
+    kept = [(("Case",), "name"), (("Synthetic",), "name"), (("Artifact",), "name"), (("Param",), "x"), (("ModuleVal",), "X"), ((), "$anon"), ((), "evidence$evidence$1"), ((), "$x"), ((), "x$")]
+    assert [value(spark, I.keep_symbol(flags(*f), F.lit(n), "named")) for f, n in kept] == [True, *[False] * 7, True]
+
+
 @pytest.mark.parametrize("flags, out", [(["Private", "Protected"], "Private"), (["Package"], "PackagePrivate"), (["Protected"], "Protected"), ([], "Public")])
 def test_java_visibility(spark, flags, out):
     assert value(spark, I.access_visibility(F.lit(flags) if flags else F.array().cast("array<string>"), "java")) == out
