@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symtab.scratch import cut as materialize  # noqa: F401  (tables between steps)
+from symtab.scratch import discard  # noqa: F401
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

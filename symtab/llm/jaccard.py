@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtab.llm.common import WordHashes, fresh, materialize, mix, text_blocks, words_of
+from symtab.llm.common import WordHashes, discard, fresh, materialize, mix, text_blocks, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -416,9 +416,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.col("v"), F.col("u"))).alias("x"), "m").filter("x > m")
         edges = materialize(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "small")
+        discard(large)
         now = mark(edges)
         if now == seen:
             break
@@ -482,27 +484,34 @@ def set_roots(docs: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     low, high = F.col("v").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("v", 33)
     keys = met.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(low).alias("s1"), F.sum(high).alias("s2"))
     keys = keys.groupBy("members", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    met = materialize(met.join(keys, "key", "left_semi"), "distinct-meetings")
+    all_met, met = met, materialize(met.join(keys, "key", "left_semi"), "distinct-meetings")
+    discard(all_met)
 
     # points of the sets that met others, and a text of each
     points = sets.join(met.select("v").distinct(), "v", "left_semi").groupBy("sid").agg(F.first("v").alias("v"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("point").alias("point"))
     points = materialize(points, "points")
     cells = materialize(dealt(met.join(points.select("v", "sid", "n"), "v").select(F.col("key").alias("cell"), "sid", "n")), "cells")
+    discard(met)
     n_shards = _shards(docs, cells.agg(F.sum("n")).first()[0] or 0)
     shard = lambda n: F.pmod(F.xxhash64("cell", "block", "part"), F.lit(n))
     pointed = cells.join(points.select("sid", "point"), "sid").withColumn("shard", shard(n_shards))
     near = materialize(pointed.groupBy("shard").applyInPandas(_candidates, "head binary, sid binary").distinct(), "candidates")
+    discard(cells)
 
     # tokens of the sets that are candidates, each read again from one text
-    near = near.join(points.select("sid", "n", "tkey"), "sid")
-    keys = materialize(near.select("tkey").distinct(), "keys-of-texts")
+    sized = near.join(points.select("sid", "n", "tkey"), "sid")
+    keys = materialize(sized.select("tkey").distinct(), "keys-of-texts")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_TEXTS else keys
     some = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey")).join(keys, "tkey", "left_semi")
     tokens = some.select("text").mapInArrow(_tokens, "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    cells = materialize(dealt(near.select(F.col("head").alias("cell"), "sid", "n")), "groups")
+    cells = materialize(dealt(sized.select(F.col("head").alias("cell"), "sid", "n")), "groups")
     n_shards = _shards(docs, cells.agg(F.sum("n")).first()[0] or 0)
     links = cells.join(tokens, "sid").withColumn("shard", shard(n_shards)).groupBy("shard").applyInPandas(_links, "a binary, b binary")
-    return components(materialize(links, "links")).select(F.col("v").alias("sid"), "root")
+    links = materialize(links, "links")
+    discard(cells, near)
+    out = materialize(components(links).select(F.col("v").alias("sid"), "root"), "roots-of-sets")
+    discard(points, links)
+    return out
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
