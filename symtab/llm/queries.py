@@ -53,7 +53,8 @@ def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+    out = ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_index, op3_site_style_tree, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity, op10_backoff_automaton)}
@@ -62,11 +63,12 @@ QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 #: CRC-32 from its polynomial: a table of 256 steps, then one fold over the bytes of each distinct text.
-_CRC = """
+_STEPS = """
 steps AS (
   SELECT list(v ORDER BY i) AS t FROM (
     SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i) AS v FROM range(256) r(i))
-),
+)"""
+_CRC = _STEPS + """,
 crcs AS (
   SELECT text, xor(list_reduce(list_transform(range(octet_length(encode(text))), lambda k: ('0x' || substr(hex(encode(text)), 2 * k + 1, 2))::BIGINT),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
@@ -117,6 +119,33 @@ reach AS (SELECT DISTINCT a AS id, a AS other FROM sym UNION SELECT reach.id, sy
 comp AS (SELECT reach.id, min(first_id) AS component_id FROM reach JOIN d ON d.id = other GROUP BY reach.id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE coalesce(component_id, first_id) END AS component_id
 FROM documents JOIN d ON d.text IS NOT DISTINCT FROM documents.text LEFT JOIN n USING (id) LEFT JOIN comp USING (id)
+""",
+    "op10_backoff_automaton": f"""
+WITH {_STEPS},
+ids AS (SELECT s, xor(list_reduce(list_transform(range(octet_length(encode(s))), lambda k: ('0x' || substr(hex(encode(s)), 2 * k + 1, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % {ngram_lm.FOLDS} = {ngram_lm.HELD_OUT} AS held_out FROM (SELECT DISTINCT coalesce(doc_id::VARCHAR, 'null') AS s FROM documents), steps),
+d AS (SELECT row_number() OVER () AS r, doc_id, held_out, list_append({_WORDS}, ' end') AS ws FROM documents JOIN ids ON s = coalesce(doc_id::VARCHAR, 'null')),
+x AS (SELECT r, held_out, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+p AS (SELECT r, held_out, w, coalesce(lag(w) OVER y, ' start') AS v, CASE WHEN i > 0 THEN coalesce(lag(w, 2) OVER y, ' start') END AS u FROM x WINDOW y AS (PARTITION BY r ORDER BY i)),
+c1 AS (SELECT w, count(*) AS c FROM p WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c FROM p WHERE NOT held_out GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c FROM p WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v, (SELECT count(*) FROM d WHERE NOT held_out) AS texts FROM c1),
+states AS (SELECT 1 AS len, c FROM c1 WHERE w <> ' end' UNION ALL SELECT 1, texts FROM n WHERE texts > 0 UNION ALL SELECT 2, c FROM c2 WHERE w <> ' end'),
+once AS (SELECT 1 AS len, count(*) AS once FROM c2 WHERE c = 1 UNION ALL SELECT 2, count(*) FROM c3 WHERE c = 1),
+g AS (SELECT pow(2.0::DOUBLE, j / 4.0::DOUBLE) AS k FROM range(-24, 65) t(j)),
+l AS (SELECT len, k, sum(m * c * (k / (c + k))) AS x FROM (SELECT len, c, count(*) AS m FROM states GROUP BY len, c), g GROUP BY len, k),
+b AS (SELECT len, k, x, lead(k) OVER o AS k2, lead(x) OVER o AS x2, min(x) OVER a AS least, max(x) OVER a AS most FROM l WINDOW o AS (PARTITION BY len ORDER BY k), a AS (PARTITION BY len)),
+s AS (SELECT len, CASE WHEN once <= least THEN min(k) WHEN once >= most THEN max(k) ELSE max(exp(ln(k) + (ln(once) - ln(x)) * (ln(k2) - ln(k)) / (ln(x2) - ln(x)))) FILTER (x <= once AND x2 > once) END AS k
+  FROM b JOIN once USING (len) WHERE once > 0 GROUP BY len, once, least, most),
+q AS (SELECT r, coalesce(c1.c, 0) AS c, coalesce(c2.c, 0) AS cc, coalesce(c3.c, 0) AS ccc, CASE WHEN p.v = ' start' THEN texts ELSE coalesce(h1.c, 0) END AS h, coalesce(h2.c, 0) AS hh,
+  (coalesce(c1.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)) AS p1,
+  coalesce((SELECT k FROM s WHERE len = 1), 1.0::DOUBLE) AS k2, coalesce((SELECT k FROM s WHERE len = 2), 1.0::DOUBLE) AS k3
+  FROM p CROSS JOIN n LEFT JOIN c1 ON c1.w = p.w LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
+  LEFT JOIN c1 h1 ON h1.w = p.v LEFT JOIN c2 h2 ON h2.v = p.u AND h2.w = p.v),
+q2 AS (SELECT *, CASE WHEN h > 0 THEN (cc + k2 * p1) / (h + k2) ELSE p1 END AS p2 FROM q),
+z AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(p1)) AS base_score, sum(log10(CASE WHEN hh > 0 THEN (ccc + k3 * p2) / (hh + k3) ELSE p2 END)) AS score FROM q2 GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM z JOIN d USING (r) CROSS JOIN n
 """,
     "op7_fair_queueing_mix": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
