@@ -114,9 +114,11 @@ def sym60_explode_products(spark, d):
     return maintain.explode_products(changed, names).withColumn("products", F.array_join("products", ","))
 
 
-_FOLD = """, o AS (SELECT uri, list({'f': full_replace, 'a': start_col, 'b': end_col, 't': text} ORDER BY version) AS es FROM edits GROUP BY uri)
-SELECT uri::BIGINT AS uri, list_reduce(list_prepend('', list_transform(es, lambda e: (CASE WHEN e.f THEN '1' ELSE '0' END) || lpad(e.a::VARCHAR, 4, '0') || lpad(e.b::VARCHAR, 4, '0') || e.t)),
-lambda s, x: CASE WHEN x[1] = '1' THEN x[10:] ELSE substring(s, 1, x[2:5]::INT) || x[10:] || substring(s, x[6:9]::INT + 1) END) AS content FROM o"""
+#: Edits on line 0 or 1 of the content so far; a line that is not there has the offset -1, so the text is prepended.
+_FOLD = """, o AS (SELECT uri, list({'f': full_replace, 'l': start_line, 'a': start_col, 'b': end_col, 't': text} ORDER BY version) AS es FROM edits GROUP BY uri)
+SELECT uri::BIGINT AS uri, list_reduce(list_prepend('', list_transform(es, lambda e: (CASE WHEN e.f THEN '1' ELSE '0' END) || e.l || lpad(e.a::VARCHAR, 4, '0') || lpad(e.b::VARCHAR, 4, '0') || e.t)),
+lambda s, x: CASE WHEN x[1] = '1' THEN x[11:] WHEN x[2] = '1' AND strpos(s, chr(10)) = 0 THEN x[11:] || s
+ELSE substring(s, 1, x[2]::INT * strpos(s, chr(10)) + x[3:6]::INT) || x[11:] || substring(s, x[2]::INT * strpos(s, chr(10)) + x[7:10]::INT + 1) END) AS content FROM o"""
 
 
 @query(ctes("edits") + _FOLD)

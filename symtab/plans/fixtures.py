@@ -71,7 +71,8 @@ FROM {orders}""",
     "stamps_curr": "SELECT 'file:///d/' || CAST(doc_id AS STRING) AS source, text AS content FROM {documents}",
     "stamps_prev": "SELECT 'file:///d/' || CAST(doc_id AS STRING) AS source, CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END AS content FROM {documents} WHERE doc_id % 10 <> 0",
     "edits": """
-SELECT conv_id AS uri, turn AS version, role = 'system' OR turn = 0 AS full_replace, 0 AS start_line, turn AS start_col, 0 AS end_line, turn + 2 AS end_col, text
+SELECT conv_id AS uri, turn AS version, role = 'system' OR turn = 0 AS full_replace, turn % 2 AS start_line, turn AS start_col, turn % 2 AS end_line, turn + 2 AS end_col,
+       CASE WHEN role = 'system' OR turn = 0 THEN text || chr(10) || text ELSE text END AS text
 FROM {conversations}""",
     "changed_files": "SELECT DISTINCT 'file:///o/' || CAST(l_orderkey AS STRING) AS uri, l_orderkey % 20 = 0 AS deleted FROM {lineitem} WHERE l_orderkey % 10 = 0",
 }

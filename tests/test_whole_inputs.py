@@ -9,7 +9,11 @@ def test_folds_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = {}
     for c, turn, role, text in rows:
-        now = want.get(c, "")
-        want[c] = text if turn == 0 or role == "system" else now[:turn] + text + now[turn + 2 :]
+        if turn == 0 or role == "system":
+            want[c] = f"{text}\n{text}"
+            continue
+        units = want.get(c, "").encode("utf-16-le")  # columns count these, two bytes each
+        start = units.index("\n".encode("utf-16-le")) + 2 if turn % 2 else 0
+        want[c] = (units[: start + 2 * turn] + text.encode("utf-16-le") + units[start + 2 * (turn + 2) :]).decode("utf-16-le")
     for name in ("sym61_fold_edits", "sym62_document_lifecycle"):
         assert {r.uri: r.content for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} == want
