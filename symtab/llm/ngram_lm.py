@@ -1,6 +1,7 @@
 """Language-model scoring with a weighted backoff automaton (operator 10).
 
-States are word histories of length 0, 1 and 2 that training texts have. The arc of word w out of state s bears
+States are word histories of length 0, 1 and 2 that training texts have, those of length 2 from their second occurrence on (what
+followed a history once tells about one text, not about the corpus). The arc of word w out of state s bears
 log10 P(w | s) of an n-gram seen in training and leads to the longest state that ends what was read. A state without an arc
 for w has a failure arc to the state without its first word, which bears log10 of the mass that s leaves to words it has not
 seen; arcs of the empty state bear unigram probabilities. A text starts in the state of a start mark, is read left to right
@@ -8,9 +9,10 @@ once, and the weights of the arcs taken add up; its end is a token.
 
 Weights: unigrams are those of the base score, P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). For a state s of length k,
 P(w | s) = (c(s, w) + K_k * P(w | s')) / (c(s) + K_k), s' being s without its first word (smoothing by a Dirichlet prior), so the
-failure weight is K_k / (c(s) + K_k), and each state sums to 1 over the V known tokens and the unknown one. K_k is such that the mass
-which all states of length k leave to the unseen is what the n-grams that occur once tell (Good and Turing): the sum
-of c(s) * K_k / (c(s) + K_k) is their number.
+failure weight is K_k / (c(s) + K_k), and each state sums to 1 over the V known tokens and the unknown one. K_k is NOVELTY times
+the K at which the mass that all states of length k leave to the unseen is what their arcs that were seen once tell (Good and
+Turing): the sum of c(s) * K / (c(s) + K) is the number of these. Texts of a corpus have copies and passages in common, so they meet less
+that is new in each other than another text would; NOVELTY allows for that.
 
 The automaton of a corpus fits no machine, so it is never in one place. Texts are packed into blocks, written once. A block
 asks for each n-gram that it has once, with its own training count of it. Requests go to shards by the hash of the n-gram,
@@ -44,6 +46,10 @@ FOLDS, HELD_OUT = 5, 1
 ORDER = 3
 #: Characters of the texts of a block, and requests that one shard should have, about.
 BLOCK_CHARS, SHARD_REQUESTS = 6_000_000, 2_000_000
+#: Occurrences from which on a history of each length from 1 on is a state.
+STATE_FROM = (1, 2)
+#: How much more a new text meets that is new than the texts of the corpus in each other.
+NOVELTY = 4.0
 #: Values of K at which shards add up what their states leave to the unseen.
 STRENGTHS = [2 ** (i / 4) for i in range(-24, 65)]
 #: Bits of an n-gram's hash beyond those that name its shard.
@@ -188,11 +194,13 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     cut = np.cumsum([0, *map(len, keys)])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate([unsqueeze(b, np.uint32) for b in pdf["counts"]]), len(distinct)).astype(np.int64)
-    seen, states = total[total > 0], total[(total > 0) & (distinct & np.uint64(1) == 0)]
+    seen, histories = total[total > 0], total[(total > 0) & (distinct & np.uint64(1) == 0)]
+    length = int(pdf["length"].iloc[0])
+    states = histories[histories >= STATE_FROM[length - 1]] if length < ORDER else histories[:0]
     none = [None] * (len(pdf) - 1)
     return pd.DataFrame({
         "block": pdf["block"], "length": pdf["length"], "shard": pdf["shard"], "totals": [squeeze(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
-        "types": pd.array([len(seen), *none], "Int64"), "tokens": pd.array([int(seen.sum()), *none], "Int64"), "once": pd.array([int((seen == 1).sum()), *none], "Int64"), "left": [left_over(states), *none],
+        "types": pd.array([len(seen), *none], "Int64"), "tokens": pd.array([int(seen.sum()), *none], "Int64"), "once": pd.array([int((seen == 1).sum()), *none], "Int64"), "once_histories": pd.array([int((histories == 1).sum()), *none], "Int64"), "left": [left_over(states), *none],
     })
 
 
@@ -242,7 +250,7 @@ class Automaton:
         self.reached = np.zeros(len(block.opens), np.int64)
         for k, (g, c) in enumerate(zip(block.grams[:-1], counts, strict=False), 1):
             self.fail[begin[k - 1] : begin[k]] = self.reached[g.first]
-            seen = c[g.number] > 0
+            seen = c[g.number] >= STATE_FROM[k - 1]
             self.reached[g.where[seen]] = begin[k - 1] + g.number[seen]
         self.fail_weight = np.zeros(len(self.count))
         for k in range(1, ORDER):
@@ -316,15 +324,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (chars or 0) // (3 * SHARD_REQUESTS))
     packed = materialize(rows.mapInArrow(_pack, f"block long, ids array<{name}>, folds binary, lengths binary, texts binary"), "lm-blocks")
     asked = packed.mapInArrow(_ask(shards), "block long, length int, shard long, keys binary, counts binary")
-    answered = asked.groupBy("length", "shard").applyInPandas(_answer, "block long, length int, shard long, totals binary, types long, tokens long, once long, left array<double>")
+    answered = asked.groupBy("length", "shard").applyInPandas(_answer, "block long, length int, shard long, totals binary, types long, tokens long, once long, once_histories long, left array<double>")
     answers = materialize(answered, "lm-answers")
-    sums = answers.filter("types is not null").groupBy("length").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once"), *(F.sum(F.col("left")[i]).alias(f"left{i}") for i in range(len(STRENGTHS))))
+    sums = answers.filter("types is not null").groupBy("length").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once"), F.sum("once_histories").alias("once_histories"), *(F.sum(F.col("left")[i]).alias(f"left{i}") for i in range(len(STRENGTHS))))
     sums = {r.length: r for r in sums.collect()}
     n, v = (sums[1].tokens, sums[1].types) if sums else (0, 0)
     left = [np.array([sums[k][f"left{i}"] for i in range(len(STRENGTHS))]) if k in sums else np.zeros(1) for k in range(1, ORDER)]
     if sums:  # of texts, as many end as start: the start mark's state stands for the end's
         left[0] = left[0] + left_over(np.array([texts]))
-    weights = Weights(n, v, texts, [strength_of(x, sums[k].once if k in sums else 0) for k, x in enumerate(left, 2)])
+    # a history that is no state, for it occurs once, has one arc less that was seen once
+    once = [sums[k].once - (sums[k - 1].once_histories if STATE_FROM[k - 2] == 2 else 0) if k in sums else 0 for k in range(2, ORDER + 1)]
+    weights = Weights(n, v, texts, [NOVELTY * strength_of(x, k) for x, k in zip(left, once, strict=True)])
     both = packed.unionByName(answers.select("block", "length", "shard", "totals"), allowMissingColumns=True)
     scored = both.groupBy("block").applyInArrow(_score(weights, shards, to_arrow_type(kind)), f"doc_id {name}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(weights.n).cast("long").alias("train_tokens"), "base_score", "score")

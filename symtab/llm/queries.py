@@ -131,8 +131,8 @@ c1 AS (SELECT w, count(*) AS c FROM p WHERE NOT held_out GROUP BY w),
 c2 AS (SELECT v, w, count(*) AS c FROM p WHERE NOT held_out GROUP BY v, w),
 c3 AS (SELECT u, v, w, count(*) AS c FROM p WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w),
 n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v, (SELECT count(*) FROM d WHERE NOT held_out) AS texts FROM c1),
-states AS (SELECT 1 AS len, c FROM c1 WHERE w <> ' end' UNION ALL SELECT 1, texts FROM n WHERE texts > 0 UNION ALL SELECT 2, c FROM c2 WHERE w <> ' end'),
-once AS (SELECT 1 AS len, count(*) AS once FROM c2 WHERE c = 1 UNION ALL SELECT 2, count(*) FROM c3 WHERE c = 1),
+states AS (SELECT 1 AS len, c FROM c1 WHERE w <> ' end' UNION ALL SELECT 1, texts FROM n WHERE texts > 0 UNION ALL SELECT 2, c FROM c2 WHERE w <> ' end' AND c >= 2),
+once AS (SELECT 1 AS len, count(*) AS once FROM c2 WHERE c = 1 UNION ALL SELECT 2, count(*) FROM c3 JOIN c2 h ON h.v = c3.u AND h.w = c3.v WHERE c3.c = 1 AND h.c >= 2),
 g AS (SELECT pow(2.0::DOUBLE, j / 4.0::DOUBLE) AS k FROM range(-24, 65) t(j)),
 l AS (SELECT len, k, sum(m * c * (k / (c + k))) AS x FROM (SELECT len, c, count(*) AS m FROM states GROUP BY len, c), g GROUP BY len, k),
 b AS (SELECT len, k, x, lead(k) OVER o AS k2, lead(x) OVER o AS x2, min(x) OVER a AS least, max(x) OVER a AS most FROM l WINDOW o AS (PARTITION BY len ORDER BY k), a AS (PARTITION BY len)),
@@ -140,11 +140,11 @@ s AS (SELECT len, CASE WHEN once <= least THEN min(k) WHEN once >= most THEN max
   FROM b JOIN once USING (len) WHERE once > 0 GROUP BY len, once, least, most),
 q AS (SELECT r, coalesce(c1.c, 0) AS c, coalesce(c2.c, 0) AS cc, coalesce(c3.c, 0) AS ccc, CASE WHEN p.v = ' start' THEN texts ELSE coalesce(h1.c, 0) END AS h, coalesce(h2.c, 0) AS hh,
   (coalesce(c1.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)) AS p1,
-  coalesce((SELECT k FROM s WHERE len = 1), 1.0::DOUBLE) AS k2, coalesce((SELECT k FROM s WHERE len = 2), 1.0::DOUBLE) AS k3
+  {ngram_lm.NOVELTY}::DOUBLE * coalesce((SELECT k FROM s WHERE len = 1), 1.0::DOUBLE) AS k2, {ngram_lm.NOVELTY}::DOUBLE * coalesce((SELECT k FROM s WHERE len = 2), 1.0::DOUBLE) AS k3
   FROM p CROSS JOIN n LEFT JOIN c1 ON c1.w = p.w LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
   LEFT JOIN c1 h1 ON h1.w = p.v LEFT JOIN c2 h2 ON h2.v = p.u AND h2.w = p.v),
 q2 AS (SELECT *, CASE WHEN h > 0 THEN (cc + k2 * p1) / (h + k2) ELSE p1 END AS p2 FROM q),
-z AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(p1)) AS base_score, sum(log10(CASE WHEN hh > 0 THEN (ccc + k3 * p2) / (hh + k3) ELSE p2 END)) AS score FROM q2 GROUP BY r)
+z AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10(p1)) AS base_score, sum(log10(CASE WHEN hh >= 2 THEN (ccc + k3 * p2) / (hh + k3) ELSE p2 END)) AS score FROM q2 GROUP BY r)
 SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM z JOIN d USING (r) CROSS JOIN n
 """,
     "op7_fair_queueing_mix": r"""

@@ -211,18 +211,20 @@ def literal_automaton(rows):
     c3 = Counter(p for ws in learn for p in zip([0, *ws[:-2]], ws[:-1], ws[1:]))
     n, v = sum(c.values()), len(c)
     unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
-    states = {(): 0} | ({(0,): len(learn)} if learn else {}) | {s: k for s, k in [*c.items(), *c2.items()] if s[-1] is not None}
+    states = {(): 0} | ({(0,): len(learn)} if learn else {}) | {s: k for s, k in [*c.items(), *c2.items()] if s[-1] is not None and k >= len(s)}
 
     def strength(length, once):
         left = [sum(x * k / (x + k) for s, x in states.items() if len(s) == length) for k in ngram_lm.STRENGTHS]
-        return float(np.exp(np.interp(np.log(once), np.log(left), np.log(ngram_lm.STRENGTHS)))) if once and left[-1] else 1.0
+        return ngram_lm.NOVELTY * (float(np.exp(np.interp(np.log(once), np.log(left), np.log(ngram_lm.STRENGTHS)))) if once and left[-1] else 1.0)
 
-    k = [strength(i, sum(x == 1 for x in counts.values())) for i, counts in ((1, c2), (2, c3))]
+    k = [strength(i, sum(x == 1 and g[:-1] in states for g, x in counts.items())) for i, counts in ((1, c2), (2, c3))]
     fail = {s: (s[1:], math.log10(k[len(s) - 1] / (x + k[len(s) - 1]))) for s, x in states.items() if s}
     fail = {s: (f if f in states else (), w) for s, (f, w) in fail.items()}
     arcs = {}
     for gram, x in [*c.items(), *c2.items(), *c3.items()]:
         s, w = gram[:-1], gram[-1]
+        if s not in states:
+            continue
         if not s:
             arcs[s, w] = math.log10((x + 0.5) / (n + 0.5 * (v + 1)))
         else:
