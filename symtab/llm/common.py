@@ -43,6 +43,11 @@ def shuffle_key(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
 
 
+def source_key(source: Column) -> Column:
+    """A source as text that is never null, so that windows and joins by source are dealt out alike and need one shuffle."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def id_remainder(ids, modulus: int) -> np.ndarray:
     """crc32 of each id as text, modulo ``modulus``; a null id counts as the text ``null``."""
     return np.fromiter((zlib.crc32(b"null" if i is None or i != i else str(int(i)).encode()) % modulus for i in ids), np.int64)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symtab.llm.common import fresh, shuffle_key, without
+from symtab.llm.common import fresh, shuffle_key, source_key, without
 
 #: Hex digits of the shuffle key that number a slice: 16 ** 3 = 4,096 slices of a source.
 SLICE_DIGITS = 3
@@ -35,19 +35,19 @@ def interleaved_shards(docs: DataFrame, n_shards: int, seed: int = 7, id_col: st
     key, sl, rank, n, off, frac, gsl, pos, total = fresh(docs, "ps_key", "ps_slice", "ps_rank", "ps_n", "ps_off", "ps_frac", "ps_gslice", "ps_pos", "ps_total")
     src, src2, sl2, gsl2 = fresh(docs, "ps_src", "ps_src2", "ps_slice2", "ps_gslice2")
     ties = [F.col(tie_col)] if tie_col else []
-    keyed = docs.withColumn(key, shuffle_key(seed, id_col)).withColumn(sl, F.substring(key, 1, SLICE_DIGITS))
+    keyed = docs.withColumn(key, shuffle_key(seed, id_col)).withColumn(sl, F.substring(key, 1, SLICE_DIGITS)).withColumn(src, source_key(F.col(source_col)))
 
     # rows by source and slice, and the rows of the source that come before each slice
-    counts = keyed.groupBy(F.col(source_col).alias(src2), F.col(sl).alias(sl2)).agg(F.count("*").alias(n))
+    counts = keyed.groupBy(F.col(src).alias(src2), F.col(sl).alias(sl2)).agg(F.count("*").alias(n))
     by_source = Window.partitionBy(src2)
     offsets = counts.select(
         src2, sl2,
         (F.sum(n).over(by_source.orderBy(sl2).rowsBetween(Window.unboundedPreceding, -1))).alias(off),
         F.sum(n).over(by_source).alias(total),
     ).fillna(0, [off])
-    within = Window.partitionBy(source_col, sl).orderBy(key, id_col, *ties)
-    ranked = keyed.withColumn(rank, F.row_number().over(within)).join(offsets, F.col(source_col).eqNullSafe(F.col(src2)) & (F.col(sl) == F.col(sl2)))
-    ranked = ranked.withColumn(frac, (2.0 * (F.col(rank) + F.col(off)) - 1) / (2.0 * F.col(total))).drop(src2, sl2, rank, off, total, sl)
+    within = Window.partitionBy(src, sl).orderBy(key, id_col, *ties)
+    ranked = keyed.withColumn(rank, F.row_number().over(within)).join(offsets, (F.col(src) == F.col(src2)) & (F.col(sl) == F.col(sl2)))
+    ranked = ranked.withColumn(frac, (2.0 * (F.col(rank) + F.col(off)) - 1) / (2.0 * F.col(total))).drop(src, src2, sl2, rank, off, total, sl)
     ranked = ranked.withColumn(gsl, F.floor(F.col(frac) * SLICES).cast("int"))
 
     # How many rows of each source fall into a global slice follows from its size alone: ranks r with
