@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symtab.llm.common import WORD, fresh, materialize, shuffle_key, without
+from symtab.llm.common import WORD, fresh, materialize, shuffle_key, source_key, without
 
 SLICE_DIGITS = 3
 MAX_EPOCHS = 3
@@ -53,25 +53,25 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int =
     docs = without(docs, *OUTPUTS)
     columns = docs.columns
     key, sl, tie, cum, before = fresh(docs, "fq_key", "fq_slice", "fq_tie", "fq_cum", "fq_before")
-    src, src_no, src2, sl2 = fresh(docs, "src", "src_no", "fq_src2", "fq_slice2")
+    src, src_no, src2, sl2, srck = fresh(docs, "src", "src_no", "fq_src2", "fq_slice2", "fq_srck")
 
     def sized(df: DataFrame) -> DataFrame:
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-        return df.withColumn("size", size).withColumn(key, shuffle_key(seed, id_col)).withColumn(sl, F.substring(key, 1, SLICE_DIGITS)).withColumn(tie, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+        return df.withColumn("size", size).withColumn(srck, source_key(F.col(source_col))).withColumn(key, shuffle_key(seed, id_col)).withColumn(sl, F.substring(key, 1, SLICE_DIGITS)).withColumn(tie, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
     narrow = materialize(sized(docs.select(id_col, source_col, text_col)).drop(text_col), "mix-sizes")
     targets = materialize(source_targets(narrow.groupBy(F.col(source_col).alias("src")).agg(F.sum("size").alias("source_size")), weights), "mix-targets")
 
-    slices = narrow.groupBy(F.col(source_col).alias(src2), F.col(sl).alias(sl2)).agg(F.sum("size").alias(before))
+    slices = narrow.groupBy(F.col(srck).alias(src2), F.col(sl).alias(sl2)).agg(F.sum("size").alias(before))
     earlier = Window.partitionBy(src2).orderBy(sl2).rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
-    slices = slices.join(targets.withColumnRenamed("src", src).withColumnRenamed("src_no", src_no), F.col(src).eqNullSafe(F.col(src2))).drop(src)
+    slices = slices.join(targets.withColumn("src", source_key(F.col("src"))).withColumnsRenamed({"src": src, "src_no": src_no}), F.col(src) == F.col(src2)).drop(src)
 
     def finished(df: DataFrame) -> DataFrame:
         """Adds the source's figures and the cumulative tokens of the source up to the document."""
-        within = Window.partitionBy(source_col, sl).orderBy(key, F.col(id_col), tie, "size").rowsBetween(Window.unboundedPreceding, 0)
-        run = df.withColumn(cum, F.sum("size").over(within)).join(slices, F.col(source_col).eqNullSafe(F.col(src2)) & (F.col(sl) == F.col(sl2)))
-        return run.withColumn(cum, F.col(cum) + F.col(before)).drop(src2, sl2, sl, before)
+        within = Window.partitionBy(srck, sl).orderBy(key, F.col(id_col), tie, "size").rowsBetween(Window.unboundedPreceding, 0)
+        run = df.withColumn(cum, F.sum("size").over(within)).join(slices, (F.col(srck) == F.col(src2)) & (F.col(sl) == F.col(sl2)))
+        return run.withColumn(cum, F.col(cum) + F.col(before)).drop(srck, src2, sl2, sl, before)
 
     def item(epoch: int):
         """Order of the offer of a document in an epoch; a source without a target is never served."""
