@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from symtab.llm import chat, html_text, ngram_lm, quality, toxicity
+from symtab.llm import chat, html_text, ngram_lm, quality, queries, toxicity
 from symtab.llm.common import table
 
 
@@ -150,6 +150,44 @@ def test_factorization_machine_learns_a_pair():
     assert np.any(m.v @ m.v.T > 0.1)
 
 
+def test_quality_query_by_plain_recursion(spark):
+    """Every document's score from the fitted weights, line by line."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    field = quality.fit_field(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op8_line_crf_quality(spark, d).collect()}
+    k = quality.N_LINE
+    own, before, after, edge = field.w[1 : 1 + k], field.w[1 + k : 1 + 2 * k], field.w[1 + 2 * k : 1 + 3 * k], field.w[-4:].reshape(2, 2)
+    log_sum = lambda *x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+    for r in docs.collect():
+        x, _, length = quality.line_features([r.text])
+        n = len(x)
+        u = [field.w[0] + x[i] @ own + (x[i - 1] @ before if i else 0) + (x[i + 1] @ after if i + 1 < n else 0) for i in range(n)]
+        forward, backward = [(0.0, u[0])], [(0.0, 0.0)]
+        for i in range(1, n):
+            forward.append(tuple(y * u[i] + log_sum(*(forward[-1][z] + edge[z, y] for z in (0, 1))) for y in (0, 1)))
+        for i in range(n - 1, 0, -1):
+            backward.insert(0, tuple(log_sum(*(edge[y, z] + z * u[i] + backward[0][z] for z in (0, 1))) for y in (0, 1)))
+        good = [math.exp(f[1] + b[1] - log_sum(f[0] + b[0], f[1] + b[1])) for f, b in zip(forward, backward)]
+        weight = [max(v, 1e-9) for v in length]
+        want = sum(g * w for g, w in zip(good, weight)) / sum(weight)
+        assert math.isclose(got[r.doc_id][0], want, abs_tol=1e-4) and (abs(want - 0.5) < 1e-4 or got[r.doc_id][1] == (want >= 0.5))
+
+
+def test_toxicity_query_by_all_pairs(spark):
+    """Every document's score from the fitted weights, pair by pair."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    machine = toxicity.fit_toxicity(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op9_factorization_toxicity(spark, d).collect()}
+    place = {slot: i for i, slot in enumerate(machine.slots.tolist())}
+    for r in docs.collect():
+        at = [place[slot] for slot in toxicity.term_slots(r.text, toxicity.TermSlots()).tolist() if slot in place]
+        logit = machine.w[0] + sum(machine.w[1 + i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(at) for j in at[:n])
+        want = 1 / (1 + math.exp(-min(30, max(-30, logit))))
+        assert math.isclose(got[r.doc_id][0], want, abs_tol=1e-9) and got[r.doc_id][1] == (want >= 0.7)
+
+
 def test_pairs_that_say_nothing_alone(spark):
     """Two words at the base rate of the label, toxic only together: the factors catch them in documents that were not fitted on."""
     rng = random.Random(12)
