@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symtab.llm.common import WORD, fresh, materialize, shuffle_key, source_key, without
+from symtab.llm.common import WORD, discard, fresh, materialize, shuffle_key, source_key, without
 
 SLICE_DIGITS = 3
 MAX_EPOCHS = 3
@@ -82,7 +82,9 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int =
     offers = finished(narrow).filter("size > 0 and target > 0").select("size", F.explode(F.array(*[item(e) for e in range(MAX_EPOCHS)])).alias("item"))
     offers = offers.withColumn("coarse", F.least(F.floor(F.col("item.finish") * COARSE), F.lit(LAST_COARSE)))
     offers = offers.withColumn("fine", F.least(F.floor((F.col("item.finish") * COARSE - F.col("coarse")) * FINE), F.lit(FINE)))
-    last = _last_offer(materialize(offers, "mix-offers"), budget)
+    offers = materialize(offers, "mix-offers")
+    last = _last_offer(offers, budget)
+    discard(offers)
     out = finished(sized(docs))
     copies = F.lit(0)
     for e in range(MAX_EPOCHS if last is not None else 0):
