@@ -35,7 +35,7 @@ PIVOTS, PREFIX = 512, 32
 #: Vectors, and queries, that a task holds.
 BLOCK, QUERY_BLOCK = 8192, 4096
 #: Share of a block that is reranked for a query, at every size; SPARE times as many as are asked for at least.
-SHARE, SPARE = 0.25, 4
+SHARE, SPARE = 0.3, 4
 
 
 def usable(vector: str) -> Column:
