@@ -99,17 +99,31 @@ def bloom_parameters(n: int, rate: float = 0.01) -> tuple[int, int]:
     return -(-bits // 32768) * 32768, max(1, round(bits / n * math.log(2)))
 
 
-def _positions(name: Column, bits: int, hashes: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(F.lit(seed), I.name_key(name)), F.lit(bits)) for seed in range(hashes)])
+def filter_sizes(names: DataFrame, rate: float = 0.01) -> DataFrame:
+    """(container, bits) for the names that each container has, at least 16: a small container gets a small filter."""
+    per_name = -math.log(rate) / math.log(2) ** 2
+    return names.groupBy("container").agg(F.ceil(F.greatest(F.count("*"), F.lit(16)) * per_name).alias("bits"))
 
 
-def membership_filter_build(names: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """(container, bucket, bitmap): Bloom filters over lower-cased names, built bucket by bucket with partial aggregation."""
-    at = names.select("container", F.explode(_positions(F.col("name"), bits, hashes)).alias("p"))
+def _sized(rows: DataFrame, bits: int | DataFrame) -> DataFrame:
+    """``rows`` with the ``bits`` of their container; rows of a container without a size go."""
+    return rows.join(bits.select("container", "bits"), "container") if isinstance(bits, DataFrame) else rows.withColumn("bits", F.lit(bits))
+
+
+def _positions(name: Column, hashes: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(seed), I.name_key(name)), F.col("bits")) for seed in range(hashes)])
+
+
+def membership_filter_build(names: DataFrame, bits: int | DataFrame, hashes: int) -> DataFrame:
+    """(container, bucket, bitmap): Bloom filters over lower-cased names, built bucket by bucket with partial aggregation.
+
+    ``bits``: one size for all, which a union needs, or (container, bits) as of ``filter_sizes``.
+    """
+    at = _sized(names.select("container", "name"), bits).select("container", F.explode(_positions(F.col("name"), hashes)).alias("p"))
     return at.groupBy("container", F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
 
 
-def membership_filter_add(filters: DataFrame, added: DataFrame, bits: int, hashes: int) -> DataFrame:
+def membership_filter_add(filters: DataFrame, added: DataFrame, bits: int | DataFrame, hashes: int) -> DataFrame:
     """Filters after names were added to containers, old or new; filters can't forget, so a name that moved still may be contained where it was."""
     both = filters.unionByName(membership_filter_build(added, bits, hashes))
     return both.groupBy("container", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
@@ -120,13 +134,13 @@ def membership_filter_union(filters: DataFrame) -> DataFrame:
     return filters.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
-def membership_filter_probe(filters: DataFrame, probes: DataFrame, bits: int, hashes: int) -> DataFrame:
+def membership_filter_probe(filters: DataFrame, probes: DataFrame, bits: int | DataFrame, hashes: int) -> DataFrame:
     """``probes`` (container, name) plus ``might_contain``; false for an unknown container. A hit still needs the exact join."""
     asked = probes.select("container", "name").distinct()
-    at = asked.withColumn("p", F.explode(_positions(F.col("name"), bits, hashes)))
+    at = _sized(asked, bits).withColumn("p", F.explode(_positions(F.col("name"), hashes)))
     at = at.withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
     # bit k of the bitmap is bit k % 8 of byte k / 8
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
     answer = at.join(filters, ["container", "bucket"], "left").groupBy("container", "name").agg(F.bool_and(is_set).alias("might_contain"))
-    return probes.join(answer, ["container", "name"])
+    return probes.join(answer, ["container", "name"], "left").withColumn("might_contain", F.coalesce("might_contain", F.lit(False)))

@@ -449,7 +449,7 @@ def sym47_fallback_merge(spark, d):
 SELECT container, name FROM p JOIN n USING (container, name)""")
 def sym48_membership_filter(spark, d):
     names = _symbols(spark, d).select(F.col("owner1").alias("container"), "name").distinct()
-    bits, hashes = ingest.bloom_parameters(names.groupBy("container").count().agg(F.max("count")).first()[0] or 0)
+    bits, (_, hashes) = ingest.filter_sizes(names), ingest.bloom_parameters(16)
     filters = ingest.membership_filter_build(names, bits, hashes)
     owners = table(spark, d, "supplier").select(F.explode(F.array(F.concat(F.lit("Brand1"), 1 + F.col("s_suppkey") % 6))).alias("container")).distinct()
     wanted = _symbols(spark, d).filter("kind = 'Enum'").select("name").distinct()

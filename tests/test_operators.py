@@ -62,6 +62,17 @@ def test_bloom_rate(spark):
     assert ingest.membership_filter_probe(union, absent, bits, hashes).filter("not might_contain").count() == 0
 
 
+def test_filters_sized_by_container(spark):
+    names = spark.range(5000).select(F.lit("large").alias("container"), F.concat(F.lit("in"), "id").alias("name")).unionByName(spark.createDataFrame([("small", "one"), ("small", "Two")], "container string, name string"))
+    sizes, (_, hashes) = ingest.filter_sizes(names), ingest.bloom_parameters(16)
+    assert {r.container: r.bits for r in sizes.collect()} == {"large": 47926, "small": 154} and hashes == 7
+    filters = ingest.membership_filter_build(names, sizes, hashes)
+    assert ingest.membership_filter_probe(filters, names, sizes, hashes).filter("not might_contain").count() == 0
+    absent = spark.range(10000).select(F.explode(F.array(F.lit("large"), F.lit("small"), F.lit("none"))).alias("container"), F.concat(F.lit("out"), "id").alias("name"))
+    rates = dict(ingest.membership_filter_probe(filters, absent, sizes, hashes).groupBy("container").agg(F.avg(F.col("might_contain").cast("int"))).collect())
+    assert rates["large"] < 0.02 and rates["small"] < 0.02 and rates["none"] == 0
+
+
 def test_replaying_batches_equals_one_build(spark, sf_dir):
     refs = view(spark, sf_dir, "refs")
     state = refs.limit(0)
