@@ -94,7 +94,7 @@ def sym58_stream_file_versions(spark, d):
     for name, batch in (("a", second), ("b", first)):  # the later versions come first, so the earlier ones must be refused
         batch.select(*first.columns).coalesce(8).write.parquet(f"{folder}/in/{name}")
     stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
-    started = file_versions.stream_file_versions(stream, f"{folder}/table", f"{folder}/progress", available_now=True)
+    started = file_versions.stream_file_versions(stream, f"{folder}/table", f"{folder}/progress", available_now=True, buckets=16)
     started.awaitTermination()
     return file_versions.live_rows(file_versions.read_snapshot(spark, f"{folder}/table", first.schema)).select(*_COLUMNS)
 

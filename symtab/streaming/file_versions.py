@@ -83,11 +83,11 @@ def upsert(batch: DataFrame, n: int, table_path: str, buckets: int = BUCKETS) ->
     touched = {r[0] for r in batch.select(of.alias("bucket")).distinct().collect()}
     held = {bucket: batches for bucket, batches in snapshot(spark, table_path, n).items() if bucket in touched}
     after = apply_versions(_read(spark, table_path, held, batch.schema), batch)
-    after.withColumn("bucket", of).write.partitionBy("bucket").mode("overwrite").parquet(f"{table_path}/batch={n}")
+    after.withColumn("bucket", of).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table_path}/batch={n}")
     drop_old(spark, table_path)
 
 
-def stream_file_versions(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = False):
-    """Starts the query; the table is read by ``read_snapshot``."""
-    writer = stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, table_path)).option("checkpointLocation", checkpoint)
+def stream_file_versions(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = False, buckets: int = BUCKETS):
+    """Starts the query; the table is read by ``read_snapshot``. The number of buckets is that of the table for good."""
+    writer = stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, table_path, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
