@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtab.llm import ann, chat, decontam, html_text, jaccard, mixing, ngram_lm, quality, sharding, toxicity
+from symtab.llm import alignment, ann, chat, decontam, fim, html_text, jaccard, mixing, ngram_lm, packing, quality, sharding, toxicity
 from symtab.llm.common import table
 
 N_SHARDS = 24
@@ -57,7 +57,23 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
-QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_index, op3_site_style_tree, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity, op10_backoff_automaton)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed_pieces(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_statistics(table(spark, sf_dir, "documents"))
+
+
+def op13_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fim.undo(fim.fill_in_middle(docs, seed="1"))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_stratified_interleaving, op2_permutation_index, op3_site_style_tree, op4_snapshot_collapse, op5_containment_search, op6_count_vector_join, op7_fair_queueing_mix, op8_line_crf_quality, op9_factorization_toxicity, op10_backoff_automaton, op11_best_fit_packing, op12_diagonal_alignment, op13_block_rotation)}
 
 #: Words of a text column, lower-cased (A-Z only), in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -164,5 +180,14 @@ r AS (SELECT *, sum(size) OVER (ORDER BY finish, src_no, k, doc_id::VARCHAR, tie
 x AS (SELECT doc_id, source, k, tie, cum, count(*) AS copies FROM r WHERE upto <= budget GROUP BY ALL)
 SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(x.copies, 0) * c.size AS taken, c.source, coalesce(x.copies, 0) AS copies
 FROM c LEFT JOIN x ON c.doc_id IS NOT DISTINCT FROM x.doc_id AND c.source IS NOT DISTINCT FROM x.source AND c.tie = x.tie AND c.cum = x.cum AND c.size > 0
+""",
+    "op13_block_rotation": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents),
+u AS (SELECT *, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+o AS (SELECT *, '<P>' || substring(t, 1, a) AS p, '<M>' || substring(t, a + 1, b - a) AS m, '<S>' || substring(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o
 """,
 }
