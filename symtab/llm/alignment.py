@@ -50,80 +50,129 @@ def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
     return run
 
 
-class Alignment:
-    """Groups and links of one text, from the ends of its tokens by both tokenizers (the last ends are equal)."""
-
-    def __init__(self, ends_a: list[int], ends_b: list[int]):
-        self.runs: list[tuple[int, int, int]] = []  # places in A and B, groups of one token each
-        self.irregular: list[tuple[int, int, int, int]] = []  # A from, to, B from, to; one follows each run but the last
-        self.links_a: list[int] = []
-        self.links_b: list[int] = []
-        i = j = 0
-        while i < len(ends_a):
-            run = run_length(ends_a, ends_b, i, j)
-            self.runs.append((i, j, run))
-            i, j = i + run, j + run
-            if i == len(ends_a):
+#: Places compared one by one before a run is probed: most runs are short.
+SINGLES = 8
+
+
+def group_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group ends in A's and in B's tokens (after its last token), from the increasing ends of the tokens.
+
+    The last ends are equal. Only irregular groups are written down: all other tokens are groups one to one.
+    """
+    from_a, to_a, from_b, to_b = [], [], [], []
+    i = j = 0
+    n = len(a)
+    while i < n:
+        near = min(i + SINGLES, n)
+        while i < near and a[i] == b[j]:
+            i += 1
+            j += 1
+        if i == near:
+            run = run_length(a, b, i, j)
+            i += run
+            j += run
+            if i == n:
                 break
-            x, y = i, j
-            while True:
-                self.links_a.append(x)
-                self.links_b.append(y)
-                left, right = ends_a[x], ends_b[y]
-                if left == right:
-                    break
-                if left < right:
-                    x += 1
-                else:
-                    y += 1
-            self.irregular.append((i, x + 1, j, y + 1))
-            i, j = x + 1, y + 1
-
-    def groups(self) -> int:
-        return sum(run for _, _, run in self.runs) + len(self.irregular)
+        if (left := a[i]) == (right := b[j]):
+            continue
+        from_a.append(i)
+        from_b.append(j)
+        while left != right:
+            if left < right:
+                i += 1
+                left = a[i]
+            else:
+                j += 1
+                right = b[j]
+        i += 1
+        j += 1
+        to_a.append(i)
+        to_b.append(j)
+    return _but_inside(n, from_a, to_a), _but_inside(len(b), from_b, to_b)
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places in A and in B of all links."""
-        i, j, run = np.array(self.runs, np.int64).reshape(-1, 3).T
-        return np.concatenate([ranges(i, run), np.array(self.links_a, np.int64)]), np.concatenate([ranges(j, run), np.array(self.links_b, np.int64)])
 
-    def text(self, a: list[str], b: list[str]) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group, as decimal strings, in order."""
-        out = []
-        for n, (i, j, run) in enumerate(self.runs):
-            out.extend(map("|".join, zip(a[i : i + run], b[j : j + run], strict=True)))
-            if n < len(self.irregular):
-                x0, x1, y0, y1 = self.irregular[n]
-                out.append(f"{','.join(a[x0:x1])}|{','.join(b[y0:y1])}")
-        return ";".join(out)
+def _but_inside(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
+    """1 to n but for the ends of tokens within start to end that are not the last there."""
+    inside = np.zeros(n + 1, np.int8)
+    np.add.at(inside, np.array(starts, np.int64), 1)
+    np.add.at(inside, np.array(ends, np.int64) - 1, -1)
+    return np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8) == 0) + 1
+
+
+class Alignment:
+    """Groups and links of a block of texts, whose tokens stand in a row.
+
+    ``bounds_a``, ``bounds_b``: where the tokens of each text begin; ``ends_a``, ``ends_b``: bytes up to each token's end.
+    """
+
+    def __init__(self, ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray):
+        self.ends_a, self.ends_b, self.bounds_a, self.bounds_b = ends_a, ends_b, bounds_a, bounds_b
+        self.to_a, self.to_b = group_ends(ends_a.tolist(), ends_b.tolist())
+        self.from_a, self.from_b = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (self.to_a, self.to_b))
+
+    def groups(self) -> np.ndarray:
+        """Number of groups of each text."""
+        return np.diff(np.searchsorted(self.to_a, self.bounds_a, side="right"))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in A and in B of all links, in order of A."""
+        n_a, n_b = self.to_a - self.from_a, self.to_b - self.from_b
+        odd = (n_a > 1) | (n_b > 1)
+        # in an irregular group each end, of either, closes a link of the tokens that stand there
+        ends = np.union1d(self.ends_a[ranges(self.from_a[odd], n_a[odd])], self.ends_b[ranges(self.from_b[odd], n_b[odd])])
+        at_a = np.concatenate([self.from_a[~odd], np.searchsorted(self.ends_a, ends)])
+        at_b = np.concatenate([self.from_b[~odd], np.searchsorted(self.ends_b, ends)])
+        order = np.argsort(at_a, kind="stable")
+        return at_a[order], at_b[order]
 
 
 class Aligner:
-    """Both tokenizers, and the alignments of a block of texts."""
+    """Both tokenizers, and the alignments of blocks of texts."""
+
+    #: Tokens written as text at a time.
+    CHUNK = 200_000
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None):
         self.a, self.b = ByteLevel(path_a, plain_specials=True), Pieces(path_b)
         self.segments = SegmentIds(self.a.encode, self.b.encode)
-        self.decimal = list(map(str, range(max(len(self.a.token_bytes), len(self.b.token_bytes)))))
-        self.n_b = len(self.b.token_bytes)
-
-    def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Alignment] | None]:
-        """Ids by A, ids by B and their alignment; None for a text without tokens."""
-        sizes = pc.binary_length(texts).to_numpy()
+        self.n_b, self.n = len(self.b.token_bytes), max(len(self.a.token_bytes), len(self.b.token_bytes))
+        # each id as a decimal number and a mark, for each of the marks
+        said = [f"{i}{mark}".encode() for mark in ",|;" for i in range(self.n)]
+        self.said, self.said_length = np.frombuffer(b"".join(said), np.uint8), np.array([len(x) for x in said])
+        self.said_at = np.cumsum(self.said_length) - self.said_length
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Alignment]:
+        """Ids by A, ids by B and their alignment, for the texts that have tokens; the others are empty in it."""
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
         (ids_a, from_a), (ids_b, from_b) = self.segments.of(pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
         bad = ids_b == Pieces.BAD
-        lengths_a = self.a.byte_lengths[ids_a]
-        lengths_b = self.b.byte_lengths[np.where(bad, 0, ids_b)]
-        for n, size in enumerate(sizes.tolist()):
-            a, b = slice(from_a[n], from_a[n + 1]), slice(from_b[n], from_b[n + 1])
-            ends_a, ends_b = np.cumsum(lengths_a[a]).tolist(), np.cumsum(lengths_b[b]).tolist()
-            if not size or bad[b].any() or ends_a[-1] != size + 1 or ends_b[-1] != size + 1:
-                yield None
-            else:
-                yield ids_a[a], ids_b[b], Alignment(ends_a, ends_b)
-
-    def text(self, ids_a: np.ndarray, ids_b: np.ndarray, found: Alignment) -> str:
-        return found.text([self.decimal[i] for i in ids_a.tolist()], [self.decimal[i] for i in ids_b.tolist()])
+        lengths_a, lengths_b = self.a.byte_lengths[ids_a], self.b.byte_lengths[np.where(bad, 0, ids_b)]
+        total = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+        good = (sizes > 0) & (total(bad, from_b) == 0) & (total(lengths_a, from_a) == sizes + 1) & (total(lengths_b, from_b) == sizes + 1)
+        kept = []
+        for ids, lengths, at in ((ids_a, lengths_a, from_a), (ids_b, lengths_b, from_b)):
+            of_good = np.repeat(good, np.diff(at))
+            kept.append((ids[of_good], np.cumsum(lengths[of_good]), np.concatenate([[0], np.cumsum(np.where(good, np.diff(at), 0))])))
+        (ids_a, ends_a, bounds_a), (ids_b, ends_b, bounds_b) = kept
+        return ids_a, ids_b, Alignment(ends_a, ends_b, bounds_a, bounds_b)
+
+    def texts(self, ids_a: np.ndarray, ids_b: np.ndarray, found: Alignment) -> Iterator[Iterator[bytes]]:
+        """For each text its groups as ``a1,a2|b1;a3|b2,b3``, in pieces; none without tokens."""
+        marks = np.empty(len(ids_a) + len(ids_b), np.int64)
+        group_a, group_b = (np.repeat(np.arange(len(x)), x - y) for x, y in ((found.to_a, found.from_a), (found.to_b, found.from_b)))
+        last_a, last_b = (np.zeros(len(x), np.int64) for x in (ids_a, ids_b))
+        last_a[found.to_a - 1], last_b[found.to_b - 1] = 1, 2
+        marks[np.arange(len(ids_a)) + found.from_b[group_a]] = last_a * self.n + ids_a
+        marks[np.arange(len(ids_b)) + found.to_a[group_b]] = last_b * self.n + ids_b
+        bounds = (found.bounds_a + found.bounds_b).tolist()
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            yield self._pieces(marks, start, end)
+
+    def _pieces(self, marks: np.ndarray, start: int, end: int) -> Iterator[bytes]:
+        for at in range(start, end, self.CHUNK):
+            some = marks[at : min(end, at + self.CHUNK)]
+            said = self.said[ranges(self.said_at[some], self.said_length[some])].tobytes()
+            yield said if at + self.CHUNK < end else said[:-1]  # no mark after the last group
 
 
 def token_groups(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +184,7 @@ def token_groups(docs: DataFrame, path_a: str | None = None, path_b: str | None
         for batch in it:
             texts = batch.column(1).fill_null("")
             for a, b in size_blocks(pc.binary_length(texts).to_numpy(), STEP):
-                groups = [aligner.text(*x) if x else "" for x in aligner.of(texts.slice(a, b - a))]
+                groups = [b"".join(pieces).decode() for pieces in aligner.texts(*aligner.of(texts.slice(a, b - a)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(groups, pa.string())], names=["doc_id", "groups"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, groups string")
@@ -149,25 +198,30 @@ class Block:
 
     def __init__(self):
         self.ids, self.digests, self.numbers = [], [], {f: [] for f in self.FIELDS}
-        self.keys, self.times, self.bounds, self.size = [], [], [0], 0
+        self.keys, self.times, self.distinct, self.size = [], [], [], 0
 
     def add(self, aligner: Aligner, doc_ids: pa.Array, texts: pa.Array) -> None:
         self.ids.append(doc_ids)
         self.size += pc.sum(pc.binary_length(texts)).as_py() or 0
-        for x in aligner.of(texts):
-            keys, times, numbers, digest = np.zeros(0, np.int64), np.zeros(0, np.int64), (0, 0, 0, 0), ""
-            if x:
-                ids_a, ids_b, found = x
-                at_a, at_b = found.links()
-                keys, times = np.unique(ids_a[at_a].astype(np.int64) * aligner.n_b + ids_b[at_b], return_counts=True)
-                numbers = len(ids_a), len(ids_b), found.groups(), len(at_a)
-                digest = hashlib.sha256(aligner.text(ids_a, ids_b, found).encode()).hexdigest()
-            for f, v in zip(self.FIELDS, numbers, strict=True):
-                self.numbers[f].append(v)
-            self.digests.append(digest)
-            self.keys.append(keys)
-            self.times.append(times.astype(np.int32))
-            self.bounds.append(self.bounds[-1] + len(keys))
+        ids_a, ids_b, found = aligner.of(texts)
+        for pieces in aligner.texts(ids_a, ids_b, found):
+            digest = hashlib.sha256()
+            empty = True
+            for piece in pieces:
+                digest.update(piece)
+                empty = False
+            self.digests.append("" if empty else digest.hexdigest())
+        at_a, at_b = found.links()
+        n = len(texts)
+        document = np.searchsorted(found.bounds_a, at_a, side="right") - 1
+        width = aligner.n_b * aligner.n
+        keys, times = np.unique(document * width + ids_a[at_a].astype(np.int64) * aligner.n_b + ids_b[at_b], return_counts=True)
+        numbers = np.diff(found.bounds_a), np.diff(found.bounds_b), found.groups(), np.bincount(document, minlength=n)
+        for f, v in zip(self.FIELDS, numbers, strict=True):
+            self.numbers[f].append(v)
+        self.keys.append(keys % width)
+        self.times.append(times.astype(np.int32))
+        self.distinct.append(np.bincount(keys // width, minlength=n))
 
     def row(self, number: int) -> pa.RecordBatch:
         pairs, place, documents = np.unique(np.concatenate(self.keys), return_inverse=True, return_counts=True)
@@ -175,10 +229,11 @@ class Block:
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         packed = zstandard.ZstdCompressor(3).compress(planes(rank[place]) + planes(np.concatenate(self.times)))
-        numbers = [pa.array([self.numbers[f]], pa.list_(pa.int64())) for f in self.FIELDS]
+        numbers = [pa.array([np.concatenate(self.numbers[f])], pa.list_(pa.int64())) for f in self.FIELDS]
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(self.distinct))])
         ids = pa.concat_arrays(self.ids)
         ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        columns = [pa.array([number], pa.int64()), ids, *numbers, pa.array([self.digests], pa.list_(pa.string())), pa.array([self.bounds], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
+        columns = [pa.array([number], pa.int64()), ids, *numbers, pa.array([self.digests], pa.list_(pa.string())), pa.array([bounds], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
         columns += [pa.array([pairs[order]], pa.list_(pa.int64())), pa.array([documents[order]], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", *self.FIELDS, "groups_sha256", "bounds", "links", "pairs", "documents"])
 

@@ -193,6 +193,7 @@ def test_alignment(spark, sf_dir, documents, libraries, monkeypatch):
     assert sorted(map(tuple, alignment.alignment_statistics(docs).collect()), key=repr) == want
     monkeypatch.setattr(alignment, "STEP", 300)
     monkeypatch.setattr(alignment, "BLOCK", 900)  # many blocks a partition
+    monkeypatch.setattr(alignment.Aligner, "CHUNK", 7)
     assert sorted(map(tuple, alignment.alignment_statistics(docs).collect()), key=repr) == want
     groups = {hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "" for r in alignment.token_groups(docs).collect()}
     assert groups == {w[-1] for w in want}
@@ -208,13 +209,22 @@ def test_alignment_query(spark, sf_dir, libraries):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(1, 3), min_size=1, max_size=40), st.lists(st.integers(1, 3), min_size=1, max_size=40))
-def test_runs_and_groups_of_any_ends(a, b):
-    total = max(sum(a), sum(b))
-    ends_a, ends_b = (sorted({*np.cumsum(x).tolist(), total}) for x in (a, b))
-    found = alignment.Alignment(ends_a, ends_b)
-    assert found.groups() == len(set(ends_a) & set(ends_b))
-    want = {(i, j) for i in range(len(ends_a)) for j in range(len(ends_b)) if max([0, *ends_a][i], [0, *ends_b][j]) < min(ends_a[i], ends_b[j])}
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=40), min_size=2, max_size=6))
+def test_runs_and_groups_of_any_ends(lengths):
+    """Several texts in a row: groups end where both end, links are the overlaps."""
+    all_a, all_b, bounds_a, bounds_b, base = [], [], [0], [0], 0
+    for a, b in zip(lengths, lengths[1:]):
+        total = max(sum(a), sum(b))
+        all_a += [base + x for x in sorted({*np.cumsum(a).tolist(), total})]
+        all_b += [base + x for x in sorted({*np.cumsum(b).tolist(), total})]
+        base += total
+        bounds_a.append(len(all_a))
+        bounds_b.append(len(all_b))
+    found = alignment.Alignment(np.array(all_a), np.array(all_b), np.array(bounds_a), np.array(bounds_b))
+    common = sorted(set(all_a) & set(all_b))
+    assert found.to_a.tolist() == [all_a.index(x) + 1 for x in common] and found.to_b.tolist() == [all_b.index(x) + 1 for x in common]
+    assert found.groups().sum() == len(common)
+    want = {(i, j) for i in range(len(all_a)) for j in range(len(all_b)) if max([0, *all_a][i], [0, *all_b][j]) < min(all_a[i], all_b[j])}
     got = list(zip(*(x.tolist() for x in found.links())))
     assert len(got) == len(want) and set(got) == want
 
