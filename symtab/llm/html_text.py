@@ -12,10 +12,12 @@ and id from the body down); for each node the tree counts, over the m pages that
 Nodes that at least MIN_PAGES pages of a host have are judged: branches of importance below LEAST are removed from every page of
 the host, inside <article> and <main> too (there as containers, such as a box that all articles bear; running text by its
 element alone, as a paragraph, is not, nor are these two themselves). What a page declares about itself is the prior: branches that are
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments by element, role, class or id weigh 0 (for <html> and <body>
-class and id do not count, and around a main branch only whole class names do, as in "comments" but not in "with-comments"). Of a
-page with <article> or <main> what lies outside is kept only where the tree calls it important and it is a heading or
-paragraph before the main branch, as a headline or lead. The prior also serves hosts with few pages.
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments by element, role, class or id weigh 0. For <html> and <body>
+class and id do not count, nor do they, a role or <form> around <main>: there the tree judges. Around <article> only whole class
+names count, as in "comments" but not in "with-comments", and they do not either where that leaves the page without text, so that no
+name empties a page. Of a page with <article> or <main> what lies outside is kept where the tree calls it important and it is a
+heading or paragraph before the main branch, as a headline or lead, or where there is more of it, before and after, than in the
+main branches, which then are but a part. The prior also serves hosts with few pages.
 
 Counts are aggregated by (host, node, feature) before each shuffle, so a host with a third of all pages is no one task's work.
 The verdicts come back to the pages by a join on the host, broadcast only below a size.
@@ -46,7 +48,7 @@ BROADCAST_NODES = 2_000_000
 
 # Element names of HTML by their role here, and class or id words of page furniture.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template iframe svg math textarea object canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript template iframe svg textarea object canvas noembed noframes xmp annotation annotation-xml".split())
 FURNITURE = frozenset("head title nav menu footer aside form fieldset legend button select option dialog search".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -63,29 +65,34 @@ CONTAINERS = frozenset("ul ol menu dir dl table tbody thead tfoot select body".s
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_SVG_TEXT = re.compile(r"<text\b[^>]*>(.*?)</text\b[^>]*>", re.S | re.I)
+_TAG = re.compile(r"<[^>]*>")
 
 
 class Node:
     """One element. ``path`` is the hash of the path from the root; ``main``: inside article or main; ``article``: inside article.
 
-    ``drop``: furniture. ``own``: 2 if the element itself is, 1 if only a word within one of its class names or its id says so;
-    an element that holds a main branch (``holds``) is not furniture by such a word.
+    ``drop``: furniture. ``own``: 3 if the element itself is, 2 if its role, a whole class name or its id says so (or it is a
+    form), 1 if a word within such a name does; ``holds``: 2 for an element around <main>, 1 around <article>.
     """
 
     __slots__ = ("article", "children", "drop", "holds", "main", "own", "parent", "path", "tag")
 
     def __init__(self, tag: str, path: int, parent: Node | None = None, own: int = 0, main: bool = False, article: bool = False):
         self.tag, self.path, self.parent, self.own, self.main, self.article = tag, path, parent, own, main, article
-        self.children, self.holds, self.drop = [], False, False
+        self.children, self.holds, self.drop = [], 0, False
 
 
-def blocks_of(html: str | None) -> list:
-    """(text, open elements from the root) of each block of text in page order, and (None, element) for each element as it ends."""
+def blocks_of(html: str | None, spared: int = 1) -> list:
+    """(text, open elements from the root) of each block of text in page order, and (None, element) for each element as it ends.
+
+    ``spared``: up to which ``own`` an element around an article is no furniture.
+    """
     found, nodes = [], []
     for said, where in _parse(html, nodes):
         found.append((said, where if said is None else list(where)))
     for n in nodes:  # parents come before their children
-        n.drop = n.parent.drop or n.own == 2 or (n.own == 1 and not n.holds)
+        n.drop = n.parent.drop or n.own == 3 or (n.own > 0 and n.holds < 2 and not (n.holds and n.own <= spared))
     return found
 
 
@@ -117,7 +124,15 @@ def _parse(html: str | None, nodes: list[Node]):
         if tag in RAW and not closing:
             if not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, pos)
-                pos = close.end() if close else end
+                inside, pos = html[pos : close.start() if close else end], close.end() if close else end
+                if tag == "svg":
+                    text.extend(f" {unescape(_TAG.sub(' ', t))} " for t in _SVG_TEXT.findall(inside))
+                elif tag == "xmp":  # shown as it stands
+                    if said := block():
+                        yield said, stack
+                    text.append(inside)
+                    if said := block():
+                        yield said, stack
             continue
         if tag == "br":
             text.append(" ")
@@ -151,19 +166,20 @@ def _parse(html: str | None, nodes: list[Node]):
         names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(m[3])} if m[3] else {}
         words = {w for k in ("class", "id") if k in names for w in _SPLIT.split(names[k].lower())}
         main = top.main or tag in MAIN
-        furniture = tag in FURNITURE or (tag == "header" and not main) or names.get("role", "").lower() in ROLES
-        if tag in ("html", "body"):
-            own = 2 if furniture else 0
+        whole = {w for k in ("class", "id") if k in names and tag not in ("html", "body") for w in names[k].lower().split()}
+        if (tag in FURNITURE and tag != "form") or (tag == "header" and not main):
+            own = 3
+        elif tag == "form" or names.get("role", "").lower() in ROLES or whole & WORDS:
+            own = 2
         else:
-            whole = {w for k in ("class", "id") if k in names for w in names[k].lower().split()}
-            own = 2 if furniture or whole & WORDS else 1 if words & WORDS else 0
+            own = 1 if words & WORDS and tag not in ("html", "body") else 0
         label = f"{tag}.{' '.join(sorted(words))}"
         top.children.append(label)
         node = Node(tag, xxhash.xxh3_64_intdigest(label.encode(), top.path), top, own, main, top.article or tag == "article")
         # articles in an article are its comments or teasers
         if tag in MAIN and not top.article:
             for n in (*stack, node):
-                n.holds = True
+                n.holds = max(n.holds, 2 if tag == "main" else 1)
         stack.append(node)
         nodes.append(node)
     if said := block():
@@ -174,8 +190,14 @@ def _parse(html: str | None, nodes: list[Node]):
 
 def page_text(html: str | None, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
     """Main text of a page; ``low``: paths of unimportant nodes of its host, ``high``: of important ones outside main branches."""
+    text = _selected(blocks_of(html), low, high)
+    # where all pages are alike, statistics find nothing important: then only the page's own marks count
+    return text or (low and _selected(blocks_of(html), frozenset(), high)) or _selected(blocks_of(html, 2), frozenset(), high)
+
+
+def _selected(blocks: list, low: frozenset[int], high: frozenset[int]) -> str:
     kept, has_main, above = [], False, True
-    for said, where in blocks_of(html):
+    for said, where in blocks:
         if said is None:
             has_main = has_main or where.tag in MAIN and not where.drop
             continue
@@ -183,10 +205,11 @@ def page_text(html: str | None, low: frozenset[int] = frozenset(), high: frozens
         if top.drop or (low and any(n.path in low and not (n.main and n.tag in FLOW) for n in where)):
             continue
         above = above and not top.main
-        kept.append((said, top.main or (above and top.tag in HEADINGS and top.path in high)))
-    text = "\n\n".join(said for said, near in kept if near or not has_main)
-    # where all pages are alike, statistics find nothing important: then only the page's own marks count
-    return text if text or not low else page_text(html)
+        kept.append((said, top.main, above and top.tag in HEADINGS, top.path in high))
+    inside = sum(len(said) for said, main, _, _ in kept if main)
+    outside = sum(len(said) for said, main, _, important in kept if important and not main)
+    # a main branch with less text than what is important beside it is a part of the page's text, such as a teaser
+    return "\n\n".join(said for said, main, lead, important in kept if main or not has_main or (important and (lead or outside > inside)))
 
 
 def _signed(x: int) -> int:
