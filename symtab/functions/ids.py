@@ -36,7 +36,7 @@ def _segments(c: Column) -> Column:
 def _parted(internal: Column) -> tuple[Column, Column]:
     """(package segments, last segment) of an internal class name."""
     parts = _segments(internal)
-    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.coalesce(F.element_at(parts, -1), F.lit(""))
+    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
 def parse_jvm_name(internal: Column, member: Column, inner_outer: Column, inner_simple: Column) -> Column:

@@ -28,10 +28,13 @@ def line_col_to_offset(text: Column, line: Column, col: Column) -> Column:
 def version_key(v: Column) -> Column:
     """Sortable key: the leading numbers (parts split by ``.``, ``-``, ``_``; fewer first in a tie), then the rest as text.
 
-    A version that starts with no digit compares with one that does by its first character.
+    A version that starts with no digit compares with one that does by its first character. Numbers may have any number of
+    digits: they compare by how many they have without leading zeros, then as text.
     """
     digits = F.regexp_extract(v, r"^(\d+(?:[_.-]\d+)*)", 1)
-    numbers = F.when(digits == "", F.array().cast("array<bigint>")).otherwise(F.split(digits, "[._-]").cast("array<bigint>"))
+    bare = F.transform(F.split(digits, "[._-]"), lambda x: F.regexp_replace(x, "^0+", ""))
+    sized = F.transform(bare, lambda x: F.struct(F.length(x).alias("digits"), x.alias("number")))
+    numbers = F.when(digits == "", F.filter(sized, lambda x: F.lit(False))).otherwise(sized)
     lead = F.when(v == "", 0).when(v < "0", 1).when(digits != "", 2).otherwise(3)
     return F.struct(lead.alias("lead"), numbers.alias("numbers"), F.substr(v, F.length(digits) + 1).alias("rest"))
 

@@ -96,3 +96,27 @@ def test_uris(spark):
     assert value(spark, T.uri_path(F.lit("file:///src/A.scala?x#y"))) == "/src/A.scala"
     assert value(spark, T.uri_path(F.lit("jar:file:///a.jar!/B.java"))) == "file:///a.jar!/B.java"
     assert value(spark, T.path_key(F.lit("/java.base/java/lang/X.java"))) == "java.base"
+
+
+HARD = [None, "", " ", "$", "/", "//", "a/", "$$", "#", ".", "()", "1", "01", "99999999999999999999.1", "1" * 400, "1..2", "\x00", "\U0001f600", "A" * 10_000]
+
+
+def test_no_value_ends_a_job(spark):
+    """Each column function on null, empty, odd and huge values, under ANSI rules."""
+    rows = spark.createDataFrame([(v, w) for v in HARD for w in (None, "", "a/B$C")], "v string, w string")
+    c, w = F.col("v"), F.col("w")
+    columns = [
+        I.strip_dollar(c), I.symbol_id(F.split(c, "/"), F.split(w, "/"), c, w.isNull()), I.parse_jvm_name(c, w, w, c), I.parse_jvm_name(w, c, c, w), I.parse_semanticdb_symbol(c),
+        I.render_symbol_id(I.parse_jvm_name(c, w, w, c)), I.name_key(c), I.initials_key(c), I.is_initials_query(c), T.version_key(c), T.version_gt(c, w), T.path_key(c), T.uri_path(c),
+        T.line_col_to_offset(c, F.lit(2147483647), F.lit(3)), T.line_col_to_offset(c, F.lit(None).cast("int"), F.lit(0)), I.simple_name(c),
+    ]
+    assert len(rows.select(*[x.alias(f"c{i}") for i, x in enumerate(columns)]).collect()) == 3 * len(HARD)
+
+
+@pytest.mark.parametrize("older, newer", [("9" * 30, "1" + "0" * 30), ("1.99999999999999999999", "1.100000000000000000000"), ("3.7.2", "3.7.10"), ("1.9", "1.10"), ("007", "8"), ("1.0", "1.0.0")])
+def test_numbers_of_any_length(spark, older, newer):
+    assert value(spark, T.version_gt(F.lit(newer), F.lit(older))) is True and value(spark, T.version_gt(F.lit(older), F.lit(newer))) is False
+
+
+def test_leading_zeros_are_equal(spark):
+    assert value(spark, T.version_gt(F.lit("1.02"), F.lit("1.2"))) is False and value(spark, T.version_gt(F.lit("1.2"), F.lit("1.02"))) is False
