@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtab.scratch import cut
+from symtab.scratch import bucketed, discard, forget
 
 
 def overlay(project: DataFrame, dependency: DataFrame, on: str = "sym") -> DataFrame:
@@ -23,25 +25,53 @@ def supertypes(symbols: DataFrame, ids: DataFrame, on: str = "sym", parents: str
     return symbols.join(ids, on).select(*ids.columns, F.posexplode(parents).alias("pos", "parent"))
 
 
-def transitive_subtypes(edges: DataFrame, ids: DataFrame, max_depth: int = 10) -> DataFrame:
+#: Tables of visited pairs that are kept apart before they are made one.
+ROUNDS_APART = 8
+
+
+def one_round(frontier: DataFrame, edges: DataFrame, visited: list[DataFrame], buckets: int) -> DataFrame:
+    """(start, child) that the frontier (start, at) reaches by one edge and that were not visited.
+
+    Edges lie in buckets by parent, visited pairs in buckets by (start, child): neither is shuffled, only the frontier is, to
+    the edges, and what it finds, to the visited pairs; there it is made distinct and can be written into the next buckets.
+    """
+    reached = frontier.join(edges, frontier["at"] == edges["parent"]).select("start", "child")
+    found = reached.repartition(buckets, "start", "child").dropDuplicates(["start", "child"])
+    for table in visited:
+        found = found.join(table.select("start", "child"), ["start", "child"], "left_anti")
+    return found
+
+
+def transitive_subtypes(edges: DataFrame, ids: DataFrame, max_depth: int = 10, buckets: int | None = None) -> DataFrame:
     """(start, child, depth): breadth-first closure of each start, bounded in depth; each child once, at its least depth.
 
-    A start is not visited at the outset, so a cycle that leads back puts it into its own result. Each round joins the
-    frontier with the edges and drops what was visited; rounds end when the frontier is empty.
+    A start is not visited at the outset, so a cycle that leads back puts it into its own result. Each round goes on from what
+    the last one found alone; rounds end when that is nothing. Edges are dealt into ``buckets`` (by default as many as the
+    session's shuffles have partitions) once, and what a round finds once; null ids are no nodes.
     """
-    edges = edges.select("parent", "child").distinct()
-    frontier = ids.select(F.col("parent").alias("start")).distinct().withColumn("at", F.col("start"))
-    visited = None
-    for depth in range(1, max_depth + 1):
-        found = frontier.join(edges, frontier["at"] == edges["parent"]).select("start", "child").distinct()
-        if visited is not None:
-            found = found.join(visited, ["start", "child"], "left_anti")
-        found = cut(found.withColumn("depth", F.lit(depth)), "frontier")
-        if found.isEmpty():
-            break
-        visited = found if visited is None else visited.unionByName(found)
-        frontier = found.select("start", F.col("child").alias("at"))
-    return visited if visited is not None else found
+    spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select("parent", "child").filter("parent is not null and child is not null").repartition(buckets, "parent").dropDuplicates(["parent", "child"])
+    dealt = bucketed(dealt, "closure-edges", buckets, "parent")
+    frontier = ids.select(F.col("parent").alias("start")).filter("start is not null").distinct().withColumn("at", F.col("start"))
+    visited: list[DataFrame] = []
+    try:
+        for depth in range(1, max_depth + 1):
+            found = one_round(frontier, dealt, visited, buckets).withColumn("depth", F.lit(depth))
+            found = bucketed(found, "closure", buckets, "start", "child")
+            visited.append(found)
+            if found.isEmpty():
+                break
+            frontier = found.select("start", F.col("child").alias("at"))
+            if len(visited) > ROUNDS_APART:
+                together = reduce(DataFrame.unionByName, visited).repartition(buckets, "start", "child")
+                whole = bucketed(together, "closure", buckets, "start", "child")
+                frontier = whole.filter(F.col("depth") == depth).select("start", F.col("child").alias("at"))
+                discard(*map(forget, visited))
+                visited = [whole]
+        return reduce(DataFrame.unionByName, map(forget, visited))
+    finally:
+        forget(dealt)
 
 
 def implementations(symbols: DataFrame, edges: DataFrame, ids: DataFrame, max_depth: int = 10, on: str = "sym", kinds: tuple[str, ...] = ("Class", "Object", "Enum", "EnumCase")) -> DataFrame:

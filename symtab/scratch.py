@@ -31,6 +31,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, buckets: int, *keys: str) -> DataFrame:
+    """Like ``cut``, but kept in buckets by ``keys``: joins on these do not shuffle the table again.
+
+    ``df`` must be hash-partitioned by ``keys`` into as many partitions, so that a bucket is one file. The table has a name in the
+    session's catalog until ``forget``; its files stay until the application ends.
+    """
+    path, name = scratch_path(df.sparkSession, label), f"symtab_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    out = df.sparkSession.table(name)
+    out.scratch_folder, out.scratch_name = path, name
+    return out
+
+
+def forget(table: DataFrame) -> DataFrame:
+    """The rows of a table in buckets as plain files; its name is dropped."""
+    out = table.sparkSession.read.schema(table.schema).parquet(table.scratch_folder)
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.scratch_name}")
+    out.scratch_folder = table.scratch_folder
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``cut`` wrote for these tables, once nothing is left to be computed from them."""
     for df in tables:
