@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,55 +90,125 @@ def fallback_merge(attempts: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(use, ["container", "source"], "left_semi")
 
 
-def bloom_parameters(n: int, rate: float = 0.01) -> tuple[int, int]:
-    """(bits, hashes) for n names at a rate of false hits; at least 16 names, bits rounded up to whole 32,768-bit buckets."""
-    n = max(n, 16)
-    bits = math.ceil(-n * math.log(rate) / math.log(2) ** 2)
-    return -(-bits // 32768) * 32768, max(1, round(bits / n * math.log(2)))
+#: Bits of a block, in which all bits of a name lie; blocks of a row; bits that a name sets.
+BLOCK_BITS, ROW_BLOCKS, HASHES = 512, 64, 7
+#: Bits a name has at least: a rate of false hits below 1 %.
+NAME_BITS = 12
 
 
-def filter_sizes(names: DataFrame, rate: float = 0.01) -> DataFrame:
-    """(container, bits) for the names that each container has, at least 16: a small container gets a small filter."""
-    per_name = -math.log(rate) / math.log(2) ** 2
-    return names.groupBy("container").agg(F.ceil(F.greatest(F.count("*"), F.lit(16)) * per_name).alias("bits"))
+def filter_blocks(n: Column) -> Column:
+    """Number of blocks for n names, 16 at least: the least power of two that gives each NAME_BITS bits."""
+    wanted = F.ceil(F.greatest(n, F.lit(16)) * NAME_BITS / BLOCK_BITS)
+    doublings = F.when(wanted > 1, F.length(F.bin(wanted - 1))).otherwise(0)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), doublings)
 
 
-def _sized(rows: DataFrame, bits: int | DataFrame) -> DataFrame:
-    """``rows`` with the ``bits`` of their container; rows of a container without a size go."""
-    return rows.join(bits.select("container", "bits"), "container") if isinstance(bits, DataFrame) else rows.withColumn("bits", F.lit(bits))
+def _hashed(names: DataFrame) -> DataFrame:
+    """``names`` plus ``_block``, which tells the block in a filter of any size, and ``_bits``, the places in the block."""
+    key = I.name_key(F.col("name"))
+    bits = F.xxhash64(F.lit(1), key)
+    return names.withColumn("_block", F.xxhash64(F.lit(0), key)).withColumn("_bits", F.array(*[F.shiftrightunsigned(bits, 9 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(HASHES)]))
 
 
-def _positions(name: Column, hashes: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(F.lit(seed), I.name_key(name)), F.col("bits")) for seed in range(hashes)])
+def _masked(block: Column, blocks: Column) -> Column:
+    return block.bitwiseAND(blocks - 1)
 
 
-def membership_filter_build(names: DataFrame, bits: int | DataFrame, hashes: int) -> DataFrame:
-    """(container, bucket, bitmap): Bloom filters over lower-cased names, built bucket by bucket with partial aggregation.
+def membership_filter_build(names: DataFrame) -> DataFrame:
+    """Blocked Bloom filters over lower-cased names by container: (container, blocks, n, row, bits).
 
-    ``bits``: one size for all, which a union needs, or (container, bits) as of ``filter_sizes``.
+    A filter has as many blocks of 512 bits as its names need, a power of two; a name sets its bits in one of them. Filters of
+    up to 64 blocks (about 2,700 names) are one row, whose bytes follow the names; a larger one has a row for each 64 blocks,
+    so that no row is large and a probe finds its row by (container, row).
     """
-    at = _sized(names.select("container", "name"), bits).select("container", F.explode(_positions(F.col("name"), hashes)).alias("p"))
-    return at.groupBy("container", F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    keys = names.filter("container is not null and name is not null").select("container", I.name_key(F.col("name")).alias("name")).distinct()
+    sizes = keys.groupBy("container").agg(F.count("*").alias("n")).select(F.col("container").alias("_container"), "n", filter_blocks(F.col("n")).alias("blocks"))
+    return _built(_hashed(keys).join(sizes, F.col("container") == F.col("_container")))
+
 
+def _built(hashed: DataFrame) -> DataFrame:
+    """Rows of filters from hashed names that bear ``n`` and ``blocks`` of their container."""
+    block = _masked(F.col("_block"), F.col("blocks"))
+    rows = hashed.withColumn("row", F.floor(block / ROW_BLOCKS)).withColumn("_within", block % ROW_BLOCKS * BLOCK_BITS)
+    places = rows.select("container", "blocks", "n", "row", F.explode(F.transform("_bits", lambda b: b + F.col("_within"))).alias("p"))
+    bitmap = F.bitmap_construct_agg("p")
+    made = places.groupBy("container", "blocks", "n", "row").agg(bitmap.alias("bits"))
+    return made.withColumn("bits", _trimmed(F.col("bits"), F.col("blocks")))
 
-def membership_filter_add(filters: DataFrame, added: DataFrame, bits: int | DataFrame, hashes: int) -> DataFrame:
-    """Filters after names were added to containers, old or new; filters can't forget, so a name that moved still may be contained where it was."""
-    both = filters.unionByName(membership_filter_build(added, bits, hashes))
-    return both.groupBy("container", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
+def _trimmed(bits: Column, blocks: Column) -> Column:
+    """A bitmap of Spark's (of 64 blocks) cut to the blocks that a filter has."""
+    return F.substring(bits, F.lit(1), (F.least(blocks, F.lit(ROW_BLOCKS)) * (BLOCK_BITS // 8)).cast("int"))
 
-def membership_filter_union(filters: DataFrame) -> DataFrame:
-    """(bucket, bitmap): the union over containers."""
-    return filters.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
+def membership_filter_add(filters: DataFrame, added: DataFrame, names: DataFrame) -> DataFrame:
+    """Filters after names were added to containers, old or new. ``names`` holds all names, the added ones too.
 
-def membership_filter_probe(filters: DataFrame, probes: DataFrame, bits: int | DataFrame, hashes: int) -> DataFrame:
-    """``probes`` (container, name) plus ``might_contain``; false for an unknown container. A hit still needs the exact join."""
-    asked = probes.select("container", "name").distinct()
-    at = _sized(asked, bits).withColumn("p", F.explode(_positions(F.col("name"), hashes)))
-    at = at.withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
+    Where a filter still has room the new names' bits are set in it. One that has none, or that is new, is built from
+    ``names``, so bytes and the rate of false hits follow the names however they came. Filters can't forget: a name that
+    moved may still be contained where it was, until its filter is built anew.
+    """
+    keys = added.filter("container is not null and name is not null").select("container", I.name_key(F.col("name")).alias("name")).distinct()
+    more = keys.groupBy("container").agg(F.count("*").alias("_more"))
+    sizes = filters.groupBy(F.col("container").alias("_c")).agg(F.max("blocks").alias("blocks"), F.max("n").alias("n"))
+    after = more.join(sizes, F.col("container") == F.col("_c"), "left").withColumn("_n", F.coalesce("n", F.lit(0)) + F.col("_more"))
+    after = after.withColumn("_fits", F.coalesce(filter_blocks(F.col("_n")) <= F.col("blocks"), F.lit(False)))
+    fits = after.filter("_fits").select(F.col("container").alias("_container"), "blocks", F.col("_n").alias("n"))
+    outgrown = after.filter("not _fits").select("container")
+    set_now = _built(_hashed(keys).join(fits, F.col("container") == F.col("_container")))
+    kept = filters.join(outgrown, "container", "left_anti").unionByName(set_now)
+    merged = kept.groupBy("container", "blocks", "row").agg(F.max("n").alias("n"), F.bitmap_or_agg("bits").alias("bits")).withColumn("bits", _trimmed(F.col("bits"), F.col("blocks")))
+    counts = merged.groupBy(F.col("container").alias("_c")).agg(F.max("n").alias("_n"))  # rows that no new name touched too
+    merged = merged.join(counts, F.col("container") == F.col("_c")).withColumn("n", F.col("_n")).select(*filters.columns)
+    return merged.unionByName(membership_filter_build(names.join(outgrown, "container", "left_semi")).select(*filters.columns))
+
+
+def membership_filter_fold(filters: DataFrame, blocks: int) -> DataFrame:
+    """Filters folded to ``blocks`` (a power of two); smaller ones stay as they are.
+
+    A block's number is a mask of the name's hash, so a filter of half the size is the two halves laid over each other.
+    """
+    larger = filters.filter(F.col("blocks") > blocks)
+    if blocks >= ROW_BLOCKS:
+        parts = larger.withColumn("row", F.col("row") % (blocks // ROW_BLOCKS))
+    else:
+        size = blocks * BLOCK_BITS // 8
+        starts = F.sequence(F.lit(1), F.octet_length("bits"), F.lit(size))
+        parts = larger.withColumn("_start", F.explode(starts)).withColumn("bits", F.substring(F.col("bits"), F.col("_start"), F.lit(size))).withColumn("row", F.lit(0).cast("long"))
+    folded = parts.groupBy("container", "row").agg(F.max("n").alias("n"), F.bitmap_or_agg("bits").alias("bits"))
+    folded = folded.withColumn("blocks", F.lit(blocks).cast("long")).withColumn("bits", _trimmed(F.col("bits"), F.col("blocks")))
+    return folded.select(*filters.columns).unionByName(filters.filter(F.col("blocks") <= blocks))
+
+
+def membership_filter_union(filters: DataFrame, blocks: int | None = None, container: str = "*") -> DataFrame:
+    """One filter, named ``container``, of what any of the filters contains, all folded to the size of the smallest.
+
+    ``blocks`` asks for another size, for which each filter must be large enough: smaller ones can't be unfolded and raise.
+    """
+    least, n = filters.groupBy("container").agg(F.min("blocks").alias("b"), F.max("n").alias("n")).agg(F.min("b"), F.sum("n")).first()  # two numbers
+    least = least or 1
+    blocks = blocks or least
+    if blocks > least:
+        raise ValueError(f"a filter has {least} blocks; a union has no more than the smallest")
+    both = membership_filter_fold(filters, blocks).groupBy("row").agg(F.bitmap_or_agg("bits").alias("bits"))
+    out = both.select(F.lit(container).alias("container"), F.lit(blocks).cast("long").alias("blocks"), F.lit(n).cast("long").alias("n"), "row", "bits")
+    return out.withColumn("bits", _trimmed(F.col("bits"), F.col("blocks"))).select(*filters.columns)
+
+
+def membership_filter_probe(filters: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (container, name, ...) plus ``might_contain``; false for an unknown container. A hit still needs the exact join.
+
+    A probe is one row: the size of its container's filter, a number a container, tells the block, and the block's row of
+    bits is met by (container, row).
+    """
+    sizes = filters.groupBy(F.col("container").alias("_container")).agg(F.max("blocks").alias("_blocks"))
+    asked = _hashed(probes).join(sizes, F.col("container") == F.col("_container"), "left")
+    block = _masked(F.col("_block"), F.col("_blocks"))
+    asked = asked.withColumn("_row", F.floor(block / ROW_BLOCKS)).withColumn("_within", block % ROW_BLOCKS * BLOCK_BITS).drop("_container")
+    kept = filters.select(F.col("container").alias("_c"), F.col("row").alias("_r"), F.col("bits").alias("_filter"))
+    met = asked.join(kept, (F.col("container") == F.col("_c")) & (F.col("_row") == F.col("_r")), "left")
+    place = lambda b: (b + F.col("_within")).cast("int")
     # bit k of the bitmap is bit k % 8 of byte k / 8
-    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
-    answer = at.join(filters, ["container", "bucket"], "left").groupBy("container", "name").agg(F.bool_and(is_set).alias("might_contain"))
-    return probes.join(answer, ["container", "name"], "left").withColumn("might_contain", F.coalesce("might_contain", F.lit(False)))
+    byte = lambda b: F.conv(F.hex(F.substring(F.col("_filter"), F.shiftright(place(b), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.forall("_bits", lambda b: byte(b).bitwiseAND(F.pow(F.lit(2), place(b) % 8).cast("int")) != 0)
+    return met.withColumn("might_contain", F.coalesce(is_set, F.lit(False))).select(*probes.columns, "might_contain")

@@ -449,12 +449,11 @@ def sym47_fallback_merge(spark, d):
 SELECT container, name FROM p JOIN n USING (container, name)""")
 def sym48_membership_filter(spark, d):
     names = _symbols(spark, d).select(F.col("owner1").alias("container"), "name").distinct()
-    bits, (_, hashes) = ingest.filter_sizes(names), ingest.bloom_parameters(16)
-    filters = ingest.membership_filter_build(names, bits, hashes)
+    filters = ingest.membership_filter_build(names)
     owners = table(spark, d, "supplier").select(F.explode(F.array(F.concat(F.lit("Brand1"), 1 + F.col("s_suppkey") % 6))).alias("container")).distinct()
     wanted = _symbols(spark, d).filter("kind = 'Enum'").select("name").distinct()
     probes = wanted.withColumn("container", F.explode(F.array(*[F.lit(r[0]) for r in owners.orderBy("container").collect()])))  # six containers at most
-    hits = ingest.membership_filter_probe(filters, probes, bits, hashes).filter("might_contain")
+    hits = ingest.membership_filter_probe(filters, probes).filter("might_contain")
     return hits.select("container", "name").join(names, ["container", "name"], "left_semi")
 
 

@@ -48,31 +48,6 @@ def test_position(spark):
     assert rows(lookup.resolve_at_position(symbols, positions)) == [(1, "inner"), (2, "Outer")]
 
 
-def test_bloom_rate(spark):
-    names = spark.range(1000).select(F.lit("c").alias("container"), F.concat(F.lit("In"), "id").alias("name"))
-    bits, hashes = ingest.bloom_parameters(1000)
-    filters = ingest.membership_filter_build(names, bits, hashes)
-    absent = spark.range(10000).select(F.lit("c").alias("container"), F.concat(F.lit("out"), "id").alias("name"))
-    hits = ingest.membership_filter_probe(filters, absent, bits, hashes).filter("might_contain").count()
-    assert hits < 200
-    assert ingest.membership_filter_probe(filters, names, bits, hashes).filter("not might_contain").count() == 0
-    other = names.withColumn("container", F.lit("d"))
-    assert ingest.membership_filter_probe(filters, other, bits, hashes).filter("might_contain").count() == 0
-    union = ingest.membership_filter_union(filters.unionByName(ingest.membership_filter_build(absent.withColumn("container", F.lit("x")), bits, hashes))).withColumn("container", F.lit("c"))
-    assert ingest.membership_filter_probe(union, absent, bits, hashes).filter("not might_contain").count() == 0
-
-
-def test_filters_sized_by_container(spark):
-    names = spark.range(5000).select(F.lit("large").alias("container"), F.concat(F.lit("in"), "id").alias("name")).unionByName(spark.createDataFrame([("small", "one"), ("small", "Two")], "container string, name string"))
-    sizes, (_, hashes) = ingest.filter_sizes(names), ingest.bloom_parameters(16)
-    assert {r.container: r.bits for r in sizes.collect()} == {"large": 47926, "small": 154} and hashes == 7
-    filters = ingest.membership_filter_build(names, sizes, hashes)
-    assert ingest.membership_filter_probe(filters, names, sizes, hashes).filter("not might_contain").count() == 0
-    absent = spark.range(10000).select(F.explode(F.array(F.lit("large"), F.lit("small"), F.lit("none"))).alias("container"), F.concat(F.lit("out"), "id").alias("name"))
-    rates = dict(ingest.membership_filter_probe(filters, absent, sizes, hashes).groupBy("container").agg(F.avg(F.col("might_contain").cast("int"))).collect())
-    assert rates["large"] < 0.02 and rates["small"] < 0.02 and rates["none"] == 0
-
-
 def test_replaying_batches_equals_one_build(spark, sf_dir):
     refs = view(spark, sf_dir, "refs")
     state = refs.limit(0)
@@ -120,15 +95,6 @@ def test_offsets_count_utf16_units(spark):
     assert [r[0] for r in lines.select(text.line_col_to_offset(F.col("text"), F.col("line"), F.col("col"))).collect()] == [4, 4, -1, -1, 3]
 
 
-def test_filters_follow_added_containers(spark):
-    names = lambda c, ns: spark.createDataFrame([(c, n) for n in ns], "container string, name string")
-    bits, hashes = ingest.bloom_parameters(50)
-    filters = ingest.membership_filter_build(names("a", ["One", "Two"]), bits, hashes)
-    filters = ingest.membership_filter_add(filters, names("a", ["Three"]).unionByName(names("b", ["Four"])), bits, hashes)
-    asked = names("a", ["one", "two", "three", "four"]).unionByName(names("b", ["four", "one"])).unionByName(names("c", ["one"]))
-    assert {(r.container, r.name) for r in ingest.membership_filter_probe(filters, asked, bits, hashes).filter("might_contain").collect()} == {("a", "one"), ("a", "two"), ("a", "three"), ("b", "four")}
-
-
 def test_debug_index_without_matches(spark):
     counts = spark.createDataFrame([(3, 4)], "project_symbols int, files int")
     row = stats.debug_index(counts, spark.createDataFrame([], "name_key string, sym string")).first()
