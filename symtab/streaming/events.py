@@ -18,7 +18,8 @@ from symtab.operators.events import ORDER, _joined, _units, fold_document
 
 
 def configure(spark: SparkSession) -> None:
-    """Sets the state store that these operators need."""
+    """Sets the state store that these operators need, and that sessions are merged before they are shuffled."""
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -84,47 +85,17 @@ def _ms(t: pd.Timestamp) -> int:
     return -(-(t - _EPOCH) // _MS)
 
 
-class Debounce(StatefulProcessor):
-    """State: the last event of the scope, which fires when the watermark passes its delay."""
-
-    def __init__(self, delay: pd.Timedelta):
-        self.delay = delay
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us long, event_id long, uri string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = [(pd.Timestamp(e.ts), int(e.event_id), e.uri) for e in _rows(rows, ["ts", "event_id"]).itertuples(index=False)]
-        if self.last.exists():
-            us, event, uri = self.last.get()
-            events.append((_EPOCH + pd.Timedelta(microseconds=us), event, uri))
-            self.handle.deleteTimer(_ms(events[-1][0] + self.delay))
-            events.sort(key=lambda e: e[:2])
-        fired = [a for a, b in zip(events[:-1], events[1:], strict=True) if b[0] > a[0] + self.delay]
-        t, event, uri = events[-1]
-        self.last.update(((t - _EPOCH) // pd.Timedelta(microseconds=1), event, uri))
-        self.handle.registerTimer(_ms(t + self.delay))
-        if fired:
-            yield pd.DataFrame({"uri": [u for _, _, u in fired], "event_id": [e for _, e, _ in fired]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            _, event, uri = self.last.get()
-            self.last.clear()
-            yield pd.DataFrame({"uri": [uri], "event_id": [event]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_debounce(events: DataFrame, delay_seconds: float, keyed: bool = True) -> DataFrame:
     """(uri, event_id) of the events that no later one follows within the delay: of the same uri or, if not ``keyed``, of any.
 
-    One scope for all is one state, so one task's work: only the last event is kept in it.
+    Such an event is the last of a session: a session window whose gap is the delay and a microsecond, since an event exactly the
+    delay later still supersedes. Partitions merge their own sessions first (``configure``), so that a scope, be it all events, is dealt out
+    as a row a session and partition, and no event is kept in Python.
     """
-    scoped = events.withColumn("scope", F.col("uri") if keyed else F.lit("all"))
-    return scoped.groupBy("scope").transformWithStateInPandas(Debounce(pd.Timedelta(seconds=delay_seconds)), "uri string, event_id long", "Append", "EventTime")
+    scope = F.col("uri") if keyed else F.coalesce(F.substring("uri", 1, 0), F.lit(""))  # the same for all, but no constant, which Spark refuses
+    gap = f"{round(delay_seconds * 1_000_000) + 1} microseconds"
+    sessions = events.groupBy(F.session_window("ts", gap), scope.alias("scope")).agg(F.max(F.struct("ts", "event_id", "uri")).alias("last"))
+    return sessions.select("last.uri", "last.event_id")
 
 
 class Conflate(StatefulProcessor):
