@@ -102,6 +102,19 @@ def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def damaged_zip(entries: list[tuple[str, bytes]], damaged: set[str]) -> bytes:
+    """An archive, uncompressed, in which the first byte of some entries was changed afterwards."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in entries:
+            z.writestr(name, data)
+        at = [i.header_offset + 30 + len(i.filename) for i in z.infolist() if i.filename in damaged]
+    data = bytearray(out.getvalue())
+    for i in at:
+        data[i] ^= 1
+    return bytes(data)
+
+
 def write_file(folder: str, name: str, data: bytes) -> None:
     """Writes a file below a folder of any store; a task that runs twice leaves one whole file."""
     fs, root = FileSystem.from_uri(folder)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from symtab.functions import ids as I
 from symtab.functions import text as T
 from symtab.operators import hierarchy, ingest, lookup, stats
-from symtab.plans.fixtures import class_bytes, ctes, table, view, write_file, zip_bytes
+from symtab.plans.fixtures import class_bytes, ctes, damaged_zip, table, view, write_file, zip_bytes
 from symtab.scratch import scratch_path
 from symtab.sources import archives, cache
 
@@ -489,6 +489,25 @@ def sym51_diagnostic_rollup(spark, d):
     return stats.diagnostic_rollup(view(spark, d, "index_diagnostics")).withColumn("messages", F.array_join("messages", "|"))
 
 
+@query("""WITH c AS (SELECT 'lib/' || source || '-' || (doc_id // 50) || '.jar' AS container, (doc_id // 50) % 5 = 4 AS cut, count(*) FILTER (doc_id % 11 = 3) AS bad FROM documents GROUP BY ALL)
+SELECT container, CASE WHEN cut THEN 1 ELSE bad END AS errors, 0::BIGINT AS warnings, 'Error' AS status, (CASE WHEN cut THEN 1 ELSE least(bad, 20) END)::INT AS n_messages FROM c WHERE cut OR bad > 0""")
+def sym51_broken_entries(spark, d):
+    """Archives of which every fifth is cut off and some entries are damaged: what can't be read is counted by container."""
+    docs = table(spark, d, "documents").select(F.format_string("lib/%s-%d.jar", "source", F.expr("doc_id div 50")).alias("path"), "doc_id", "text")
+    folder = scratch_path(spark, "broken-archives")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))
+        data = damaged_zip([(f"{i}.txt", f"!{t}".encode()) for i, t in rows], {f"{i}.txt" for i, _ in rows if i % 11 == 3})
+        write_file(folder, pdf["path"].iloc[0], data[: len(data) // 2] if rows[0][0] // 50 % 5 == 4 else data)
+        return pdf[["path"]].iloc[:1]
+
+    docs.groupBy("path").applyInPandas(pack, "path string").count()
+    found = archives.index_diagnostics(archives.scan_with_errors(spark, folder))
+    found = found.withColumn("container", F.regexp_extract("container", "lib/[^/]*$", 0))
+    return stats.diagnostic_rollup(found).select("container", "errors", "warnings", "status", F.size("messages").alias("n_messages"))
+
+
 @query(ctes("symbols", "refs") + """, s AS (SELECT CASE WHEN sid % 2 = 0 THEN uri ELSE 'file:///o/' || sid END AS uri, count(*) AS n_symbols, string_agg(sid::VARCHAR, ',' ORDER BY sid) AS symbols FROM symbols GROUP BY 1),
 r AS (SELECT uri, count(*) AS n_refs, string_agg(sid::VARCHAR, ',' ORDER BY sid) AS refs FROM refs GROUP BY uri)
 SELECT coalesce(s.uri, r.uri) AS uri, coalesce(n_symbols, 0) AS n_symbols, coalesce(symbols, '') AS symbols, coalesce(n_refs, 0) AS n_refs, coalesce(refs, '') AS refs FROM s FULL JOIN r ON s.uri = r.uri""")

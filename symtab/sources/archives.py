@@ -7,50 +7,165 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fnmatch import fnmatch
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from symtab.functions import ids as I
 from symtab.schema import ENTRY, MEMBER
 
 #: Bytes of entries handed on at a time.
 CHUNK = 8_000_000
-
-
-def archive_entries(files: DataFrame) -> DataFrame:
-    """(container, entry, entry_index, size, bytes) of the files in each archive of (path, content); an unreadable archive or entry gives no rows."""
+#: Bytes of archives that a task reads.
+PART_BYTES = 128_000_000
+#: Entries and raw members with what went wrong.
+READ = StructType(ENTRY.fields).add("error", StringType())
+MEMBER_READ = StructType(MEMBER.fields).add("error", StringType())
+ARROW_READ = to_arrow_schema(READ)
+
+
+def _entries(container: str, file, start: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """Rows of READ from an archive's open file: entries whose header begins at a byte from ``start`` to ``end``.
+
+    What can't be read is a row with an error instead: an entry with its number, a whole archive once, without one.
+    """
+    try:
+        archive = zipfile.ZipFile(file)
+    except (zipfile.BadZipFile, OSError, EOFError, struct.error, ValueError) as error:
+        if not start:
+            yield container, None, None, None, None, f"archive: {error}"
+        return
+    for i, info in enumerate(archive.infolist()):
+        if info.is_dir() or info.header_offset < start or (end is not None and info.header_offset >= end):
+            continue
+        try:
+            data = archive.read(info)
+            yield container, info.filename, i, len(data), data, None
+        except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, struct.error, zlib.error, ValueError) as error:
+            yield container, info.filename, i, None, None, f"{info.filename}: {error}"
+
+
+def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in lists of about CHUNK bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4] or b"")
+        if size > CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """(container, entry, entry_index, size, bytes, error) of the files in each archive of (path, content).
+
+    A broken archive or entry is a row with an error and no bytes, so that nothing is lost uncounted (``index_diagnostics``).
+    """
 
     def entries(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, held = [], 0
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for i, info in enumerate(archive.infolist()):
-                    if info.is_dir():
-                        continue
-                    try:
-                        data = archive.read(info)
-                    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, struct.error, zlib.error):
-                        continue
-                    rows.append((path, info.filename, i, len(data), data))
-                    held += len(data)
-                    if held > CHUNK:
-                        yield pd.DataFrame(rows, columns=ENTRY.names)
-                        rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=ENTRY.names)
-
-    return files.select("path", "content").mapInPandas(entries, ENTRY)
+                for rows in _chunks(_entries(path, io.BytesIO(content))):
+                    yield pd.DataFrame(rows, columns=READ.names)
+
+    return files.select("path", "content").mapInPandas(entries, READ)
+
+
+def without_errors(read: DataFrame) -> DataFrame:
+    """The entries that could be read: (container, entry, entry_index, size, bytes)."""
+    return read.filter("error is null").select(*ENTRY.names)
+
+
+def archive_entries(files: DataFrame) -> DataFrame:
+    """(container, entry, entry_index, size, bytes) of the files in each archive of (path, content); a broken archive or entry gives no rows."""
+    return without_errors(read_archives(files))
+
+
+@dataclass
+class Part(InputPartition):
+    """Parts of archives that one task reads: (path, first byte, end), of which it reads the entries that begin there."""
+
+    pieces: tuple[tuple[str, int, int], ...]
+
+
+class ArchiveReader(DataSourceReader):
+    """Deals archives out by bytes: small ones together, a large one in pieces.
+
+    The driver only lists files. Each task reads an archive's directory, at its end, and the bytes of its own entries, so an archive
+    may be of any size, and no part of it passes through a task that does not need it.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.glob, self.bytes = options["path"], options.get("glob", "*.jar"), int(options.get("partBytes", PART_BYTES))
+
+    def partitions(self) -> list[Part]:
+        system, root = FileSystem.from_uri(self.path)
+        found = system.get_file_info(root)
+        if found.type == FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        infos = [found] if found.is_file else system.get_file_info(FileSelector(root, recursive=True))
+        parts, held, size = [], [], 0
+        for info in sorted((i for i in infos if i.is_file and fnmatch(i.base_name, self.glob)), key=lambda i: i.path):
+            for start in range(0, max(info.size, 1), self.bytes):
+                end = min(start + self.bytes, max(info.size, 1))
+                if held and size + end - start > self.bytes:
+                    parts.append(Part(tuple(held)))
+                    held, size = [], 0
+                held.append((info.path, start, end))
+                size += end - start
+        return [*parts, Part(tuple(held))] if held else parts
+
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        system, _ = FileSystem.from_uri(self.path)
+        for path, start, end in part.pieces if part else ():  # no part: no file
+            with system.open_input_file(path) as file:
+                for rows in _chunks(_entries(path, file, start, end)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(READ.names, row, strict=True)) for row in rows], schema=ARROW_READ)
+
+
+class ArchiveSource(DataSource):
+    """``spark.read.format("symtab_archives").option("glob", "*.jar").load(uri)``: rows of ``read_archives``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "symtab_archives"
+
+    def schema(self):
+        return READ
+
+    def reader(self, schema) -> ArchiveReader:
+        return ArchiveReader(self.options)
+
+
+def scan_with_errors(spark: SparkSession, path: str, glob: str = "*.jar", part_bytes: int | None = None) -> DataFrame:
+    """Rows of ``read_archives`` for the archives below a path.
+
+    Where Arrow knows the path's file system, archives are read in parts (``ArchiveReader``). Other stores are read by
+    Spark's binary files, whole and thus below 2 GB each.
+    """
+    try:
+        FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        return read_archives(files)
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("symtab_archives").option("glob", glob).option("partBytes", str(part_bytes or PART_BYTES)).load(path)
 
 
 def scan_archives(spark: SparkSession, path: str, glob: str = "*.jar") -> DataFrame:
-    """Entries of the archives below a path."""
-    return archive_entries(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
+    """Entries of the archives below a path; broken ones give no rows."""
+    return without_errors(scan_with_errors(spark, path, glob))
 
 
 def entry_kind(entry: Column) -> Column:
@@ -136,8 +251,9 @@ def class_members(data: bytes) -> list[dict]:
     return [own, *({**own, **m} for m in members)]
 
 
-def class_file_members(entries: DataFrame) -> DataFrame:
-    """Raw rows of the class files among the entries; a broken entry is left out, the others of its archive stay."""
+def read_class_files(entries: DataFrame) -> DataFrame:
+    """Raw rows of the class files among the entries, plus ``error``: a broken file is one row with nothing but its error, and
+    the others of its archive stay."""
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -145,12 +261,26 @@ def class_file_members(entries: DataFrame) -> DataFrame:
             for container, entry, data in zip(pdf["container"], pdf["entry"], pdf["bytes"], strict=True):
                 try:
                     found = class_members(data)
-                except (ValueError, KeyError, IndexError, struct.error):
-                    continue
-                rows += [{"container": container, "entry": entry, "ordinal": k, **m} for k, m in enumerate(found)]
-            yield pd.DataFrame(rows, columns=MEMBER.names)
+                    rows += [{"container": container, "entry": entry, "ordinal": k, **m, "error": None} for k, m in enumerate(found)]
+                except (ValueError, KeyError, IndexError, struct.error) as error:
+                    rows.append({"container": container, "entry": entry, "error": f"{entry}: {type(error).__name__} {error}"})
+            frame = pd.DataFrame(rows, columns=MEMBER_READ.names, dtype=object)
+            yield frame.where(frame.notna(), None)
+
+    return entries.filter(entry_kind(F.col("entry")) == "class").select("container", "entry", "bytes").mapInPandas(parse, MEMBER_READ)
+
+
+def class_file_members(entries: DataFrame) -> DataFrame:
+    """Raw rows of the class files among the entries; a broken entry is left out, the others of its archive stay."""
+    return read_class_files(entries).filter("error is null").select(*MEMBER.names)
+
 
-    return entries.filter(entry_kind(F.col("entry")) == "class").select("container", "entry", "bytes").mapInPandas(parse, MEMBER)
+def index_diagnostics(*read: DataFrame) -> DataFrame:
+    """(container, seq, is_error, message) of what could not be read, for ``diagnostic_rollup``: the errors of ``read_archives``,
+    ``scan_with_errors`` and ``read_class_files``. Messages of a container are numbered in order of their text."""
+    errors = reduce(DataFrame.unionByName, [r.filter("error is not null").select("container", F.col("error").alias("message")) for r in read])
+    seq = F.row_number().over(Window.partitionBy("container").orderBy("message")) - 1
+    return errors.select("container", seq.cast("long").alias("seq"), F.lit(True).alias("is_error"), "message")
 
 
 def extract_classfile_symbols(entries: DataFrame) -> DataFrame:

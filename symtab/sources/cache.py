@@ -25,13 +25,14 @@ def cache_lookup(inputs: DataFrame, manifest: DataFrame, version: str) -> tuple[
 def cache_store(results: DataFrame, done: DataFrame, path: str, version: str) -> None:
     """Writes ``results`` (sha, ...) of the keys ``done`` (sha), an empty result too, and then the manifest.
 
-    Results go to new files under version and bucket; a key's earlier rows are outdated by the manifest's newer batch. A
+    Results go to new files under version, batch and bucket; a key's earlier rows are outdated by the manifest's newer batch. A
     reader takes, of each key, the rows of the newest batch that the manifest names, so a failed write is never seen.
+    ``cache_clean`` removes batches that are wholly outdated.
     """
     spark = results.sparkSession
     batch = spark.sql("SELECT uuid()").first()[0]
     filed = lambda df: df.withColumn("version", F.lit(version)).withColumn("batch", F.lit(batch)).withColumn("bucket", F.substring("sha", 1, BUCKET_DIGITS))
-    filed(results).write.mode("append").partitionBy("version", "bucket").parquet(f"{path}/results")
+    filed(results).write.mode("append").partitionBy("version", "batch", "bucket").parquet(f"{path}/results")
     filed(done.select("sha").distinct()).withColumn("at", F.current_timestamp()).write.mode("append").partitionBy("version").parquet(f"{path}/manifest")
 
 
@@ -48,6 +49,19 @@ def cache_read(spark: SparkSession, path: str, hits: DataFrame, version: str) ->
     return rows.join(newest.select("sha", "batch"), ["sha", "batch"]).drop("batch", "version", "bucket")
 
 
+def cache_clean(spark: SparkSession, path: str) -> int:
+    """Removes the results of batches whose every key has a newer batch, and tells how many; replaced entries so take no room.
+
+    Only batches that the manifest names are looked at, so one that is just being written stays.
+    """
+    named = spark.read.parquet(f"{path}/manifest").select("version", "batch").distinct()
+    outdated = named.join(cache_manifest(spark, path).select("version", "batch").distinct(), ["version", "batch"], "left_anti").collect()  # names of batches
+    for r in outdated:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/results/version={r.version}/batch={r.batch}")
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(outdated)
+
+
 def symbols_to_json(symbols: DataFrame) -> DataFrame:
     """(json): one object a symbol; unions are told apart by ``_kind``."""
     return symbols.select(F.to_json(F.struct(*symbols.columns)).alias("json"))

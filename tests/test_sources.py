@@ -2,11 +2,13 @@
 
 import glob
 import os
+import zipfile
 
 import pyspark
 from pyspark.sql import functions as F
 
-from symtab.plans.fixtures import class_bytes, zip_bytes
+from symtab.operators import stats
+from symtab.plans.fixtures import class_bytes, damaged_zip, zip_bytes
 from symtab.sources import archives, cache
 
 
@@ -21,6 +23,48 @@ def test_archives(spark, tmp_path):
     assert found == {("a.Good", "Class", "Public", None), ("a.Good.f()", "EnumCase", "Public", "a.Good"), ("a.Good.m()", "Method", "Private", "a.Good")}
 
 
+def test_what_cannot_be_read_is_counted(spark, tmp_path):
+    good = class_bytes("a/Good", 1, "java/lang/Object", [], [], [("m", "()V", 1)])
+    (tmp_path / "ok.jar").write_bytes(zip_bytes([("a/Good.class", good), ("a/Broken.class", b"\xca\xfe\xba\xbe\0"), ("b/Short.class", b"\xca"), ("readme.txt", b"x")]))
+    (tmp_path / "damaged.jar").write_bytes(damaged_zip([("1.txt", b"one"), ("2.txt", b"two"), ("a/Good.class", good)], {"2.txt"}))
+    (tmp_path / "text.jar").write_bytes(b"not an archive")
+    (tmp_path / "empty.jar").write_bytes(b"")
+    binary = archives.read_archives(spark.read.format("binaryFile").load(str(tmp_path)))  # Spark leaves out files without bytes
+    for read, empty in ((archives.scan_with_errors(spark, str(tmp_path)), [("empty.jar", 1, "Error", 1)]), (binary, [])):
+        members = archives.read_class_files(archives.without_errors(read))
+        found = stats.diagnostic_rollup(archives.index_diagnostics(read, members)).select(F.regexp_extract("container", "[^/]*$", 0), "errors", "status", F.size("messages")).collect()
+        assert sorted(map(tuple, found)) == [("damaged.jar", 1, "Error", 1), *empty, ("ok.jar", 2, "Error", 2), ("text.jar", 1, "Error", 1)]
+        assert sorted(r.entry for r in archives.without_errors(read).collect()) == ["1.txt", "a/Broken.class", "a/Good.class", "a/Good.class", "b/Short.class", "readme.txt"]
+        assert archives.class_file_members(archives.without_errors(read)).count() == 4
+
+
+def test_archives_are_dealt_out_by_bytes(spark, tmp_path):
+    """A large archive is many tasks' work, small ones are put together, and every entry is read once."""
+    data = os.urandom(3000)
+    (tmp_path / "large.jar").write_bytes(damaged_zip([(f"{i}", data) for i in range(40)], {"7"}))
+    for i in range(30):
+        (tmp_path / f"small{i}.jar").write_bytes(damaged_zip([("x", b"y")], set()))
+    read = archives.scan_with_errors(spark, str(tmp_path), part_bytes=10_000)
+    assert 12 <= read.rdd.getNumPartitions() <= 16
+    rows = read.collect()
+    assert len(rows) == 70 and len({(r.container, r.entry) for r in rows}) == 70
+    assert [r.entry for r in rows if r.error] == ["7"] and all(bytes(r.bytes) == data for r in rows if "large" in r.container and not r.error)
+    assert archives.scan_archives(spark, str(tmp_path), "none*.jar").count() == 0
+
+
+def test_an_archive_beyond_two_gigabytes(spark, tmp_path):
+    """Too large for one row: it begins with 2.2 GB that hold nothing (a sparse file), and its entries stand behind them."""
+    path = tmp_path / "huge.jar"
+    with open(path, "wb") as f:
+        f.truncate(2_200_000_000)
+    with zipfile.ZipFile(path, "a") as z:
+        for i in range(5):
+            z.writestr(f"{i}.txt", f"text {i}")
+    assert path.stat().st_size > 1 << 31
+    rows = archives.scan_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.entry, bytes(r.bytes).decode()) for r in rows) == [(f"{i}.txt", f"text {i}") for i in range(5)]
+
+
 def test_real_archive(spark):
     jar = sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-tags*.jar")))[0]
     symbols = archives.extract_classfile_symbols(archives.scan_archives(spark, jar))
@@ -49,6 +93,22 @@ def test_cache_replaces_and_keeps_versions_apart(spark, tmp_path):
     assert cache.cache_lookup(keys, cache.cache_manifest(spark, path), "2")[0].count() == 0
 
 
+def test_outdated_batches_are_removed(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    keys = spark.createDataFrame([("aa",), ("bb",)], "sha string")
+    rows = lambda *r: spark.createDataFrame(list(r), "sha string, sym string")
+    held = lambda: len(glob.glob(f"{path}/results/version=*/batch=*"))
+    cache.cache_store(rows(("aa", "1"), ("bb", "1")), keys, path, "1")
+    cache.cache_store(rows(("aa", "2")), keys.filter("sha = 'aa'"), path, "1")
+    assert cache.cache_clean(spark, path) == 0 and held() == 2  # the first batch still has the entry of bb
+    cache.cache_store(rows(("bb", "2")), keys.filter("sha = 'bb'"), path, "1")
+    cache.cache_store(rows(("aa", "other")), keys.filter("sha = 'aa'"), path, "2")
+    os.makedirs(f"{path}/results/version=1/batch=unfinished")
+    assert cache.cache_clean(spark, path) == 1 and held() == 4
+    assert sorted(tuple(r) for r in cache.cache_read(spark, path, keys, "1").select("sha", "sym").collect()) == [("aa", "2"), ("bb", "2")]
+    assert [tuple(r) for r in cache.cache_read(spark, path, keys, "2").select("sha", "sym").collect()] == [("aa", "other")]
+
+
 def test_json_skips_what_it_cannot_read(spark):
     rows = spark.createDataFrame([('{"sym":"a","name":"A"}',), ("not json",), ("",)], "json string")
     assert [r.sym for r in cache.symbols_from_json(rows).collect()] == ["a"]
