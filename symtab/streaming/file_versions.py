@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symtab.operators.maintain import update_files
 
 
-#: Parts of the table by hash of the uri; a batch rewrites only those that it touches.
+#: Bytes of the table that a bucket is meant for; buckets are by hash of the uri, and a batch rewrites only those that it touches.
+BUCKET_BYTES = 128_000_000
+#: Buckets of a table whose size is not told.
 BUCKETS = 64
 
 
@@ -57,16 +59,22 @@ def drop_old(spark: SparkSession, table_path: str) -> None:
             fs.delete(path, True)
 
 
+def _order() -> Column:
+    """What is newer: by version, of one version a deletion, then by the hash of the rows, so that no order of arrival decides."""
+    return F.struct("version", "deleted", F.xxhash64(F.to_json(F.struct("rows"))).alias("hash"))
+
+
 def apply_versions(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     """State after a batch of (uri, version, deleted, rows: array<struct>): the newest version of each file, unless the state has a newer one.
 
-    A file keeps one row (uri, version, deleted, rows); a deleted file stays as a mark, so that a late older version can't revive it.
+    A file keeps one row (uri, version, deleted, rows); a deleted file stays as a mark, so that a late older version can't
+    revive it. Different rows of one version have an order too, so the state depends neither on batches nor on replays.
     """
-    newest = batch.groupBy("uri").agg(F.max_by(F.struct("version", "deleted", "rows"), "version").alias("r")).select("uri", "r.*")
+    newest = batch.groupBy("uri").agg(F.max_by(F.struct("version", "deleted", "rows"), _order()).alias("r")).select("uri", "r.*")
     if state is None:
         return newest
-    stored = state.select("uri", F.col("version").alias("_stored"))
-    fresh = newest.join(stored, "uri", "left").filter(F.col("_stored").isNull() | (F.col("version") > F.col("_stored"))).drop("_stored")
+    stored = state.select("uri", _order().alias("_stored"))
+    fresh = newest.join(stored, "uri", "left").filter(F.col("_stored").isNull() | (_order() > F.col("_stored"))).drop("_stored")
     return update_files(state, fresh.select("uri"), fresh)
 
 
@@ -75,9 +83,19 @@ def live_rows(state: DataFrame) -> DataFrame:
     return state.filter(~F.col("deleted")).select("uri", "version", F.explode("rows").alias("r")).select("uri", "version", "r.*")
 
 
-def upsert(batch: DataFrame, n: int, table_path: str, buckets: int = BUCKETS) -> None:
+def table_buckets(spark: SparkSession, table_path: str, expected_bytes: int | None = None, buckets: int | None = None) -> int:
+    """The table's number of buckets, which is set, from the bytes that it is expected to have, when it is first asked for."""
+    if not (held := _numbered(spark, table_path, "buckets")):
+        held = [buckets or (max(1, -(-expected_bytes // BUCKET_BYTES)) if expected_bytes else BUCKETS)]
+        fs, mark = _fs(spark, f"{table_path}/buckets={held[0]}")
+        fs.mkdirs(mark)
+    return held[0]
+
+
+def upsert(batch: DataFrame, n: int, table_path: str, buckets: int | None = None, expected_bytes: int | None = None) -> None:
     """Writes batch ``n``: the buckets that it touches, made from their newest states below ``n``, so a replayed batch writes the same again."""
     spark = batch.sparkSession
+    buckets = table_buckets(spark, table_path, expected_bytes, buckets)
     batch = batch.select("uri", "version", "deleted", "rows")
     of = F.pmod(F.xxhash64("uri"), F.lit(buckets)).cast("int")
     touched = {r[0] for r in batch.select(of.alias("bucket")).distinct().collect()}
@@ -87,7 +105,7 @@ def upsert(batch: DataFrame, n: int, table_path: str, buckets: int = BUCKETS) ->
     drop_old(spark, table_path)
 
 
-def stream_file_versions(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = False, buckets: int = BUCKETS):
-    """Starts the query; the table is read by ``read_snapshot``. The number of buckets is that of the table for good."""
-    writer = stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, table_path, buckets)).option("checkpointLocation", checkpoint)
+def stream_file_versions(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = False, buckets: int | None = None, expected_bytes: int | None = None):
+    """Starts the query; the table is read by ``read_snapshot``. Its number of buckets, given or from the bytes that are expected, is kept with it."""
+    writer = stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, table_path, buckets, expected_bytes)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

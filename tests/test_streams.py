@@ -130,3 +130,26 @@ def test_batches_rewrite_only_touched_buckets(spark, tmp_path):
     assert sum(map(len, held.values())) <= 2 * len(held)
     touched = {len(b) for b in held.values()}
     assert 1 in touched and 2 in touched  # what no later batch touched was written once
+
+
+def test_ties_of_a_version_do_not_depend_on_arrival(spark):
+    schema = "uri string, version long, deleted boolean, rows array<struct<sym:string>>"
+    made = [("a", 1, False, [("x",)]), ("a", 1, False, [("y",)]), ("b", 2, False, [("z",)]), ("b", 2, True, []), ("c", 3, False, None), ("c", 3, False, [])]
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    whole = sorted(map(str, file_versions.apply_versions(None, df(made)).collect()))
+    for order in (made, made[::-1]):
+        state = None
+        for row in order:
+            state = df(file_versions.apply_versions(state, df([row])).collect())
+        assert sorted(map(str, state.collect())) == whole
+    assert "deleted=True" in next(r for r in whole if "uri='b'" in r)
+
+
+def test_buckets_are_kept_with_the_table(spark, tmp_path):
+    table = f"file://{tmp_path}/sized"
+    assert file_versions.table_buckets(spark, table, expected_bytes=10 * file_versions.BUCKET_BYTES + 1) == 11
+    assert file_versions.table_buckets(spark, table, expected_bytes=1) == file_versions.table_buckets(spark, table, buckets=5) == 11
+    batch = spark.createDataFrame([(f"u{i}", 1, False, [("x",)]) for i in range(60)], "uri string, version long, deleted boolean, rows array<struct<sym:string>>")
+    file_versions.upsert(batch, 0, table, buckets=3)
+    assert set(file_versions.snapshot(spark, table)) == set(range(11))
+    assert file_versions.read_snapshot(spark, table, batch.schema).count() == 60
