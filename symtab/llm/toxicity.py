@@ -9,7 +9,7 @@ Fitting uses at most SAMPLE labelled documents outside the held-out fold. Slots
 than chance explains (Z_LEAST standard deviations, at least DF_LEAST documents) get no weight by themselves, so that the many words
 which occur a few times can't add up in long texts. But two words that say nothing alone get weights and factors too if
 they occur together with the label that much more often than chance explains (Z_PAIR); such pairs are looked for among the words of toxic
-documents that no slot explains. Weights and factors are fitted by Adam with an L2 penalty, weights around a share of each slot's
+documents that no slot explains, and beside words that do tell (so that an insult can count for more with a mention). Weights and factors are fitted by Adam with an L2 penalty, weights around a share of each slot's
 own log odds.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined results: a null or empty text has
@@ -41,8 +41,8 @@ FACTORS = 4
 #: At most this many labelled documents are fitted on.
 SAMPLE = 8000
 Z_LEAST, Z_PAIR, DF_LEAST = 6.0, 7.0, 8
-#: Words, the most frequent ones, among which pairs are looked for.
-PAIR_WORDS = 2000
+#: Words that are paired with as many at a time.
+PAIR_BLOCK = 1000
 STEPS, RATE, L2 = 400, 0.05, 2e-4
 #: Prior weights as shares of the log odds: of beginnings and marks (of which a word has several), of words.
 PRIOR = (0.35, 0.9)
@@ -112,20 +112,52 @@ class FactorMachine:
 
 
 def telling_pairs(examples: list[tuple[int, np.ndarray]], df: np.ndarray, chosen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Slots of words that are not ``chosen`` but occur in pairs with the label more often than chance explains."""
+    """Slots of words that are not ``chosen`` but occur in pairs with the label more often than chance explains.
+
+    All words that are frequent enough in unexplained toxic documents are paired, a block of words with a block at a time.
+    """
     strong = chosen[toxic[chosen] > 0.5 * df[chosen]]
     unexplained = [slots for label, slots in examples if label and not np.isin(strong, slots, assume_unique=True).any()]
     if len(unexplained) < DF_LEAST:
         return chosen[:0]
     slots, n = np.unique(np.concatenate(unexplained), return_counts=True)
-    some = (slots & 1 == 0) & (n >= DF_LEAST) & ~np.isin(slots, chosen)
-    slots = np.sort(slots[some][np.argsort(-n[some], kind="stable")[:PAIR_WORDS]])
-    has = np.stack([np.isin(slots, x, assume_unique=True) for _, x in examples]).astype(np.float32)
     y = np.array([label for label, _ in examples], bool)
-    share, both, with_label = y.mean(), has.T @ has, has[y].T @ has[y]
-    z = (with_label - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
-    np.fill_diagonal(z, 0)
-    return slots[((both >= DF_LEAST) & (z >= Z_PAIR)).any(axis=1)]
+    share = y.mean()
+    least = Z_PAIR**2 * share / max(1 - share, 1e-9)  # labelled documents that a pair must have, were it never without the label
+    slots = slots[(slots & 1 == 0) & (n >= DF_LEAST) & (toxic[slots] >= least) & ~np.isin(slots, chosen)]
+    telling = np.zeros(len(slots), bool)
+    has = lambda some: np.stack([np.isin(some, x, assume_unique=True) for _, x in examples]).astype(np.float32)
+    for i in range(0, len(slots), PAIR_BLOCK):
+        left = has(slots[i : i + PAIR_BLOCK])
+        for j in range(i, len(slots), PAIR_BLOCK):
+            right = left if i == j else has(slots[j : j + PAIR_BLOCK])
+            with_label = left[y].T @ right[y]
+            if i == j:
+                np.fill_diagonal(with_label, 0)
+            if with_label.max() < least:
+                continue
+            both = left.T @ right
+            z = (with_label - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9))
+            found = (both >= DF_LEAST) & (z >= Z_PAIR)
+            telling[i : i + PAIR_BLOCK] |= found.any(axis=1)
+            telling[j : j + PAIR_BLOCK] |= found.any(axis=0)
+    return slots[telling]
+
+
+def telling_beside(examples: list[tuple[int, np.ndarray]], df: np.ndarray, chosen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Slots of words that are not ``chosen`` but change what a chosen word says: beside it the label is more, or less, frequent than
+    with the word at large, beyond chance (Z_PAIR). So an insult counts for more beside a mention that says nothing alone."""
+    words = chosen[(chosen & 1 == 0) & (toxic[chosen] > 0.2 * df[chosen])]
+    found = []
+    for word in words.tolist():
+        beside = [(label, slots) for label, slots in examples if (at := np.searchsorted(slots, word)) < len(slots) and slots[at] == word]
+        share = toxic[word] / df[word]
+        slots, of = np.unique(np.concatenate([slots for _, slots in beside]), return_inverse=True)
+        n = np.bincount(of)
+        labelled = np.bincount(of, np.repeat([label for label, _ in beside], [len(slots) for _, slots in beside]))
+        z = (labelled - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+        found.append(slots[(n >= DF_LEAST) & (n < df[word]) & (np.abs(z) >= Z_PAIR) & (slots & 1 == 0)])
+    return np.setdiff1d(np.concatenate(found), chosen) if found else chosen[:0]
 
 
 def fit_machine(examples: list[tuple[int, np.ndarray]]) -> FactorMachine:
@@ -142,7 +174,7 @@ def fit_machine(examples: list[tuple[int, np.ndarray]]) -> FactorMachine:
         toxic[slots] += label
     z = (toxic - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
     chosen = np.flatnonzero((df >= DF_LEAST) & (np.abs(z) >= Z_LEAST))
-    chosen = np.union1d(chosen, telling_pairs(examples, df, chosen, toxic))
+    chosen = np.union1d(chosen, np.union1d(telling_pairs(examples, df, chosen, toxic), telling_beside(examples, df, chosen, toxic)))
     if not len(chosen):
         return none
     found = [np.flatnonzero(np.isin(chosen, slots, assume_unique=True)) for _, slots in examples]

@@ -150,6 +150,39 @@ def test_factorization_machine_learns_a_pair():
     assert np.any(m.v @ m.v.T > 0.1)
 
 
+def test_rare_words_are_paired_too(monkeypatch):
+    """A telling pair whose words are rarer than hundreds of others, in blocks of few words: found, whatever the number of words."""
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 7)
+    rng = random.Random(7)
+    examples = []
+    for i in range(3000):
+        a, b = rng.random() < 0.15, rng.random() < 0.15
+        toxic = (a and b) or rng.random() < (0.005 if a or b else 0.18)  # each alone at the base rate
+        examples.append((int(toxic), np.array(sorted({*([10_000] * a), *([20_000] * b), *(2 * rng.randrange(100) for _ in range(60))}))))
+    df, hits = np.zeros(1 << toxicity.BITS, np.int32), np.zeros(1 << toxicity.BITS, np.int32)
+    for label, slots in examples:
+        df[slots] += 1
+        hits[slots] += label
+    assert sorted(df[df > 0])[:2] == sorted(df[[10_000, 20_000]].tolist())
+    assert toxicity.telling_pairs(examples, df, np.zeros(0, np.int64), hits).tolist() == [10_000, 20_000]
+
+
+def test_an_insult_is_stronger_beside_a_mention():
+    """The insult is toxic in half of the documents that have it, always beside the mention, which says nothing alone."""
+    rng = random.Random(8)
+    examples = []
+    for _ in range(6000):
+        a, b = rng.random() < 0.2, rng.random() < 0.2
+        share = 1.0 if a and b else 0.4 if a else 0.0 if b and rng.random() < 0.5 else 0.02
+        examples.append((int(rng.random() < share), np.array(sorted({*([100] * a), *([200] * b), *(2 * rng.randrange(200, 900) for _ in range(10))}))))
+    m = toxicity.fit_machine(examples)
+    assert {100, 200} <= set(m.slots.tolist())
+    score = lambda slots: 1 / (1 + math.exp(-float(m.logits(np.zeros(len(slots), int), np.searchsorted(m.slots, slots), 1)[0])))
+    assert score([100, 200]) > 0.9 > 0.6 > score([100]) > 0.2 > 0.1 > score([200])
+    at = np.searchsorted(m.slots, [100, 200])
+    assert m.v[at[0]] @ m.v[at[1]] > 0.5  # not by weights alone
+
+
 def test_quality_query_by_plain_recursion(spark):
     """Every document's score from the fitted weights, line by line."""
     d = "/root/testdata/sf0.001"
