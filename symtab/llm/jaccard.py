@@ -12,11 +12,11 @@ component is what links connect. The steps:
    keys only where a whole group happens to lie inside it. A set with D groups or fewer (GROUP_SHARE leaves over 7 standard
    deviations) has no such guarantee; for these every token is a group of its own in a second round.
 3. The sets of a key are a cell; of cells with the same sets one is kept. Sets are points: token counts in groups, about as
-   many groups as tokens. The overlap of two sets is at most the sum of the coordinate minima of their points. In a cell a
+   many groups as tokens, but COARSE at most, so that what goes to the cells is linear in the text. The overlap of two sets is at most the sum of the coordinate minima of their points. In a cell a
    packed R-tree finds the pairs that this bound leaves (a cell of one leaf is compared directly); it hands on which sets
    they connect, a row for each set and never one for each pair.
 4. What is connected comes together once more, with its tokens: pairs that an R-tree leaves are verified by their exact
-   overlap until all are verified or already connected, and the edges of a spanning forest of the links are handed on.
+   overlap, in points of as many groups as tokens, until all are verified or already connected, and the edges of a spanning forest of the links are handed on.
 5. Components of the forests, by alternating large-star and small-star steps.
 
 An R-tree gives no key to deal work out by; the agreement keys do the dealing, the trees work inside a cell. Cells beyond
@@ -53,6 +53,8 @@ BROADCAST_TEXTS = 500_000
 #: Sets and tokens of a cell that one task holds; larger cells are dealt out in pairs of blocks.
 BLOCK, BLOCK_TOKENS = 2048, 2_000_000
 FANOUT = 16
+#: Groups of the points that go to the cells of keys, at most: of a set that has many keys, what goes with each is bounded.
+COARSE = 2048
 #: Queries that go down a tree together, and characters of the texts that are shingled together.
 CHUNK, TEXT_CHARS = 64, 1_000_000
 
@@ -145,24 +147,30 @@ def agreement_keys(starts: np.ndarray, tokens: np.ndarray, single: bool = False)
     return np.searchsorted(at[order], np.arange(len(n) + 1)), keys[order], (n > 0) & (groups <= differ)
 
 
-def count_points(starts: np.ndarray, tokens: np.ndarray) -> list[bytes]:
-    """Token counts of each set in 2 ** k groups (32 at least), 2 ** k the next power of two above its size, a byte each."""
+def count_points(starts: np.ndarray, tokens: np.ndarray, most: int | None = None) -> list[bytes]:
+    """Token counts of each set in 2 ** k groups (32 at least), 2 ** k the next power of two above its size, a byte each.
+
+    With ``most`` there are no more groups than that, and counts have two bytes: coarser points, whose bound is looser but
+    holds, of a size that does not grow with the set.
+    """
     n = np.diff(starts)
     dims = np.maximum(32, 2 ** np.ceil(np.log2(np.maximum(n, 1) + 1)).astype(np.int64))
+    kind = np.dtype(np.uint16 if most else np.uint8)
+    dims = np.minimum(dims, most) if most else dims
     begin = np.concatenate([[0], np.cumsum(dims)])
     owner = np.repeat(np.arange(len(n)), n)
     cell = begin[owner] + (tokens.astype(np.uint64) % dims[owner].astype(np.uint64)).astype(np.int64)
-    flat = np.minimum(np.bincount(cell, minlength=begin[-1]), 255).astype(np.uint8).tobytes()
-    return [flat[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    flat = np.minimum(np.bincount(cell, minlength=begin[-1]), np.iinfo(kind).max).astype(kind).tobytes()
+    return [flat[a:b] for a, b in zip((begin[:-1] * kind.itemsize).tolist(), (begin[1:] * kind.itemsize).tolist(), strict=True)]
 
 
-def same_groups(points: list[bytes]) -> np.ndarray:
+def same_groups(points: list[bytes], kind: type = np.uint8) -> np.ndarray:
     """Points as rows of one array: finer ones are folded to the number of groups of the coarsest (a power of two divides the others)."""
-    d = min(map(len, points))
-    out = np.empty((len(points), d), np.uint8)
-    for i, p in enumerate(points):
-        x = np.frombuffer(p, np.uint8)
-        out[i] = x if len(x) == d else np.minimum(x.reshape(-1, d).sum(0, dtype=np.int64), 255)
+    arrays = [np.frombuffer(p, kind) for p in points]
+    d = min(map(len, arrays))
+    out = np.empty((len(points), d), kind)
+    for i, x in enumerate(arrays):
+        out[i] = x if len(x) == d else np.minimum(x.reshape(-1, d).sum(0, dtype=np.int64), np.iinfo(kind).max)
     return out
 
 
@@ -236,7 +244,7 @@ def _describe(single: bool):
             keys, cut = keys[np.repeat(new, length)], np.concatenate([[0], np.cumsum(length * new)])
             columns = {
                 "sid": pa.array(sids, pa.binary()), "v": pa.array(_signed(ids[:, 0].copy())), "n": pa.array(np.diff(starts)),
-                "point": pa.array([None] * len(texts) if single else count_points(starts, tokens), pa.binary()),
+                "point": pa.array([None] * len(texts) if single else count_points(starts, tokens, COARSE), pa.binary()),
                 "keys": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(_signed(keys))), "short": pa.array(short),
             }
             kept = [c for c in batch.schema.names if c != "text"]
@@ -278,10 +286,10 @@ class Forest:
             self.edges.append((a, b))
 
 
-def close_pairs(points: list[bytes], totals: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def close_pairs(points: list[bytes], totals: np.ndarray, a: np.ndarray, b: np.ndarray, kind: type = np.uint8) -> np.ndarray:
     """Which pairs (a, b) of points the bound leaves, with points of any number of groups."""
-    dims = np.array([len(p) for p in points])
-    flat, begin = np.frombuffer(b"".join(points), np.uint8), np.cumsum(dims) - dims
+    dims = np.array([len(p) // np.dtype(kind).itemsize for p in points])
+    flat, begin = np.frombuffer(b"".join(points), kind), np.cumsum(dims) - dims
     swap = dims[a] > dims[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     left = np.zeros(len(a), bool)
@@ -293,7 +301,7 @@ def close_pairs(points: list[bytes], totals: np.ndarray, a: np.ndarray, b: np.nd
             p = pairs[i : i + max(1, 4_000_000 // e)]
             x, y = flat[begin[a[p]][:, None] + np.arange(d)], flat[begin[b[p]][:, None] + np.arange(e)]
             if e > d:
-                y = np.minimum(y.reshape(len(p), -1, d).sum(1, dtype=np.int64), 255).astype(np.uint8)
+                y = np.minimum(y.reshape(len(p), -1, d).sum(1, dtype=np.int64), np.iinfo(kind).max).astype(kind)
             overlap = np.minimum(x, y).sum(1, dtype=np.int64)
             left[p] = overlap * (100 + PERCENT) >= PERCENT * (totals[a[p]] + totals[b[p]])
     return left
@@ -306,13 +314,13 @@ def _cells(pdf):
     return np.split(rows, np.flatnonzero(np.diff(order[rows])) + 1)
 
 
-def _in_trees(rows: np.ndarray, node: np.ndarray, role: np.ndarray, totals: np.ndarray, points: list[bytes], forest: Forest, meet) -> None:
+def _in_trees(rows: np.ndarray, node: np.ndarray, role: np.ndarray, totals: np.ndarray, points: list[bytes], forest: Forest, meet, kind: type = np.uint8) -> None:
     """Sends the pairs of a cell that an R-tree leaves, and that the forest does not connect yet, to ``meet(row, rows)``, query by query."""
     box, ask = rows[role[rows] != 1], rows[role[rows] != 0]
     if not len(box) or not len(ask):
         return
     place = {r: i for i, r in enumerate(rows.tolist())}
-    matrix = same_groups([points[r] for r in rows])
+    matrix = same_groups([points[r] for r in rows], kind)
     inside = np.array([place[r] for r in box.tolist()])
     tree = CountRTree(matrix[inside], totals[box])
     for i in range(0, len(ask), CHUNK):
@@ -345,7 +353,7 @@ def _candidates(pdf):
             node[rows] = [first.setdefault(sids[r], r) for r in rows.tolist()]
             large.append(rows)
     a, b = np.concatenate(small_a), np.concatenate(small_b)
-    left = close_pairs(points, totals, a, b)
+    left = close_pairs(points, totals, a, b, np.uint16)
     forest = Forest(len(pdf))
     for x, y in zip(a[left].tolist(), b[left].tolist(), strict=True):
         forest.unite(x, y)
@@ -355,7 +363,7 @@ def _candidates(pdf):
             forest.unite(int(node[row]), int(node[x]))
 
     for rows in large:
-        _in_trees(rows, node, role, totals, points, forest, meet)
+        _in_trees(rows, node, role, totals, points, forest, meet, np.uint16)
     root = forest.roots(node)
     out = pd.DataFrame({"root": root, "sid": sids}).drop_duplicates()
     sizes = out["root"].map(out["root"].value_counts())

@@ -212,3 +212,35 @@ def test_containment_of_nothing(spark):
     assert decontam.leaks(docs, items.limit(0)).count() == 0
     assert decontam.decontaminated(docs, items.limit(0)).count() == 1
     assert decontam.decontaminated(docs, items).count() == 0
+
+
+def test_points_that_go_to_cells_are_bounded(spark):
+    """Bytes of points in all cells of 12 near copies are linear in the length of the text, and coarse bounds lose no link."""
+    rng = random.Random(11)
+    sizes = {}
+    for n in (1000, 3000, 10_000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        docs = []
+        for i in range(12):
+            words = list(base)
+            for at in rng.sample(range(n), n // 100):
+                words[at] = f"x{i}.{at}"
+            docs.append((i, " ".join(words)))
+        df = spark.createDataFrame(docs, DOCS)
+        sets = [(len(r.keys), len(r.point), r.n) for r in jaccard.described(df, "doc_id", "text").collect()]
+        assert all(k <= m // 4 + 1 + m // 4 + 1 and p <= 2 * jaccard.COARSE for k, p, m in sets)
+        sizes[n] = sum(k * p for k, p, _ in sets)
+        assert {r.component_id for r in jaccard.jaccard_components(df).collect()} == {0}
+    assert sizes[10_000] < 2.2 * 10 / 3 * sizes[3000]  # a set whose smallest partner is of the class below posts twice
+
+
+def test_coarse_points_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64)
+    y = np.concatenate([x[:27_000], rng.integers(0, 1 << 63, 2000, dtype=np.uint64)])
+    z = rng.integers(0, 1 << 63, 29_000, dtype=np.uint64)
+    starts = np.array([0, 30_000, 59_000, 88_000])
+    points = jaccard.count_points(starts, np.concatenate([np.sort(v) for v in (x, y, z)]), jaccard.COARSE)
+    a, b, c = jaccard.same_groups(points, np.uint16)
+    assert a.sum() == 30_000 and 27_000 <= np.minimum(a, b).sum(dtype=np.int64) and np.minimum(a, c).sum(dtype=np.int64) * 180 < 80 * 59_000
+    assert jaccard.close_pairs(points, np.diff(starts), np.array([0, 0, 1]), np.array([1, 2, 2]), np.uint16).tolist() == [True, False, False]
