@@ -102,7 +102,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if lengths is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    rows = rows.filter(F.size("v") == lengths["d"]).withColumn("g", F.xxhash64("v"))
+    rows = rows.filter(F.size("v") == lengths["d"]).withColumn("g", F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(half), "v")), 16, "0") for half in (1, 2)]))  # 128 bits tell vectors apart
 
     # ids of each distinct vector, no more than a result needs, and its vector once
     first = Window.partitionBy("g").orderBy("id")
@@ -120,14 +120,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     def search(cell):
         import pandas as pd
 
+        cell = cell.sort_values("g")  # of equal footrule distances at the cut a rerun takes the same
         mine, theirs = cell[~cell["asks"]], cell[cell["asks"]]
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"qg": np.zeros(0, np.int64), "g": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"qg": np.zeros(0, object), "g": np.zeros(0, object), "score": np.zeros(0)})
         points, queries = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (mine, theirs))
         found = search_block(points, queries, pivots, k + 1, prefix, share)
         return pd.DataFrame({"qg": np.repeat(theirs["g"].to_numpy(), [len(r) for r, _ in found]), "g": mine["g"].to_numpy()[np.concatenate([r for r, _ in found])], "score": np.concatenate([s for _, s in found])})
 
-    found = held.unionByName(asks).groupBy("block", "part").applyInPandas(search, "qg long, g long, score double")
+    found = held.unionByName(asks).groupBy("block", "part").applyInPandas(search, "qg string, g string, score double")
     order = Window.partitionBy("qg").orderBy(F.desc("score"), F.col("ids")[0])
     reps = found.join(members, "g").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     ids = reps.select("qg", "score", F.explode("ids").alias("vec_id"))
