@@ -192,3 +192,28 @@ def test_edits_before_a_reset_never_reach_the_fold(spark, monkeypatch):
     kept = events._since_reset(spark.createDataFrame(made, schema))
     assert rows(kept.groupBy("uri").count()) == [("c", 2), ("u", 10)]
     assert rows(events.document_lifecycle(spark.createDataFrame(made, schema))) == [("c", "y"), ("u", "".join(f"{v};" for v in range(99, 89, -1)))]
+
+
+def test_names_like_brute_force(spark, monkeypatch):
+    """Names of many rows and many queries, repeated and null ones, other columns kept, with blocks of few rows."""
+    monkeypatch.setattr(lookup, "BLOCK", 5)
+    rng = random.Random(7)
+    words = [rng.choice(["ab", "aB", "AB", "abé", "ABÉ", "c", None, ""]) for _ in range(90)]
+    asked = [rng.choice(["ab", "AB", "abÉ", "d", None, ""]) for _ in range(60)]
+    symbols = lookup.with_keys(spark.createDataFrame(list(enumerate(words)), "sid int, name string"))
+    queries = spark.createDataFrame([*enumerate(asked), (0, asked[0])], "qid int, query string")
+    found = lookup.symbols_by_name(symbols, queries)
+    assert found.columns == ["name_key", "sid", "name", "initials_key", "qid", "query"]
+    want = [(i, j) for j, q in [*enumerate(asked), (0, asked[0])] for i, w in enumerate(words) if w is not None and q is not None and w.lower() == q.lower()]
+    assert rows(found, "sid", "qid") == sorted(want, key=repr)
+    assert lookup.symbols_by_name(symbols.limit(0), queries).count() == lookup.symbols_by_name(symbols, queries.limit(0)).count() == 0
+
+
+def test_one_name_is_dealt_out(spark, monkeypatch):
+    """A name of 4,000 rows that 4,000 queries ask for: sixteen million rows, of which no task makes more than a fifth."""
+    monkeypatch.setattr(lookup, "BLOCK", 200, raising=False)
+    monkeypatch.setattr(lookup, "TASK_PAIRS", 500_000, raising=False)
+    symbols = lookup.with_keys(spark.range(4000).select(F.col("id").alias("sid"), F.when(F.col("id") >= 0, "Same").alias("name")))
+    found = lookup.symbols_by_name(symbols, spark.range(4000).select(F.col("id").alias("qid"), F.when(F.col("id") >= 0, "SAME").alias("query")))
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 16_000_000 and max(made) < 3_200_000
