@@ -10,7 +10,10 @@ import re
 import struct
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,14 +118,28 @@ def damaged_zip(entries: list[tuple[str, bytes]], damaged: set[str]) -> bytes:
     return bytes(data)
 
 
-def write_file(folder: str, name: str, data: bytes) -> None:
-    """Writes a file below a folder of any store; a task that runs twice leaves one whole file."""
-    fs, root = FileSystem.from_uri(folder)
-    part = f"{root}/{name}.{uuid.uuid4().hex}.part"
-    fs.create_dir(part.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(part) as f:
-        f.write(data)
-    fs.move(part, f"{root}/{name}")
+def write_archives(docs: DataFrame, folder: str, archive: Callable[[list[tuple]], bytes]) -> None:
+    """Writes an archive below a folder of any store for each ``path`` of ``docs``, made from its rows (doc_id, text) in their order.
+
+    A task has many archives and holds the rows of one; one that runs twice leaves one whole file.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = FileSystem.from_uri(folder)
+        mine, folders = uuid.uuid4().hex, set()
+        rows = ((p, (i, t)) for b in batches for p, i, t in zip(b["path"], b["doc_id"].tolist(), b["text"], strict=True))
+        for path, found in groupby(rows, lambda row: row[0]):
+            name = f"{root}/{path}"
+            if (parent := name.rsplit("/", 1)[0]) not in folders:
+                fs.create_dir(parent, recursive=True)
+                folders.add(parent)
+            with fs.open_output_stream(f"{name}.{mine}.part") as f:
+                f.write(archive([row for _, row in found]))
+            fs.move(f"{name}.{mine}.part", name)
+        yield pd.DataFrame({"path": []}, dtype=str)
+
+    ordered = docs.select("path", "doc_id", "text").repartition("path").sortWithinPartitions("path", "doc_id")
+    ordered.mapInPandas(pack, "path string").write.format("noop").mode("overwrite").save()
 
 
 def class_bytes(name: str, flags: int, parent: str | None, interfaces: list[str], fields: list[tuple], methods: list[tuple], inner: tuple[str, str | None, str | None] | None = None) -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from symtab.functions import ids as I
 from symtab.functions import text as T
 from symtab.operators import hierarchy, ingest, lookup, stats
-from symtab.plans.fixtures import class_bytes, ctes, damaged_zip, table, view, write_file, zip_bytes
+from symtab.plans.fixtures import class_bytes, ctes, damaged_zip, table, view, write_archives, zip_bytes
 from symtab.scratch import scratch_path
 from symtab.sources import archives, cache
 
@@ -42,13 +42,8 @@ def sym01_scan_archives(spark, d):
     """Archives of 50 documents each are written to the shared folder, then scanned as files."""
     docs = table(spark, d, "documents").select(F.format_string("lib/%s-%d.jar", "source", F.expr("doc_id div 50")).alias("path"), "doc_id", "text")
     folder = scratch_path(spark, "archives")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        write_file(folder, pdf["path"].iloc[0], zip_bytes([(f"{i}.txt", t.encode()) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]))
-        return pdf[["path"]].iloc[:1]
-
-    docs.groupBy("path").applyInPandas(pack, "path string").count()
-    return archives.scan_archives(spark, folder).select(F.regexp_extract("container", "lib/[^/]*$", 0).alias("container"), "entry", "size")
+    write_archives(docs, folder, lambda rows: zip_bytes([(f"{i}.txt", t.encode()) for i, t in rows]))
+    return archives.scan_archives(spark, folder, contents=False).select(F.regexp_extract("container", "lib/[^/]*$", 0).alias("container"), "entry", "size")
 
 
 @query(ctes("symbols") + """,
@@ -495,15 +490,12 @@ def sym51_broken_entries(spark, d):
     """Archives of which every fifth is cut off and some entries are damaged: what can't be read is counted by container."""
     docs = table(spark, d, "documents").select(F.format_string("lib/%s-%d.jar", "source", F.expr("doc_id div 50")).alias("path"), "doc_id", "text")
     folder = scratch_path(spark, "broken-archives")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))
+    def pack(rows: list[tuple]) -> bytes:
         data = damaged_zip([(f"{i}.txt", f"!{t}".encode()) for i, t in rows], {f"{i}.txt" for i, _ in rows if i % 11 == 3})
-        write_file(folder, pdf["path"].iloc[0], data[: len(data) // 2] if rows[0][0] // 50 % 5 == 4 else data)
-        return pdf[["path"]].iloc[:1]
+        return data[: len(data) // 2] if rows[0][0] // 50 % 5 == 4 else data
 
-    docs.groupBy("path").applyInPandas(pack, "path string").count()
-    found = archives.index_diagnostics(archives.scan_with_errors(spark, folder))
+    write_archives(docs, folder, pack)
+    found = archives.index_diagnostics(archives.scan_with_errors(spark, folder, contents=False))
     found = found.withColumn("container", F.regexp_extract("container", "lib/[^/]*$", 0))
     return stats.diagnostic_rollup(found).select("container", "errors", "warnings", "status", F.size("messages").alias("n_messages"))
 

@@ -22,21 +22,25 @@ from pyspark.sql.types import StringType, StructType
 
 from symtab.functions import ids as I
 from symtab.schema import ENTRY, MEMBER
+from symtab.scratch import cut
 
 #: Bytes of entries handed on at a time.
 CHUNK = 8_000_000
 #: Bytes of archives that a task reads.
 PART_BYTES = 128_000_000
+#: Bytes that opening an archive counts for, so that a task has no more than some thousand small ones.
+OPEN_BYTES = 64_000
 #: Entries and raw members with what went wrong.
 READ = StructType(ENTRY.fields).add("error", StringType())
 MEMBER_READ = StructType(MEMBER.fields).add("error", StringType())
 ARROW_READ = to_arrow_schema(READ)
 
 
-def _entries(container: str, file, start: int = 0, end: int | None = None) -> Iterator[tuple]:
+def _entries(container: str, file, start: int = 0, end: int | None = None, contents: bool = True) -> Iterator[tuple]:
     """Rows of READ from an archive's open file: entries whose header begins at a byte from ``start`` to ``end``.
 
-    What can't be read is a row with an error instead: an entry with its number, a whole archive once, without one.
+    What can't be read is a row with an error instead: an entry with its number, a whole archive once, without one. Without
+    ``contents`` every entry is read and checked all the same, but its bytes are not handed on.
     """
     try:
         archive = zipfile.ZipFile(file)
@@ -49,17 +53,17 @@ def _entries(container: str, file, start: int = 0, end: int | None = None) -> It
             continue
         try:
             data = archive.read(info)
-            yield container, info.filename, i, len(data), data, None
+            yield container, info.filename, i, len(data), data if contents else None, None
         except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, struct.error, zlib.error, ValueError) as error:
             yield container, info.filename, i, None, None, f"{info.filename}: {error}"
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Rows in lists of about CHUNK bytes."""
+    """Rows in lists of about CHUNK bytes, of which a row without any counts for some."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[4] or b"")
+        size += len(row[4] or b"") + 200
         if size > CHUNK:
             yield held
             held, size = [], 0
@@ -67,8 +71,8 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield held
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """(container, entry, entry_index, size, bytes, error) of the files in each archive of (path, content).
+def read_archives(files: DataFrame, contents: bool = True) -> DataFrame:
+    """(container, entry, entry_index, size, bytes, error) of the files in each archive of (path, content); without ``contents`` bytes are null.
 
     A broken archive or entry is a row with an error and no bytes, so that nothing is lost uncounted (``index_diagnostics``).
     """
@@ -76,7 +80,7 @@ def read_archives(files: DataFrame) -> DataFrame:
     def entries(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for rows in _chunks(_entries(path, io.BytesIO(content))):
+                for rows in _chunks(_entries(path, io.BytesIO(content), contents=contents)):
                     yield pd.DataFrame(rows, columns=READ.names)
 
     return files.select("path", "content").mapInPandas(entries, READ)
@@ -94,8 +98,9 @@ def archive_entries(files: DataFrame) -> DataFrame:
 
 @dataclass
 class Part(InputPartition):
-    """Parts of archives that one task reads: (path, first byte, end), of which it reads the entries that begin there."""
+    """Parts of archives that one task reads: (path below ``root``, first byte, end), of which it reads the entries that begin there."""
 
+    root: str
     pieces: tuple[tuple[str, int, int], ...]
 
 
@@ -103,11 +108,13 @@ class ArchiveReader(DataSourceReader):
     """Deals archives out by bytes: small ones together, a large one in pieces.
 
     The driver only lists files. Each task reads an archive's directory, at its end, and the bytes of its own entries, so an archive
-    may be of any size, and no part of it passes through a task that does not need it.
+    may be of any size, and no part of it passes through a task that does not need it. Small archives are read at once; for
+    them opening counts too.
     """
 
     def __init__(self, options: dict[str, str]):
         self.path, self.glob, self.bytes = options["path"], options.get("glob", "*.jar"), int(options.get("partBytes", PART_BYTES))
+        self.contents = options.get("contents", "true") == "true"
 
     def partitions(self) -> list[Part]:
         system, root = FileSystem.from_uri(self.path)
@@ -115,23 +122,30 @@ class ArchiveReader(DataSourceReader):
         if found.type == FileType.NotFound:
             raise FileNotFoundError(self.path)
         infos = [found] if found.is_file else system.get_file_info(FileSelector(root, recursive=True))
+        files = sorted((i.path, i.size) for i in infos if i.is_file and fnmatch(i.base_name, self.glob))
+        opening = min(OPEN_BYTES, self.bytes // 100)
         parts, held, size = [], [], 0
-        for info in sorted((i for i in infos if i.is_file and fnmatch(i.base_name, self.glob)), key=lambda i: i.path):
-            for start in range(0, max(info.size, 1), self.bytes):
-                end = min(start + self.bytes, max(info.size, 1))
+        for path, length in files:
+            for start in range(0, max(length, 1), self.bytes):
+                end = min(start + self.bytes, max(length, 1))
                 if held and size + end - start > self.bytes:
-                    parts.append(Part(tuple(held)))
+                    parts.append(Part(root, tuple(held)))
                     held, size = [], 0
-                held.append((info.path, start, end))
-                size += end - start
-        return [*parts, Part(tuple(held))] if held else parts
+                held.append((path.removeprefix(root), start, end))
+                size += end - start + opening
+        return [*parts, Part(root, tuple(held))] if held else parts
 
-    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+    def _rows(self, part: Part) -> Iterator[tuple]:
         system, _ = FileSystem.from_uri(self.path)
-        for path, start, end in part.pieces if part else ():  # no part: no file
+        for name, start, end in part.pieces:
+            path = part.root + name
             with system.open_input_file(path) as file:
-                for rows in _chunks(_entries(path, file, start, end)):
-                    yield pa.RecordBatch.from_pylist([dict(zip(READ.names, row, strict=True)) for row in rows], schema=ARROW_READ)
+                small = not start and end <= CHUNK and file.size() <= end
+                yield from _entries(path, io.BytesIO(file.read()) if small else file, start, end, self.contents)
+
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        for rows in _chunks(self._rows(part) if part else iter(())):  # no part: no file
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), ARROW_READ, strict=True)], schema=ARROW_READ)
 
 
 class ArchiveSource(DataSource):
@@ -148,8 +162,8 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def scan_with_errors(spark: SparkSession, path: str, glob: str = "*.jar", part_bytes: int | None = None) -> DataFrame:
-    """Rows of ``read_archives`` for the archives below a path.
+def scan_with_errors(spark: SparkSession, path: str, glob: str = "*.jar", part_bytes: int | None = None, contents: bool = True) -> DataFrame:
+    """Rows of ``read_archives`` for the archives below a path; without ``contents`` their bytes are read and checked, but null.
 
     Where Arrow knows the path's file system, archives are read in parts (``ArchiveReader``). Other stores are read by
     Spark's binary files, whole and thus below 2 GB each.
@@ -158,14 +172,14 @@ def scan_with_errors(spark: SparkSession, path: str, glob: str = "*.jar", part_b
         FileSystem.from_uri(path)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
         files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-        return read_archives(files)
+        return read_archives(files, contents)
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("symtab_archives").option("glob", glob).option("partBytes", str(part_bytes or PART_BYTES)).load(path)
+    return spark.read.format("symtab_archives").option("glob", glob).option("partBytes", str(part_bytes or PART_BYTES)).option("contents", str(contents).lower()).load(path)
 
 
-def scan_archives(spark: SparkSession, path: str, glob: str = "*.jar") -> DataFrame:
+def scan_archives(spark: SparkSession, path: str, glob: str = "*.jar", contents: bool = True) -> DataFrame:
     """Entries of the archives below a path; broken ones give no rows."""
-    return without_errors(scan_with_errors(spark, path, glob))
+    return without_errors(scan_with_errors(spark, path, glob, contents=contents))
 
 
 def entry_kind(entry: Column) -> Column:
@@ -277,8 +291,10 @@ def class_file_members(entries: DataFrame) -> DataFrame:
 
 def index_diagnostics(*read: DataFrame) -> DataFrame:
     """(container, seq, is_error, message) of what could not be read, for ``diagnostic_rollup``: the errors of ``read_archives``,
-    ``scan_with_errors`` and ``read_class_files``. Messages of a container are numbered in order of their text."""
+    ``scan_with_errors`` and ``read_class_files``. Messages of a container are numbered in order of their text. Errors are written
+    first, so that archives are read once, however often what comes of them is asked for."""
     errors = reduce(DataFrame.unionByName, [r.filter("error is not null").select("container", F.col("error").alias("message")) for r in read])
+    errors = cut(errors, "read-errors")
     seq = F.row_number().over(Window.partitionBy("container").orderBy("message")) - 1
     return errors.select("container", seq.cast("long").alias("seq"), F.lit(True).alias("is_error"), "message")
 

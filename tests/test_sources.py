@@ -52,6 +52,20 @@ def test_archives_are_dealt_out_by_bytes(spark, tmp_path):
     assert archives.scan_archives(spark, str(tmp_path), "none*.jar").count() == 0
 
 
+def test_what_is_counted_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    made = spark.range(100).selectExpr("concat('c', id % 3) as container", "case when id % 2 = 0 then concat('broken ', id) end as error")
+    rolled = stats.diagnostic_rollup(archives.index_diagnostics(made.mapInPandas(read, made.schema)))
+    assert sorted((r.container, r.errors) for r in rolled.collect()) == [("c0", 17), ("c1", 16), ("c2", 17)]
+    assert seen.value == 100
+
+
 def test_an_archive_beyond_two_gigabytes(spark, tmp_path):
     """Too large for one row: it begins with 2.2 GB that hold nothing (a sparse file), and its entries stand behind them."""
     path = tmp_path / "huge.jar"
