@@ -52,6 +52,16 @@ def test_archives_are_dealt_out_by_bytes(spark, tmp_path):
     assert archives.scan_archives(spark, str(tmp_path), "none*.jar").count() == 0
 
 
+def test_small_archives_are_many_tasks_work(spark, tmp_path):
+    """Opening them is the work, not their bytes; without contents each entry is read and checked all the same."""
+    data = damaged_zip([("x", b"y"), ("z", b"y")], {"z"})
+    for i in range(6000):
+        (tmp_path / f"{i}.jar").write_bytes(data)
+    read = archives.scan_with_errors(spark, str(tmp_path), contents=False)
+    assert read.rdd.getNumPartitions() >= 3
+    assert read.filter("bytes is null").groupBy("entry", "size", F.col("error").isNull().alias("read")).count().orderBy("entry").collect() == [("x", 1, True, 6000), ("z", None, False, 6000)]
+
+
 def test_what_is_counted_is_read_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
