@@ -15,6 +15,9 @@ from symtab.plans.fixtures import class_bytes, ctes, damaged_zip, table, view, w
 from symtab.scratch import scratch_path
 from symtab.sources import archives, cache
 
+#: Class files that a task makes and reads.
+CLASS_FILES = 10_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,6 +57,8 @@ UNION ALL SELECT cls || '.<init>()', '<init>', 'Constructor', CASE sid % 3 WHEN
 UNION ALL SELECT cls || '.run()', 'run', 'Method', 'Public', cls, '' FROM c WHERE sid % 5 <> 0
 """)
 def sym02_extract_classfile_symbols(spark, d):
+    """Class files are made from a row each and read; the table has few bytes for that work, so tasks get equal numbers of rows."""
+
     def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             data = []
@@ -64,7 +69,8 @@ def sym02_extract_classfile_symbols(spark, d):
                 data.append(class_bytes(name, flags, f"{s.pkg}/Base", ["p9/Face"], [("f", "I", 0x11 if s.sid % 2 == 0 else 1)], methods, (name, outer, s.owner2)))
             yield pd.DataFrame({"container": pdf["owner1"] + ".jar", "entry": pdf["owner2"] + ".class", "bytes": data})
 
-    entries = _symbols(spark, d).select("sid", "pkg", "owner1", "owner2", "kind").mapInPandas(build, "container string, entry string, bytes binary")
+    s = _symbols(spark, d).select("sid", "pkg", "owner1", "owner2", "kind")
+    entries = s.repartition(s.count() // CLASS_FILES + 1).mapInPandas(build, "container string, entry string, bytes binary")
     return archives.extract_classfile_symbols(entries).select("sym", "name", "kind", "visibility", "owner", F.array_join("parents", ",").alias("parents"))
 
 

@@ -34,6 +34,9 @@ OPEN_BYTES = 64_000
 READ = StructType(ENTRY.fields).add("error", StringType())
 MEMBER_READ = StructType(MEMBER.fields).add("error", StringType())
 ARROW_READ = to_arrow_schema(READ)
+ARROW_MEMBER_READ = to_arrow_schema(MEMBER_READ)
+#: Members handed on at a time.
+MEMBER_ROWS = 10_000
 
 
 def _entries(container: str, file, start: int = 0, end: int | None = None, contents: bool = True) -> Iterator[tuple]:
@@ -269,19 +272,25 @@ def read_class_files(entries: DataFrame) -> DataFrame:
     """Raw rows of the class files among the entries, plus ``error``: a broken file is one row with nothing but its error, and
     the others of its archive stay."""
 
-    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for container, entry, data in zip(pdf["container"], pdf["entry"], pdf["bytes"], strict=True):
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in ARROW_MEMBER_READ], schema=ARROW_MEMBER_READ)
+
+    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for got in it:
+            for container, entry, data in zip(*(got[c].to_pylist() for c in ("container", "entry", "bytes")), strict=True):
+                said = {"container": container, "entry": entry}
                 try:
-                    found = class_members(data)
-                    rows += [{"container": container, "entry": entry, "ordinal": k, **m, "error": None} for k, m in enumerate(found)]
+                    rows += [{**said, "ordinal": k, **m} for k, m in enumerate(class_members(data))]
                 except (ValueError, KeyError, IndexError, struct.error) as error:
-                    rows.append({"container": container, "entry": entry, "error": f"{entry}: {type(error).__name__} {error}"})
-            frame = pd.DataFrame(rows, columns=MEMBER_READ.names, dtype=object)
-            yield frame.where(frame.notna(), None)
-
-    return entries.filter(entry_kind(F.col("entry")) == "class").select("container", "entry", "bytes").mapInPandas(parse, MEMBER_READ)
+                    rows.append({**said, "error": f"{entry}: {type(error).__name__} {error}"})
+                if len(rows) >= MEMBER_ROWS:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return entries.filter(entry_kind(F.col("entry")) == "class").select("container", "entry", "bytes").mapInArrow(parse, MEMBER_READ)
 
 
 def class_file_members(entries: DataFrame) -> DataFrame:

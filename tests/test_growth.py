@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symtab.operators import events, lookup
+from symtab.plans import index_queries
 
 SPAN = "uri string, sym string, start_line int, start_col int, end_line int, end_col int"
 
@@ -217,3 +218,11 @@ def test_one_name_is_dealt_out(spark, monkeypatch):
     found = lookup.symbols_by_name(symbols, spark.range(4000).select(F.col("id").alias("qid"), F.when(F.col("id") >= 0, "SAME").alias("query")))
     made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(made) == 16_000_000 and max(made) < 3_200_000
+
+
+def test_class_files_are_dealt_out_by_number(spark, sf_dir, monkeypatch):
+    """A table of few bytes makes much work: no task has more than about two hundred of its class files' rows."""
+    monkeypatch.setattr(index_queries, "CLASS_FILES", 50, raising=False)
+    found = index_queries.QUERIES["sym02_extract_classfile_symbols"](spark, sf_dir)
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(made) > 3 and max(made) <= 250
