@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symtab.functions import ids as I
 from symtab.functions import text as T
+from symtab.operators.ranges import spread
 
 #: Marks of build targets that are not part of the build.
 SYNTHETIC_TARGETS = ("mill-synthetic-root-target", "/.metals/readonly/")
@@ -46,13 +47,14 @@ def latest_per_target(targets: DataFrame, version: str = "version", key: str = "
     """The row with the greatest version of each id; ties go to the greatest rest of the row."""
     rest = [c for c in targets.columns if c != key]
     order = F.struct(T.version_key(F.col(version)), *rest)
-    return targets.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*targets.columns)
+    dealt = spread(targets, *targets.columns)  # by whole rows: what a task sorts is bounded, and one target's rows are many tasks'
+    return dealt.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(*targets.columns)
 
 
 def best_target_for_file(file_targets: DataFrame, targets: DataFrame, version: str = "version") -> DataFrame:
     """(uri, target_id, version): of a file's candidates the one with the newest version, ties to the greatest id; no candidates, no row."""
     met = file_targets.join(targets.select("target_id", version), "target_id")
-    best = met.groupBy("uri").agg(F.max(F.struct(T.version_key(F.col(version)).alias("k"), "target_id", version)).alias("b"))
+    best = spread(met, "uri").groupBy("uri").agg(F.max(F.struct(T.version_key(F.col(version)).alias("k"), "target_id", version)).alias("b"))
     return best.select("uri", "b.target_id", f"b.{version}")
 
 

@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of input files that a task of a large join or aggregation is meant for; they are compressed, its rows are many times larger.
+TASK_BYTES = 4_000_000
+
+
+def spread(df: DataFrame, *keys: str, task_bytes: int | None = None) -> DataFrame:
+    """``df`` by hash of ``keys`` in as many partitions as its input files ask for, where these are more than the session's; else as it is.
+
+    Spark's number of shuffle partitions is fixed, so that a task's memory would grow with the input.
+    """
+    spark, size = df.sparkSession, 0
+    for file in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    tasks = size // (task_bytes or TASK_BYTES) + 1
+    return df.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def bins(df: DataFrame, lo: str, hi: str, levels: int) -> DataFrame:
     """A row for each of the dyadic ranges that make up lo to hi (both included, from 0): (_level, _bin), at most two a level."""
     df = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
