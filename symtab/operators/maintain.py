@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symtab.operators.ranges import spread
+
 
 def remove_files(state: DataFrame, uris: DataFrame) -> DataFrame:
-    """State without the rows of the files; no files, no change. Edges follow, since they are exploded from the rows."""
-    return state.join(uris.select("uri").distinct(), "uri", "left_anti").select(*state.columns)
+    """State without the rows of the files; no files, no change. Edges follow, since they are exploded from the rows. A large
+    state is dealt to tasks by its bytes, so that what one sorts does not grow with it."""
+    return spread(state, "uri").join(uris.select("uri").distinct(), "uri", "left_anti").select(*state.columns)
 
 
 def update_files(state: DataFrame, batch_uris: DataFrame, batch_rows: DataFrame) -> DataFrame:

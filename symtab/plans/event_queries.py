@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symtab.operators import events, maintain
+from symtab.operators.ranges import spread
 from symtab.plans.fixtures import ctes, table, view
 from symtab.scratch import scratch_path
 from symtab.streaming import file_versions
@@ -31,7 +32,7 @@ def query(oracle: str | None):
 def _batch(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, changed uris, new rows): every tenth order is rewritten, every twentieth deleted."""
     refs, changed = view(spark, d, "refs"), view(spark, d, "changed_files")
-    new = refs.join(changed.filter("not deleted"), "uri", "left_semi").withColumn("start_line", F.col("start_line") + 100)
+    new = spread(refs, "uri").join(changed.filter("not deleted"), "uri", "left_semi").withColumn("start_line", F.col("start_line") + 100)
     return refs, changed.select("uri"), new
 
 

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from symtab.operators import events, lookup
+from symtab.operators import events, ingest, lookup, maintain
 from symtab.plans import index_queries
 
 SPAN = "uri string, sym string, start_line int, start_col int, end_line int, end_col int"
@@ -226,3 +226,19 @@ def test_class_files_are_dealt_out_by_number(spark, sf_dir, monkeypatch):
     found = index_queries.QUERIES["sym02_extract_classfile_symbols"](spark, sf_dir)
     made = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert len(made) > 3 and max(made) <= 250
+
+
+def test_large_inputs_are_dealt_out_by_bytes(spark, tmp_path, monkeypatch):
+    """More tasks than the session's four for a state and for files' candidates whose bytes ask for them."""
+    from symtab.operators import ranges
+
+    monkeypatch.setattr(ranges, "TASK_BYTES", 5_000)
+    path = str(tmp_path / "state")
+    spark.range(20_000).selectExpr("concat('u', id) as uri", "id % 50 as target_id", "concat('1.', id % 7) as version").coalesce(1).write.parquet(path)
+    state = spark.read.schema("uri string, target_id long, version string").parquet(path)
+    left = maintain.remove_files(state, state.filter("target_id = 3").select("uri"))
+    best = ingest.best_target_for_file(state.select("uri", "target_id"), ingest.latest_per_target(state.select("target_id", "version")))
+    for df, n in ((left, 19_600), (best, 20_000)):
+        made = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(made) == n and len(made) > 8 and max(made) < n / 4
+    assert {r.version for r in best.select("version").distinct().collect()} == {"1.6"}
