@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 TASK_BYTES = 4_000_000
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` is read from."""
+    spark, size = df.sparkSession, 0
+    for file in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return size
+
+
 def spread(df: DataFrame, *keys: str, task_bytes: int | None = None) -> DataFrame:
     """``df`` by hash of ``keys`` in as many partitions as its input files ask for, where these are more than the session's; else as it is.
 
     Spark's number of shuffle partitions is fixed, so that a task's memory would grow with the input.
     """
-    spark, size = df.sparkSession, 0
-    for file in df.inputFiles():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    tasks = size // (task_bytes or TASK_BYTES) + 1
-    return df.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+    tasks = input_bytes(df) // (task_bytes or TASK_BYTES) + 1
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def bins(df: DataFrame, lo: str, hi: str, levels: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symtab.operators import events, maintain
-from symtab.operators.ranges import spread
+from symtab.operators.ranges import input_bytes, spread
 from symtab.plans.fixtures import ctes, table, view
 from symtab.scratch import scratch_path
 from symtab.streaming import file_versions
@@ -86,16 +86,20 @@ def sym57_apply_compile_output(spark, d):
 @query(_UPDATED)
 def sym58_stream_file_versions(spark, d):
     """Files and their rewritten versions arrive as a stream of files; the snapshot at the end is that of operator 53."""
-    state, changed, new = _batch(spark, d)
-    row = F.struct("sid", "start_line", "start_col", "kind")
-    first = state.withColumn("start_line", F.col("start_line").cast("int")).groupBy("uri").agg(F.collect_list(row).alias("rows")).select("uri", F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"), "rows")
-    made = new.withColumn("start_line", F.col("start_line").cast("int")).groupBy("uri").agg(F.collect_list(row).alias("rows"))
-    second = changed.join(made, "uri", "left").select("uri", F.lit(2).cast("long").alias("version"), F.col("rows").isNull().alias("deleted"), F.coalesce("rows", F.array().cast(first.schema["rows"].dataType)).alias("rows"))
+    state, changed = view(spark, d, "refs"), view(spark, d, "changed_files")
+    row = F.struct("sid", F.col("start_line").cast("int").alias("start_line"), "start_col", "kind")
     folder = scratch_path(spark, "stream")
-    for name, batch in (("a", second), ("b", first)):  # the later versions come first, so the earlier ones must be refused
-        batch.select(*first.columns).coalesce(8).write.parquet(f"{folder}/in/{name}")
-    stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
-    started = file_versions.stream_file_versions(stream, f"{folder}/table", f"{folder}/progress", available_now=True, buckets=16)
+    first = spread(state, "uri").groupBy("uri").agg(F.collect_list(row).alias("rows")).select("uri", F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"), "rows")
+    first.write.parquet(f"{folder}/in/b")
+    first = spark.read.schema(first.schema).parquet(f"{folder}/in/b")
+    rewritten = F.transform("rows", lambda r: r.withField("start_line", r["start_line"] + 100))
+    second = spread(first, "uri").drop("version", "deleted").join(changed, "uri").select("uri", F.lit(2).cast("long").alias("version"), "deleted", F.when(F.col("deleted"), F.array().cast(first.schema["rows"].dataType)).otherwise(rewritten).alias("rows"))
+    second.write.parquet(f"{folder}/in/a")
+    files = max(8, len(first.inputFiles()), len(spark.read.parquet(f"{folder}/in/a").inputFiles()))
+    # what was written last, the later versions, comes first, so the earlier ones must be refused
+    stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").option("latestFirst", "true").option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+    buckets = max(16, -(-input_bytes(first) // file_versions.BUCKET_BYTES))
+    started = file_versions.stream_file_versions(stream, f"{folder}/table", f"{folder}/progress", available_now=True, buckets=buckets)
     started.awaitTermination()
     return file_versions.live_rows(file_versions.read_snapshot(spark, f"{folder}/table", first.schema)).select(*_COLUMNS)
 

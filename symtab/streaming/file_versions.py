@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symtab.operators.maintain import update_files
-
-
-#: Bytes of the table that a bucket is meant for; buckets are by hash of the uri, and a batch rewrites only those that it touches.
-BUCKET_BYTES = 128_000_000
+#: Bytes of the table that a bucket is meant for; buckets are by hash of the uri, a batch rewrites only those that it touches, a task each.
+BUCKET_BYTES = 32_000_000
 #: Buckets of a table whose size is not told.
 BUCKETS = 64
 
@@ -59,9 +56,15 @@ def drop_old(spark: SparkSession, table_path: str) -> None:
             fs.delete(path, True)
 
 
-def _order() -> Column:
-    """What is newer: by version, of one version a deletion, then by the hash of the rows, so that no order of arrival decides."""
-    return F.struct("version", "deleted", F.xxhash64(F.to_json(F.struct("rows"))).alias("hash"))
+def _newest(versions: DataFrame, *keys: str) -> DataFrame:
+    """Of each file what is newest: by version, of one version a deletion, then by the rows, so that no order of arrival decides.
+
+    Rows with fields that Spark can't put in order (maps, variants) are so by their text.
+    """
+    unordered = re.search(r"\b(map<|variant\b)", versions.schema["rows"].dataType.simpleString())
+    by = ["version", "deleted", F.to_json(F.struct("rows")).alias("text") if unordered else "rows"]
+    newest = F.max_by(F.struct("version", "deleted", "rows"), F.struct(*by)) if unordered else F.max(F.struct(*by))
+    return versions.groupBy(*keys, "uri").agg(newest.alias("r")).select("uri", "r.*", *keys)
 
 
 def apply_versions(state: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -70,12 +73,7 @@ def apply_versions(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     A file keeps one row (uri, version, deleted, rows); a deleted file stays as a mark, so that a late older version can't
     revive it. Different rows of one version have an order too, so the state depends neither on batches nor on replays.
     """
-    newest = batch.groupBy("uri").agg(F.max_by(F.struct("version", "deleted", "rows"), _order()).alias("r")).select("uri", "r.*")
-    if state is None:
-        return newest
-    stored = state.select("uri", _order().alias("_stored"))
-    fresh = newest.join(stored, "uri", "left").filter(F.col("_stored").isNull() | (_order() > F.col("_stored"))).drop("_stored")
-    return update_files(state, fresh.select("uri"), fresh)
+    return _newest(batch if state is None else state.unionByName(batch))
 
 
 def live_rows(state: DataFrame) -> DataFrame:
@@ -93,15 +91,19 @@ def table_buckets(spark: SparkSession, table_path: str, expected_bytes: int | No
 
 
 def upsert(batch: DataFrame, n: int, table_path: str, buckets: int | None = None, expected_bytes: int | None = None) -> None:
-    """Writes batch ``n``: the buckets that it touches, made from their newest states below ``n``, so a replayed batch writes the same again."""
+    """Writes batch ``n``: the buckets that it touches, made from their newest states below ``n``, so a replayed batch writes the same again.
+
+    What is stored and what came are shuffled once, to the tasks of their buckets, which choose and write.
+    """
     spark = batch.sparkSession
     buckets = table_buckets(spark, table_path, expected_bytes, buckets)
     batch = batch.select("uri", "version", "deleted", "rows")
     of = F.pmod(F.xxhash64("uri"), F.lit(buckets)).cast("int")
     touched = {r[0] for r in batch.select(of.alias("bucket")).distinct().collect()}
     held = {bucket: batches for bucket, batches in snapshot(spark, table_path, n).items() if bucket in touched}
-    after = apply_versions(_read(spark, table_path, held, batch.schema), batch)
-    after.withColumn("bucket", of).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table_path}/batch={n}")
+    state = _read(spark, table_path, held, batch.schema)
+    versions = (batch if state is None else state.unionByName(batch)).withColumn("bucket", of).repartitionById(buckets, "bucket")
+    _newest(versions, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table_path}/batch={n}")
     drop_old(spark, table_path)
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from symtab.operators import events
+from symtab.operators import events, ranges
+from symtab.plans.event_queries import QUERIES
 from symtab.plans.fixtures import view
 from symtab.streaming import events as streams
 from symtab.streaming import file_versions
@@ -153,3 +154,43 @@ def test_buckets_are_kept_with_the_table(spark, tmp_path):
     file_versions.upsert(batch, 0, table, buckets=3)
     assert set(file_versions.snapshot(spark, table)) == set(range(11))
     assert file_versions.read_snapshot(spark, table, batch.schema).count() == 60
+
+
+def test_a_batch_is_read_for_its_buckets_and_once_to_be_written(spark, tmp_path):
+    schema = "uri string, version long, deleted boolean, rows array<struct<sym:string>>"
+    table, seen = f"file://{tmp_path}/once", spark.sparkContext.accumulator(0)
+
+    def read(it):
+        for got in it:
+            seen.add(got.num_rows)
+            yield got
+
+    for n in range(2):
+        spark.createDataFrame([(f"u{i}", n, False, [("x",)]) for i in range(50)], schema).write.parquet(f"{tmp_path}/in{n}")
+        batch = spark.read.schema(schema).parquet(f"{tmp_path}/in{n}").mapInArrow(read, schema)
+        file_versions.upsert(batch, n, table, buckets=40)
+    assert seen.value == 2 * 2 * 50
+    files = list((tmp_path / "once" / "batch=1").rglob("*.parquet"))
+    assert len(files) == len({f.parent for f in files}) > 20
+
+
+def test_rows_with_maps_have_an_order_too(spark):
+    schema = "uri string, version long, deleted boolean, rows array<struct<m:map<string,int>>>"
+    made = [("a", 1, False, [({"x": 1},)]), ("a", 1, False, [({"y": 1},)]), ("a", 0, False, [({"z": 1},)])]
+    both = [file_versions.apply_versions(None, spark.createDataFrame(rows, schema)).collect() for rows in (made, made[::-1])]
+    assert both[0] == both[1] and len(both[0]) == 1 and both[0][0].version == 1
+
+
+def test_a_larger_stream_has_more_files_and_buckets_not_more_batches(spark, sf_dir, monkeypatch):
+    """What a task of operator 58's query makes, chooses and writes is bounded, and the table is not rewritten more often."""
+    tables = []
+    start = file_versions.stream_file_versions
+    monkeypatch.setattr(file_versions, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(ranges, "TASK_BYTES", 4_000)
+    monkeypatch.setattr(file_versions, "stream_file_versions", lambda stream, table, *a, **k: tables.append(table) or start(stream, table, *a, **k))
+    rows = sorted(map(tuple, QUERIES["sym58_stream_file_versions"](spark, sf_dir).collect()))
+    assert rows == sorted(map(tuple, QUERIES["sym53_update_files"](spark, sf_dir).collect()))
+    held = file_versions.snapshot(spark, tables[0])
+    assert len(held) > 16 and len({n for batches in held.values() for n in batches}) == 2
+    written = spark.read.parquet(tables[0].removesuffix("table") + "in/b").inputFiles()
+    assert len(written) > 8
