@@ -17,6 +17,8 @@ import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
+from symtab.operators.ranges import spread
+
 VIEWS = {
     "symbols": """
 SELECT p_partkey AS sid, 'p' || CAST(p_size % 5 AS STRING) AS pkg, replace(p_brand, '#', '') AS owner1, 'P' || CAST(p_partkey AS STRING) AS owner2,
@@ -121,7 +123,8 @@ def damaged_zip(entries: list[tuple[str, bytes]], damaged: set[str]) -> bytes:
 def write_archives(docs: DataFrame, folder: str, archive: Callable[[list[tuple]], bytes]) -> None:
     """Writes an archive below a folder of any store for each ``path`` of ``docs``, made from its rows (doc_id, text) in their order.
 
-    A task has many archives and holds the rows of one; one that runs twice leaves one whole file.
+    A task has many archives and holds the rows of one; one that runs twice leaves one whole file. Many rows are dealt to tasks by
+    the bytes they come from.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +141,9 @@ def write_archives(docs: DataFrame, folder: str, archive: Callable[[list[tuple]]
             fs.move(f"{name}.{mine}.part", name)
         yield pd.DataFrame({"path": []}, dtype=str)
 
-    ordered = docs.select("path", "doc_id", "text").repartition("path").sortWithinPartitions("path", "doc_id")
+    docs = docs.select("path", "doc_id", "text")
+    dealt = spread(docs, "path")
+    ordered = (docs.repartition("path") if dealt is docs else dealt).sortWithinPartitions("path", "doc_id")
     ordered.mapInPandas(pack, "path string").write.format("noop").mode("overwrite").save()
 
 

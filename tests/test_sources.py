@@ -5,10 +5,11 @@ import os
 import zipfile
 
 import pyspark
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from symtab.operators import stats
-from symtab.plans.fixtures import class_bytes, damaged_zip, zip_bytes
+from symtab.operators import ranges, stats
+from symtab.plans.fixtures import class_bytes, damaged_zip, table, write_archives, zip_bytes
 from symtab.sources import archives, cache
 
 
@@ -62,6 +63,16 @@ def test_small_archives_are_many_tasks_work(spark, tmp_path):
     assert read.filter("bytes is null").groupBy("entry", "size", F.col("error").isNull().alias("read")).count().orderBy("entry").collect() == [("x", 1, True, 6000), ("z", None, False, 6000)]
 
 
+def test_many_documents_are_packed_in_tasks_by_bytes(spark, sf_dir, tmp_path, monkeypatch):
+    """Not in the session's few: what a task sorts and packs does not grow with the input, and each document is packed once."""
+    docs = table(spark, sf_dir, "documents").select(F.format_string("lib/%d.jar", F.expr("doc_id div 5")).alias("path"), "doc_id", "text")
+    monkeypatch.setattr(ranges, "TASK_BYTES", 8_000)
+    write_archives(docs, f"file://{tmp_path}", lambda rows: zip_bytes([(f"{TaskContext.get().partitionId()}/{i}", t.encode()) for i, t in rows]))
+    found = archives.scan_archives(spark, str(tmp_path)).select(F.split_part("entry", F.lit("/"), F.lit(1)).alias("task"), F.split_part("entry", F.lit("/"), F.lit(2)).cast("long").alias("doc_id"), F.decode("bytes", "UTF-8").alias("text"))
+    assert found.select("task").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).isEmpty() and found.count() == docs.count()
+
+
 def test_what_is_counted_is_read_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
