@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,43 @@ def test_one_name_is_dealt_out(spark, monkeypatch):
     assert sum(made) == 16_000_000 and max(made) < 3_200_000
 
 
+def shuffled(spark, after: int = -1) -> tuple[int, int]:
+    """The last stage so far, and the rows that stages after the given one handed to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(10_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after)
+
+
+def test_pairs_of_one_name_need_little_disk(spark, tmp_path, monkeypatch):
+    """8,192 rows and 2,048 queries of a name: few rows are shuffled, however small the blocks, and files have a sixth of a byte a row."""
+    monkeypatch.setattr(lookup, "BLOCK", 128)
+    symbols = lookup.with_keys(spark.range(8192).select(F.col("id").alias("sid"), F.when(F.col("id") >= 0, "Same").alias("name"))).select("sid", "name_key")
+    queries = spark.range(2048).select(F.col("id").alias("qid"), F.when(F.col("id") >= 0, "SAME").alias("query"))
+    last, _ = shuffled(spark)
+    lookup.symbols_by_name(symbols, queries).select("qid", "sid").write.format("noop").mode("overwrite").save()
+    assert shuffled(spark, last)[1] < 50_000  # 8,192 * 16 + 2,048 * 64 copies of rows were 262,144
+    monkeypatch.undo()
+    lookup.symbols_by_name(symbols, queries).select("qid", "sid").write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 8192 * 2048 / 6
+    found = spark.read.parquet(str(tmp_path / "pairs")).groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.col("sid") * F.col("sid")).alias("squares")).groupBy("n", "squares").count()
+    assert rows(found) == [(8192, sum(i * i for i in range(8192)), 2048)]
+
+
+def test_names_of_wide_and_equal_rows(spark, monkeypatch):
+    """Rows that are wide make small blocks and turns, equal rows are dealt like others; columns of any name and type are kept."""
+    monkeypatch.setattr(lookup, "BLOCK_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(lookup, "TURN_BYTES", 2_000, raising=False)
+    made = [(None if i % 3 == 0 else 7, "x" * (i % 5 * 900), [i % 4, None]) for i in range(120)]
+    symbols = lookup.with_keys(spark.createDataFrame([("N", *r) for r in made], "name string, `a.b` int, wide string, many array<int>"))
+    queries = spark.createDataFrame([("n", 1.5, "y" * 700), ("n", None, None), ("n", None, None), ("o", 1.0, "z")] * 10, "query string, `a.b` double, text string")
+    found = lookup.symbols_by_name(symbols, queries)
+    assert found.columns == ["name_key", "name", "a.b", "wide", "many", "initials_key", "query", "a.b", "text"]
+    got = Counter((r[0], r[2], r[3], tuple(r[4]), *r[6:]) for r in found.collect())
+    assert got == Counter(("n", a, w, tuple(m), *q) for a, w, m in made for q in [("n", 1.5, "y" * 700), ("n", None, None), ("n", None, None)] * 10)
+
+
 def test_class_files_are_dealt_out_by_number(spark, sf_dir, monkeypatch):
     """A table of few bytes makes much work: no task has more than about two hundred of its class files' rows."""
     monkeypatch.setattr(index_queries, "CLASS_FILES", 50, raising=False)
